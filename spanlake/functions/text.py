@@ -23,6 +23,11 @@ NON_WS = f"[^{_WS_CHARS}]"
 _MARK = "\x01"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also where ``body`` uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -76,12 +81,16 @@ def sentences(raw: str | Column) -> Column:
 
 def first_sentences(text: str | Column, n: int) -> Column:
     """Up to ``n`` leading sentences; without any, the text or its first 280 characters and an ellipsis."""
-    flat = collapse_ws(text)
-    pieces = F.split(F.regexp_replace(flat, r"([.!?])( |$)", "$1" + _MARK), _MARK)
-    found = F.size(pieces) - 1
-    return F.when(
-        found > 0, F.array_join(F.slice(pieces, F.lit(1), F.least(F.lit(n), F.greatest(found, F.lit(1)))), " ")
-    ).otherwise(trim_runes(flat, 280))
+    marked = F.regexp_replace(collapse_ws(text), r"([.!?])( |$)", "$1" + _MARK)
+
+    def pick(pieces: Column) -> Column:
+        found = F.size(pieces) - 1
+        return F.when(
+            found > 0,
+            F.array_join(F.slice(pieces, F.lit(1), F.least(F.lit(n), F.greatest(found, F.lit(1)))), " "),
+        ).otherwise(trim_runes(pieces[0], 280))
+
+    return let(F.split(marked, _MARK), pick)
 
 
 def trim_runes(text: str | Column, n: int) -> Column:
@@ -104,12 +113,17 @@ def head_label(text: str | Column, n: int = 6) -> Column:
     return trim_words(text, n)
 
 
+def _upper_letter(ch: Column) -> Column:
+    """Upper case of one letter where that is one letter (not for the German sharp s)."""
+    return F.when(F.char_length(F.upper(ch)) == 1, F.upper(ch)).otherwise(ch)
+
+
 def title_case(text: str | Column) -> Column:
     """Upper-case the first letter of every space-separated word, leaving the rest alone."""
     return F.array_join(
         F.transform(
             F.split(_c(text), " "),
-            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30)),
+            lambda w: F.concat(_upper_letter(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30)),
         ),
         " ",
     )
@@ -135,38 +149,47 @@ def clean_query(text: str | Column) -> Column:
 def byte_prefix(text: str | Column, n: int) -> Column:
     """Longest prefix of whole characters that takes at most ``n`` bytes."""
     c = _c(text)
-    fits = F.filter(
-        F.sequence(F.lit(1), F.lit(n)), lambda i: F.octet_length(F.substring(c, F.lit(1), i)) <= n
+    head = F.substring(c.cast("binary"), 1, n).cast("string")
+    whole = F.when(F.is_valid_utf8(head), head).otherwise(
+        F.substring(head, F.lit(1), F.char_length(head) - 1)
     )
-    return F.when(F.octet_length(c) <= n, c).otherwise(F.substring(c, F.lit(1), F.array_max(fits)))
+    return F.when(F.octet_length(c) <= n, c).otherwise(whole)
 
 
 def query_variants(title: str | Column, body: str | Column, parent: str | Column) -> Column:
     """Up to four query texts for a node; empty when the title is blank."""
+
+    def variants(x: Column) -> Column:
+        t, b, p = x["t"], x["b"], x["p"]
+        kw = extract_keywords(t)
+        found = F.array(
+            t,
+            F.when((kw != t) & (kw != ""), kw),
+            F.when(b != "", F.concat(t, F.lit(" "), byte_prefix(b, 200))),
+            F.when(p != "", F.concat(p, F.lit(" "), t)),
+        )
+        return F.when(t != "", F.filter(found, lambda v: v.isNotNull())).otherwise(
+            F.array().cast("array<string>")
+        )
+
     t, b, p = (trim_ws(F.coalesce(_c(x), F.lit(""))) for x in (title, body, parent))
-    kw = extract_keywords(t)
-    variants = F.array(
-        t,
-        F.when((kw != t) & (kw != ""), kw),
-        F.when(b != "", F.concat(t, F.lit(" "), byte_prefix(b, 200))),
-        F.when(p != "", F.concat(p, F.lit(" "), t)),
-    )
-    return F.when(t != "", F.filter(variants, lambda v: v.isNotNull())).otherwise(
-        F.array().cast("array<string>")
-    )
+    return let(F.struct(t.alias("t"), b.alias("b"), p.alias("p")), variants)
 
 
 def token_windows(text: str | Column, size: int = 300, stride: int = 150) -> Column:
     """Overlapping word windows: array of (start_token, text)."""
-    ws = words(text)
-    n = F.size(ws)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(
-        starts,
-        lambda i: F.struct(i.alias("start_token"), F.array_join(F.slice(ws, i + 1, size), " ").alias("text")),
-    )
+
+    def cut_windows(ws: Column) -> Column:
+        n = F.size(ws)
+        starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(
+            starts,
+            lambda i: F.struct(i.alias("start_token"), F.array_join(F.slice(ws, i + 1, size), " ").alias("text")),
+        )
+
+    return let(words(text), cut_windows)
 
 
 def passage_id(chunk_id: str | Column, start: str | Column, end: str | Column) -> Column:
