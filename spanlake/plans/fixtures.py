@@ -233,7 +233,7 @@ def evidence(spark, sf_dir) -> DataFrame:
         start.alias("char_start"),
         (start + 40).alias("char_end"),
         F.when(F.col("content").isNull(), "lost")
-        .when(F.col("o_orderstatus") == "P", F.upper(cited))
+        .when(F.col("o_orderstatus") == "P", F.translate(cited, "aeiou", "AEIOU"))
         .otherwise(cited)
         .alias("text"),
         (F.col("o_orderkey") % 4).cast("int").alias("position"),
@@ -334,7 +334,7 @@ ORACLE: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """SELECT 'e' || o_orderkey AS evidence_id, 'c' || o_custkey AS node_id, 'd' || lpad(o_custkey::VARCHAR, 8, '0') AS chunk_id,
         coalesce(d.source, '') AS source_file, (o_orderkey % 50) AS char_start, (o_orderkey % 50) + 40 AS char_end,
-        CASE WHEN d.text IS NULL THEN 'lost' WHEN o_orderstatus = 'P' THEN upper(substring(d.text, (o_orderkey % 50) + 1, 40))
+        CASE WHEN d.text IS NULL THEN 'lost' WHEN o_orderstatus = 'P' THEN translate(substring(d.text, (o_orderkey % 50) + 1, 40), 'aeiou', 'AEIOU')
         ELSE substring(d.text, (o_orderkey % 50) + 1, 40) END AS text, (o_orderkey % 4) AS position,
         o_orderpriority = '1-URGENT' AS edited, o_orderkey AS created_at
         FROM orders LEFT JOIN documents d ON d.doc_id = o_custkey""",
@@ -481,5 +481,4 @@ def oracle(body: str, *names: str, extra: dict | None = None) -> str:
 
     for n in names:
         visit(n)
-    head = "WITH RECURSIVE " if "RECURSIVE" in body or any("RECURSIVE_" in n for n in done) else "WITH "
-    return (head + ",\n".join(f"{n} AS ({known[n][1]})" for n in done) + "\n" + body) if done else body
+    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n][1]})" for n in done) + "\n" + body) if done else body
