@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.text import first_sentences, is_label_term, title_case
 from spanlake.ordered import top_k
-from spanlake.runtime import salt_of, spread
+from spanlake.runtime import cut, has_at_most, salt_of, spread
 
 SALTS = 16
+SMALL_VOCABULARY = 2_000_000  # terms whose document frequency may be broadcast
 
 
 def _raw_terms(text: str):
@@ -19,14 +20,20 @@ def _raw_terms(text: str):
 
 
 def keyword_df(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """(term, df): chunks holding each label term. Repeats are dropped inside the row."""
-    terms = spread(chunks.select(text), text).select(F.explode(F.array_distinct(_raw_terms(text))).alias("term"))
+    """(term, df): chunks holding each label term. Repeats are dropped inside the row.
+
+    Exploding outer keeps the optimizer from evaluating the pattern a second time in a scan filter.
+    """
+    terms = spread(chunks.select(text)).select(F.explode_outer(F.array_distinct(_raw_terms(text))).alias("term"))
     return terms.filter(is_label_term(F.col("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def term_counts(texts: DataFrame, group: Sequence[str], text: str = "content") -> DataFrame:
     """(*group, term, tf)."""
-    terms = spread(texts.select(*group, text), text).select(*group, F.explode(_raw_terms(text)).alias("term"))
+    rows = texts.select(*group, text)
+    # one text per group: hashed by the group, its terms are counted without a second shuffle
+    rows = rows.repartition(*group) if list(group) == ["chunk_id"] else spread(rows)
+    terms = rows.select(*group, F.explode_outer(_raw_terms(text)).alias("term"))
     return terms.filter(is_label_term(F.col("term"))).groupBy(*group, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -35,13 +42,18 @@ def top_keywords(
 ) -> DataFrame:
     """(*group, rank, term, score): the n best terms by tf * (N + 1) / (df + 1), ties alphabetical.
 
-    n_docs: one row (n_docs). Common terms occur in very many groups, so the lookup of their document
-    frequency is spread over salts.
+    n_docs: one row (n_docs). A vocabulary of checked size is broadcast. A larger one is looked up by
+    shuffle, spread over salts since a common term occurs in very many groups.
     """
-    tf = term_counts(texts, group, text).withColumn("salt", salt_of(*group, salts=SALTS))
-    freq = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    df = cut(df)
+    tf = term_counts(texts, group, text)
+    if has_at_most(df, SMALL_VOCABULARY):
+        found = tf.join(F.broadcast(df), "term", "left")
+    else:
+        freq = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = tf.withColumn("salt", salt_of(*group, salts=SALTS)).join(freq, ["term", "salt"], "left")
     scored = (
-        tf.join(freq, ["term", "salt"], "left")
+        found
         .crossJoin(F.broadcast(n_docs))  # one row
         .withColumn(
             "score",

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.text import chunk_passages, tokenize
 from spanlake.ordered import top_k, with_ordinal
-from spanlake.runtime import salt_of, spread
+from spanlake.runtime import has_at_most, salt_of
 
 K1 = 1.2
 B = 0.75
+SMALL_TERMS = 200_000  # (query, term) rows that may be broadcast
 
 
 @dataclass(frozen=True)
@@ -33,11 +34,20 @@ class LexicalIndex:
 
 def build_bm25(docs: DataFrame, ids: Sequence[str] = ("chunk_id",), text: str = "content") -> LexicalIndex:
     """Keyword index of ``docs``. The document length rides along in the postings, so ranking needs no
-    join back to the documents; a document's tokens are counted before the shuffle."""
-    docs = spread(docs.select(*ids, text), *ids)
+    join back to the documents.
+
+    Documents are hashed by id once. Counting a document's terms and adding up its scores per query
+    both group by more than the id, so neither needs another shuffle, and ids are never skewed.
+    """
+    return _index(docs.select(*ids, text).repartition(*ids), ids, text)
+
+
+def _index(docs: DataFrame, ids: Sequence[str], text: str) -> LexicalIndex:
     toks = docs.select(*ids, tokenize(text).alias("toks")).withColumn("dl", F.size("toks"))
     postings = (
-        toks.select(*ids, "dl", F.explode("toks").alias("term"))
+        # an outer explode: for a plain one the optimizer would tokenise again in a filter at the scan
+        toks.select(*ids, "dl", F.explode_outer("toks").alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("term", *ids, "dl")
         .agg(F.count(F.lit(1)).cast("int").alias("tf"))
         .select("term", *ids, "tf", "dl")
@@ -47,48 +57,63 @@ def build_bm25(docs: DataFrame, ids: Sequence[str] = ("chunk_id",), text: str =
 
 def build_passages(docs: DataFrame) -> DataFrame:
     """passages(chunk_id, start, end, text)."""
-    docs = spread(docs.select("chunk_id", "content"), "chunk_id")
-    return docs.select("chunk_id", F.explode(chunk_passages("content")).alias("p")).select(
-        "chunk_id", "p.start", "p.end", "p.text"
-    )
+    docs = docs.select("chunk_id", "content").repartition("chunk_id")
+    cut_up = docs.select("chunk_id", F.explode_outer(chunk_passages("content")).alias("p"))
+    return cut_up.filter(F.col("p").isNotNull()).select("chunk_id", "p.start", "p.end", "p.text")
 
 
 def build_passage_index(docs: DataFrame) -> LexicalIndex:
-    return build_bm25(build_passages(docs), ids=("chunk_id", "start", "end"), text="text")
+    # passages stay where their chunk is: hashed by chunk_id
+    return _index(build_passages(docs), ("chunk_id", "start", "end"), "text")
 
 
 def idf_expr(n, df):
     return F.log((n - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
 
 
-def idf(terms: DataFrame, index: LexicalIndex) -> DataFrame:
-    """idf of each distinct term; an absent term has document frequency 0."""
+def weigh(terms: DataFrame, index: LexicalIndex, small: bool = False) -> DataFrame:
+    """(term, df, n_docs, avg_dl, idf) of each distinct term; an absent term has document frequency 0."""
     wanted = terms.select(F.lower("term").alias("term")).distinct()
+    asked = F.broadcast(wanted) if small else wanted
     df = (
-        index.postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        index.postings.join(asked, "term", "left_semi")
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"))
     )
     return (
         wanted.join(df, "term", "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))
         .crossJoin(F.broadcast(index.stats))  # stats is an ungrouped aggregate: always one row
-        .select("term", "df", idf_expr(F.col("n_docs"), F.col("df")).alias("idf"))
+        .select("term", "df", "n_docs", "avg_dl", idf_expr(F.col("n_docs"), F.col("df")).alias("idf"))
     )
 
 
+def idf(terms: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(term, df, idf)."""
+    return weigh(terms, index).select("term", "df", "idf")
+
+
 def score_bm25(queries: DataFrame, index: LexicalIndex, salts: int = 16) -> DataFrame:
     """(query_id, *ids, score) for every document sharing a token with the query.
 
-    A frequent term may cover a third of all postings, so postings are joined on (term, salt) with
-    the salt taken from the document id and the few query-term rows copied once per salt.
+    A query-term table of at most SMALL_TERMS rows is broadcast: postings are scored where they are,
+    however frequent a term is. A larger one is joined by shuffle on (term, salt), the salt taken
+    from the document id, so that a term holding a third of all postings is spread over ``salts`` tasks.
     """
     qterms = (
         queries.select("query_id", F.explode(tokenize("text")).alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    weighted = qterms.join(idf(qterms, index), "term").crossJoin(F.broadcast(index.stats))
-    probe = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = index.postings.withColumn("salt", salt_of(*index.ids, salts=salts)).join(probe, ["term", "salt"])
+    small = has_at_most(qterms, SMALL_TERMS)
+    weighted = qterms.join(weigh(qterms, index, small), "term")
+    terms = qterms.select("term").distinct()
+    matched = index.postings.join(F.broadcast(terms) if small else terms, "term", "left_semi")
+    if small:
+        hits = matched.join(F.broadcast(weighted), "term")
+    else:
+        probe = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hits = matched.withColumn("salt", salt_of(*index.ids, salts=salts)).join(probe, ["term", "salt"])
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = (
         F.col("qtf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / F.col("avg_dl")))

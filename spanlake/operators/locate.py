@@ -38,15 +38,14 @@ def pair_tokens(pairs: DataFrame) -> DataFrame:
     pairs: (query_id, chunk_id, content). Spans are scanned once per distinct chunk.
     """
     texts = pairs.select("chunk_id", "content").dropDuplicates(["chunk_id"])
-    toks = texts.select("chunk_id", F.explode(tokenize_spans("content")).alias("t")).select("chunk_id", "t.*")
-    return pairs.select(*PAIR).join(toks, "chunk_id")
+    toks = texts.select("chunk_id", F.explode_outer(tokenize_spans("content")).alias("t")).select("chunk_id", "t.*")
+    return pairs.select(*PAIR).join(toks.filter(F.col("term").isNotNull()), "chunk_id")
 
 
 def pair_sentences(pairs: DataFrame) -> DataFrame:
     """(query_id, chunk_id, sent, start, end)."""
-    return pairs.select(*PAIR, F.posexplode(sentence_spans("content")).alias("sent", "s")).select(
-        *PAIR, "sent", "s.start", "s.end"
-    )
+    rows = pairs.select(*PAIR, F.posexplode_outer(sentence_spans("content")).alias("sent", "s"))
+    return rows.filter(F.col("s").isNotNull()).select(*PAIR, "sent", "s.start", "s.end")
 
 
 def _hits(pairs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -158,7 +157,8 @@ def semantic_locate(
     """
     floor = 0.2 if min_similarity is None else min_similarity
     qv = queries if "vec" in queries.columns else queries.withColumn("vec", embed("text"))
-    sents = pairs.select(*PAIR, "content", F.posexplode(sentence_spans("content")).alias("sent", "s")).select(
+    sents = pairs.select(*PAIR, "content", F.posexplode_outer(sentence_spans("content")).alias("sent", "s"))
+    sents = sents.filter(F.col("s").isNotNull()).select(
         *PAIR,
         "sent",
         F.col("s.start").alias("start"),

@@ -14,7 +14,7 @@ from spanlake.operators import network as nw
 from spanlake.operators.fusion import SearchIndex, hybrid_search
 from spanlake.plans import fixtures as fx
 from spanlake.plans.fixtures import _quoted, oracle
-from spanlake.plans.scalars import _TITLE, _runes, _words
+from spanlake.plans.scalars import _TITLE, _runes, _trim, _words
 
 
 def _corpus(spark, sf):
@@ -535,6 +535,18 @@ ORACLES = {
         """SELECT input_hash, title, source FROM cache WHERE substring(region_id, 2)::INT < 5
         UNION ALL SELECT input_hash, 'New ' || region_id, 'llm:n' FROM hashes WHERE substring(region_id, 2)::INT >= 5""", "hashes", "cache"
     ),
+    "digest_regions": _o(
+        f"""SELECT region_id, CASE WHEN substring(region_id, 2)::INT <= 6 THEN 'Old ' || region_id ELSE {_TITLE.format(c="array_to_string(kl[1:3], ' · ')")} END AS title,
+        CASE WHEN substring(region_id, 2)::INT <= 3 THEN 'llm:m' ELSE 'extractive' END AS source, 64 AS dim
+        FROM (SELECT region_id, list(term ORDER BY rank) AS kl FROM ({_kw('region_id', 6, 'JOIN members USING (chunk_id)')}) GROUP BY region_id)""",
+        "members", "dterms", "tdf", "ndoc",
+    ),
+    "digest_with_completer": _o(
+        f"""SELECT region_id, 'Theme of ' || n || ' texts' AS title, CASE WHEN n % 2 = 1 THEN 'All of it.' ELSE abstract END AS abstract, 'alpha beta' AS keywords, CASE WHEN n % 2 = 1 THEN 'llm:m' ELSE 'llm:m+extractive' END AS source
+        FROM (SELECT region_id, {_ABSTRACT} AS abstract FROM (SELECT region_id, {_PIECES} AS p FROM (SELECT region_id, content, row_number() OVER (PARTITION BY region_id ORDER BY distance, chunk_id) AS r FROM region_members JOIN docs USING (chunk_id)) WHERE r = 1))
+        JOIN (SELECT region_id, sum(1 + length({_trim('content')}) - length(replace({_trim('content')}, chr(10), '')))::INT AS n FROM (SELECT region_id, content, row_number() OVER (PARTITION BY region_id ORDER BY distance, chunk_id) AS r FROM region_members JOIN docs USING (chunk_id)) WHERE r <= 15 GROUP BY region_id) USING (region_id)""",
+        "region_members", "docs",
+    ),
     "transcript_digests": _o("SELECT source_file, chunk_count, title, abstract, keywords FROM tdig", "tdig", **_TD),
     "digest_text": _o(
         "SELECT source_file, concat_ws(chr(10), nullif(title, ''), CASE WHEN chunk_count % 2 = 0 THEN NULL ELSE nullif(abstract, '') END, nullif(keywords, '')) AS text FROM tdig", "tdig", **_TD

@@ -8,7 +8,7 @@ from spanlake.operators import changes as ch
 from spanlake.operators import outline as ol
 from spanlake.plans import fixtures as fx
 from spanlake.plans.fixtures import oracle
-from spanlake.plans.scalars import _flat, _trim
+from spanlake.plans.scalars import _chunk_sql, _flat
 
 
 def _tree(spark, sf):
@@ -527,6 +527,11 @@ ORACLES = {
     "supersede_counts": _o(
         "SELECT source_file, count(*) AS superseded FROM live WHERE source_file IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE quality = 0) GROUP BY source_file", "live"
     ),
+    "rechunk": _o(
+        """SELECT source_file, sum(n) AS rows, sum(live) AS live FROM (SELECT source_file || '.txt' AS source_file, count(*) AS n, count(*) AS live FROM tchunk GROUP BY 1
+        UNION ALL SELECT 'u' || substring(chunk_id, 2)::INT || '.txt', 1, CASE WHEN deleted_at IS NULL AND 'u' || substring(chunk_id, 2)::INT NOT IN (SELECT upload_id FROM segments) THEN 1 ELSE 0 END FROM chunks) GROUP BY source_file""",
+        "tchunk", "chunks", "segments", segt=(("segments",), "SELECT upload_id AS source_file, ord, text FROM segments"), **_chunk_sql("segt"),
+    ),
     "versioned_upsert": """WITH w AS (SELECT user_id, min(event_id) AS seq FROM events WHERE event_type = 'view' AND user_id IN (SELECT c_custkey FROM customer WHERE c_custkey < 80) GROUP BY user_id)
         SELECT c_custkey AS node_id, coalesce(e.event_type || ' ' || e.event_id, c_name) AS title, CASE WHEN w.seq IS NULL THEN 1 ELSE 2 END AS version, 'kept' AS what FROM customer LEFT JOIN w ON w.user_id = c_custkey LEFT JOIN events e ON e.event_id = w.seq WHERE c_custkey < 80
         UNION ALL SELECT user_id, '', count(*), CASE WHEN user_id IN (SELECT c_custkey FROM customer WHERE c_custkey < 80) THEN 'conflict' ELSE 'not_found' END FROM events WHERE event_id NOT IN (SELECT seq FROM w) GROUP BY ALL""",

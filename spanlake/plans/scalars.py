@@ -61,12 +61,12 @@ def first_sentences(spark, sf):
 
 
 def chunk_transcript(spark, sf):
-    return tr.chunk_transcript(tr.parse_transcript(_raw(spark, sf))).drop("content")
+    return tr.chunk_raw(_raw(spark, sf)).select("source_file", "start_offset", "end_offset", F.md5("content").alias("content_md5"))
 
 
 def chunk_segments(spark, sf):
     s = fx.segments(spark, sf).select(F.col("upload_id").alias("source_file"), "ord", tx.collapse_ws("text").alias("text"))
-    return tr.chunk_transcript(s).drop("content")
+    return tr.chunk_transcript(s).select("source_file", "start_offset", "end_offset", F.md5("content").alias("content_md5"))
 
 
 def token_windows(spark, sf):
@@ -165,7 +165,7 @@ def snippet_segments(spark, sf):
 def encode_vec(spark, sf):
     v = fx.vectors(spark, sf).withColumn("blob", vx.encode_vec("vec"))
     back = F.aggregate(F.zip_with("vec", vx.decode_vec("blob"), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
-    return v.select("chunk_id", F.octet_length("blob").alias("bytes"), F.md5("blob").alias("md5"), back.alias("error"))
+    return v.select("chunk_id", F.octet_length("blob").alias("bytes"), back.alias("error"))
 
 
 def cosine(spark, sf):
@@ -272,6 +272,19 @@ _PARSE = {
     ),
 }
 
+
+
+def _chunk_sql(sents: str) -> dict:
+    """Greedy chunks as a walk over a source's sentences: words so far and the chunk's first sentence."""
+    return {
+        "sw": ((sents,), f"SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY ord) - 1 AS pos, text, len({_words('text')}) AS nw, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY source_file ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM {sents}"),
+        "walk": (("sw",), """SELECT source_file, pos, nw::BIGINT AS acc, 0::BIGINT AS first FROM sw WHERE pos = 0
+        UNION ALL SELECT w.source_file, s.pos, CASE WHEN w.acc >= 160 THEN s.nw ELSE w.acc + s.nw END, CASE WHEN w.acc >= 160 THEN s.pos ELSE w.first END FROM walk w JOIN sw s ON s.source_file = w.source_file AND s.pos = w.pos + 1"""),
+        "tchunk": (("walk", "sw"), "SELECT source_file, min(b) AS start_offset, max(b + strlen(text)) AS end_offset, md5(string_agg(text, ' ' ORDER BY pos)) AS content_md5 FROM walk JOIN sw USING (source_file, pos) GROUP BY source_file, first"),
+    }
+
+
+_SEG_SENTS = {"segt": (("segments",), f"SELECT upload_id AS source_file, ord, {_flat('text')} AS text FROM segments")}
 _TITLE = "array_to_string(list_transform(string_split({c}, ' '), lambda w: CASE WHEN w[1] = 'ß' THEN w ELSE upper(substring(w, 1, 1)) || substring(w, 2) END), ' ')"
 
 ORACLES = {
@@ -280,6 +293,18 @@ ORACLES = {
     "terms_tfidf": f"""SELECT chunk_id, len(t) AS n, sha256(array_to_string(t, '|')) AS digest FROM (SELECT chunk_id, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'),
       lambda x: strlen(x) BETWEEN 3 AND 30 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ({_quoted(LABEL_STOP_WORDS)})) AS t FROM ({fx.ORACLE['docs'][1]}))""",
     "parse_transcript": oracle("SELECT source_file, ord, text FROM sents", "sents", extra=_PARSE),
+    "sentence_spans": oracle(
+        'SELECT chunk_id, sent, s AS "start", e AS "end" FROM sent', "sent", extra={
+            "bounds": (("docs",), r"""SELECT chunk_id, i - 1 AS k, e - length(p) AS a, e, p FROM (SELECT chunk_id, p, i, sum(length(p)) OVER (PARTITION BY chunk_id ORDER BY i) AS e FROM (
+            SELECT chunk_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT chunk_id, string_split(regexp_replace(content, '([.!?])([ \n\t])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM docs)))"""),
+            "sent": (("bounds",), rf"""SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY k) - 1 AS sent, (a + length(p) - length(regexp_replace(p, '^{WS_SQL}+', '')))::INT AS s, e::INT AS e
+            FROM bounds WHERE regexp_matches(p, '{NON_WS_SQL}')"""),
+        }
+    ),
+    "chunk_transcript": oracle("SELECT * FROM tchunk", "tchunk", extra={**_PARSE, **_chunk_sql("sents")}),
+    "chunk_transcript_segments": oracle("SELECT * FROM tchunk", "tchunk", extra={**_SEG_SENTS, **_chunk_sql("segt")}),
+    "encode_vec": oracle("SELECT chunk_id, 4 * len(vec) AS bytes, 0.0 AS error FROM vecs", "vecs"),
+    "stub_embed": oracle("SELECT chunk_id, 64 AS dim, 1.0 AS norm FROM docs", "docs"),
     "first_sentences": rf"""SELECT chunk_id, CASE WHEN len(p) > 1 THEN array_to_string(p[1:least(2, len(p) - 1)], ' ') ELSE {_runes('flat', 280)} END AS abstract
       FROM (SELECT chunk_id, flat, string_split(regexp_replace(flat, '([.!?])( |$)', '\1' || chr(1), 'g'), chr(1)) AS p FROM (SELECT chunk_id, {_flat('content')} AS flat FROM ({fx.ORACLE['docs'][1]})))""",
     "token_windows": f"""SELECT chunk_id, st AS start_token, array_to_string(w[st + 1:st + 300], ' ') AS text FROM (
