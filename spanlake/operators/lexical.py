@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.functions.text import chunk_passages, tokenize
+from spanlake.operators.vectors import best_per_row
 from spanlake.ordered import top_k, with_ordinal
 from spanlake.runtime import has_at_most, salt_of
 
 K1 = 1.2
 B = 0.75
 SMALL_TERMS = 200_000  # (query, term) rows that may be broadcast
+SMALL_QUERIES = 2048  # queries whose weights may be shipped to every task
+DOC_BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -93,6 +99,15 @@ def idf(terms: DataFrame, index: LexicalIndex) -> DataFrame:
     return weigh(terms, index).select("term", "df", "idf")
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf)."""
+    return (
+        queries.select("query_id", F.explode(tokenize("text")).alias("term"))
+        .groupBy("query_id", "term")
+        .agg(F.count(F.lit(1)).alias("qtf"))
+    )
+
+
 def score_bm25(queries: DataFrame, index: LexicalIndex, salts: int = 16) -> DataFrame:
     """(query_id, *ids, score) for every document sharing a token with the query.
 
@@ -100,11 +115,7 @@ def score_bm25(queries: DataFrame, index: LexicalIndex, salts: int = 16) -> Data
     however frequent a term is. A larger one is joined by shuffle on (term, salt), the salt taken
     from the document id, so that a term holding a third of all postings is spread over ``salts`` tasks.
     """
-    qterms = (
-        queries.select("query_id", F.explode(tokenize("text")).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
+    qterms = query_terms(queries)
     small = has_at_most(qterms, SMALL_TERMS)
     weighted = qterms.join(weigh(qterms, index, small), "term")
     terms = qterms.select("term").distinct()
@@ -121,9 +132,89 @@ def score_bm25(queries: DataFrame, index: LexicalIndex, salts: int = 16) -> Data
     return hits.groupBy("query_id", *index.ids).agg(F.sum(part).alias("score"))
 
 
+def _best_hits(queries: DataFrame, index: LexicalIndex, k: int) -> DataFrame | None:
+    """At most k scored hits per query and task, or None when the query table is not small.
+
+    The query weights (checked to be few) go to every task; a document's matching postings stand in one
+    row, and a block of documents is scored against all queries at once, so that only the best hits
+    become rows.
+    """
+    qterms = query_terms(queries)
+    if not (has_at_most(qterms, SMALL_TERMS) and has_at_most(queries, SMALL_QUERIES)):
+        return None
+    spark = queries.sparkSession
+    weights = qterms.join(weigh(qterms, index, True), "term").toArrow()  # at most SMALL_TERMS rows
+    qtype = queries.schema["query_id"].dataType
+    id_fields = [index.postings.schema[c] for c in index.ids]
+    schema = T.StructType([T.StructField("query_id", qtype), *id_fields, T.StructField("score", T.DoubleType())])
+    if weights.num_rows == 0:
+        return spark.createDataFrame([], schema)
+    qids, q_of = np.unique(weights["query_id"].to_pandas().to_numpy(), return_inverse=True)
+    terms, t_of = np.unique(weights["term"].to_pandas().to_numpy().astype(str), return_inverse=True)
+    avg = float(weights["avg_dl"][0].as_py())
+    order = np.argsort(t_of, kind="stable")
+    q_of = q_of[order].astype(np.int64)
+    weight = (weights["qtf"].to_numpy() * weights["idf"].to_numpy())[order]
+    ptr = np.searchsorted(t_of[order], np.arange(len(terms) + 1))
+    numbered = spark.createDataFrame(
+        pa.table({"term": pa.array(terms.tolist(), pa.string()), "t": pa.array(np.arange(len(terms)), pa.int32())})
+    )
+    rows = (
+        index.postings.join(F.broadcast(numbered), "term")
+        .groupBy(*index.ids, "dl")
+        .agg(F.collect_list(F.struct("t", "tf")).alias("post"))  # at most one entry per query term
+    )
+    ids, q_type = list(index.ids), weights.schema.field("query_id").type
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        kinds = None
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in ids]
+            for lo in range(0, batch.num_rows, DOC_BLOCK):
+                part = batch.slice(lo, DOC_BLOCK)
+                n = part.num_rows
+                col = part.column("post")
+                flat = col.flatten()
+                t = flat.field("t").to_numpy(zero_copy_only=False)
+                tf = flat.field("tf").to_numpy(zero_copy_only=False).astype(np.float64)
+                doc = np.repeat(np.arange(n), np.diff(col.offsets.to_numpy()))
+                dl = part.column("dl").to_numpy(zero_copy_only=False)[doc]
+                val = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
+                width = ptr[t + 1] - ptr[t]
+                first = np.repeat(ptr[t] - np.r_[0, np.cumsum(width)[:-1]], width)
+                at = first + np.arange(len(first))
+                cell = q_of[at] * n + np.repeat(doc, width)
+                scores = np.bincount(cell, np.repeat(val, width) * weight[at], len(qids) * n).reshape(len(qids), n)
+                names = [part.column(c).to_pandas().to_numpy() for c in ids]
+                place = np.empty(n, dtype=np.int64)
+                place[np.lexsort([x.astype(str) if x.dtype == object else x for x in names[::-1]])] = np.arange(n)
+                q, d = best_per_row(scores, place, k, scores <= 0, None)
+                new = [q, scores[q, d], *[x[d] for x in names]]
+                both = new if kept is None else [np.concatenate([a, b]) for a, b in zip(kept, new)]
+                keys = [x.astype(str) if x.dtype == object else x for x in both[2:]]
+                by = np.lexsort([*keys[::-1], -np.round(both[1], 9), both[0]])
+                both = [x[by] for x in both]
+                start = np.searchsorted(both[0], both[0], side="left")
+                mine = np.arange(len(both[0])) - start < k
+                kept = [x[mine] for x in both]
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(qids[kept[0]], q_type),
+                    *[pa.array(x, kind) for x, kind in zip(kept[2:], kinds)],
+                    pa.array(kept[1], pa.float64()),
+                ],
+                names=["query_id", *ids, "score"],
+            )
+
+    return rows.mapInArrow(scan, schema)
+
+
 def bm25_search(queries: DataFrame, index: LexicalIndex, k: int = 10, salts: int = 16) -> DataFrame:
     """(query_id, *ids, score, rank); ``k`` <= 0 ranks every match."""
-    return rank_hits(score_bm25(queries, index, salts), k, index.ids)
+    best = _best_hits(queries, index, k) if k > 0 else None
+    return rank_hits(best if best is not None else score_bm25(queries, index, salts), k, index.ids)
 
 
 def rank_hits(hits: DataFrame, k: int, ids: Sequence[str] = ("chunk_id",)) -> DataFrame:
@@ -139,9 +230,10 @@ def passage_search(queries: DataFrame, index: LexicalIndex, k: int = 10, salts:
 
     With a limit, the best 3k passages are looked at, in rank order; without, all of them.
     """
-    hits = score_bm25(queries, index, salts)
     if k > 0:
-        hits = rank_hits(hits, 3 * k, index.ids).drop("rank")
+        hits = bm25_search(queries, index, 3 * k, salts).drop("rank")
+    else:
+        hits = score_bm25(queries, index, salts)
     best = hits.groupBy("query_id", "chunk_id").agg(
         F.min(F.struct((-F.round("score", 9)).alias("neg"), "start", "end", "score")).alias("b")
     )

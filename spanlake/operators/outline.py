@@ -247,7 +247,7 @@ def conditional_walk(contexts: DataFrame, edges: DataFrame) -> DataFrame:
         reach.join(edges, reach["node_id"] == edges["from_node"])
         .join(contexts.select("context_id", "audience", "labels"), "context_id")
         .select(
-            "context_id",
+            F.col("context_id").alias("context_id"),  # a column of its own, apart from the contexts cogrouped below
             "from_node",
             "to_node",
             "weight",
