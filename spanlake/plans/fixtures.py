@@ -419,6 +419,11 @@ ORACLE: dict[str, tuple[tuple[str, ...], str]] = {
         ("cosq",),
         "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM cosq",
     ),
+    # the vector arm of a chunk index: only vectors of chunks that are there
+    "vec_arm": (
+        ("cosq", "docs"),
+        "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM cosq WHERE chunk_id IN (SELECT chunk_id FROM docs)",
+    ),
 }
 
 
@@ -448,9 +453,9 @@ def fused_sql(limit: int, mode: str = "hybrid", arm: int | None = None) -> dict[
         deps += ["bm_ranked", "parm"]
     if mode != "keyword":
         parts.append(
-            f"SELECT query_id, chunk_id, 0.0::DOUBLE AS bm25, 1.0::DOUBLE / (60 + rank) AS vector, NULL::INT AS s, NULL::INT AS e FROM vec_ranked {vk}"
+            f"SELECT query_id, chunk_id, 0.0::DOUBLE AS bm25, 1.0::DOUBLE / (60 + rank) AS vector, NULL::INT AS s, NULL::INT AS e FROM vec_arm {vk}"
         )
-        deps.append("vec_ranked")
+        deps.append("vec_arm")
     keep = f"WHERE rank <= {limit}" if limit else ""
     return {
         "parm": passage_arm_sql(arm),

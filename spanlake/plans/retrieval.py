@@ -302,9 +302,9 @@ ORACLES = {
     ),
     "rrf_fuse_lists": oracle(
         """SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT query_id, chunk_id, rank FROM bm_ranked WHERE rank <= 20
-        UNION ALL SELECT query_id, chunk_id, rank FROM vec_ranked WHERE rank <= 20) GROUP BY ALL""",
+        UNION ALL SELECT query_id, chunk_id, rank FROM vec_arm WHERE rank <= 20) GROUP BY ALL""",
         "bm_ranked",
-        "vec_ranked",
+        "vec_arm",
     ),
     "match_kind": oracle(
         """SELECT query_id, CASE WHEN bm25 > 0 AND vector > 0 THEN 'hybrid' WHEN vector > 0 THEN 'semantic' ELSE 'keyword' END AS kind,
