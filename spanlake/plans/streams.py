@@ -29,7 +29,7 @@ def _scratch(spark) -> str:
 
 
 def _files(spark, sf) -> str:
-    """Documents as one text file each; every thirtieth is of another kind, labelled ones get a folder."""
+    """Documents as one text file each, in a folder named by document."""
     at = _scratch(spark)
     d = fx.table(spark, sf, "documents")
     d.select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("value")).repartition(8, "doc").write.partitionBy("doc").text(

@@ -71,17 +71,18 @@ def test_ingest_replaces_and_replays(spark, tmp_path):
     (src / "a.txt").write_text("First one. Second one.")
     (src / "empty.md").write_text("  \n ")
     (src / "skip.pdf").write_text("no")
-    go = lambda: run(jobs.stream_ingest(jobs.file_stream(spark, str(src)), store, cp))
+    go = lambda: run(jobs.stream_ingest(jobs.file_stream(spark, str(src), source=jobs.file_name), store, cp))
     go()
-    status = {os.path.basename(r.source_file): (r.status, r.error) for r in jobs.latest_status(spark, store).collect()}
+    status = {r.source_file: (r.status, r.error) for r in jobs.latest_status(spark, store).collect()}
     assert status == {"a.txt": ("done", ""), "empty.md": ("failed", "empty transcript")}
     assert [r.content for r in jobs.ingested(spark, store).collect()] == ["First one. Second one."]
     go()  # nothing new: nothing changes
     assert jobs.ingested(spark, store).count() == 1
-    (src / "a.txt").write_text("Now other words. Really.")
-    os.utime(src / "a.txt", (2_000_000_000, 2_000_000_000))
-    batch = spark.createDataFrame([("file:a.txt", "Now other words.")], "source_file string, raw string")
-    assert batch.count() == 1
+    (src / "again").mkdir()
+    (src / "again" / "a.txt").write_text("Now other words. Really.")
+    go()
+    assert [r.content for r in jobs.ingested(spark, store).collect()] == ["Now other words. Really."]
+    assert spark.read.parquet(f"{store}/chunks").count() == 2
 
 
 def test_backfill_pauses_then_drains(spark, tmp_path):
