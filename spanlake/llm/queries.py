@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import warc
+from spanlake.llm import fingerprints, minhash, substring, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,5 +22,25 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc}
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Bottom-k fingerprints of every document, its edited text and its neighbour."""
+    return fingerprints.edited_fingerprints(_table(spark, folder, "documents"))
+
+
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+def op8_substring(spark: SparkSession, folder: str) -> DataFrame:
+    """Words left in every document after removal of 50-word passages that an earlier one has."""
+    return substring.without_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_minhash": op7_minhash,
+    "op8_substring": op8_substring,
+}
 ORACLES: dict[str, str] = {}
