@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import fingerprints, minhash, substring, warc
+from spanlake.llm import fingerprints, minhash, sharding, substring, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,10 +37,21 @@ def op8_substring(spark: SparkSession, folder: str) -> DataFrame:
     return substring.without_repeats(_table(spark, folder, "documents")).drop("kept")
 
 
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in one of 16 shards of near-equal bytes."""
+    docs = _table(spark, folder, "documents")
+    dims = [F.length("text"), sharding.code(F.col("lang")), sharding.code(F.col("source"))]
+    return sharding.kd_shards(docs, dims, shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op6_fingerprints": op6_fingerprints,
     "op7_minhash": op7_minhash,
     "op8_substring": op8_substring,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
