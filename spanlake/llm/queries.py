@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import fingerprints, minhash, sharding, substring, warc
+from spanlake.llm import fingerprints, langid, minhash, sharding, substring, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    return langid.identify(_table(spark, folder, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Bottom-k fingerprints of every document, its edited text and its neighbour."""
     return fingerprints.edited_fingerprints(_table(spark, folder, "documents"))
@@ -49,6 +54,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op4_language": op4_language,
     "op6_fingerprints": op6_fingerprints,
     "op7_minhash": op7_minhash,
     "op8_substring": op8_substring,
