@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import fingerprints, langid, minhash, sharding, substring, warc
+from spanlake.llm import fingerprints, langid, minhash, pieces, sharding, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity of every document."""
+    return toxicity.graded(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
     return langid.identify(_table(spark, folder, "documents"))
@@ -42,6 +47,11 @@ def op8_substring(spark: SparkSession, folder: str) -> DataFrame:
     return substring.without_repeats(_table(spark, folder, "documents")).drop("kept")
 
 
+def op9_sentencepiece(spark: SparkSession, folder: str, model: str = pieces.DEFAULT_MODEL) -> DataFrame:
+    """Token ids of every document, decoded again and held against sentencepiece."""
+    return pieces.token_ids(_table(spark, folder, "documents"), pieces.read_model(model), with_ids=False).drop("ids")
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in one of 16 shards of near-equal bytes."""
     docs = _table(spark, folder, "documents")
@@ -54,10 +64,12 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op6_fingerprints": op6_fingerprints,
     "op7_minhash": op7_minhash,
     "op8_substring": op8_substring,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
