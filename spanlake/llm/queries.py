@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import fingerprints, langid, minhash, pieces, sharding, substring, toxicity, warc
+from spanlake.llm import decontaminate, fingerprints, langid, minhash, pieces, sharding, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(_table(spark, folder, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that each document holds."""
+    found = decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "contaminated", F.col("items.item_id").alias("item_ids"), "items")
+
+
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Bottom-k fingerprints of every document, its edited text and its neighbour."""
     return fingerprints.edited_fingerprints(_table(spark, folder, "documents"))
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
+    "op5_decontaminate": op5_decontaminate,
     "op6_fingerprints": op6_fingerprints,
     "op7_minhash": op7_minhash,
     "op8_substring": op8_substring,
