@@ -1,12 +1,12 @@
 """Benchmark items in training documents: BM25 with block-max WAND, then overlap of question and answer.
 
 Items are cut into parts of at most ``PART`` words and indexed: postings by word, in blocks with the
-largest impact of each block. BM25 impacts are divided by the part's score for itself, so a score is
+largest impact of each block of parts. BM25 impacts are divided by the part's score for itself, so a score is
 the share of a part that a passage covers, in any order of words, and one threshold suits all.
 Documents are queried whole, as passages of ``2 * PART`` words that overlap by half, so every run of
 ``PART`` words lies in one passage. A passage whose words cannot reach the threshold even with their
-largest impacts is left at once; the others run block-max WAND, which visits every part that can
-reach the threshold and skips blocks that cannot. Nothing is cut at a number of results.
+largest impacts in any block is left at once; the others run block-max WAND, which visits every part
+that can reach the threshold and skips blocks that cannot. Nothing is cut at a number of results.
 
 A retrieved item counts if its word trigrams are in the passages that found it: at least
 ``question`` of those of its question and ``answer`` of those of its answer. Without an answer column
@@ -34,7 +34,7 @@ from spanlake.llm.toxicity import feature_bytes
 from spanlake.llm.words import U64, hashed_words, shingles, words_of
 from spanlake.ordered import with_running
 
-PART, BLOCK, INDEX_BYTES = 64, 32, 8 << 20
+PART, BLOCK, INDEX_BYTES = 64, 4, 8 << 20
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER, RUN = 0.5, 0.7, 0.5, 3
 
@@ -55,16 +55,18 @@ def _runs(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Postings:
-    """Parts that have a word, ascending, with their impacts and the largest impact of each block."""
+    """Parts that have a word, ascending, with their impacts, and the largest impact in each block of parts."""
 
     parts: list[int]
     impacts: list[float]
-    tops: list[float]
+    tops: dict[int, float]
     most: float
 
 
 @dataclass
 class Index:
+    """Parts are numbered by length, so that the impacts in a block are alike and its maxima are tight."""
+
     item_ids: list[int]
     questions: list[np.ndarray]
     answers: list[np.ndarray]
@@ -72,42 +74,59 @@ class Index:
     words: np.ndarray
     postings: list[Postings]
     bounds: np.ndarray = field(init=False)
+    #: the blocks of word w and their maxima are at ``ends[w]:ends[w + 1]``
+    ends: np.ndarray = field(init=False)
+    blocks: np.ndarray = field(init=False)
+    tops: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.bounds = np.array([p.most for p in self.postings])
+        self.ends = np.cumsum([0, *(len(p.tops) for p in self.postings)])
+        self.blocks = np.array([b for p in self.postings for b in p.tops], np.int64)
+        self.tops = np.array([t for p in self.postings for t in p.tops.values()])
+
+    def reachable(self, words: np.ndarray, threshold: float) -> bool:
+        """Whether the maxima of ``words`` add up to ``threshold`` in any block."""
+        size = self.ends[words + 1] - self.ends[words]
+        at = np.repeat(self.ends[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return bool((np.bincount(self.blocks[at], self.tops[at]) >= threshold).any()) if len(at) else False
 
 
 def build(items: Sequence[dict], n_parts: int, mean_length: float) -> Index:
     """``items``: item_id, question, answer (word hashes), and df: parts of the whole collection that
     have each of the item's distinct words, in ascending order of the words."""
-    part_item: list[int] = []
-    found: dict[int, list[tuple[int, float]]] = {}
+    parts: list[tuple[int, int, list[int], list[float]]] = []
     for i, item in enumerate(items):
         whole = np.concatenate([item["question"], item["answer"]])
-        seen = np.unique(whole)
-        df = dict(zip(seen.tolist(), item["df"]))
+        df = dict(zip(np.unique(whole).tolist(), item["df"]))
         for lo in range(0, len(whole), PART):
             part = whole[lo : lo + PART]
             words, tf = np.unique(part, return_counts=True)
             n = np.array([df[w] for w in words.tolist()], float)
             idf = np.log1p((n_parts - n + 0.5) / (n + 0.5))
             impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(part) / mean_length))
-            for w, x in zip(words.tolist(), (impact / impact.sum()).tolist()):
-                found.setdefault(w, []).append((len(part_item), x))
-            part_item.append(i)
-    words = np.array(sorted(found), U64)
+            parts.append((len(part), i, words.tolist(), (impact / impact.sum()).tolist()))
+    parts.sort(key=lambda x: x[:2])
+    found: dict[int, list[tuple[int, float]]] = {}
+    for k, (_, _, words, impacts) in enumerate(parts):
+        for w, x in zip(words, impacts):
+            found.setdefault(w, []).append((k, x))
+    vocabulary = sorted(found)
     lists = []
-    for w in words.tolist():
-        parts, impacts = zip(*found[w])
-        tops = [max(impacts[k : k + BLOCK]) for k in range(0, len(impacts), BLOCK)]
-        lists.append(Postings(list(parts), list(impacts), tops, max(tops)))
-    return Index([x["item_id"] for x in items], [_runs(x["question"]) for x in items], [_runs(x["answer"]) for x in items], part_item, words, lists)
+    for w in vocabulary:
+        numbers, impacts = zip(*found[w])
+        tops: dict[int, float] = {}
+        for k, x in found[w]:
+            tops[k // BLOCK] = max(x, tops.get(k // BLOCK, 0.0))
+        lists.append(Postings(list(numbers), list(impacts), tops, max(impacts)))
+    runs = [[_runs(x[side]) for x in items] for side in ("question", "answer")]
+    return Index([x["item_id"] for x in items], *runs, [i for _, i, _, _ in parts], np.array(vocabulary, U64), lists)
 
 
 def block_max_wand(lists: Sequence[Postings], threshold: float) -> dict[int, float]:
     """Parts whose impacts in ``lists`` add up to ``threshold`` or more, with their scores."""
     out: dict[int, float] = {}
-    # [current part, position, list]; the order by current part is kept up
+    # [current part, position, list]
     cursors = [[p.parts[0], 0, p] for p in lists]
     while cursors:
         cursors.sort(key=lambda c: c[0])
@@ -122,29 +141,23 @@ def block_max_wand(lists: Sequence[Postings], threshold: float) -> dict[int, flo
         part = cursors[pivot][0]
         while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == part:
             pivot += 1
-        # what the blocks that would hold the pivot can give, and where the first of them ends
-        upper, until = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else None
-        for c in cursors[: pivot + 1]:
-            at = bisect.bisect_left(c[2].parts, part, c[1])
-            if at < len(c[2].parts):
-                upper += c[2].tops[at // BLOCK]
-                end = c[2].parts[min(len(c[2].parts), (at // BLOCK + 1) * BLOCK) - 1] + 1
-                until = end if until is None else min(until, end)
-        if upper < threshold:
-            goal = max(part + 1, until) if until is not None else None
+        moved = cursors[: pivot + 1]
+        block = part // BLOCK
+        if sum(c[2].tops.get(block, 0.0) for c in moved) < threshold:
+            # nothing before the end of the block or the next list's part can reach it
+            goal = (block + 1) * BLOCK
+            if pivot + 1 < len(cursors):
+                goal = min(goal, cursors[pivot + 1][0])
         else:
             score = 0.0
-            for c in cursors[: pivot + 1]:
+            for c in moved:
                 at = bisect.bisect_left(c[2].parts, part, c[1])
                 if at < len(c[2].parts) and c[2].parts[at] == part:
                     score += c[2].impacts[at]
             if score >= threshold:
                 out[part] = score
             goal = part + 1
-        if goal is None:
-            cursors = cursors[pivot + 1 :]
-            continue
-        for c in cursors[: pivot + 1]:
+        for c in moved:
             c[1] = bisect.bisect_left(c[2].parts, goal, c[1])
             c[0] = c[2].parts[c[1]] if c[1] < len(c[2].parts) else -1
         cursors = [c for c in cursors if c[0] >= 0]
@@ -173,7 +186,7 @@ def find(texts: Sequence[str | None], index: Index, threshold: float, question:
             for k in np.flatnonzero(most[last] - most[first] >= threshold - 1e-9).tolist():
                 a, b = int(first[k]), int(last[k])
                 mine = np.unique(at[a:b][known[a:b]])
-                if index.bounds[mine].sum() < threshold:
+                if not index.reachable(mine, threshold):
                     continue
                 for part, score in block_max_wand([index.postings[w] for w in mine.tolist()], threshold).items():
                     met.setdefault((int(doc[k]), index.part_item[part]), []).append((score, a, b))
