@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import decontaminate, fingerprints, langid, minhash, pieces, sharding, substring, toxicity, warc
+from spanlake.llm import decontaminate, fingerprints, langid, line_dedup, minhash, pieces, sharding, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that an earlier line is similar to."""
+    found = line_dedup.without_similar_lines(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Expected severity of every document."""
     return toxicity.graded(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -70,6 +76,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
