@@ -1,6 +1,79 @@
-"""From raw documents to token ids: five stages, each one of the pipeline operators."""
+"""From raw documents to token ids: five stages, each one of the pipeline operators.
+
+Every stage takes all that its predecessor kept and returns a DataFrame; all but the last return the
+columns of ``documents``. ``run`` writes each result as Parquet in the shared folder and reads it
+again, so a stage is never computed twice and a lost executor costs no earlier stage.
+"""
+
+from __future__ import annotations
 
 from types import SimpleNamespace
 
-STAGES = []
-FAMILY = SimpleNamespace(QUERIES={}, ORACLES={})
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanlake.llm import decontaminate, langid, line_dedup, minhash, pieces
+from spanlake.llm.scratch import stored
+
+#: A text of at least so many n-grams, of which no language has this share, is in none of them.
+LEAST_GRAMS, LEAST_COVERAGE = 20, 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language learned from the corpus; texts without a letter or in no language go."""
+    filters = langid.train(docs.filter(~langid.held_out()).select("doc_id", "text", "lang"))
+    found = docs.withColumn("_language", langid.language(F.col("text"), filters))
+    known = F.col("_language.lang_pred") != langid.UNKNOWN
+    covered = (F.col("_language.coverage") >= LEAST_COVERAGE) | (F.col("_language.n_grams") < LEAST_GRAMS)
+    return found.filter(known & covered).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line is similar to; those with nothing else left go.
+
+    ``n_chars`` is counted anew where lines went.
+    """
+    found = line_dedup.without_similar_lines(docs, n_lines="_n_lines", n_removed="_n_removed")
+    cut = F.col("_n_removed") > 0
+    left = found.filter(~cut | (F.btrim("text", F.lit(" \t\n\x0b\f\r")) != ""))
+    return left.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate class."""
+    later = minhash.near_duplicates(docs).filter("not is_first").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return docs.filter(F.size(decontaminate.held_items(docs, F.col("text"), items)) == 0)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = pieces.DEFAULT_MODEL) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    return pieces.token_ids(docs, pieces.read_model(model), columns=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
+
+#: The model's decisions, similarity joins and tokenizers have no SQL form.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
+
+
+FAMILY = SimpleNamespace(QUERIES={"pipeline": run}, ORACLES={"pipeline": ORACLE_SQL} if ORACLE_SQL else {})

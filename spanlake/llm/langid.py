@@ -91,19 +91,19 @@ class Filters:
             per += [np.count_nonzero(masks & U64(1 << i)) for i in range(len(self.languages))]
         return n, per
 
-    def decide(self, text: str | None, chance: np.ndarray) -> tuple[str, float, float]:
-        """(language, score, coverage): score is the language's part of all corrected counts, coverage
+    def decide(self, text: str | None, chance: np.ndarray) -> tuple[str, float, float, int]:
+        """(language, score, coverage, n-grams): score is the language's part of all corrected counts, coverage
         the corrected share of the text's n-grams that it has. Ties go to the language with more
         training rows."""
         n, per = self.counts(text) if text else (0, None)
         if not self.languages or (not n and not (text and any(c.isalpha() for c in text))):
-            return UNKNOWN, 0.0, 0.0
+            return UNKNOWN, 0.0, 0.0, n
         if not n:
-            return self.languages[0], 0.0, 0.0
+            return self.languages[0], 0.0, 0.0, 0
         share = np.clip((per - n * chance) / np.maximum(1 - chance, 1e-9) / n, 0, 1)
         best = int(np.argmax(share))
         total = float(share.sum())
-        return self.languages[best], float(share[best]) / total if total else 0.0, float(share[best])
+        return self.languages[best], float(share[best]) / total if total else 0.0, float(share[best]), n
 
 
 def _counted(size: int):
@@ -167,11 +167,11 @@ def train(
     return Filters(languages, table.view(U64), k, size)
 
 
-_OUT = "lang_pred string, score double, coverage double"
+_OUT = "lang_pred string, score double, coverage double, n_grams long"
 
 
 def language(text: str | Column, filters: Filters) -> Column:
-    """struct<lang_pred, score, coverage> of a text column; the filters go along as a broadcast of fixed size."""
+    """struct<lang_pred, score, coverage, n_grams> of a text column; the filters go along as a broadcast of fixed size."""
     sent = SparkSession.getActiveSession().sparkContext.broadcast(filters)
 
     @F.arrow_udf(_OUT)
@@ -179,8 +179,8 @@ def language(text: str | Column, filters: Filters) -> Column:
         f = sent.value
         chance = f.chance()
         rows = [f.decide(t.as_py(), chance) for t in col]
-        langs, scores, cover = zip(*rows) if rows else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(cover, pa.float64())], ["lang_pred", "score", "coverage"])
+        langs, scores, cover, n = zip(*rows) if rows else ((), (), (), ())
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(cover, pa.float64()), pa.array(n, pa.int64())], ["lang_pred", "score", "coverage", "n_grams"])
 
     return run(F.col(text) if isinstance(text, str) else text)
 
@@ -191,11 +191,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, columns: Sequence[str] = ("doc_id",), **options) -> DataFrame:
-    """``columns``, held_out, lang_pred, score and coverage of every row of ``docs`` (doc_id, text, lang).
+    """``columns``, held_out, lang_pred, score, coverage and n_grams of every row of ``docs`` (doc_id, text, lang).
 
     Filters are learned from the rows that are not held out. ``und`` with score 0 stands for null
     texts and texts without a letter, and for all if nothing could be learned.
     """
     filters = train(docs.filter(~held_out()).select("doc_id", "text", "lang"), **options)
     found = docs.withColumn("_found", language(F.col("text").cast("string"), filters)).withColumn("_held", held_out())
-    return found.select(*columns, F.col("_held").alias("held_out"), "_found.lang_pred", "_found.score", "_found.coverage")
+    return found.select(*columns, F.col("_held").alias("held_out"), "_found.lang_pred", "_found.score", "_found.coverage", "_found.n_grams")

@@ -154,14 +154,16 @@ def similar_lines(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.filter(F.col("gone") | (F.struct("doc_id", "line_no") > F.col("at"))).select("doc_id", "th", "line_no")
 
 
-def without_similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` with the lines left in ``text``, and n_lines and n_removed.
+def without_similar_lines(docs: DataFrame, threshold: float = THRESHOLD, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """All columns of ``docs`` with the lines left in ``text``, and the numbers of lines and of lines removed.
+
+    The two numbers take the place of columns of the same names.
 
     A line feed ends a line; the lines left are joined by one. Null texts stay null (no line), empty
     texts have one line without words. Rows with null doc_id stay as they are: they are at no place,
     neither earlier nor later. Rows repeated with one doc_id are at the same place.
     """
-    name = "_th"
+    name, columns = "_th", [c for c in docs.columns if c not in (n_lines, n_removed)]
     rows = docs.withColumn(name, F.xxhash64("text"))
     known = rows.filter("doc_id is not null and text is not null")
     texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("th"), F.col("text").cast("string").alias("text"))
@@ -170,12 +172,12 @@ def without_similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> Data
     parts = F.split("text", "\n")
     touched = F.coalesce(_member(gone.select(F.col("_id").alias("doc_id")), "doc_id"), F.lit(False)) & F.col("text").isNotNull()
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("int")
-    same = rows.filter(~touched).select(*docs.columns, size.alias("n_lines"), F.lit(0).alias("n_removed"))
+    same = rows.filter(~touched).select(*columns, size.alias(n_lines), F.lit(0).alias(n_removed))
     met = rows.filter(touched).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col(name) == F.col("_gone_th")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.coalesce("_gone", F.array().cast("array<int>")))
     kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     changed = met.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), size.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed")
+        *(text.alias("text") if c == "text" else F.col(c) for c in columns), size.alias(n_lines), F.coalesce(F.size("_gone"), F.lit(0)).alias(n_removed)
     )
     return same.unionByName(changed)

@@ -10,9 +10,8 @@ element; if one stays empty the rank is doubled. Empty sets have no signature.
 
 Grouping: equal texts are one text. Texts that agree on all rows of a band fall in a bucket; each is
 checked against the bucket's first text by exact Jaccard similarity of the shingle sets. Members that
-fail that check are checked against all members of their bucket, so no link between different texts
-is lost to the choice of the first; members that pass are linked to it already. Classes are connected
-components, found by joins.
+fail that check are checked against all members of their bucket that no link has joined to them yet,
+so no class is lost to the choice of the first text. Classes are connected components, found by joins.
 """
 
 from __future__ import annotations
@@ -188,16 +187,24 @@ def near_duplicates(
     seen = members.select(F.col("a").alias("doc_id")).union(members.select("b")).distinct()
     texts = stored(whole.join(seen, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "candidates")
     first_round = stored(checked(pairs, texts, threshold, words), "checked")
-    failed = members.join(first_round.filter("not near").select("a", "b"), ["a", "b"]).select("key", F.col("b").alias("x"))
-    second = (
-        failed.join(members.select("key", F.col("b").alias("y")), "key")
-        .filter("x != y")
+    near = first_round.filter("near").select("a", "b")
+    labels = components(spark, near)
+    # what the first round has joined needs no second look, so a group of near copies is not compared pair by pair
+    classed = stored(
+        members.join(labels.select(F.col("id").alias("b"), "label"), "b", "left").select("key", "a", "b", F.coalesce("label", "b").alias("label")), "classed"
+    )
+    failed = classed.join(first_round.filter("not near").select("a", "b"), ["a", "b"]).select("key", F.col("b").alias("x"), F.col("label").alias("x_label"))
+    second = stored(
+        failed.join(classed.select("key", F.col("b").alias("y"), "label"), "key")
+        .filter("x_label != label")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
-        .join(first_round.select("a", "b"), ["a", "b"], "left_anti")
+        .join(first_round.select("a", "b"), ["a", "b"], "left_anti"),
+        "second",
     )
-    links = first_round.filter("near").select("a", "b").union(checked(second, texts, threshold, words).filter("near").select("a", "b"))
-    labels = components(spark, links)
+    more = stored(checked(second, texts, threshold, words).filter("near").select("a", "b"), "second-checked")
+    if not more.isEmpty():
+        labels = components(spark, near.union(more))
     found = standing.join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
     alone = rows_in.filter("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return found.union(alone).withColumn("is_first", F.col("class_id").eqNullSafe(F.col("doc_id")))
