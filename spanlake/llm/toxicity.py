@@ -3,10 +3,13 @@
 One weight per word is shared by all thresholds: P(grade > j) = 1 / (1 + exp(theta_j - w . x)), with
 theta ascending. The output is the expected grade, the sum of P(grade > j) over the thresholds.
 
-Features are the distinct words of a text (lower-cased, ASCII punctuation parts words), by 64-bit
-hash. The fit reads at most ``max_rows`` labelled rows (those with the smallest hash of their id), and
-only words that at least ``min_rows`` of them have; prediction reads every whole text. Null and empty
-texts have no feature and get the grade that the thresholds alone give.
+Features are the words of a text and their beginnings of ``HEADS`` bytes, so that inflected forms meet
+(lower-cased, ASCII punctuation parts words), by 64-bit hash, each as "at least once", "twice" and
+"three times". The fit reads at most ``max_rows`` labelled rows (those with the smallest hash of their
+id). Of their features those that go with the grade by at least ``least_z`` standard deviations are
+kept, the ``max_features`` strongest at most; they are counted by Spark, and the sample reaches the driver
+as the kept features only. Prediction reads every whole text. Null and empty texts have no feature and
+get the grade that the thresholds alone give.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.llm.scratch import stored
 from spanlake.llm.words import U64, words_of
 
-MAX_ROWS, MIN_ROWS, L2, STEPS = 12_000, 4, 1.0, 300
+MAX_ROWS, MIN_ROWS, MAX_FEATURES, LEAST_Z, L2, STEPS = 12_000, 3, 20_000, 2.5, 1.0, 300
+HEADS, LEVELS = (5, 6, 7, 8), 3
 _PARTED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -29,24 +34,44 @@ def feature_bytes(text: str | None) -> bytes:
     return (text or "").lower().encode().translate(_PARTED)
 
 
+def features(texts: Sequence[str | None], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per block of texts: text number, feature, and how often the text has it.
+
+    With ``wanted`` (ascending) only those, as their places in it.
+    """
+    for lo, hi, hashes, bounds in words_of([feature_bytes(t) for t in texts], HEADS):
+        doc = np.repeat(np.arange(lo, hi), np.diff(bounds))
+        flat, owner = hashes.reshape(-1), np.tile(doc, len(hashes))
+        if wanted is None:
+            live = flat != 0
+            flat, owner = flat[live], owner[live]
+            order = np.lexsort((flat, owner))
+            flat, owner = flat[order], owner[order]
+        else:
+            at = np.minimum(np.searchsorted(wanted, flat), len(wanted) - 1)
+            hit = np.flatnonzero(wanted[at] == flat)
+            key = np.sort(owner[hit] * len(wanted) + at[hit])
+            flat, owner = key % len(wanted), key // len(wanted)
+        if len(flat):
+            head = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]))
+            yield owner[head], flat[head], np.diff(np.concatenate([head, [len(flat)]]))
+
+
 @dataclass(frozen=True)
 class Severity:
-    """Words (ascending hashes) with their shared weights, and one threshold below each grade from 1 on."""
+    """Features (ascending hashes) with the shared weights of their levels, and a threshold below each grade from 1 on."""
 
-    words: np.ndarray
+    features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
-        if not len(self.words):
+        if not len(self.features):
             return out
-        for lo, hi, hashes, bounds in words_of([feature_bytes(t) for t in texts]):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            hit = np.flatnonzero(self.words[at] == hashes)
-            doc = np.searchsorted(bounds, hit, side="right") - 1
-            seen = np.unique(doc * len(self.words) + at[hit])
-            out[lo:hi] += np.bincount(seen // len(self.words), self.weights[seen % len(self.words)], minlength=hi - lo)
+        upto = np.concatenate([np.zeros((len(self.weights), 1)), np.cumsum(self.weights, axis=1)], axis=1)
+        for doc, at, n in features(texts, self.features):
+            out += np.bincount(doc, upto[at, np.minimum(n, LEVELS)], minlength=len(texts))
         return out
 
     def above(self, texts: Sequence[str | None]) -> np.ndarray:
@@ -96,46 +121,69 @@ def fit_cumulative_link(
     return w, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and sum of grades of every feature and level in a batch."""
     for batch in batches:
-        out: list[np.ndarray] = []
-        for lo, hi, hashes, bounds in words_of([feature_bytes(t) for t in batch.column("text").to_pylist()]):
-            out.extend(np.unique(hashes[bounds[i] : bounds[i + 1]]).view(np.int64) for i in range(hi - lo))
-        sizes = np.cumsum([0, *map(len, out)])
-        flat = np.concatenate(out) if out else np.empty(0, np.int64)
-        words = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("grade"), words], ["grade", "words"])
+        grade = np.asarray(batch.column("grade")).astype(float)
+        for doc, feature, n in features(batch.column("text").to_pylist()):
+            for level in range(1, LEVELS + 1):
+                doc, feature, n = (x[n >= level] for x in (doc, feature, n))
+                values, place = np.unique(feature, return_inverse=True)
+                rows, total = np.bincount(place, minlength=len(values)), np.bincount(place, grade[doc], minlength=len(values))
+                names = ["feature", "level", "n", "total"]
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.full(len(values), level, np.int32)), pa.array(rows.astype(np.int64)), pa.array(total)], names)
+
+
+def _kept(wanted: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            times: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            for doc, feature, n in features(batch.column("text").to_pylist(), wanted):
+                for d, f, k in zip(doc.tolist(), feature.tolist(), n.tolist()):
+                    at[d].append(f)
+                    times[d].append(min(k, LEVELS))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(at, kind), pa.array(times, kind)], ["grade", "at", "times"])
+
+    return run
 
 
 def train(
-    docs: DataFrame, grades: DataFrame, max_rows: int = MAX_ROWS, min_rows: int = MIN_ROWS, l2: float = L2, steps: int = STEPS
-) -> Severity:
+    docs: DataFrame, grades: DataFrame, max_rows: int = MAX_ROWS, min_rows: int = MIN_ROWS, max_features: int = MAX_FEATURES,
+    least_z: float = LEAST_Z, l2: float = L2, steps: int = STEPS,
+) -> Severity:
     """Fit on the labelled rows: ``docs`` (doc_id, text) and ``grades`` (doc_id, grade from 0 up).
 
     Several grades of one id count as their largest; null ids and grades are passed over. At most
-    ``max_rows`` rows reach the driver, as word hashes. Without two grades the severity is the only
-    grade, or 0.
+    ``max_features`` features and ``max_rows`` rows reach the driver. Without two grades the severity is
+    the only grade, or 0.
     """
     one = grades.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     # a bounded sample: at most max_rows pairs of numbers are broadcast
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("grade", "text")
-    got = texts.mapInArrow(_features, "grade int, words array<long>").limit(max_rows).toArrow()
-    y = np.asarray(got.column("grade").combine_chunks())
-    if not len(y) or len(np.unique(y)) < 2:
-        only = int(y[0]) if len(y) else 0
-        return Severity(np.empty(0, U64), np.empty(0), np.full(only, -40.0))
-    sizes, flat = [], []
-    for chunk in got.column("words").chunks:
-        sizes.append(np.asarray(chunk.value_lengths()))
-        flat.append(np.asarray(chunk.flatten()))
-    rows = np.repeat(np.arange(len(y)), np.concatenate(sizes))
-    values, cols, n = np.unique(np.concatenate(flat).view(U64), return_inverse=True, return_counts=True)
-    often = n >= min_rows
-    keep = often[cols]
-    place = np.cumsum(often) - 1
-    w, theta = fit_cumulative_link(rows[keep], place[cols[keep]], y, int(often.sum()), int(y.max()) + 1, l2, steps)
-    return Severity(values[often], w, theta)
+    texts = stored(texts, "sample")
+    told = texts.agg(F.count(F.lit(1)).alias("n"), F.avg("grade").alias("mean"), F.var_pop("grade").alias("var"), F.max("grade").alias("most")).first()
+    if not told["n"] or not told["var"]:
+        return Severity(np.empty(0, U64), np.empty((0, LEVELS)), np.full(told["most"] or 0, -40.0))
+    n, mean, var = told["n"], told["mean"], told["var"]
+    spread = F.sqrt(F.greatest(F.col("n") * (1 - F.col("n") / n), F.lit(1e-9)) * F.lit(var))
+    counts = texts.mapInArrow(_counted, "feature long, level int, n long, total double").groupBy("feature", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    strong = counts.withColumn("z", F.abs(F.col("total") - F.col("n") * mean) / spread).filter((F.col("n") >= min_rows) & (F.col("z") >= least_z))
+    found = strong.groupBy("feature").agg(F.max("z").alias("z")).orderBy(F.desc("z"), "feature").limit(max_features).toArrow()
+    wanted = np.sort(np.asarray(found.column("feature").combine_chunks()).view(U64))
+    if not len(wanted):
+        wanted = np.zeros(1, U64)
+    got = texts.mapInArrow(_kept(wanted), "grade int, at array<int>, times array<int>").limit(max_rows).collect()
+    y = np.array([r["grade"] for r in got])
+    rows, cols = [], []
+    for i, r in enumerate(got):
+        for at, times in zip(r["at"], r["times"]):
+            rows.extend([i] * times)
+            cols.extend(at * LEVELS + level for level in range(times))
+    w, theta = fit_cumulative_link(np.array(rows, np.int64), np.array(cols, np.int64), y, len(wanted) * LEVELS, int(told["most"]) + 1, l2, steps)
+    return Severity(wanted, w.reshape(-1, LEVELS), theta)
 
 
 def severity(text: str | Column, model: Severity) -> Column:

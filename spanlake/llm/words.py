@@ -44,22 +44,31 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashed(data: np.ndarray, heads: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = spans(data)
     up, down = _powers(len(data))
     sums = np.empty(len(data) + 1, U64)
     sums[0] = 0
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    return starts, ends, mix(raw ^ ((ends - starts).astype(U64) << U64(40)))
+    rows = []
+    for n in (None, *heads):
+        stops = ends if n is None else np.minimum(starts + n, ends)
+        raw = (sums[stops] - sums[starts]) * down[starts]
+        row = mix(raw ^ ((stops - starts).astype(U64) << U64(40)))
+        rows.append(row if n is None else np.where(stops < ends, row ^ U64(n), U64(0)))
+    return starts, ends, np.stack(rows) if heads else rows[0]
 
 
-def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(data: bytes, heads: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of ``data``; works in blocks cut between words, so its
-    extra memory doesn't grow with the length of a text."""
+    extra memory doesn't grow with the length of a text.
+
+    With ``heads`` the hashes are a row for the words and one for their first n bytes, for each n; 0
+    for words of no more bytes.
+    """
     arr = np.frombuffer(data, np.uint8)
     if len(arr) <= BLOCK:
-        return _hashed(arr)
+        return _hashed(arr, heads)
     parts, lo = [], 0
     while lo < len(arr):
         hi = lo + BLOCK
@@ -70,10 +79,10 @@ def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 hi = lo + int(gaps[-1]) + 1
                 break
             hi += BLOCK
-        s, e, h = _hashed(arr[lo:hi])
+        s, e, h = _hashed(arr[lo:hi], heads)
         parts.append((s + lo, e + lo, h))
         lo = hi
-    return tuple(np.concatenate(p) for p in zip(*parts))
+    return tuple(np.concatenate(p, axis=-1) for p in zip(*parts))
 
 
 def blocks(texts: Sequence[bytes], limit: int = BLOCK) -> Iterator[tuple[int, int, bytes]]:
@@ -89,11 +98,11 @@ def blocks(texts: Sequence[bytes], limit: int = BLOCK) -> Iterator[tuple[int, in
         yield lo, len(texts), b"\n".join(texts[lo:])
 
 
-def words_of(texts: Sequence[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def words_of(texts: Sequence[bytes], heads: Sequence[int] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Per block of texts: (first, end, word hashes, bounds); the words of text ``first + i`` are
     ``bounds[i]:bounds[i + 1]``."""
     for lo, hi, data in blocks(texts):
-        starts, _, hashes = hashed_words(data)
+        starts, _, hashes = hashed_words(data, heads)
         cuts = np.cumsum([0, *(len(t) + 1 for t in texts[lo:hi])])
         yield lo, hi, hashes, np.searchsorted(starts, cuts)
 
