@@ -1,8 +1,8 @@
 """Removal of passages that an earlier document has too, by prefix-partitioned suffix trees.
 
-Suffixes are sparse: a window of 50 words is found through its anchors, the places where a run of
-``PREFIX`` words has the smallest hash in a window. Equal windows have equal anchors. The words at an
-anchor are the prefix of the suffix that begins there.
+Suffixes are sparse: a window of 50 words is found through its anchor, the first place where a run of
+``PREFIX`` words has the smallest hash in the window. Equal windows have equal anchors. The words at
+an anchor are the prefix of the suffix that begins there; there is one in about twenty words.
 
 1. Count prefixes. Those that only one text has cannot begin a shared window; their suffixes go.
 2. Suffixes with the same prefix form a group, sent with the words before and after the anchor. A
@@ -31,40 +31,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.scratch import stored
-from spanlake.llm.words import U64, shingles, words_of
+from spanlake.llm.words import U64, mix, shingles, words_of
 from spanlake.runtime import shuffle_partitions
 
-WINDOW, PREFIX, GROUP_ROWS = 50, 10, 20_000
+WINDOW, PREFIX, GROUP_ROWS = 50, 10, 2_000
 _ID = "doc_id long, ta long, tb long"
 _HIT = f"{_ID}, lo long, hi long"
 
 
-def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
-    """``best`` over every run of ``width`` values, by doubling."""
+_PLACE = U64((1 << 28) - 1)
+
+
+def _lowest(x: np.ndarray, width: int) -> np.ndarray:
+    """Smallest value in every run of ``width`` values, by doubling."""
     out, size = x, 1
     while 2 * size <= width:
-        out = best(out[: len(out) - size], out[size:])
+        out = np.minimum(out[: len(out) - size], out[size:])
         size *= 2
     rest = width - size
-    return best(out[: len(out) - rest], out[rest:]) if rest else out
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix hash of every place in a block and whether it is an anchor.
+def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first, last, prefix hash): the anchors of a block of texts and the windows that each has.
 
-    A place is an anchor if its prefix is the smallest of some window that lies inside one text.
+    A window's anchor is the leftmost of its prefixes with the smallest hash, so the windows of an
+    anchor begin at consecutive words ``first`` to ``last``, and equal windows have theirs at the same
+    word. Windows lie inside one text.
     """
-    n, span = len(hashes), window - prefix + 1
+    n = len(hashes)
     if n < window:
-        return np.empty(0, U64), np.empty(0, bool)
-    grams = np.maximum(shingles(hashes, prefix), U64(1))
-    low = _slide(grams, span, np.minimum)
-    inside = np.ones(len(low) + window, bool)
+        return (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, U64))
+    grams = shingles(hashes, prefix)
+    # upper bits of the hash, then the place: the minimum tells both
+    low = _lowest((grams & ~_PLACE) | np.arange(len(grams), dtype=U64), window - prefix + 1)
+    inside = np.ones(n + 1, bool)
     for b in bounds[1:-1]:
         inside[max(0, b - window + 1) : b] = False
-    low = np.where(inside[: len(low)], low, U64(0))
-    pad = np.zeros(span - 1, U64)
-    return grams, _slide(np.concatenate([pad, low, pad]), span, np.maximum) == grams
+    begin = np.flatnonzero(inside[: len(low)])
+    owner = (low[begin] & _PLACE).astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+    tail = np.concatenate([head[1:] - 1, [len(owner) - 1]]) if len(owner) else head
+    place = owner[head]
+    return place, begin[head], begin[tail], grams[place]
+
+
+def window_hashes(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every window, as differences of running sums."""
+    out = []
+    for base in (0xD6E8FEB86659FD93, 0xCA5A826395121157):
+        up, down = (np.multiply.accumulate(np.concatenate([[U64(1)], np.full(len(hashes), b, U64)])) for b in (base, pow(base, -1, 1 << 64)))
+        sums = np.concatenate([[U64(0)], np.cumsum(hashes * up[:-1])])
+        n = len(hashes) - window + 1
+        out.append(mix((sums[window:] - sums[:n]) * down[:n]))
+    return out[0], out[1]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -80,45 +100,57 @@ def _anchor_rows(window: int, prefix: int):
         for batch in batches:
             ta, tb = (np.asarray(batch.column(c)) for c in ("ta", "tb"))
             for lo, hi, hashes, bounds in words_of(_texts(batch)):
-                grams, is_anchor = anchors(hashes, bounds, window, prefix)
-                at = np.flatnonzero(is_anchor)
-                doc = lo + np.searchsorted(bounds, at, side="right") - 1
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(ta[doc]), pa.array(tb[doc]), _signed(grams[at])], ["ta", "tb", "gram"])
+                place, _, _, grams = anchors(hashes, bounds, window, prefix)
+                if not len(place):
+                    continue
+                doc = lo + np.searchsorted(bounds, place, side="right") - 1
+                order = np.lexsort((grams, doc))
+                doc, grams = doc[order], grams[order]
+                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])])
+                yield pa.RecordBatch.from_arrays([pa.array(ta[doc[new]]), pa.array(tb[doc[new]]), _signed(grams[new])], ["ta", "tb", "gram"])
 
     return run
 
 
-def _context_rows(window: int, prefix: int):
-    """Suffixes of shared prefixes with the words around them: ``window`` before, ``window`` from the anchor on."""
+def _suffix_rows(window: int, prefix: int):
+    """Suffixes with shared prefixes.
+
+    ``before`` and ``after`` are the words around the anchor as far as its windows reach, or, for long
+    prefixes, the hashes of its windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [batch.column(c).to_pylist() for c in ("doc_id", "ta", "tb")]
             shared = [{x["gram"]: x["hot"] for x in g} for g in batch.column("grams").to_pylist()]
             rows: list[tuple] = []
+            size = 0
             for lo, hi, hashes, bounds in words_of(_texts(batch)):
-                grams, is_anchor = anchors(hashes, bounds, window, prefix)
-                at = np.flatnonzero(is_anchor)
-                doc = lo + np.searchsorted(bounds, at, side="right") - 1
-                for a, d, g in zip(at.tolist(), doc.tolist(), grams[at].view(np.int64).tolist()):
+                place, first, last, grams = anchors(hashes, bounds, window, prefix)
+                doc = lo + np.searchsorted(bounds, place, side="right") - 1
+                whole: tuple[np.ndarray, np.ndarray] | None = None
+                for a, s, e, d, g in zip(place.tolist(), first.tolist(), last.tolist(), doc.tolist(), grams.view(np.int64).tolist()):
                     hot = shared[d].get(g)
                     if hot is None:
                         continue
-                    begin, end = int(bounds[d - lo]), int(bounds[d - lo + 1])
-                    before = hashes[max(begin, a - window + 1) : a]
-                    after = hashes[a : min(end, a + window)]
-                    rows.append((g, hot, *(c[d] for c in ids), a - begin, before.tobytes(), after.tobytes()))
-                if len(rows) > 4000:
+                    if hot:
+                        whole = whole or window_hashes(hashes, window)
+                        views = whole[0][s : e + 1], whole[1][s : e + 1]
+                    else:
+                        views = hashes[s:a], hashes[a : e + window]
+                    begin = int(bounds[d - lo])
+                    rows.append((g, hot, *(c[d] for c in ids), a - begin, s - begin, views[0].tobytes(), views[1].tobytes()))
+                    size += 100 + len(rows[-1][-1]) + len(rows[-1][-2])
+                if size > 4 << 20:
                     yield _batch(rows, _CONTEXT)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield _batch(rows, _CONTEXT)
 
     return run
 
 
-_CONTEXT = [("gram", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("ta", pa.int64()), ("tb", pa.int64()), ("at", pa.int64()), ("before", pa.binary()), ("after", pa.binary())]
+_CONTEXT = [("gram", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("ta", pa.int64()), ("tb", pa.int64()), ("at", pa.int64()), ("begin", pa.int64()), ("before", pa.binary()), ("after", pa.binary())]
 _HITS = [("doc_id", pa.int64()), ("ta", pa.int64()), ("tb", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]
 
 
@@ -186,7 +218,7 @@ def _tree_rows(window: int, prefix: int):
     def solved(rows: list[tuple]) -> Iterator[tuple]:
         if len({r[2] for r in rows}) < 2:
             return
-        views = [[np.frombuffer(r[k], U64) for r in rows] for k in (6, 7)]
+        views = [[np.frombuffer(r[k], U64) for r in rows] for k in (7, 8)]
         for row, lefts in zip(rows, repeats_in_group(np.array([r[2] for r in rows]), *views, window, prefix)):
             for lo, hi in _runs(row[5], lefts, window):
                 yield (*row[2:5], lo, hi)
@@ -209,21 +241,15 @@ def _tree_rows(window: int, prefix: int):
     return run
 
 
-def _window_rows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["w1", "w2", "doc_id", "ta", "tb", "lo"]
-        for batch in batches:
-            ids = [batch.column(c).to_pylist() for c in ("doc_id", "ta", "tb")]
-            for i, (at, before, after) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "before", "after")))):
-                words = np.concatenate([np.frombuffer(before, U64), np.frombuffer(after, U64)])
-                n = len(words) - window + 1
-                if n <= 0:
-                    continue
-                cols = [_signed(shingles(words, window, seed)) for seed in (1, 2)]
-                cols += [pa.array(np.full(n, c[i], np.int64)) for c in ids]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(at - len(before) // 8 + np.arange(n, dtype=np.int64))], names)
-
-    return run
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per window of the suffixes with long prefixes."""
+    names = ["w1", "w2", "doc_id", "ta", "tb", "lo"]
+    for batch in batches:
+        w1, w2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("before", "after"))
+        n = np.array([len(x) // 8 for x in batch.column("before").to_pylist()])
+        ids = [np.repeat(np.asarray(batch.column(c)), n) for c in ("doc_id", "ta", "tb", "begin")]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, *ids[:3], ids[3] + step)], names)
 
 
 def _kept_rows(window: int):
@@ -279,12 +305,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFI
     context = stored(
         docs.join(wanted, ["doc_id", "ta", "tb"])
         .select("doc_id", "ta", "tb", "text", "grams")
-        .mapInArrow(_context_rows(window, prefix), f"gram long, hot boolean, {_ID}, at long, before binary, after binary"),
+        .mapInArrow(_suffix_rows(window, prefix), f"gram long, hot boolean, {_ID}, at long, begin long, before binary, after binary"),
         "suffixes",
     )
     n = shuffle_partitions(docs.sparkSession)
     cold = context.filter(~F.col("hot")).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_tree_rows(window, prefix), _HIT)
-    deep = context.filter("hot").mapInArrow(_window_rows(window), f"w1 long, w2 long, {_ID}, lo long")
+    deep = context.filter("hot").mapInArrow(_window_rows, f"w1 long, w2 long, {_ID}, lo long")
     heads = deep.groupBy("w1", "w2").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).filter("head < tail")
     long = deep.join(heads, ["w1", "w2"]).filter("doc_id > head").select("doc_id", "ta", "tb", "lo", (F.col("lo") + window).alias("hi"))
     parts = cold.union(long).groupBy("doc_id", "ta", "tb").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
