@@ -11,24 +11,29 @@ Lines without words stay.
 2. Equal sets are one class with its first place.
 3. Prefix filter: sets that are similar share one of their rarest ``n - ceil(t n) + 1`` words.
    Length and position filter: at the first word two sets share they must still be able to overlap
-   by ``ceil(t / (1 + t) (n + m))``.
-4. Of the classes that share a prefix word each is first held against the earliest one. Those that
-   prove similar are decided, so a large group of near copies gives one pair a line, not all pairs.
-   The undecided are held against all earlier classes that share a prefix word with them.
+   by ``o = ceil(t / (1 + t) (n + m))``. Bitmap filter: of 64 bits, each set by some words, two sets
+   can differ in no more than the ``n + m - 2 o`` words they may not share.
+4. Hubs: each class is first held against the earliest one that shares one of its rarest words.
+   Those that prove similar to an earlier class are decided, so a large group of near copies gives a
+   few pairs a line, not all pairs. Only the undecided are then held against all classes that share
+   a prefix word with them.
 5. Verification by the sets themselves, fetched from the texts.
 
-Sets of up to three words can only be similar if they are equal, for thresholds above 3/4.
+Words of a prefix are compared by 31 bits of their hash, which can only add candidates; verification
+compares 64 bits. Sets of up to three words can only be similar if they are equal, for thresholds
+above 3/4.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.scratch import stored
+from spanlake.runtime import shuffle_partitions
 
 THRESHOLD = 0.8
-BUCKETS, BITS = 1 << 16, 1 << 20
+BUCKETS, BITS, HUB_WORDS = 1 << 16, 1 << 20, 3
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 _EPS = 1e-9
 
@@ -43,14 +48,14 @@ def _words(text: Column) -> Column:
 
 
 def _ranks(texts: DataFrame) -> Column:
-    """Rank of every bucket by the number of words that fall to it; collects at most ``BUCKETS`` rows."""
+    """Rank of every bucket by the number of words that fall to it, as the upper bits of a number; collects at most ``BUCKETS`` rows."""
     counted = texts.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).alias("bucket")).count()
     count = [0] * BUCKETS
     for r in counted.collect():
         count[r["bucket"]] = r["count"]
     ranks = [0] * BUCKETS
     for rank, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (count[b], b))):
-        ranks[bucket] = rank - BUCKETS // 2
+        ranks[bucket] = (rank - BUCKETS // 2) << 48
     return _numbers(ranks)
 
 
@@ -58,12 +63,12 @@ def _token_set(line: Column, ranks: Column) -> Column:
     """Distinct words of a line as numbers, rarest first."""
     rest = (1 << 48) - 1
 
-    def number(h: Column) -> Column:
-        rank = F.coalesce(F.element_at(ranks, (F.shiftrightunsigned(h, 48) + 1).cast("int")), F.lit(0).cast("long"))
-        return F.shiftleft(rank, 48).bitwiseOR(h.bitwiseAND(F.lit(rest)))
+    def number(word: Column) -> Column:
+        h = F.xxhash64(word)
+        rank = F.coalesce(F.get(ranks, F.shiftrightunsigned(h, 48).cast("int")), F.lit(0).cast("long"))
+        return rank.bitwiseOR(h.bitwiseAND(F.lit(rest)))
 
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    return F.array_distinct(F.sort_array(F.transform(hashes, number)))
+    return F.array_distinct(F.sort_array(F.transform(_words(line), number)))
 
 
 def _member(keys: DataFrame, *columns: str) -> Column:
@@ -85,33 +90,40 @@ def _lines(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _overlap(n: Column, m: Column, t: float) -> Column:
-    """Words that sets of ``n`` and ``m`` must share."""
-    return F.ceil((n + m) * F.lit(t / (1 + t)) - F.lit(_EPS))
+def _floor_size(n: Column, t: float) -> Column:
+    """Smallest size of a set that can be similar to one of size ``n``."""
+    return F.ceil(n * F.lit(t) - F.lit(_EPS)).cast("int")
 
 
 def _fits(t: float) -> Column:
     """Whether sets x and y whose first shared word is at ``pos`` and ``y_pos`` may be similar."""
     n, m = F.col("n"), F.col("y_n")
-    lengths = (n >= F.ceil(m * F.lit(t) - F.lit(_EPS))) & (m >= F.ceil(n * F.lit(t) - F.lit(_EPS)))
-    return lengths & (F.least(n - F.col("pos"), m - F.col("y_pos")) >= _overlap(n, m, t))
+    shared = F.ceil((n + m) * F.lit(t / (1 + t)) - F.lit(_EPS))
+    bits = F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits")))
+    return (F.least(n - F.col("pos"), m - F.col("y_pos")) >= shared) & (bits <= n + m - 2 * shared)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, ranks: Column, t: float) -> DataFrame:
-    """Ids (a, b) of the classes x in ``pairs`` that are similar to their partner.
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ranks: Column, t: float) -> DataFrame:
+    """(a, b) of the classes that are similar to an earlier partner in ``pairs`` (a, y_a).
 
-    A class is known by its first place (doc_id, line_no) and its signature (a, b).
+    Either side of a pair may be the later one. Classes are known by ``a`` and looked up in ``classes``.
     """
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select("a", "doc_id", "line_no").union(pairs.select("y_a", "y_doc_id", "y_line_no")).distinct()
-    docs = ids.select("doc_id").distinct()
+    both = pairs.distinct()
+    ids = stored(both, "pairs")
+    wanted = ids.select("a").union(ids.select("y_a")).distinct()
+    places = stored(classes.join(wanted, "a").select("a", "b", "at"), "places")
+    spots = places.select("at.doc_id", "at.line_no").distinct()
+    docs = spots.select("doc_id").distinct()
     near = texts.filter(_member(docs, "doc_id")).join(docs, "doc_id", "left_semi")
-    lines = _lines(near).join(ids.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"])
-    sets = lines.select("doc_id", "line_no", _token_set(F.col("line"), ranks).alias("words")).withColumn("a", F.xxhash64("words"))
-    sets = stored(sets.join(ids, ["a", "doc_id", "line_no"], "left_semi").dropDuplicates(["a"]).select("a", "words"), "sets")
-    both = pairs.select("a", "y_a").join(sets, "a").join(sets.select(F.col("a").alias("y_a"), F.col("words").alias("y_words")), "y_a")
+    lines = _lines(near).join(spots, ["doc_id", "line_no"])
+    words = lines.select(_token_set(F.col("line"), ranks).alias("words"))
+    sets = words.select(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), "words").dropDuplicates(["a", "b"])
+    sets = stored(places.join(sets, ["a", "b"]), "sets")
+    other = sets.select(*(F.col(c).alias(f"y_{c}") for c in sets.columns))
     shared = F.size(F.array_intersect("words", "y_words"))
-    return both.filter(shared >= F.lit(t) * (F.size("words") + F.size("y_words") - shared) - F.lit(_EPS)).select("a").distinct()
+    near_pairs = ids.join(sets, "a").join(other, "y_a").filter(shared >= F.lit(t) * (F.size("words") + F.size("y_words") - shared) - F.lit(_EPS))
+    later = F.when(F.col("at") > F.col("y_at"), F.struct("a", "b")).when(F.col("at") < F.col("y_at"), F.struct(F.col("y_a").alias("a"), F.col("y_b").alias("b")))
+    return near_pairs.select(later.alias("x")).filter("x is not null").select("x.a", "x.b").distinct()
 
 
 def similar_lines(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -120,36 +132,42 @@ def similar_lines(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         raise ValueError("threshold must be above 0.75 and at most 1")
     t = threshold
     ranks = _ranks(texts)
-    sized = _lines(texts).select("doc_id", "th", "line_no", _token_set(F.col("line"), ranks).alias("words"))
+    full = _lines(texts).filter(F.btrim("line", F.lit(" \t\n\x0b\f\r")) != "")
     n = F.size("words")
-    prefix = F.slice("words", 1, F.when(n > 3, n - F.ceil(n * F.lit(t) - F.lit(_EPS)) + 1).otherwise(0).cast("int"))
+    length = F.when(n > 3, n - _floor_size(n, t) + 1).otherwise(0)
+    bits = F.aggregate("words", F.lit(0).cast("long"), lambda x, w: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
     lines = stored(
-        sized.select(
-            "doc_id", "th", "line_no", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), n.alias("n"), prefix.alias("prefix")
-        ).filter(F.col("a") != F.xxhash64(_token_set(F.lit(""), ranks))),  # no words: the empty word alone
+        full.select("doc_id", "th", "line_no", _token_set(F.col("line"), ranks).alias("words")).select(
+            "doc_id", "th", "line_no", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), n.alias("n"),
+            F.when(n > 3, bits).otherwise(0).alias("bits"), F.transform(F.slice("words", F.lit(1), length), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
+        ),
         "lines",
     )
-    classes = lines.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("prefix").alias("prefix"))
-    entries = classes.filter("n > 3").select("a", "n", "at.doc_id", "at.line_no", F.posexplode("prefix").alias("pos", "word"))
-    alike = Window.partitionBy("word")
-    earliest = F.min(F.struct("doc_id", "line_no", "a", "n", "pos")).over(alike)
-    lists = stored(
-        entries.withColumn("many", F.count(F.lit(1)).over(alike)).withColumn("y", earliest).filter("many > 1")
-        .select("word", "many", "a", "n", "doc_id", "line_no", "pos", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("doc_id", "line_no", "a", "n", "pos"))),
-        "lists",
+    classes = stored(
+        lines.groupBy("a", "b").agg(
+            F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("many"),
+            *(F.first(c).alias(c) for c in ("n", "bits", "prefix")),
+        ),
+        "classes",
     )
-    pair = ["a", "doc_id", "line_no", "y_a", "y_doc_id", "y_line_no"]
-    first = lists.filter(F.col("a") != F.col("y_a")).filter(_fits(t)).select(*pair).distinct()
-    decided = stored(_verified(first, texts, ranks, t), "decided")
-    crowd = lists.filter("many > 2").select("word", "a", "n", "doc_id", "line_no", "pos", "y_a")
-    asking = crowd.filter(F.col("a") != F.col("y_a")).join(decided, "a", "left_anti").drop("y_a")
-    asked = crowd.filter(F.col("a") != F.col("y_a")).select("word", *(F.col(c).alias(f"y_{c}") for c in ("a", "n", "doc_id", "line_no", "pos")))
-    earlier = F.struct("y_doc_id", "y_line_no", "y_a") < F.struct("doc_id", "line_no", "a")
-    second = asking.join(asked, "word").filter(earlier & _fits(t)).select(*pair).distinct()
-    gone = decided.union(_verified(second, texts, ranks, t)).distinct()
+    entry = ["word", "a", "n", "bits", "pos"]
+    long = classes.filter("n > 3")
+    rarest = long.select("a", "n", "bits", "at", F.posexplode(F.slice("prefix", 1, HUB_WORDS)).alias("pos", "word"))
+    hub = rarest.groupBy("word").agg(F.min(F.struct("at", "a", "n", "bits", "pos")).alias("y"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    met = rarest.join(hub.select("word", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("a", "n", "bits", "pos"))), "word")
+    decided = stored(_verified(met.filter("a != y_a").filter(_fits(t)).select("a", "y_a"), classes, texts, ranks, t), "decided")
+    entries = (
+        long.join(decided.withColumn("gone", F.lit(True)), ["a", "b"], "left")
+        .select("a", "n", "bits", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("prefix").alias("pos", "word"))
+        .repartition(shuffle_partitions(texts.sparkSession), "word")
+    )
+    partner = entries.select("word", *(F.col(c).alias(f"y_{c}") for c in (*entry[1:], "gone")))
+    # an undecided class against a decided one, or two undecided ones once
+    asks = ~F.col("gone") & (F.col("y_gone") | (F.col("a") < F.col("y_a")))
+    second = entries.join(partner, "word").filter(asks & (F.col("a") != F.col("y_a")) & _fits(t)).select("a", "y_a")
+    gone = decided.union(_verified(second, classes, texts, ranks, t)).distinct()
     # every line of a class with an earlier partner, and all but the first place of the other classes
-    heads = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("many")).join(gone.withColumn("gone", F.lit(True)), "a", "left")
-    heads = heads.filter("many > 1 or gone").select("a", "b", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
+    heads = classes.select("a", "b", "at", "many").join(gone.withColumn("gone", F.lit(True)), ["a", "b"], "left").filter("many > 1 or gone")
     found = lines.select("doc_id", "th", "line_no", "a", "b").join(heads, ["a", "b"])
     return found.filter(F.col("gone") | (F.struct("doc_id", "line_no") > F.col("at"))).select("doc_id", "th", "line_no")
 
