@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from spanlake.functions.conditions import excerpt_diverges
 from spanlake.functions.text import locate_selection, preview_text
+from spanlake.ordered import latest, with_last
+from spanlake.runtime import cut
 
 State = dict[str, DataFrame]
 
@@ -58,7 +60,8 @@ def invalidate_vectors(chunks: DataFrame, meta: DataFrame, model: str, dim: int
 
 
 def meta_upsert(meta: DataFrame, rows: DataFrame) -> DataFrame:
-    fresh = rows.dropDuplicates(["key"]).select("key", "value")
+    """meta with ``rows`` (key, value, optionally seq) in place of those of equal key; the latest row of a key counts."""
+    fresh = latest(rows.select("key", "value", *[c for c in ("seq",) if c in rows.columns]), ["key"], "seq")
     return meta.select("key", "value").join(fresh.select("key"), "key", "left_anti").unionByName(fresh)
 
 
@@ -82,25 +85,35 @@ def index_gap(chunks: DataFrame, keyword_ids: DataFrame, vector_ids: DataFrame)
 def versioned_upsert(nodes: DataFrame, edits: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes after the edits whose version matches, and the refused edits with a reason.
 
-    edits: (node_id, version, seq, title, body, locked). All edits of a batch were made against the
-    stored state, so of several matching edits the first by ``seq`` wins and the rest conflict.
+    edits: (node_id, version, seq, title, body, locked), applied per node by ``seq``: an edit counts if
+    it was made against the version that the node has by then, and raises it by one. Null leaves a
+    column as it is. All nodes take their next edit in one step, so there are as many steps as the
+    longest chain of accepted edits.
     """
     now = F.current_timestamp() if now is None else now
-    judged = edits.join(nodes.select("node_id", F.col("version").alias("_v")), "node_id", "left")
-    match = judged.filter(F.col("version") == F.col("_v"))
-    win = match.groupBy("node_id").agg(F.min("seq").alias("seq"))
-    ok = judged.join(win, ["node_id", "seq"], "left_semi").filter(F.col("version") == F.col("_v"))
-    bad = judged.join(ok.select("node_id", "seq"), ["node_id", "seq"], "left_anti").select(
-        "node_id", "seq", F.when(F.col("_v").isNull(), "not_found").otherwise("conflict").alias("reason")
-    )
-    new = ok.select("node_id", *[F.col(c).alias("_" + c) for c in ("title", "body", "locked")], F.lit(True).alias("_hit"))
-    hit = F.coalesce("_hit", F.lit(False))
-    out = nodes.join(new, "node_id", "left")
-    for c in ("title", "body", "locked"):
-        out = out.withColumn(c, F.when(hit, F.coalesce("_" + c, c)).otherwise(F.col(c)))
-    out = out.withColumn("version", F.col("version") + hit.cast("int"))
+    known = edits.join(nodes.select("node_id"), "node_id", "left_semi")
+    state = cut(nodes.select("node_id", F.col("version").alias("_v"), F.lit(None).cast("long").alias("_at")))
+    taken: list[DataFrame] = []
+    while True:
+        fits = (F.col("version") == F.col("_v")) & (F.col("_at").isNull() | (F.col("seq") > F.col("_at")))
+        step = cut(known.select("node_id", "version", "seq").join(state, "node_id").filter(fits).groupBy("node_id", "_v").agg(F.min("seq").cast("long").alias("seq")))
+        if step.isEmpty():
+            break
+        taken.append(step.select("node_id", "seq", F.col("_v").alias("version")))
+        state = step.select("node_id", (F.col("_v") + 1).alias("_v"), F.col("seq").alias("_at"))
+    ids = reduce(DataFrame.unionByName, taken) if taken else known.select("node_id", "seq", "version").limit(0)
+    ok = edits.join(ids, ["node_id", "seq", "version"], "left_semi")
+    bad = edits.join(ids, ["node_id", "seq", "version"], "left_anti").join(nodes.select("node_id", F.lit(True).alias("_in")), "node_id", "left")
+    bad = bad.select("node_id", "seq", F.when(F.col("_in"), "conflict").otherwise("not_found").alias("reason"))
+    cols = ("title", "body", "locked")
+    # the latest value that is not null
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct("seq", c))).alias("_" + c) for c in cols]
+    out = nodes.join(ok.groupBy("node_id").agg(F.count(F.lit(1)).alias("_n"), *last), "node_id", "left")
+    for c in cols:
+        out = out.withColumn(c, F.coalesce(F.col("_" + c)[c], F.col(c)))
+    out = out.withColumn("version", (F.col("version") + F.coalesce("_n", F.lit(0))).cast(nodes.schema["version"].dataType))
     if "updated_at" in nodes.columns:
-        out = out.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at")))
+        out = out.withColumn("updated_at", F.when(F.col("_n") > 0, now).otherwise(F.col("updated_at")))
     return out.select(*nodes.columns), bad
 
 
@@ -118,21 +131,33 @@ def cascade_delete(state: State, ids: DataFrame) -> tuple[State, DataFrame]:
 def apply_changes(table: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """table after a batch of insert / update / delete rows, and the changes to unknown keys.
 
-    changes: (op, seq, key, columns of the table; null = leave as is on update). The latest change
-    per key by ``seq`` counts, found by a combinable maximum.
+    changes: (op, seq, key, columns of the table), applied per key by ``seq``, each judged on what
+    exists before it: an update or delete of a missing key is reported (key, op) and does nothing; an
+    insert of an existing key updates it; null leaves a column as it is; an insert after a delete
+    starts from nothing. Values come from combinable maxima, existence from a running one that splits
+    a hot key over tasks.
     """
     cols = [c for c in table.columns if c != key]
-    last = changes.groupBy(key).agg(
-        F.max(F.struct("seq", "op", *cols)).alias("c")
-    )
     there = table.select(key, F.struct(*cols).alias("t"))
-    both = there.join(last, key, "full_outer")
-    lost = both.filter(F.col("t").isNull() & (F.col("c.op") != "insert")).select(key, F.col("c.op").alias("op"))
-    keep = both.filter(
-        F.col("c").isNull() | ((F.col("c.op") != "delete") & (F.col("t").isNotNull() | (F.col("c.op") == "insert")))
+    marker = F.when(F.col("op") != "update", F.struct("seq", (F.col("op") == "insert").alias("lives")))
+    judged = with_last(changes.select(key, "op", "seq", *cols), [key], ["seq"], marker, "_before").join(there.select(key, F.lit(True).alias("_in")), key, "left")
+    exists = F.coalesce(F.col("_before.lives"), F.col("_in"), F.lit(False))
+    judged = judged.withColumn("_ok", exists | (F.col("op") == "insert"))
+    lost = judged.filter(~F.col("_ok")).select(key, "op")
+    writes = F.col("op") != "delete"
+    done = judged.filter("_ok").groupBy(key).agg(
+        F.max(F.when(~writes, F.col("seq"))).alias("_floor"),
+        F.max(marker).alias("_last"),
+        *[F.max(F.when(writes & F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("v")))).alias("_" + c) for c in cols],
     )
-    merged = [F.coalesce(F.col("c")[c], F.col("t")[c]).alias(c) for c in cols]
-    return keep.select(key, *merged).select(*table.columns), lost
+    both = there.join(done, key, "full_outer")
+    alive = both.filter(F.coalesce(F.col("_last.lives"), F.col("t").isNotNull()))
+
+    def value(c: str) -> Column:
+        fresh = F.col("_" + c).isNotNull() & (F.col("_floor").isNull() | (F.col("_" + c)["seq"] > F.col("_floor")))
+        return F.when(fresh, F.col("_" + c)["v"]).when(F.col("_floor").isNull(), F.col("t")[c]).alias(c)
+
+    return alive.select(key, *[value(c) for c in cols]).select(*table.columns), lost
 
 
 def replace_thread_nodes(thread_nodes: DataFrame, lists: DataFrame) -> DataFrame:

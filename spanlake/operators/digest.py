@@ -11,47 +11,28 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import collapse_ws, head_label, strip_reasoning, trim_words, trim_ws
 from spanlake.functions.vectors import stub_embed
 from spanlake.operators.keywords import corpus_size, extractive_digest, keyword_df
-from spanlake.ordered import top_k
+from spanlake.ordered import latest, top_k
 
 Completer = Callable[[str, str], str]
 NUL = "\x00"
-LISTED_IDS = 10_000  # ids of one group that may stand in one row
 
 # ---- cache ---------------------------------------------------------------------------------------
 
 
 def digest_hash(groups: DataFrame, group: Sequence[str], kind: str, parts: Sequence[str] = ()) -> DataFrame:
-    """(*group, input_hash): sha256 over kind, extra parts and the sorted chunk ids, NUL-separated.
+    """(*group, input_hash): sha256 over kind, extra parts, the number of chunk ids and sums of their hashes.
 
-    groups: (*group, chunk_id). A group too large for one row is keyed by sums of its ids' hashes instead:
-    also independent of order, and added up before the shuffle.
+    groups: (*group, chunk_id). Sums don't depend on order and are added up before the shuffle, so a
+    group of any size is keyed by the same rule and never gathered.
     """
     group = list(group)
-    n = groups.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    sized = groups.join(n, group)
-    prefix = [F.lit(kind), *[F.col(p) for p in parts]]
-    listed = (
-        sized.filter(F.col("_n") <= LISTED_IDS)
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list("chunk_id")).alias("ids"))
-        .select(*group, F.sha2(F.concat_ws(NUL, *prefix, F.array_join("ids", NUL)), 256).alias("input_hash"))
-    )
 
     def piece(i: int) -> Column:
         return F.conv(F.substring(F.sha2("chunk_id", 256), 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")
 
-    summed = (
-        sized.filter(F.col("_n") > LISTED_IDS)
-        .groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_c"), *[F.sum(piece(i)).alias(f"_s{i}") for i in range(5)])
-        .select(
-            *group,
-            F.sha2(
-                F.concat_ws(NUL, *prefix, F.lit("sum"), F.col("_c").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(5)]), 256
-            ).alias("input_hash"),
-        )
-    )
-    return listed.unionByName(summed)
+    summed = groups.groupBy(*group).agg(F.count(F.lit(1)).alias("_c"), *[F.sum(piece(i)).alias(f"_s{i}") for i in range(5)])
+    text = F.concat_ws(NUL, F.lit(kind), *[F.col(p) for p in parts], F.col("_c").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(5)])
+    return summed.select(*group, F.sha2(text, 256).alias("input_hash"))
 
 
 def reusable(source: Column, has_llm: bool) -> Column:
@@ -68,8 +49,8 @@ def digest_cache_lookup(hashes: DataFrame, cache: DataFrame, has_llm: bool) -> t
 
 
 def digest_cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """Cache with the new rows in place of those of equal hash."""
-    fresh = new.dropDuplicates(["input_hash"]).select(*cache.columns)
+    """Cache with the new rows in place of those of equal hash; of several the latest by ``seq``, if there is one."""
+    fresh = latest(new.select(*cache.columns, *[c for c in ("seq",) if c in new.columns]), ["input_hash"], "seq").select(*cache.columns)
     return cache.join(fresh.select("input_hash"), "input_hash", "left_anti").unionByName(fresh)
 
 
@@ -209,7 +190,9 @@ def labels_missing(ids: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def upsert_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
-    fresh = new.filter(F.coalesce("chunk_id", F.lit("")) != "").dropDuplicates(["chunk_id"]).select("chunk_id", "label", "source")
+    """Labels with the new ones in place of those of the same chunk; of several the latest by ``seq``, if there is one."""
+    known = new.filter(F.coalesce("chunk_id", F.lit("")) != "")
+    fresh = latest(known.select("chunk_id", "label", "source", *[c for c in ("seq",) if c in new.columns]), ["chunk_id"], "seq")
     return labels.select("chunk_id", "label", "source").join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh)
 
 

@@ -70,6 +70,37 @@ def with_running(
     return out.select(*select)
 
 
+def with_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, name: str) -> DataFrame:
+    """Add the largest ``value`` of the rows before each one of its key, in ``order``; nulls don't count.
+
+    With a struct that begins with the order this is the latest value before a row. Split like
+    ``with_running``, so a hot key spans many tasks.
+    """
+    keys, cols = list(keys), _as_cols(order)
+    n = shuffle_partitions(df.sparkSession)
+    parts = cut(
+        df.withColumn("_v", value).repartitionByRange(n, *[F.col(k) for k in keys], *cols).withColumn(_PART, F.spark_partition_id())
+    )
+    # one row per (key, partition): at most `n` rows in any window below
+    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy(*keys, _PART).agg(F.max("_v").alias("_m")).withColumn("_base", F.max("_m").over(before)).drop("_m")
+    here = Window.partitionBy(*keys, _PART).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.withColumn("_run", F.max("_v").over(here)).join(base, [*keys, _PART])
+    return out.select(*df.columns, F.coalesce("_run", "_base").alias(name))
+
+
+def latest(df: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row per key: the one with the largest ``order``, and of equal ones the one with the largest values.
+
+    Without that column the largest values decide, so a replay picks the same row.
+    """
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys and c != order]
+    first = [F.col(order)] if order and order in df.columns else []
+    row = F.struct(*first, *[F.col(c) for c in rest])
+    return df.groupBy(*keys).agg(F.max(row).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+
+
 def with_ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "ord", start: int = 0
 ) -> DataFrame:

@@ -406,6 +406,14 @@ QUERIES = {
     "transcript_detail": transcript_detail,
 }
 
+
+
+def _hash_sql(head: str) -> str:
+    """Digest cache key over a group's chunk ids; ``head`` are the parts that stand before."""
+    sums = ", ".join(f"sum(('0x' || substring(sha256(chunk_id), {1 + 12 * i}, 12))::BIGINT::HUGEINT)" for i in range(5))
+    return f"sha256(concat_ws(chr(0), {head}, count(*), {sums}))"
+
+
 _STOP = _quoted(LABEL_STOP_WORDS)
 _EX = {
     "dterms": (
@@ -420,7 +428,7 @@ _EX = {
         (),
         "SELECT 'd' || lpad(doc_id::VARCHAR, 8, '0') AS chunk_id, 'label ' || doc_id AS label, CASE WHEN quality = 1 THEN 'llm:m' ELSE 'head' END AS source FROM labels",
     ),
-    "hashes": (("members",), "SELECT region_id, sha256('region' || chr(0) || string_agg(chunk_id, chr(0) ORDER BY chunk_id)) AS input_hash FROM members GROUP BY region_id"),
+    "hashes": (("members",), f"SELECT region_id, {_hash_sql("'region'")} AS input_hash FROM members GROUP BY region_id"),
     "cache": (
         ("hashes",),
         "SELECT input_hash, region_id, 'Old ' || region_id AS title, CASE WHEN substring(region_id, 2)::INT <= 3 THEN 'llm:m' ELSE 'extractive' END AS source FROM hashes WHERE substring(region_id, 2)::INT <= 6",
@@ -526,7 +534,7 @@ ORACLES = {
     ),
     "digest_hash": _o("SELECT region_id, input_hash FROM hashes", "hashes"),
     "digest_hash_transcript": _o(
-        "SELECT source_file, sha256('transcript' || chr(0) || source_file || chr(0) || string_agg(chunk_id, chr(0) ORDER BY chunk_id)) AS input_hash FROM live GROUP BY source_file", "live"
+        f"SELECT source_file, {_hash_sql("'transcript', source_file")} AS input_hash FROM live GROUP BY source_file", "live"
     ),
     "digest_cache_lookup": _o(
         "SELECT h.region_id, title, coalesce(source, 'miss') AS source FROM hashes h LEFT JOIN (SELECT * FROM cache WHERE source LIKE 'llm:%') USING (input_hash)", "hashes", "cache"

@@ -254,24 +254,24 @@ def rechunk(spark, sf):
 
 
 def versioned_upsert(spark, sf):
-    """Events as node edits: several per user, some against an old version, some on unknown nodes."""
-    nodes = fx.table(spark, sf, "customer").filter("c_custkey < 80").select(
+    """Events as node edits: chains of versions per user, some against an old version, some on unknown nodes."""
+    nodes = fx.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("node_id"), F.col("c_name").alias("title"), F.lit("").alias("body"), F.lit(False).alias("locked"),
         F.size(F.array(F.lit(0))).alias("version"),
     )
     e = fx.table(spark, sf, "events")
     edits = e.select(
         F.col("user_id").alias("node_id"),
-        F.when(F.col("event_type") == "view", 1).otherwise(0).alias("version"),
+        (F.col("event_id") % 4 + 1).cast("int").alias("version"),
         F.col("event_id").alias("seq"),
-        F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("title"),
-        F.lit(None).cast("string").alias("body"),
+        F.when(F.col("event_type") != "error", F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string"))).alias("title"),
+        F.col("event_type").alias("body"),
         F.lit(None).cast("boolean").alias("locked"),
     )
     out, bad = ch.versioned_upsert(nodes, edits)
-    return out.select("node_id", "title", "version", F.lit("kept").alias("what")).unionByName(
+    return out.select("node_id", "title", "body", "version", F.lit("kept").alias("what")).unionByName(
         bad.groupBy("node_id", "reason").agg(F.count(F.lit(1)).cast("int").alias("version")).select(
-            "node_id", F.lit("").alias("title"), "version", F.col("reason").alias("what")
+            "node_id", F.lit("").alias("title"), F.lit("").alias("body"), "version", F.col("reason").alias("what")
         )
     )
 
@@ -291,15 +291,17 @@ def cascade_delete(spark, sf):
 
 
 def apply_changes(spark, sf):
-    """Events as changes to suppliers: purchases insert, errors delete, the rest rename."""
+    """Events as changes to suppliers: purchases insert, errors delete, the rest rename or move."""
     sup = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
     e = fx.table(spark, sf, "events").select(
         F.when(F.col("event_type") == "purchase", "insert").when(F.col("event_type") == "error", "delete").otherwise("update").alias("op"),
         F.col("event_id").alias("seq"), (F.col("user_id") * 2).alias("k"),
-        F.concat(F.lit("ev"), F.col("event_id").cast("string")).alias("name"), F.lit(None).cast("int").alias("nation"),
+        F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("ev"), F.col("event_id").cast("string"))).alias("name"),
+        F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 25).cast("int").alias("nation"),
     )
     out, lost = ch.apply_changes(sup, e, "k")
-    return out.unionByName(lost.select("k", F.concat(F.lit("not found: "), "op").alias("name"), F.lit(None).cast("int").alias("nation")))
+    report = lost.groupBy("k", "op").agg(F.count(F.lit(1)).cast("int").alias("nation"))
+    return out.unionByName(report.select("k", F.concat(F.lit("not found: "), "op").alias("name"), "nation"))
 
 
 def replace_thread_nodes(spark, sf):
@@ -532,19 +534,31 @@ ORACLES = {
         UNION ALL SELECT 'u' || substring(chunk_id, 2)::INT || '.txt', 1, CASE WHEN deleted_at IS NULL AND 'u' || substring(chunk_id, 2)::INT NOT IN (SELECT upload_id FROM segments) THEN 1 ELSE 0 END FROM chunks) GROUP BY source_file""",
         "tchunk", "chunks", "segments", segt=(("segments",), "SELECT upload_id AS source_file, ord, text FROM segments"), **_chunk_sql("segt"),
     ),
-    "versioned_upsert": """WITH w AS (SELECT user_id, min(event_id) AS seq FROM events WHERE event_type = 'view' AND user_id IN (SELECT c_custkey FROM customer WHERE c_custkey < 80) GROUP BY user_id)
-        SELECT c_custkey AS node_id, coalesce(e.event_type || ' ' || e.event_id, c_name) AS title, CASE WHEN w.seq IS NULL THEN 1 ELSE 2 END AS version, 'kept' AS what FROM customer LEFT JOIN w ON w.user_id = c_custkey LEFT JOIN events e ON e.event_id = w.seq WHERE c_custkey < 80
-        UNION ALL SELECT user_id, '', count(*), CASE WHEN user_id IN (SELECT c_custkey FROM customer WHERE c_custkey < 80) THEN 'conflict' ELSE 'not_found' END FROM events WHERE event_id NOT IN (SELECT seq FROM w) GROUP BY ALL""",
+    "versioned_upsert": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_id % 4 + 1 AS v, event_type FROM events),
+        chain AS (SELECT c_custkey AS user_id, 1::BIGINT AS v, -1::BIGINT AS seq FROM customer
+            UNION ALL SELECT chain.user_id, chain.v + 1, min(e.event_id) FROM chain JOIN e ON e.user_id = chain.user_id AND e.v = chain.v AND e.event_id > chain.seq GROUP BY chain.user_id, chain.v),
+        ok AS (SELECT e.* FROM e JOIN chain ON chain.user_id = e.user_id AND chain.seq = e.event_id AND chain.v = e.v + 1)
+        SELECT c_custkey AS node_id, coalesce(arg_max(event_type || ' ' || event_id, event_id) FILTER (event_type <> 'error'), any_value(c_name)) AS title,
+        coalesce(arg_max(event_type, event_id), '') AS body, 1 + count(event_id) AS version, 'kept' AS what FROM customer LEFT JOIN ok ON user_id = c_custkey GROUP BY c_custkey
+        UNION ALL SELECT user_id, '', '', count(*), CASE WHEN user_id IN (SELECT c_custkey FROM customer) THEN 'conflict' ELSE 'not_found' END FROM e WHERE (user_id, event_id) NOT IN (SELECT user_id, event_id FROM ok) GROUP BY ALL""",
     "cascade_delete": _o(
         """SELECT 'nodes' AS kind, node_id AS id FROM nodes WHERE node_id NOT IN (SELECT * FROM gone) UNION ALL SELECT 'edges', edge_id FROM edges WHERE from_node NOT IN (SELECT * FROM gone) AND to_node NOT IN (SELECT * FROM gone)
         UNION ALL SELECT 'thread_nodes', node_id FROM thread_nodes WHERE node_id NOT IN (SELECT * FROM gone) UNION ALL SELECT 'evidence', evidence_id FROM evidence WHERE node_id NOT IN (SELECT * FROM gone)
         UNION ALL SELECT 'missing', 'zz' || n_nationkey FROM nation""", "nodes", "edges", "thread_nodes", "evidence", "gone",
         gone=((), "SELECT 'c' || c_custkey AS node_id FROM customer WHERE c_acctbal < 0"),
     ),
-    "apply_changes": """WITH last AS (SELECT user_id * 2 AS k, event_id, event_type FROM events WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY user_id))
-        SELECT coalesce(s_suppkey, k) AS k, CASE WHEN k IS NULL THEN s_name ELSE 'ev' || event_id END AS name, s_nationkey AS nation FROM supplier FULL JOIN last ON s_suppkey = k
-        WHERE k IS NULL OR (event_type <> 'error' AND (s_suppkey IS NOT NULL OR event_type = 'purchase'))
-        UNION ALL SELECT k, 'not found: ' || CASE event_type WHEN 'error' THEN 'delete' ELSE 'update' END, NULL FROM last WHERE event_type <> 'purchase' AND k NOT IN (SELECT s_suppkey FROM supplier)""",
+    "apply_changes": """WITH RECURSIVE e AS (SELECT user_id * 2 AS k, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
+            CASE WHEN event_id % 3 > 0 THEN 'ev' || event_id END AS name, CASE WHEN event_id % 3 = 0 THEN event_id % 25 END AS nation FROM events),
+        run AS (SELECT k, 0::BIGINT AS i, s_suppkey IS NOT NULL AS lives, s_name AS name, s_nationkey::BIGINT AS nation, '' AS lost
+            FROM (SELECT DISTINCT k FROM e) LEFT JOIN supplier ON s_suppkey = k
+            UNION ALL SELECT run.k, e.i, CASE e.event_type WHEN 'purchase' THEN true WHEN 'error' THEN false ELSE lives END,
+            CASE WHEN e.event_type = 'error' THEN NULL WHEN lives OR e.event_type = 'purchase' THEN coalesce(e.name, CASE WHEN lives THEN run.name END) END,
+            CASE WHEN e.event_type = 'error' THEN NULL WHEN lives OR e.event_type = 'purchase' THEN coalesce(e.nation, CASE WHEN lives THEN run.nation END) END,
+            CASE WHEN lives OR e.event_type = 'purchase' THEN '' WHEN e.event_type = 'error' THEN 'delete' ELSE 'update' END
+            FROM run JOIN e ON e.k = run.k AND e.i = run.i + 1)
+        SELECT s_suppkey AS k, s_name AS name, s_nationkey AS nation FROM supplier WHERE s_suppkey NOT IN (SELECT k FROM e)
+        UNION ALL SELECT k, arg_max(struct_pack(x := name), i).x, arg_max(struct_pack(x := nation), i).x FROM run GROUP BY k HAVING arg_max(lives, i)
+        UNION ALL SELECT k, 'not found: ' || lost, count(*) FROM run WHERE lost <> '' GROUP BY ALL""",
     "replace_thread_nodes": _o(
         """SELECT thread_id, node_id, position FROM thread_nodes WHERE thread_id NOT IN (SELECT 't' || n_nationkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 0)
         UNION ALL SELECT 't' || n_nationkey, 's' || s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1 FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 0""", "thread_nodes"
