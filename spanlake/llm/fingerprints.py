@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.words import U64, shingles, words_of
+from spanlake.llm.words import U64, shingles, slices, words_of
 from spanlake.runtime import shuffle_partitions
 
 K, WORDS = 128, 5
@@ -180,7 +180,7 @@ def _edited(k: int, words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (part, doc_id, text, sketch) still waiting for its next document
-        for batch in batches:
+        for batch in slices(batches):
             cols = [batch.column(n).to_pylist() for n in ("_part", "_extra", "doc_id", "text")]
             mine = sketches(cols[3], k, words)
             pairs = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.words import U64, mix
+from spanlake.llm.words import U64, mix, slices
 
 GRAM, HASHES, CELLS = 4, 3, 1 << 20
 PER_LANGUAGE, LEAST_SHARE, RELATIVE = 3000, 2e-6, 0.1
@@ -108,7 +108,7 @@ class Filters:
 
 def _counted(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             held: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(texts, langs):
@@ -122,7 +122,7 @@ def _counted(size: int):
 
 def _placed(cells: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes = np.asarray(batch.column("gram")).view(U64)
             for cell in places(hashes, cells, k):
                 yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column("bit")], ["cell", "bit"])

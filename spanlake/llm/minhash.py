@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm.scratch import stored
-from spanlake.llm.words import U64, mix, shingles, words_of
+from spanlake.llm.words import U64, mix, shingles, slices, words_of
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -82,7 +82,7 @@ def shingle_set(hashes: np.ndarray, words: int = WORDS, counted: bool = False) -
 
 def _band_rows(bands: int, rows: int, words: int, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = np.asarray(batch.column("id"))
             texts = [t.lower().encode() for t in batch.column("text").to_pylist()]
             who, keys = [], []
@@ -106,7 +106,7 @@ def _band_rows(bands: int, rows: int, words: int, counted: bool):
 
 def _checked_rows(threshold: float, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, b, ta, tb = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
             keep = np.zeros(batch.num_rows, bool)
             for side in range(0, batch.num_rows, 256):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.scratch import stored
-from spanlake.llm.words import U64, mix, shingles, words_of
+from spanlake.llm.words import U64, mix, shingles, slices, words_of
 from spanlake.runtime import shuffle_partitions
 
 WINDOW, PREFIX, GROUP_ROWS = 50, 10, 2_000
@@ -97,7 +97,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 def _anchor_rows(window: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ta, tb = (np.asarray(batch.column(c)) for c in ("ta", "tb"))
             for lo, hi, hashes, bounds in words_of(_texts(batch)):
                 place, _, _, grams = anchors(hashes, bounds, window, prefix)
@@ -106,8 +106,9 @@ def _anchor_rows(window: int, prefix: int):
                 doc = lo + np.searchsorted(bounds, place, side="right") - 1
                 order = np.lexsort((grams, doc))
                 doc, grams = doc[order], grams[order]
-                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(ta[doc[new]]), pa.array(tb[doc[new]]), _signed(grams[new])], ["ta", "tb", "gram"])
+                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])]))
+                times = np.diff(np.concatenate([new, [len(doc)]]))
+                yield pa.RecordBatch.from_arrays([pa.array(ta[doc[new]]), pa.array(tb[doc[new]]), _signed(grams[new]), pa.array(times)], ["ta", "tb", "gram", "n"])
 
     return run
 
@@ -120,7 +121,7 @@ def _suffix_rows(window: int, prefix: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = [batch.column(c).to_pylist() for c in ("doc_id", "ta", "tb")]
             shared = [{x["gram"]: x["hot"] for x in g} for g in batch.column("grams").to_pylist()]
             rows: list[tuple] = []
@@ -225,7 +226,7 @@ def _tree_rows(window: int, prefix: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             hits: list[tuple] = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
                 if group and group[0][0] != row[0]:
@@ -244,7 +245,7 @@ def _tree_rows(window: int, prefix: int):
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per window of the suffixes with long prefixes."""
     names = ["w1", "w2", "doc_id", "ta", "tb", "lo"]
-    for batch in batches:
+    for batch in slices(batches):
         w1, w2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("before", "after"))
         n = np.array([len(x) // 8 for x in batch.column("before").to_pylist()])
         ids = [np.repeat(np.asarray(batch.column(c)), n) for c in ("doc_id", "ta", "tb", "begin")]
@@ -257,7 +258,7 @@ def _kept_rows(window: int):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, size = [], 0
             for doc_id, text, whole, gone in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("whole").to_pylist(), batch.column("gone").to_pylist()):
                 words = text.split()
@@ -286,10 +287,10 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFI
 
     ``docs`` has doc_id (not null), text, ta, tb. Rows of documents without a repeat are absent.
     """
-    found = stored(docs.select("text", "ta", "tb").mapInArrow(_anchor_rows(window, prefix), "ta long, tb long, gram long"), "anchors")
+    found = stored(docs.select("text", "ta", "tb").mapInArrow(_anchor_rows(window, prefix), "ta long, tb long, gram long, n long"), "anchors")
     shared = (
         found.groupBy("gram")
-        .agg(F.min("ta").alias("one"), F.max("ta").alias("other"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("ta").alias("one"), F.max("ta").alias("other"), F.sum("n").alias("n"))
         .filter("one != other")
         .select("gram", (F.col("n") > group_rows).alias("hot"))
     )

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm.scratch import stored
-from spanlake.llm.words import U64, words_of
+from spanlake.llm.words import U64, slices, words_of
 
 MAX_ROWS, MIN_ROWS, MAX_FEATURES, LEAST_Z, L2, STEPS = 12_000, 3, 20_000, 2.5, 1.0, 300
 HEADS, LEVELS = (5, 6, 7, 8), 3
@@ -123,7 +123,7 @@ def fit_cumulative_link(
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows and sum of grades of every feature and level in a batch."""
-    for batch in batches:
+    for batch in slices(batches):
         grade = np.asarray(batch.column("grade")).astype(float)
         for doc, feature, n in features(batch.column("text").to_pylist()):
             for level in range(1, LEVELS + 1):
@@ -136,7 +136,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at: list[list[int]] = [[] for _ in range(batch.num_rows)]
             times: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for doc, feature, n in features(batch.column("text").to_pylist(), wanted):

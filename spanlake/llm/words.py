@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 BLOCK = 1 << 20
@@ -85,6 +86,13 @@ def hashed_words(data: bytes, heads: Sequence[int] = ()) -> tuple[np.ndarray, np
     return tuple(np.concatenate(p, axis=-1) for p in zip(*parts))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def blocks(texts: Sequence[bytes], limit: int = BLOCK) -> Iterator[tuple[int, int, bytes]]:
     """Consecutive texts joined by a line feed, ``limit`` bytes a block unless one text is longer:
     (first, end, bytes)."""
