@@ -11,9 +11,9 @@ Lines without words stay.
 2. Equal sets are one class with its first place.
 3. Prefix filter: sets that are similar share one of their rarest ``n - ceil(t n) + 1`` words.
    Length and position filter: at the first word two sets share they must still be able to overlap
-   by ``o = ceil(t / (1 + t) (n + m))``. Bitmap filter: of 64 bits, each set by some words, two sets
-   can differ in no more than the ``n + m - 2 o`` words they may not share.
-4. Hubs: each class is first held against the earliest one that shares one of its rarest words.
+   by ``o = ceil(t / (1 + t) (n + m))``. Parity filter: of 64 bits (128 for long lines) each is flipped
+   by some words; two sets can differ in no more bits than the ``n + m - 2 o`` words they may not share.
+4. Hubs: each class is first held against the earliest one that shares one of its two rarest words.
    Those that prove similar to an earlier class are decided, so a large group of near copies gives a
    few pairs a line, not all pairs. Only the undecided are then held against all classes that share
    a prefix word with them.
@@ -33,7 +33,7 @@ from spanlake.llm.scratch import stored
 from spanlake.runtime import shuffle_partitions
 
 THRESHOLD = 0.8
-BUCKETS, BITS, HUB_WORDS = 1 << 16, 1 << 20, 3
+BUCKETS, BITS, HUB_WORDS, WIDE = 1 << 16, 1 << 20, 2, 48
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 _EPS = 1e-9
 
@@ -95,11 +95,24 @@ def _floor_size(n: Column, t: float) -> Column:
     return F.ceil(n * F.lit(t) - F.lit(_EPS)).cast("int")
 
 
+def _parity(words: Column, half: int | None = None) -> Column:
+    """64 bits, each flipped by the words that fall to it; with ``half`` only by the words of that half."""
+    one = F.lit(1).cast("long")
+
+    def flip(x: Column, w: Column) -> Column:
+        bit = F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
+        return x.bitwiseXOR(bit) if half is None else F.when(w.bitwiseAND(F.lit(64)) == 64 * half, x.bitwiseXOR(bit)).otherwise(x)
+
+    return F.aggregate(words, F.lit(0).cast("long"), flip)
+
+
 def _fits(t: float) -> Column:
     """Whether sets x and y whose first shared word is at ``pos`` and ``y_pos`` may be similar."""
     n, m = F.col("n"), F.col("y_n")
     shared = F.ceil((n + m) * F.lit(t / (1 + t)) - F.lit(_EPS))
-    bits = F.bit_count(F.col("bits").bitwiseXOR(F.col("y_bits")))
+    fold = F.col("bits").bitwiseXOR(F.col("y_bits"))
+    half = F.col("half").bitwiseXOR(F.col("y_half"))
+    bits = F.when((n > WIDE) & (m > WIDE), F.bit_count(fold.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(fold))
     return (F.least(n - F.col("pos"), m - F.col("y_pos")) >= shared) & (bits <= n + m - 2 * shared)
 
 
@@ -111,14 +124,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ranks: Col
     both = pairs.distinct()
     ids = stored(both, "pairs")
     wanted = ids.select("a").union(ids.select("y_a")).distinct()
-    places = stored(classes.join(wanted, "a").select("a", "b", "at"), "places")
-    spots = places.select("at.doc_id", "at.line_no").distinct()
-    docs = spots.select("doc_id").distinct()
-    near = texts.filter(_member(docs, "doc_id")).join(docs, "doc_id", "left_semi")
-    lines = _lines(near).join(spots, ["doc_id", "line_no"])
-    words = lines.select(_token_set(F.col("line"), ranks).alias("words"))
-    sets = words.select(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), "words").dropDuplicates(["a", "b"])
-    sets = stored(places.join(sets, ["a", "b"]), "sets")
+    places = stored(classes.join(wanted, "a").select("a", "b", "at.doc_id", "at.line_no"), "places")
+    lines = _lines(texts).filter(_member(places, "doc_id", "line_no")).join(places, ["doc_id", "line_no"])
+    sets = lines.select("a", "b", F.struct("doc_id", "line_no").alias("at"), _token_set(F.col("line"), ranks).alias("words"))
+    # rows that share a doc_id have several lines at a place
+    sets = stored(sets.filter(F.col("a") == F.xxhash64("words")), "sets")
     other = sets.select(*(F.col(c).alias(f"y_{c}") for c in sets.columns))
     shared = F.size(F.array_intersect("words", "y_words"))
     near_pairs = ids.join(sets, "a").join(other, "y_a").filter(shared >= F.lit(t) * (F.size("words") + F.size("y_words") - shared) - F.lit(_EPS))
@@ -135,35 +145,36 @@ def similar_lines(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     full = _lines(texts).filter(F.btrim("line", F.lit(" \t\n\x0b\f\r")) != "")
     n = F.size("words")
     length = F.when(n > 3, n - _floor_size(n, t) + 1).otherwise(0)
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda x, w: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
     lines = stored(
         full.select("doc_id", "th", "line_no", _token_set(F.col("line"), ranks).alias("words")).select(
             "doc_id", "th", "line_no", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), n.alias("n"),
-            F.when(n > 3, bits).otherwise(0).alias("bits"), F.transform(F.slice("words", F.lit(1), length), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
+            F.when(n > 3, _parity(F.col("words"))).otherwise(0).alias("bits"), F.when(n > WIDE, _parity(F.col("words"), 1)).otherwise(0).alias("half"), F.transform(F.slice("words", F.lit(1), length), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
         ),
         "lines",
     )
     classes = stored(
         lines.groupBy("a", "b").agg(
             F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("many"),
-            *(F.first(c).alias(c) for c in ("n", "bits", "prefix")),
+            *(F.first(c).alias(c) for c in ("n", "bits", "half", "prefix")),
         ),
         "classes",
     )
-    entry = ["word", "a", "n", "bits", "pos"]
+    shape = ["a", "n", "bits", "half", "pos"]
     long = classes.filter("n > 3")
-    rarest = long.select("a", "n", "bits", "at", F.posexplode(F.slice("prefix", 1, HUB_WORDS)).alias("pos", "word"))
-    hub = rarest.groupBy("word").agg(F.min(F.struct("at", "a", "n", "bits", "pos")).alias("y"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    met = rarest.join(hub.select("word", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("a", "n", "bits", "pos"))), "word")
+    parts = shuffle_partitions(texts.sparkSession)
+    rarest = long.select("at", *shape[:4], F.posexplode(F.slice("prefix", 1, HUB_WORDS)).alias("pos", "word")).repartition(parts, "word")
+    hub = rarest.groupBy("word").agg(F.min(F.struct("at", *shape)).alias("y"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    met = rarest.join(hub.select("word", *(F.col(f"y.{c}").alias(f"y_{c}") for c in shape)), "word")
     decided = stored(_verified(met.filter("a != y_a").filter(_fits(t)).select("a", "y_a"), classes, texts, ranks, t), "decided")
     entries = (
-        long.join(decided.withColumn("gone", F.lit(True)), ["a", "b"], "left")
-        .select("a", "n", "bits", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("prefix").alias("pos", "word"))
-        .repartition(shuffle_partitions(texts.sparkSession), "word")
+        long.join(decided.withColumn("gone", F.lit(1)), ["a", "b"], "left")
+        .select(*shape[:4], F.coalesce("gone", F.lit(0)).alias("gone"), F.posexplode("prefix").alias("pos", "word"))
+        .repartition(parts, "word")
     )
-    partner = entries.select("word", *(F.col(c).alias(f"y_{c}") for c in (*entry[1:], "gone")))
-    # an undecided class against a decided one, or two undecided ones once
-    asks = ~F.col("gone") & (F.col("y_gone") | (F.col("a") < F.col("y_a")))
+    partner = entries.select("word", *(F.col(c).alias(f"y_{c}") for c in (*shape, "gone")))
+    # an undecided class against a decided one, or two undecided ones once; one expression, so that
+    # both sides of the join stay the same table and are dealt once
+    asks = F.col("gone") * 2 - F.col("y_gone") + (F.col("a") >= F.col("y_a")).cast("int") <= 0
     second = entries.join(partner, "word").filter(asks & (F.col("a") != F.col("y_a")) & _fits(t)).select("a", "y_a")
     gone = decided.union(_verified(second, classes, texts, ranks, t)).distinct()
     # every line of a class with an earlier partner, and all but the first place of the other classes
@@ -181,21 +192,22 @@ def without_similar_lines(docs: DataFrame, threshold: float = THRESHOLD, n_lines
     texts have one line without words. Rows with null doc_id stay as they are: they are at no place,
     neither earlier nor later. Rows repeated with one doc_id are at the same place.
     """
-    name, columns = "_th", [c for c in docs.columns if c not in (n_lines, n_removed)]
-    rows = docs.withColumn(name, F.xxhash64("text"))
+    columns = [c for c in docs.columns if c not in (n_lines, n_removed)]
+    rows = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_th": F.xxhash64("text")})
     known = rows.filter("doc_id is not null and text is not null")
-    texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("th"), F.col("text").cast("string").alias("text"))
-    gone = similar_lines(texts, threshold).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_gone_th")).agg(F.collect_set("line_no").alias("_gone"))
+    texts = known.select(F.col("_doc").alias("doc_id"), F.col("_th").alias("th"), F.col("text").cast("string").alias("text"))
+    gone = similar_lines(texts, threshold).groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line_no").alias("_gone"))
     gone = stored(gone, "gone-lines")
     parts = F.split("text", "\n")
-    touched = F.coalesce(_member(gone.select(F.col("_id").alias("doc_id")), "doc_id"), F.lit(False)) & F.col("text").isNotNull()
+    touched = F.coalesce(_member(gone, "_doc"), F.lit(False)) & F.col("text").isNotNull()
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("int")
     same = rows.filter(~touched).select(*columns, size.alias(n_lines), F.lit(0).alias(n_removed))
-    met = rows.filter(touched).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col(name) == F.col("_gone_th")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.coalesce("_gone", F.array().cast("array<int>")))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    # split once, not in the function over line numbers
+    met = rows.filter(touched).join(gone, ["_doc", "_th"], "left").withColumn("_parts", parts)
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.coalesce("_gone", F.array().cast("array<int>")))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("_parts", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     changed = met.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in columns), size.alias(n_lines), F.coalesce(F.size("_gone"), F.lit(0)).alias(n_removed)
+        *(text.alias("text") if c == "text" else F.col(c) for c in columns), F.size("_parts").alias(n_lines), F.coalesce(F.size("_gone"), F.lit(0)).alias(n_removed)
     )
     return same.unionByName(changed)

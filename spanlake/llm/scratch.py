@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.runtime import _ensure_checkpoint_dir
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder; no two calls give the same one."""
@@ -17,7 +19,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table: its lineage ends there,
-    so a lost executor costs no earlier step, and reading it prunes columns."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    so a lost executor costs no earlier step, and reading it prunes columns.
+
+    Nothing reads the shuffle files of the step again, so Spark is told to delete them at its end.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
