@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import decontaminate, fingerprints, langid, line_dedup, minhash, pieces, sharding, substring, toxicity, warc
+from spanlake.llm import decontaminate, fingerprints, langid, line_dedup, minhash, pieces, sharding, sql, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc": sql.OP1, "op2_line_dedup": sql.OP2, "op7_minhash": sql.OP7, "op8_substring": sql.OP8}
