@@ -162,6 +162,13 @@ def digest_regions(
 
 def transcript_digests(chunks: DataFrame, cache: DataFrame | None = None, complete: Completer | None = None, model: str = "llm") -> DataFrame:
     """(source_file, chunk_count, title, abstract, keywords, source) per source file, blank sources skipped."""
+    return transcript_digests_cached(chunks, cache, complete, model)[0]
+
+
+def transcript_digests_cached(
+    chunks: DataFrame, cache: DataFrame | None = None, complete: Completer | None = None, model: str = "llm"
+) -> tuple[DataFrame, DataFrame | None]:
+    """What ``transcript_digests`` gives, and the cache with the digests made now; only misses are summarised."""
     rows = chunks.filter(F.coalesce("source_file", F.lit("")) != "")
     counts = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("chunk_count"))
     todo = rows
@@ -176,9 +183,10 @@ def transcript_digests(chunks: DataFrame, cache: DataFrame | None = None, comple
         made = digest_with_completer(todo, made, "source_file", order, complete, model)
     cols = ["source_file", "title", "abstract", "keywords", "source"]
     out = made.select(*cols)
-    if hit is not None:
-        out = out.unionByName(hit.select(*cols))
-    return counts.join(out, "source_file")
+    if hit is None:
+        return counts.join(out, "source_file"), None
+    made = made.join(hashes, "source_file").withColumns({"vec": F.lit(None).cast("array<float>"), "kind": F.lit("transcript")})
+    return counts.join(out.unionByName(hit.select(*cols)), "source_file"), digest_cache_upsert(cache, made)
 
 
 # ---- labels --------------------------------------------------------------------------------------

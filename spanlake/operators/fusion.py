@@ -22,7 +22,6 @@ from spanlake.operators.vectors import vector_search
 from spanlake.ordered import top_k, with_ordinal
 
 RRF_K = 60
-VECTOR_POOL = 500  # depth of the vector arm when the whole pool is asked for
 
 
 class SearchIndex:
@@ -81,12 +80,13 @@ def match_kind(bm25: Column, vector: Column) -> Column:
 
 
 def hybrid_search(
-    queries: DataFrame, index: SearchIndex, mode: str = "hybrid", limit: int = 10, k: int = RRF_K
+    queries: DataFrame, index: SearchIndex, mode: str = "hybrid", limit: int = 10, k: int = RRF_K, vector_pool: int | None = None
 ) -> DataFrame:
     """(query_id, chunk_id, score, bm25, vector, start, end, rank).
 
-    With a limit, each arm brings max(3 * limit, 20) candidates; without, the whole keyword pools and
-    500 neighbours. A query without a vector is ranked by the other arms alone.
+    With a limit, each arm brings max(3 * limit, 20) candidates; without, all keyword matches and the
+    ``vector_pool`` nearest chunks, by default every embedded chunk. A query without a vector is ranked
+    by the other arms alone.
     """
     mode = mode if mode in ("keyword", "semantic") else "hybrid"
     arm_limit = max(3 * limit, 20) if limit > 0 else 0
@@ -95,7 +95,8 @@ def hybrid_search(
         bm25 = bm25_search(queries, index.keyword, arm_limit)
         passage = passage_search(queries, index.passages, arm_limit)
     if mode != "keyword" and "vec" in queries.columns:
-        vector = vector_search(queries, index.chunks, arm_limit or VECTOR_POOL)
+        depth = arm_limit or vector_pool or max(1, index.chunks.filter(F.size("vec") > 0).count())
+        vector = vector_search(queries, index.chunks, depth)
     if bm25 is None and vector is None:
         vector = vector_search(
             queries.withColumn("vec", F.lit(None).cast("array<float>")), index.chunks, 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.text import first_sentences, is_label_term, title_case
 from spanlake.ordered import top_k
-from spanlake.runtime import cut, has_at_most, salt_of, spread
+from spanlake.runtime import cut, has_at_most, salt_of
 
 SALTS = 16
 SMALL_VOCABULARY = 2_000_000  # terms whose document frequency may be broadcast
@@ -24,7 +24,7 @@ def keyword_df(chunks: DataFrame, text: str = "content") -> DataFrame:
 
     Exploding outer keeps the optimizer from evaluating the pattern a second time in a scan filter.
     """
-    terms = spread(chunks.select(text)).select(F.explode_outer(F.array_distinct(_raw_terms(text))).alias("term"))
+    terms = chunks.select(text).select(F.explode_outer(F.array_distinct(_raw_terms(text))).alias("term"))
     return terms.filter(is_label_term(F.col("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -32,7 +32,7 @@ def term_counts(texts: DataFrame, group: Sequence[str], text: str = "content") -
     """(*group, term, tf)."""
     rows = texts.select(*group, text)
     # one text per group: hashed by the group, its terms are counted without a second shuffle
-    rows = rows.repartition(*group) if list(group) == ["chunk_id"] else spread(rows)
+    rows = rows.repartition(*group) if list(group) == ["chunk_id"] else rows
     terms = rows.select(*group, F.explode_outer(_raw_terms(text)).alias("term"))
     return terms.filter(is_label_term(F.col("term"))).groupBy(*group, "term").agg(F.count(F.lit(1)).alias("tf"))
 

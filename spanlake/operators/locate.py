@@ -245,6 +245,7 @@ def find_evidence(
     page: int = 1,
     page_size: int = 12,
     embed=stub_embed,
+    vector_pool: int | None = None,
 ) -> DataFrame:
     """One page of located passages per draft bullet.
 
@@ -255,7 +256,7 @@ def find_evidence(
     """
     asked = bullets.filter(trim_ws("text") != "")
     cleaned = asked.withColumn("text", clean_query("text"))
-    pool = hybrid_search(cleaned, index, mode=mode, limit=0)
+    pool = hybrid_search(cleaned, index, mode=mode, limit=0, vector_pool=vector_pool)
     req = cleaned.select("query_id", F.lit(page).alias("page"), F.lit(page_size).alias("page_size"))
     rows = ranked_page(pool, req).join(chunks.select("chunk_id", "source_file", "speaker", "content"), "chunk_id")
     from spanlake.runtime import cut

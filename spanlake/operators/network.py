@@ -13,7 +13,7 @@ from spanlake.functions.text import trim_runes
 from spanlake.functions.vectors import stub_embed
 from spanlake.operators.cluster import ClusterParams, cluster_chunks
 from spanlake.operators.corpus import chunks_with_vector
-from spanlake.operators.digest import digest_regions, label_chunks, labels_missing, transcript_digests, upsert_labels
+from spanlake.operators.digest import digest_regions, label_chunks, labels_missing, transcript_digests_cached, upsert_labels
 from spanlake.operators.keywords import tag_regions
 from spanlake.operators.vectors import block_topk
 from spanlake.ordered import top_k, with_ordinal
@@ -182,7 +182,9 @@ def build_atlas(
         store.write("region_members", build_id, members)
         # links need the final region ids
         store.write("region_links", build_id, region_links(regions, p.link_k, p.link_min_weight))
-        store.write("transcript_digests", build_id, transcript_digests(rows, None, complete, model))
+        files, new_cache = transcript_digests_cached(rows, new_cache, complete, model)
+        files, new_cache = cut(files), cut(new_cache)
+        store.write("transcript_digests", build_id, files)
         if complete is not None:
             missing = rows.join(labels_missing(rows, labels), "chunk_id", "left_semi")
             labels = cut(upsert_labels(labels, label_chunks(missing, complete, model)))

@@ -376,7 +376,7 @@ def exits(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ).select("from_node", "to_node", "title", "type", "condition", "created_at", "edge_id")
 
 
-def diff_states(current: DataFrame, baseline: DataFrame, base_edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def diff_states(current: DataFrame, baseline: DataFrame, base_edges: DataFrame) -> DataFrame:
     """(node_id, status, anchor, weight) of added, changed and removed outline nodes.
 
     A removed node is anchored at its nearest baseline ancestor that is still there ("" = root), with
@@ -412,7 +412,8 @@ def diff_states(current: DataFrame, baseline: DataFrame, base_edges: DataFrame,
         joined.filter("status = 'removed'").join(parent, "node_id", "left").select("node_id", F.col("parent").alias("at"), F.coalesce("weight", F.lit(0)).alias("weight"))
     )
     found = None
-    for _ in range(max_depth):
+    # no path is longer than the outline has parents; a longer climb goes in a circle
+    for _ in range(parent.count() + 1):
         here = cut(climb.join(alive, "at", "left").join(up, "at", "left"))
         stop = here.filter("alive or at is null").select("node_id", F.coalesce("at", F.lit("")).alias("anchor"), "weight")
         found = stop if found is None else found.unionByName(stop)

@@ -53,7 +53,7 @@ def multi_span_snippet(spark, sf):
 
 def find_evidence(spark, sf):
     chunks = fx.live(spark, sf)
-    out = locate.find_evidence(fx.queries_with_vec(spark, sf), SearchIndex(chunks), chunks, page=2)
+    out = locate.find_evidence(fx.queries_with_vec(spark, sf), SearchIndex(chunks), chunks, page=2, vector_pool=500)
     return out.select(
         "query_id", "rank", "chunk_id", "match", "how", "focus_start", "focus_end", "snippet", "total", "page",
         F.round("score_norm", 6).alias("score_norm"),

@@ -103,7 +103,7 @@ def _hybrid(mode):
 
 
 def match_kind(spark, sf):
-    hits = fusion.hybrid_search(fx.queries_with_vec(spark, sf), _index(spark, sf), limit=0)
+    hits = fusion.hybrid_search(fx.queries_with_vec(spark, sf), _index(spark, sf), limit=0, vector_pool=500)
     return hits.groupBy("query_id", fusion.match_kind(F.col("bm25"), F.col("vector")).alias("kind")).agg(
         F.count(F.lit(1)).alias("n"), F.min("rank").alias("best_rank")
     )
@@ -128,7 +128,7 @@ def _bullets(spark, sf):
     return q.select(
         F.col("query_id").alias("node_id"),
         F.substring("text", 1, 60).alias("title"),
-        F.substring("text", 61, 1000).alias("body"),
+        F.expr("substring(text, 61)").alias("body"),
         F.when(F.col("query_id") % 2 == 0, F.substring("text", 100, 30)).otherwise("").alias("parent_title"),
         "vec",
     )
@@ -182,7 +182,7 @@ QUERIES = {
 }
 
 _NODE_Q = r"""
-nodesq AS (SELECT item_id AS node_id, substring(text, 1, 60) AS title, substring(text, 61, 1000) AS body,
+nodesq AS (SELECT item_id AS node_id, substring(text, 1, 60) AS title, substring(text, 61) AS body,
   CASE WHEN item_id % 2 = 0 THEN substring(text, 100, 30) ELSE '' END AS parent_title FROM benchmark)
 """
 
@@ -208,7 +208,7 @@ def _suggest_sql() -> str:
     extra = {
         "nodesq": (
             (),
-            f"""SELECT item_id AS node_id, {trim('substring(text, 1, 60)')} AS t, substring(text, 1, 60) AS title, {trim('substring(text, 61, 1000)')} AS b,
+            f"""SELECT item_id AS node_id, {trim('substring(text, 1, 60)')} AS t, substring(text, 1, 60) AS title, {trim('substring(text, 61)')} AS b,
             {trim("CASE WHEN item_id % 2 = 0 THEN substring(text, 100, 30) ELSE '' END")} AS p FROM benchmark""",
         ),
         "kwq": (

@@ -120,7 +120,7 @@ def expand_queries(spark, sf):
     d = fx.table(spark, sf, "documents").select(
         F.col("doc_id").alias("node_id"),
         F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.substring("text", 1, 50)).alias("title"),
-        F.substring("text", 51, 400).alias("body"),
+        F.expr("substring(text, 51)").alias("body"),
         F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("parent_title"),
     )
     return op(d)
@@ -129,7 +129,7 @@ def expand_queries(spark, sf):
 def label_texts(spark, sf):
     return _docs(spark, sf).select(
         "chunk_id",
-        tx.title_case(F.substring("content", 1, 200)).alias("title_case"),
+        tx.title_case("content").alias("title_case"),
         tx.trim_words("content", 8).alias("trim_words"),
         tx.head_label("content").alias("head_label"),
         tx.preview_text("content", 80).alias("preview_text"),
@@ -326,9 +326,9 @@ ORACLES = {
       CASE WHEN kw <> t AND kw <> '' THEN kw END,
       CASE WHEN b <> '' THEN t || ' ' || CASE WHEN strlen(b) <= 200 THEN b ELSE substring(b, 1, list_max(list_filter(range(1, 201), lambda i: strlen(substring(b, 1, i)) <= 200))) END END,
       CASE WHEN p <> '' THEN p || ' ' || t END], lambda x: x IS NOT NULL) AS v FROM (SELECT *, array_to_string(list_filter({_TOK.format(c='t')}, lambda x: x NOT IN ({_quoted(QUERY_STOP_WORDS)})), ' ') AS kw
-      FROM (SELECT doc_id AS node_id, {_trim("CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE substring(text, 1, 50) END")} AS t, {_trim('substring(text, 51, 400)')} AS b,
+      FROM (SELECT doc_id AS node_id, {_trim("CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE substring(text, 1, 50) END")} AS t, {_trim('substring(text, 51)')} AS b,
       coalesce(CASE WHEN doc_id % 3 = 0 THEN source END, '') AS p FROM documents) WHERE t <> ''))""",
-    "label_texts": f"""SELECT chunk_id, {_TITLE.format(c='substring(content, 1, 200)')} AS title_case, array_to_string({_words('content')}[1:8], ' ') AS trim_words,
+    "label_texts": f"""SELECT chunk_id, {_TITLE.format(c='content')} AS title_case, array_to_string({_words('content')}[1:8], ' ') AS trim_words,
       array_to_string({_words('content')}[1:6], ' ') AS head_label, CASE WHEN length(content) <= 80 THEN content ELSE substring(content, 1, 80) || '…' END AS preview_text,
       {_runes('content', 60)} AS trim_runes, {_flat('content')} AS collapse_ws, regexp_replace(translate(lower(content), ' _', '--'), '[^a-z0-9-]', '', 'g') AS slugify
       FROM ({fx.ORACLE['docs'][1]})""",

@@ -41,18 +41,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan with fewer splits than cores one task per core; leave a wide scan alone.
-
-    A table of few files or row groups would otherwise be tokenised by one task. On a large table
-    the scan already has more splits than cores and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
