@@ -10,8 +10,9 @@ element; if one stays empty the rank is doubled. Empty sets have no signature.
 
 Grouping: equal texts are one text. Texts that agree on all rows of a band fall in a bucket; each is
 checked against the bucket's first text by exact Jaccard similarity of the shingle sets. Members that
-fail that check are checked against all members of their bucket that no link has joined to them yet,
-so no class is lost to the choice of the first text. Classes are connected components, found by joins.
+fail that check are checked against all members of their buckets that no link has joined to them yet
+and that share one of their rarest shingles, as near texts must, so no class is lost to the choice of
+the first text. Classes are connected components, found by joins.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 
 from spanlake.llm.scratch import stored
 from spanlake.llm.words import U64, mix, shingles, slices, words_of
+from spanlake.runtime import shuffle_partitions
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
+COUNTERS = 1 << 18
 _STEP, _PLACE, _COORD = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 
 
@@ -134,6 +137,58 @@ def checked(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, wo
     return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(_checked_rows(threshold, words), "a long, b long, near boolean")
 
 
+def _shingle_counts(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in slices(batches):
+            for _, _, hashes, bounds in words_of([t.lower().encode() for t in batch.column("text").to_pylist()]):
+                for lo, hi in zip(bounds[:-1], bounds[1:]):
+                    np.add.at(total, (shingle_set(hashes[lo:hi], words)[0] % U64(COUNTERS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    return run
+
+
+def _prefix_rows(counts: np.ndarray, threshold: float, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            owners, grams, sizes = [], [], []
+            for lo, hi, hashes, bounds in words_of([t.lower().encode() for t in batch.column("text").to_pylist()]):
+                for i in range(hi - lo):
+                    own = shingle_set(hashes[bounds[i] : bounds[i + 1]], words)[0]
+                    rare = own[np.lexsort((own, counts[(own % U64(COUNTERS)).astype(np.int64)]))]
+                    take = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1 if len(own) else 0
+                    grams.append(rare[:take])
+                    owners.append(np.full(take, lo + i))
+                    sizes.append(np.full(take, len(own)))
+            at = np.concatenate(owners).astype(np.int64)
+            cols = [pa.array(np.asarray(batch.column(c))[at]) for c in ("id", "label", "open")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(sizes).astype(np.int64)), *cols], ["gram", "n", "id", "label", "open"])
+
+    return run
+
+
+def prefix_pairs(asked: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """All pairs (a, b) of ``asked`` (id, label, open) that may be near, one of them open, of different labels.
+
+    Sets of Jaccard similarity t share one of their rarest ``n - ceil(t n) + 1`` shingles, so texts
+    whose rare shingles are their own meet nobody, however many others they share a bucket with.
+    Rarity is counted over the asked texts in ``COUNTERS`` slots; the counts alone reach the driver.
+    """
+    spark = asked.sparkSession
+    rows = stored(texts.join(asked, "id").select("id", "label", "open", "text"), "asked")
+    counts = np.zeros(COUNTERS, np.int64)
+    got = rows.mapInArrow(_shingle_counts(words), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[np.asarray(got.column("slot"))] = np.asarray(got.column("n"))
+    entries = rows.mapInArrow(_prefix_rows(counts, threshold, words), "gram long, n long, id long, label long, open int")
+    entries = entries.repartition(shuffle_partitions(spark), "gram")
+    other = entries.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("n", "id", "label", "open")))
+    sizes = F.least("n", "y_n") >= F.lit(threshold) * F.greatest("n", "y_n") - F.lit(1e-9)
+    met = entries.join(other, "gram").filter((F.col("id") < F.col("y_id")) & (F.col("open") + F.col("y_open") > 0) & (F.col("label") != F.col("y_label")) & sizes)
+    return met.select(F.col("id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(id, label): the smallest id of each connected component of ``links`` (a, b).
 
@@ -193,15 +248,10 @@ def near_duplicates(
     classed = stored(
         members.join(labels.select(F.col("id").alias("b"), "label"), "b", "left").select("key", "a", "b", F.coalesce("label", "b").alias("label")), "classed"
     )
-    failed = classed.join(first_round.filter("not near").select("a", "b"), ["a", "b"]).select("key", F.col("b").alias("x"), F.col("label").alias("x_label"))
-    second = stored(
-        failed.join(classed.select("key", F.col("b").alias("y"), "label"), "key")
-        .filter("x_label != label")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(first_round.select("a", "b"), ["a", "b"], "left_anti"),
-        "second",
-    )
+    failed = stored(classed.join(first_round.filter("not near").select("a", "b"), ["a", "b"]).select("key", F.col("b").alias("id")).distinct(), "failed")
+    asked = classed.join(failed.select("key").distinct(), "key", "left_semi").select(F.col("b").alias("id"), "label").distinct()
+    asked = asked.join(failed.select("id").distinct().withColumn("open", F.lit(1)), "id", "left").select("id", "label", F.coalesce("open", F.lit(0)).alias("open"))
+    second = stored(prefix_pairs(asked, texts, threshold, words).join(first_round.select("a", "b"), ["a", "b"], "left_anti"), "second")
     more = stored(checked(second, texts, threshold, words).filter("near").select("a", "b"), "second-checked")
     if not more.isEmpty():
         labels = components(spark, near.union(more))
