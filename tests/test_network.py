@@ -146,15 +146,12 @@ def test_labels(spark):
     assert dg.label_chunks(d, flaky, "m").count() == 18
 
 
-def test_hash_ignores_order_and_large_groups(spark, monkeypatch):
+def test_hash_ignores_order(spark):
     rows = [("g", f"c{i}") for i in range(20)]
     a = dg.digest_hash(spark.createDataFrame(rows, "g string, chunk_id string"), ["g"], "region").first().input_hash
     b = dg.digest_hash(spark.createDataFrame(rows[::-1], "g string, chunk_id string").repartition(3), ["g"], "region").first().input_hash
-    monkeypatch.setattr(dg, "LISTED_IDS", 5)
-    c = dg.digest_hash(spark.createDataFrame(rows, "g string, chunk_id string"), ["g"], "region").first().input_hash
-    d = dg.digest_hash(spark.createDataFrame(rows[::-1], "g string, chunk_id string"), ["g"], "region").first().input_hash
     e = dg.digest_hash(spark.createDataFrame(rows[1:], "g string, chunk_id string"), ["g"], "region").first().input_hash
-    assert a == b and c == d and len({a, c, e}) == 3
+    assert a == b and a != e
 
 
 def test_build_and_prune(spark, tmp_path):
