@@ -47,15 +47,20 @@ def darts(elements: np.ndarray, weights: np.ndarray, limit: float, k: int) -> tu
     left = np.repeat(weights, cells) - cell
     stream = mix(np.repeat(elements, cells) + cell.astype(U64) * _STEP)
     rank = np.zeros(len(stream))
+    # enough darts at a time that nearly all cells are done at once
+    many = int(limit + 4 * math.sqrt(limit)) + 3
     found: list[tuple[np.ndarray, ...]] = []
+    number = 0
     while len(stream):
-        stream = mix(stream + _STEP)
-        rank = rank - np.log(_unit(stream))
-        alive = rank < limit
-        stream, rank, left = stream[alive], rank[alive], left[alive]
-        hit = _unit(mix(stream ^ _PLACE)) < left
-        s = stream[hit]
-        found.append(((mix(s ^ _COORD) % U64(k)).astype(np.int64), rank[hit], s))
+        step = mix(stream[:, None] + np.arange(number + 1, number + many + 1, dtype=U64)[None, :] * _STEP)
+        ranks = rank[:, None] + np.cumsum(-np.log(_unit(step)), axis=1)
+        row, col = np.nonzero(ranks < limit)
+        dart, at = step[row, col], ranks[row, col]
+        hit = _unit(mix(dart ^ _PLACE)) < left[row]
+        dart, at = dart[hit], at[hit]
+        found.append(((mix(dart ^ _COORD) % U64(k)).astype(np.int64), at, dart))
+        alive = ranks[:, -1] < limit
+        stream, rank, left, number = stream[alive], ranks[alive, -1], left[alive], number + many
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0), np.empty(0, U64))
 
 
@@ -69,11 +74,10 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     limit = (k * math.log(k) + 3 * k) / total
     while True:
         coord, rank, dart = darts(elements, weights, limit, k)
-        order = np.lexsort((dart, rank, coord))
-        c = coord[order]
-        first = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.empty(0, bool)
-        if first.sum() == k:
-            return dart[order][first]
+        order = np.argsort(rank, kind="stable")
+        filled, first = np.unique(coord[order], return_index=True)
+        if len(filled) == k:
+            return dart[order[first]]
         limit *= 2
 
 
