@@ -5,9 +5,10 @@ earlier place (doc_id, then line number) has the same set or one of Jaccard simi
 ``threshold``; lines are judged on the input, so the result doesn't depend on the order of work.
 Lines without words stay.
 
-1. Rarity: words are counted over all lines in 65,536 hash buckets; rarer buckets come first. Any total
-   order is correct, and buckets keep what every task needs to a fixed size. A word becomes a number
-   whose upper bits are its bucket's rank and whose lower bits are the rest of its 64-bit hash.
+1. Rarity: words are counted over all lines in 65,536 hash buckets; buckets get one of 64 levels, a
+   quarter of a binary order of magnitude each, and rarer levels come first. Any total order is
+   correct, and buckets keep what every task needs to a fixed size. A word becomes a number whose
+   upper six bits are its level and whose others are 58 bits of its hash.
 2. Equal sets are one class with its first place.
 3. Prefix filter: sets that are similar share one of their rarest ``n - ceil(t n) + 1`` words.
    Length and position filter: at the first word two sets share they must still be able to overlap
@@ -20,12 +21,14 @@ Lines without words stay.
 5. Verification by the sets themselves, fetched from the texts.
 
 Words of a prefix are compared by 31 bits of their hash, which can only add candidates; verification
-compares 64 bits. Sets of up to three words can only be similar if they are equal, for thresholds
+compares 58. Sets of up to three words can only be similar if they are equal, for thresholds
 above 3/4.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ from spanlake.llm.scratch import stored
 from spanlake.runtime import shuffle_partitions
 
 THRESHOLD = 0.8
-BUCKETS, BITS, HUB_WORDS, WIDE = 1 << 16, 1 << 20, 2, 48
+BUCKETS, BITS, HUB_WORDS, WIDE = 1 << 16, 1 << 19, 2, 48
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 _EPS = 1e-9
 
@@ -47,26 +50,29 @@ def _words(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), _SPACE)
 
 
-def _ranks(texts: DataFrame) -> Column:
-    """Rank of every bucket by the number of words that fall to it, as the upper bits of a number; collects at most ``BUCKETS`` rows."""
+def _levels(texts: DataFrame) -> Column:
+    """Level of every bucket by the number of words that fall to it, eight levels in a number.
+
+    Collects at most ``BUCKETS`` rows.
+    """
     counted = texts.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(F.shiftrightunsigned(F.xxhash64("w"), 48).alias("bucket")).count()
-    count = [0] * BUCKETS
+    packed = [0] * (BUCKETS // 8)
     for r in counted.collect():
-        count[r["bucket"]] = r["count"]
-    ranks = [0] * BUCKETS
-    for rank, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (count[b], b))):
-        ranks[bucket] = (rank - BUCKETS // 2) << 48
-    return _numbers(ranks)
+        level = min(63, int(4 * math.log2(r["count"] + 1)))
+        packed[r["bucket"] // 8] |= level << (6 * (r["bucket"] % 8))
+    return _numbers(packed)
 
 
-def _token_set(line: Column, ranks: Column) -> Column:
+def _token_set(line: Column, levels: Column) -> Column:
     """Distinct words of a line as numbers, rarest first."""
-    rest = (1 << 48) - 1
+    rest = (1 << 58) - 1
 
     def number(word: Column) -> Column:
         h = F.xxhash64(word)
-        rank = F.coalesce(F.get(ranks, F.shiftrightunsigned(h, 48).cast("int")), F.lit(0).cast("long"))
-        return rank.bitwiseOR(h.bitwiseAND(F.lit(rest)))
+        bucket = F.shiftrightunsigned(h, 48).cast("int")
+        eight = F.coalesce(F.get(levels, F.shiftright(bucket, 3)), F.lit(0).cast("long"))
+        level = F.call_function("shiftright", eight, bucket.bitwiseAND(F.lit(7)) * 6).bitwiseAND(F.lit(63)) - 32
+        return F.shiftleft(level, 58).bitwiseOR(h.bitwiseAND(F.lit(rest)))
 
     return F.array_distinct(F.sort_array(F.transform(_words(line), number)))
 
@@ -116,7 +122,7 @@ def _fits(t: float) -> Column:
     return (F.least(n - F.col("pos"), m - F.col("y_pos")) >= shared) & (bits <= n + m - 2 * shared)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ranks: Column, t: float) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, levels: Column, t: float) -> DataFrame:
     """(a, b) of the classes that are similar to an earlier partner in ``pairs`` (a, y_a).
 
     Either side of a pair may be the later one. Classes are known by ``a`` and looked up in ``classes``.
@@ -126,7 +132,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, ranks: Col
     wanted = ids.select("a").union(ids.select("y_a")).distinct()
     places = stored(classes.join(wanted, "a").select("a", "b", "at.doc_id", "at.line_no"), "places")
     lines = _lines(texts).filter(_member(places, "doc_id", "line_no")).join(places, ["doc_id", "line_no"])
-    sets = lines.select("a", "b", F.struct("doc_id", "line_no").alias("at"), _token_set(F.col("line"), ranks).alias("words"))
+    sets = lines.select("a", "b", F.struct("doc_id", "line_no").alias("at"), _token_set(F.col("line"), levels).alias("words"))
     # rows that share a doc_id have several lines at a place
     sets = stored(sets.filter(F.col("a") == F.xxhash64("words")), "sets")
     other = sets.select(*(F.col(c).alias(f"y_{c}") for c in sets.columns))
@@ -141,12 +147,12 @@ def similar_lines(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not 0.75 < threshold <= 1:
         raise ValueError("threshold must be above 0.75 and at most 1")
     t = threshold
-    ranks = _ranks(texts)
+    levels = _levels(texts)
     full = _lines(texts).filter(F.btrim("line", F.lit(" \t\n\x0b\f\r")) != "")
     n = F.size("words")
     length = F.when(n > 3, n - _floor_size(n, t) + 1).otherwise(0)
     lines = stored(
-        full.select("doc_id", "th", "line_no", _token_set(F.col("line"), ranks).alias("words")).select(
+        full.select("doc_id", "th", "line_no", _token_set(F.col("line"), levels).alias("words")).select(
             "doc_id", "th", "line_no", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), n.alias("n"),
             F.when(n > 3, _parity(F.col("words"))).otherwise(0).alias("bits"), F.when(n > WIDE, _parity(F.col("words"), 1)).otherwise(0).alias("half"), F.transform(F.slice("words", F.lit(1), length), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
         ),
@@ -165,7 +171,7 @@ def similar_lines(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rarest = long.select("at", *shape[:4], F.posexplode(F.slice("prefix", 1, HUB_WORDS)).alias("pos", "word")).repartition(parts, "word")
     hub = rarest.groupBy("word").agg(F.min(F.struct("at", *shape)).alias("y"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     met = rarest.join(hub.select("word", *(F.col(f"y.{c}").alias(f"y_{c}") for c in shape)), "word")
-    decided = stored(_verified(met.filter("a != y_a").filter(_fits(t)).select("a", "y_a"), classes, texts, ranks, t), "decided")
+    decided = stored(_verified(met.filter("a != y_a").filter(_fits(t)).select("a", "y_a"), classes, texts, levels, t), "decided")
     entries = (
         long.join(decided.withColumn("gone", F.lit(1)), ["a", "b"], "left")
         .select(*shape[:4], F.coalesce("gone", F.lit(0)).alias("gone"), F.posexplode("prefix").alias("pos", "word"))
@@ -176,7 +182,7 @@ def similar_lines(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # both sides of the join stay the same table and are dealt once
     asks = F.col("gone") * 2 - F.col("y_gone") + (F.col("a") >= F.col("y_a")).cast("int") <= 0
     second = entries.join(partner, "word").filter(asks & (F.col("a") != F.col("y_a")) & _fits(t)).select("a", "y_a")
-    gone = decided.union(_verified(second, classes, texts, ranks, t)).distinct()
+    gone = decided.union(_verified(second, classes, texts, levels, t)).distinct()
     # every line of a class with an earlier partner, and all but the first place of the other classes
     heads = classes.select("a", "b", "at", "many").join(gone.withColumn("gone", F.lit(True)), ["a", "b"], "left").filter("many > 1 or gone")
     found = lines.select("doc_id", "th", "line_no", "a", "b").join(heads, ["a", "b"])
