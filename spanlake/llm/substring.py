@@ -11,8 +11,8 @@ an anchor are the prefix of the suffix that begins there; there is one in about
    with the same ``50 - r`` words to the left are one repeated window, and all but those of the
    smallest doc_id are marked.
 3. A prefix that more suffixes have is made longer, up to the window itself: its windows are
-   compared as hashes, with the smallest doc_id taken before the shuffle, so a passage that a third
-   of all documents share is no single group.
+   compared as hashes, once per text however often it repeats them, with the smallest doc_id taken
+   before the shuffle, so a passage that a third of all documents share is no single group.
 4. A document that repeats a whole earlier text needs no search: all its windows are repeats.
 
 Words are compared by 64-bit hashes (whole windows of long prefixes by 128 bits). Null texts have no
@@ -34,7 +34,7 @@ from spanlake.llm.scratch import stored
 from spanlake.llm.words import U64, mix, shingles, slices, words_of
 from spanlake.runtime import shuffle_partitions
 
-WINDOW, PREFIX, GROUP_ROWS = 50, 10, 2_000
+WINDOW, PREFIX, GROUP_ROWS = 50, 10, 20_000
 _ID = "doc_id long, ta long, tb long"
 _HIT = f"{_ID}, lo long, hi long"
 
@@ -116,8 +116,8 @@ def _anchor_rows(window: int, prefix: int):
 def _suffix_rows(window: int, prefix: int):
     """Suffixes with shared prefixes.
 
-    ``before`` and ``after`` are the words around the anchor as far as its windows reach, or, for long
-    prefixes, the hashes of its windows.
+    ``before`` and ``after`` are the words around the anchor as far as its windows reach. Long prefixes
+    give one row per text: both hashes of all their windows, and where these begin.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,18 +130,23 @@ def _suffix_rows(window: int, prefix: int):
                 place, first, last, grams = anchors(hashes, bounds, window, prefix)
                 doc = lo + np.searchsorted(bounds, place, side="right") - 1
                 whole: tuple[np.ndarray, np.ndarray] | None = None
+                long: dict[int, list[np.ndarray]] = {}
                 for a, s, e, d, g in zip(place.tolist(), first.tolist(), last.tolist(), doc.tolist(), grams.view(np.int64).tolist()):
                     hot = shared[d].get(g)
                     if hot is None:
                         continue
+                    begin = int(bounds[d - lo])
                     if hot:
                         whole = whole or window_hashes(hashes, window)
-                        views = whole[0][s : e + 1], whole[1][s : e + 1]
-                    else:
-                        views = hashes[s:a], hashes[a : e + window]
-                    begin = int(bounds[d - lo])
-                    rows.append((g, hot, *(c[d] for c in ids), a - begin, s - begin, views[0].tobytes(), views[1].tobytes()))
-                    size += 100 + len(rows[-1][-1]) + len(rows[-1][-2])
+                        starts = np.arange(s, e + 1)
+                        long.setdefault(d, []).append(np.stack([whole[0][s : e + 1], whole[1][s : e + 1], (starts - begin).astype(U64)]))
+                        continue
+                    rows.append((g, False, *(c[d] for c in ids), a - begin, hashes[s:a].tobytes(), hashes[a : e + window].tobytes(), None))
+                    size += 100 + len(rows[-1][-2]) + len(rows[-1][-3])
+                for d, parts in long.items():
+                    views = [x.tobytes() for x in np.concatenate(parts, axis=1)]
+                    rows.append((0, True, *(c[d] for c in ids), 0, *views))
+                    size += 3 * len(views[0])
                 if size > 4 << 20:
                     yield _batch(rows, _CONTEXT)
                     rows, size = [], 0
@@ -151,7 +156,7 @@ def _suffix_rows(window: int, prefix: int):
     return run
 
 
-_CONTEXT = [("gram", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("ta", pa.int64()), ("tb", pa.int64()), ("at", pa.int64()), ("begin", pa.int64()), ("before", pa.binary()), ("after", pa.binary())]
+_CONTEXT = [("gram", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("ta", pa.int64()), ("tb", pa.int64()), ("at", pa.int64()), ("before", pa.binary()), ("after", pa.binary()), ("starts", pa.binary())]
 _HITS = [("doc_id", pa.int64()), ("ta", pa.int64()), ("tb", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]
 
 
@@ -219,7 +224,7 @@ def _tree_rows(window: int, prefix: int):
     def solved(rows: list[tuple]) -> Iterator[tuple]:
         if len({r[2] for r in rows}) < 2:
             return
-        views = [[np.frombuffer(r[k], U64) for r in rows] for k in (7, 8)]
+        views = [[np.frombuffer(r[k], U64) for r in rows] for k in (6, 7)]
         for row, lefts in zip(rows, repeats_in_group(np.array([r[2] for r in rows]), *views, window, prefix)):
             for lo, hi in _runs(row[5], lefts, window):
                 yield (*row[2:5], lo, hi)
@@ -243,14 +248,22 @@ def _tree_rows(window: int, prefix: int):
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per window of the suffixes with long prefixes."""
-    names = ["w1", "w2", "doc_id", "ta", "tb", "lo"]
-    for batch in slices(batches):
-        w1, w2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("before", "after"))
-        n = np.array([len(x) // 8 for x in batch.column("before").to_pylist()])
-        ids = [np.repeat(np.asarray(batch.column(c)), n) for c in ("doc_id", "ta", "tb", "begin")]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, *ids[:3], ids[3] + step)], names)
+    """One row per text and distinct window of a long prefix, with the places where it begins."""
+    names = ["w1", "w2", "doc_id", "ta", "tb", "starts"]
+    for batch in slices(batches, 256):
+        cols: list[list] = [[] for _ in names]
+        for row in zip(*(batch.column(c).to_pylist() for c in ("before", "after", "starts", "doc_id", "ta", "tb"))):
+            w1, w2, at = (np.frombuffer(x, np.int64) for x in row[:3])
+            order = np.lexsort((at, w2, w1))
+            w1, w2, at = w1[order], w2[order], at[order]
+            head = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
+            cols[0].append(w1[head])
+            cols[1].append(w2[head])
+            for i in (2, 3, 4):
+                cols[i].append(np.full(len(head), row[i + 1], np.int64))
+            cols[5].extend(np.split(at, head[1:]))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cols[5])]), pa.int32()), pa.array(np.concatenate(cols[5])))
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols[:5]), lists], names)
 
 
 def _kept_rows(window: int):
@@ -306,15 +319,17 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFI
     context = stored(
         docs.join(wanted, ["doc_id", "ta", "tb"])
         .select("doc_id", "ta", "tb", "text", "grams")
-        .mapInArrow(_suffix_rows(window, prefix), f"gram long, hot boolean, {_ID}, at long, begin long, before binary, after binary"),
+        .mapInArrow(_suffix_rows(window, prefix), f"gram long, hot boolean, {_ID}, at long, before binary, after binary, starts binary"),
         "suffixes",
     )
     n = shuffle_partitions(docs.sparkSession)
     cold = context.filter(~F.col("hot")).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_tree_rows(window, prefix), _HIT)
-    deep = context.filter("hot").mapInArrow(_window_rows, f"w1 long, w2 long, {_ID}, lo long")
+    deep = context.filter("hot").mapInArrow(_window_rows, f"w1 long, w2 long, {_ID}, starts array<long>")
     heads = deep.groupBy("w1", "w2").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).filter("head < tail")
-    long = deep.join(heads, ["w1", "w2"]).filter("doc_id > head").select("doc_id", "ta", "tb", "lo", (F.col("lo") + window).alias("hi"))
-    parts = cold.union(long).groupBy("doc_id", "ta", "tb").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
+    ranges = F.transform("starts", lambda lo: F.struct(lo.alias("lo"), (lo + window).alias("hi")))
+    long = deep.join(heads, ["w1", "w2"]).filter("doc_id > head").select("doc_id", "ta", "tb", ranges.alias("gone"))
+    short = cold.select("doc_id", "ta", "tb", F.array(F.struct("lo", "hi")).alias("gone"))
+    parts = short.union(long).groupBy("doc_id", "ta", "tb").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     copies = (
         docs.select("doc_id", "ta", "tb")
         .join(firsts.filter("n > 1").select("ta", "tb", F.col("doc_id").alias("first")), ["ta", "tb"])
