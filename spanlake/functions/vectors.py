@@ -34,19 +34,21 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 @F.arrow_udf(T.BinaryType())
 def encode_vec(vec: pa.Array) -> pa.Array:
-    """float32 array -> little-endian bytes."""
-    return pa.array(
-        [None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in vec.to_pylist()], pa.binary()
-    )
+    """float32 array -> little-endian bytes, over the batch's flat buffer."""
+    size = np.where(vec.is_null().to_numpy(False), 0, vec.value_lengths().fill_null(0).to_numpy(False))
+    offsets = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
+    data = np.ascontiguousarray(vec.flatten().to_numpy(zero_copy_only=False), "<f4")
+    known = pa.array(vec.is_valid().to_numpy(False)).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(vec), [known, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 @F.arrow_udf(VEC)
 def decode_vec(blob: pa.Array) -> pa.Array:
-    """Little-endian bytes -> float32 array."""
-    return pa.array(
-        [None if b is None else np.frombuffer(b, dtype="<f4").tolist() for b in blob.to_pylist()],
-        pa.list_(pa.float32()),
-    )
+    """Little-endian bytes -> float32 array, over the batch's flat buffer."""
+    offsets = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
+    data = np.frombuffer(blob.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    values = pa.array(np.frombuffer(data.tobytes(), "<f4"), pa.float32())
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]) // 4, pa.int32()), values, mask=blob.is_null())
 
 
 def feature_hash(text: str, dim: int) -> np.ndarray:

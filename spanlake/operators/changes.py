@@ -177,13 +177,15 @@ def align_quotes(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     """Evidence rows for quoted text: (quote_id, node_id, chunk_id, source_file, char_start, char_end, text, title).
 
     The text is looked up in its chunk and taken from there; a blank or lost quote without a usable range
-    cites the whole chunk. quotes: (quote_id, node_id, chunk_id, char_start, char_end, text).
+    cites the whole chunk. A quote of an unknown chunk stays as it is, with null source_file.
+    quotes: (quote_id, node_id, chunk_id, char_start, char_end, text).
     """
-    rows = quotes.join(chunks.select("chunk_id", "source_file", "content"), "chunk_id").withColumn(
+    rows = quotes.join(chunks.select("chunk_id", "source_file", "content"), "chunk_id", "left").withColumn(
         "hit", locate_selection("content", "text")
     )
     n = F.char_length("content")
     ok = (F.coalesce("text", F.lit("")) != "") & (F.col("char_end") > F.col("char_start")) & (F.col("char_start") >= 0) & (F.col("char_end") <= n)
+    ok = ok | F.col("content").isNull()
     found = F.col("hit").isNotNull()
     start = F.when(found, F.col("hit.start")).when(ok, F.col("char_start")).otherwise(F.lit(0))
     end = F.when(found, F.col("hit.end")).when(ok, F.col("char_end")).otherwise(n)

@@ -35,7 +35,7 @@ def cluster_chunks(spark, sf):
 
 
 def cluster_chunks_distributed(spark, sf):
-    """The same result from distributed splits of every part over 64 rows."""
+    """The same result from distributed splits of every part over 200 rows."""
     _, members = cl.cluster_chunks(fx.vectors(spark, sf), cl.ClusterParams(local_rows=200))
     return members.select("region_id", "chunk_id", F.round("distance", 6).alias("distance"))
 
