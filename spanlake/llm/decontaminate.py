@@ -34,7 +34,7 @@ from spanlake.llm.toxicity import feature_bytes
 from spanlake.llm.words import U64, hashed_words, shingles, words_of
 from spanlake.ordered import with_running
 
-PART, BLOCK, INDEX_BYTES = 64, 4, 8 << 20
+PART, BLOCK, INDEX_BYTES = 64, 2, 8 << 20
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER, RUN = 0.5, 0.7, 0.5, 3
 
