@@ -116,6 +116,33 @@ def test_streamed_index_drops_old_rows(spark, tmp_path):
     assert {r.term for r in jobs.streamed_index(spark, at, "passage").postings.collect()} == {"bird", "dog"}
 
 
+def test_streamed_index_drops_superseded_chunks(spark, tmp_path):
+    """A source that comes again under new chunk ids leaves nothing of the old ones."""
+    at = str(tmp_path / "store")
+    schema = "chunk_id string, source_file string, content string"
+    for rows in ([("a", "s", "cat"), ("b", "t", "dog")], [("c", "s", "bird")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run(jobs.stream_index_update(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), at, str(tmp_path / "cp")))
+    index = jobs.streamed_index(spark, at)
+    assert {r.term for r in index.postings.collect()} == {"bird", "dog"} and index.doc_stats.count() == 2
+
+
+def test_same_name_in_one_batch(spark, tmp_path):
+    """Of two files of one source the one modified last is ingested, once."""
+    import os
+
+    for folder, text, when in (("x", "Old one. Old two.", 1_000_000_000), ("y", "New one. New two. New three.", 1_100_000_000)):
+        os.makedirs(tmp_path / "src" / folder)
+        path = tmp_path / "src" / folder / "talk.txt"
+        path.write_text(text)
+        os.utime(path, (when, when))
+    store = str(tmp_path / "store")
+    run(jobs.stream_ingest(jobs.file_stream(spark, str(tmp_path / "src"), source=jobs.file_name), store, str(tmp_path / "cp")))
+    assert spark.read.parquet(f"{store}/segments").count() == 3
+    assert all("New" in r.content for r in jobs.ingested(spark, store).collect())
+    assert jobs.latest_status(spark, store).count() == 1
+
+
 def test_append_is_one_commit(spark, tmp_path):
     c = spark.createDataFrame([(f"c{i}", f"s{i % 3}", "t") for i in range(30)], "chunk_id string, source_file string, content string")
     tables.append_chunks(c, str(tmp_path))
