@@ -55,8 +55,8 @@ def can_cut(pieces: Sequence[str]) -> bool:
     return not any(MARK in p.lstrip(MARK) for p in pieces)
 
 
-def build(model: bytes) -> Tokenizer:
-    """A tokenizers pipeline with the ids of the sentencepiece ``model``."""
+def build(model: bytes, bare: bool = False) -> Tokenizer:
+    """A tokenizers pipeline with the ids of the sentencepiece ``model``; ``bare`` takes normalised single words."""
     proto = parse(model)
     spec, trainer, pieces = proto.normalizer_spec, proto.trainer_spec, proto.pieces
     unk = next(i for i, p in enumerate(pieces) if p.type == 2)
@@ -69,6 +69,8 @@ def build(model: bytes) -> Tokenizer:
     else:
         raise ValueError("only unigram and BPE models are supported")
     out = Tokenizer(core)
+    if bare:
+        return out
     steps = []
     if spec.precompiled_charsmap:
         steps.append(normalizers.Precompiled(spec.precompiled_charsmap))
@@ -106,8 +108,7 @@ class Backend:
         spec = parse(model).normalizer_spec
         plain = spec.add_dummy_prefix and spec.escape_whitespaces and not (spec.remove_extra_whitespaces or spec.precompiled_charsmap)
         self.cut = bool(plain and self.tokenizer.pre_tokenizer)
-        self.bare = build(model)
-        self.bare.normalizer = normalizers.Sequence([])
+        self.bare = build(model, bare=True)
         self.known: dict[str, list[int]] = {}
         self.held, self.most = 0, most
         self.numbers = list(range(self.tokenizer.get_vocab_size()))
@@ -126,14 +127,14 @@ class Backend:
 
     def encode(self, texts: Sequence[str], verify: bool) -> list[list[int]]:
         if not self.cut:
-            ids = [e.ids for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
             self.check(self.differ(texts, ids) if verify else [])
             return ids
         if len(self.known) > self.most or self.held > 8 * self.most:
             self.known, self.held = {}, 0
         parts = [self.words(t) for t in texts]
         new = list({w for p in parts for w in p if w not in self.known})
-        ids = [e.ids for e in self.bare.encode_batch([MARK + w for w in new], add_special_tokens=False)]
+        ids = [e.ids for e in self.bare.encode_batch_fast([MARK + w for w in new], add_special_tokens=False)]
         # the lone marker of a space at the end is no text of its own
         self.check(self.differ(*zip(*[x for x in zip(new, ids) if x[0]])) if verify and any(new) else [])
         for w, x in zip(new, ids):
