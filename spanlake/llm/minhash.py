@@ -157,7 +157,7 @@ def _shingle_counts(words: int):
 def _prefix_rows(counts: np.ndarray, threshold: float, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            owners, grams, sizes = [], [], []
+            owners, grams, sizes, places, lows, highs = [], [], [], [], [], []
             for lo, hi, hashes, bounds in words_of([t.lower().encode() for t in batch.column("text").to_pylist()]):
                 for i in range(hi - lo):
                     own = shingle_set(hashes[bounds[i] : bounds[i + 1]], words)[0]
@@ -166,9 +166,15 @@ def _prefix_rows(counts: np.ndarray, threshold: float, words: int):
                     grams.append(rare[:take])
                     owners.append(np.full(take, lo + i))
                     sizes.append(np.full(take, len(own)))
+                    places.append(np.arange(take))
+                    for half, held in ((0, lows), (1, highs)):
+                        mine = own[(own >> U64(6)) & U64(1) == U64(half)]
+                        held.append(np.full(take, np.bitwise_xor.reduce(U64(1) << (mine & U64(63)), initial=U64(0)), U64))
             at = np.concatenate(owners).astype(np.int64)
             cols = [pa.array(np.asarray(batch.column(c))[at]) for c in ("id", "label", "open")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(sizes).astype(np.int64)), *cols], ["gram", "n", "id", "label", "open"])
+            own_cols = [np.concatenate(x) for x in (grams, sizes, places, lows, highs)]
+            own_cols = [pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64)) for x in own_cols]
+            yield pa.RecordBatch.from_arrays([*own_cols, *cols], ["gram", "n", "pos", "low", "high", "id", "label", "open"])
 
     return run
 
@@ -177,7 +183,9 @@ def prefix_pairs(asked: DataFrame, texts: DataFrame, threshold: float, words: in
     """All pairs (a, b) of ``asked`` (id, label, open) that may be near, one of them open, of different labels.
 
     Sets of Jaccard similarity t share one of their rarest ``n - ceil(t n) + 1`` shingles, so texts
-    whose rare shingles are their own meet nobody, however many others they share a bucket with.
+    whose rare shingles are their own meet nobody, however many others they share a bucket with. At the
+    first shared one enough must be left to share, and of 128 bits, each flipped by some shingles, no
+    more may differ than shingles that need not be shared.
     Rarity is counted over the asked texts in ``COUNTERS`` slots; the counts alone reach the driver.
     """
     spark = asked.sparkSession
@@ -185,10 +193,14 @@ def prefix_pairs(asked: DataFrame, texts: DataFrame, threshold: float, words: in
     counts = np.zeros(COUNTERS, np.int64)
     got = rows.mapInArrow(_shingle_counts(words), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts[np.asarray(got.column("slot"))] = np.asarray(got.column("n"))
-    entries = rows.mapInArrow(_prefix_rows(counts, threshold, words), "gram long, n long, id long, label long, open int")
+    entries = rows.mapInArrow(_prefix_rows(counts, threshold, words), "gram long, n long, pos long, low long, high long, id long, label long, open int")
     entries = entries.repartition(shuffle_partitions(spark), "gram")
-    other = entries.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("n", "id", "label", "open")))
-    sizes = F.least("n", "y_n") >= F.lit(threshold) * F.greatest("n", "y_n") - F.lit(1e-9)
+    other = entries.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("n", "pos", "low", "high", "id", "label", "open")))
+    # sizes, what is left to share after the shared shingle, and the bits that unshared shingles can flip
+    n, m = F.col("n"), F.col("y_n")
+    shared = F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    bits = F.bit_count(F.col("low").bitwiseXOR(F.col("y_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("y_high")))
+    sizes = (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9)) & (F.least(n - F.col("pos"), m - F.col("y_pos")) >= shared) & (bits <= n + m - 2 * shared)
     met = entries.join(other, "gram").filter((F.col("id") < F.col("y_id")) & (F.col("open") + F.col("y_open") > 0) & (F.col("label") != F.col("y_label")) & sizes)
     return met.select(F.col("id").alias("a"), F.col("y_id").alias("b")).distinct()
 
