@@ -80,20 +80,21 @@ def match_kind(bm25: Column, vector: Column) -> Column:
 
 
 def hybrid_search(
-    queries: DataFrame, index: SearchIndex, mode: str = "hybrid", limit: int = 10, k: int = RRF_K, vector_pool: int | None = None
-) -> DataFrame:
+    queries: DataFrame, index: SearchIndex, mode: str = "hybrid", limit: int = 10, k: int = RRF_K, vector_pool: int | None = None,
+    scan_factor: int | None = None,
+) -> DataFrame:
     """(query_id, chunk_id, score, bm25, vector, start, end, rank).
 
     With a limit, each arm brings max(3 * limit, 20) candidates; without, all keyword matches and the
     ``vector_pool`` nearest chunks, by default every embedded chunk. A query without a vector is ranked
-    by the other arms alone.
+    by the other arms alone. ``scan_factor`` cuts the passage arm (see ``passage_search``).
     """
     mode = mode if mode in ("keyword", "semantic") else "hybrid"
     arm_limit = max(3 * limit, 20) if limit > 0 else 0
     bm25 = passage = vector = None
     if mode != "semantic":
         bm25 = bm25_search(queries, index.keyword, arm_limit)
-        passage = passage_search(queries, index.passages, arm_limit)
+        passage = passage_search(queries, index.passages, arm_limit, scan_factor=scan_factor)
     if mode != "keyword" and "vec" in queries.columns:
         depth = arm_limit or vector_pool or max(1, index.chunks.filter(F.size("vec") > 0).count())
         vector = vector_search(queries, index.chunks, depth)
@@ -145,7 +146,9 @@ def expand_queries(nodes: DataFrame) -> DataFrame:
     )
 
 
-def suggest(nodes: DataFrame, index: SearchIndex, used: DataFrame | None = None, limit: int = 5) -> DataFrame:
+def suggest(
+    nodes: DataFrame, index: SearchIndex, used: DataFrame | None = None, limit: int = 5, scan_factor: int | None = None
+) -> DataFrame:
     """Chunk suggestions for nodes: (node_id, rank, chunk_id, label, score, confidence).
 
     ``nodes`` may carry ``vec`` as the query vector of its variants.
@@ -157,7 +160,7 @@ def suggest(nodes: DataFrame, index: SearchIndex, used: DataFrame | None = None,
     )
     if "vec" in nodes.columns:
         variants = variants.join(nodes.select("node_id", "vec"), "node_id")
-    hits = hybrid_search(variants.drop("node_id"), index, limit=2 * limit)
+    hits = hybrid_search(variants.drop("node_id"), index, limit=2 * limit, scan_factor=scan_factor)
     lists = hits.join(variants.select("node_id", "query_id"), "query_id").select(
         F.col("node_id").alias("query_id"), F.col("query_id").alias("list_id"), "chunk_id", "rank"
     )
@@ -186,8 +189,9 @@ def suggest(nodes: DataFrame, index: SearchIndex, used: DataFrame | None = None,
 
 
 def context_check(
-    nodes: DataFrame, node_chunks: DataFrame, index: SearchIndex, threshold: float | None = None
-) -> DataFrame:
+    nodes: DataFrame, node_chunks: DataFrame, index: SearchIndex, threshold: float | None = None,
+    scan_factor: int | None = None,
+) -> DataFrame:
     """Does a node's evidence fit its parent: (node_id, score, in_context, message).
 
     nodes: (node_id, parent_title [, vec]); node_chunks: (node_id, chunk_id).
@@ -199,7 +203,7 @@ def context_check(
         F.col("parent_title").alias("text"),
         *([F.col("vec")] if "vec" in nodes.columns else []),
     )
-    hits = hybrid_search(queries, index, limit=50).select(
+    hits = hybrid_search(queries, index, limit=50, scan_factor=scan_factor).select(
         F.col("query_id").alias("node_id"), "chunk_id", "score", "rank"
     )
     top = hits.filter("rank = 1").select("node_id", F.col("score").alias("top"))

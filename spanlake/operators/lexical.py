@@ -132,9 +132,12 @@ def score_bm25(queries: DataFrame, index: LexicalIndex, salts: int = 16) -> Data
     return hits.groupBy("query_id", *index.ids).agg(F.sum(part).alias("score"))
 
 
-def _best_hits(queries: DataFrame, index: LexicalIndex, k: int) -> DataFrame | None:
+def _best_hits(queries: DataFrame, index: LexicalIndex, k: int, per_chunk: bool = False) -> DataFrame | None:
     """At most k scored hits per query and task, or None when the query table is not small.
 
+    With ``per_chunk`` only the best hit of each first id counts, so a task gives k different ones; a
+    chunk among the best k of all is among the best k of the task that has its best hit.
+
     The query weights (checked to be few) go to every task; a document's matching postings stand in one
     row, and a block of documents is scored against all queries at once, so that only the best hits
     become rows.
@@ -189,12 +192,23 @@ def _best_hits(queries: DataFrame, index: LexicalIndex, k: int) -> DataFrame | N
                 names = [part.column(c).to_pandas().to_numpy() for c in ids]
                 place = np.empty(n, dtype=np.int64)
                 place[np.lexsort([x.astype(str) if x.dtype == object else x for x in names[::-1]])] = np.arange(n)
-                q, d = best_per_row(scores, place, k, scores <= 0, None)
+                if per_chunk:
+                    d = _best_of_each(scores, names[0], place)
+                    picked = np.take_along_axis(scores, d, axis=1)
+                    q, c = best_per_row(picked, np.arange(d.shape[1]), k, picked <= 0, None)
+                    d = d[q, c]
+                else:
+                    q, d = best_per_row(scores, place, k, scores <= 0, None)
                 new = [q, scores[q, d], *[x[d] for x in names]]
                 both = new if kept is None else [np.concatenate([a, b]) for a, b in zip(kept, new)]
                 keys = [x.astype(str) if x.dtype == object else x for x in both[2:]]
                 by = np.lexsort([*keys[::-1], -np.round(both[1], 9), both[0]])
                 both = [x[by] for x in both]
+                if per_chunk:
+                    # rows are in rank order: the first of a query and chunk stays
+                    _, chunk = np.unique(both[2].astype(str), return_inverse=True)
+                    _, head = np.unique(both[0] * len(chunk) + chunk, return_index=True)
+                    both = [x[np.sort(head)] for x in both]
                 start = np.searchsorted(both[0], both[0], side="left")
                 mine = np.arange(len(both[0])) - start < k
                 kept = [x[mine] for x in both]
@@ -211,6 +225,18 @@ def _best_hits(queries: DataFrame, index: LexicalIndex, k: int) -> DataFrame | N
     return rows.mapInArrow(scan, schema)
 
 
+def _best_of_each(scores: np.ndarray, chunk: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each query (row) and chunk the column of its best hit, equal ones by place; chunks in order of id."""
+    order = np.argsort(place)
+    ids = chunk[order].astype(str)
+    head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    size = np.diff(np.concatenate([head, [len(ids)]]))
+    rounded = np.round(scores[:, order], 9)
+    best = np.repeat(np.maximum.reduceat(rounded, head, axis=1), size, axis=1)
+    first = np.minimum.reduceat(np.where(rounded == best, np.arange(len(ids)), len(ids)), head, axis=1)
+    return order[first]
+
+
 def bm25_search(queries: DataFrame, index: LexicalIndex, k: int = 10, salts: int = 16) -> DataFrame:
     """(query_id, *ids, score, rank); ``k`` <= 0 ranks every match."""
     best = _best_hits(queries, index, k) if k > 0 else None
@@ -225,15 +251,19 @@ def rank_hits(hits: DataFrame, k: int, ids: Sequence[str] = ("chunk_id",)) -> Da
     return with_ordinal(hits, ["query_id"], order, "rank", start=1).withColumn("rank", F.col("rank").cast("int"))
 
 
-def passage_search(queries: DataFrame, index: LexicalIndex, k: int = 10, salts: int = 16) -> DataFrame:
+def passage_search(
+    queries: DataFrame, index: LexicalIndex, k: int = 10, salts: int = 16, scan_factor: int | None = None
+) -> DataFrame:
     """Chunks ranked by their best passage: (query_id, chunk_id, score, start, end, rank).
 
-    With a limit, the best 3k passages are looked at, in rank order; without, all of them.
+    Every passage is looked at. ``scan_factor`` is a cut: only the best ``scan_factor * k`` passages of a
+    query are, so that a chunk with many good ones can leave fewer than k chunks.
     """
-    if k > 0:
-        hits = bm25_search(queries, index, 3 * k, salts).drop("rank")
+    if k > 0 and scan_factor:
+        hits = bm25_search(queries, index, scan_factor * k, salts).drop("rank")
     else:
-        hits = score_bm25(queries, index, salts)
+        hits = _best_hits(queries, index, k, per_chunk=True) if k > 0 else None
+        hits = hits if hits is not None else score_bm25(queries, index, salts)
     best = hits.groupBy("query_id", "chunk_id").agg(
         F.min(F.struct((-F.round("score", 9)).alias("neg"), "start", "end", "score")).alias("b")
     )

@@ -427,9 +427,9 @@ ORACLE: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def passage_arm_sql(limit: int) -> tuple[tuple[str, ...], str]:
-    """Ranked passage arm at a limit (0: the whole pool)."""
-    looked = f"WHERE r <= {3 * limit}" if limit else ""
+def passage_arm_sql(limit: int, scan: int | None = 3) -> tuple[tuple[str, ...], str]:
+    """Ranked passage arm at a limit (0: the whole pool), from the best ``scan * limit`` passages or all (None)."""
+    looked = f"WHERE r <= {scan * limit}" if limit and scan else ""
     keep = f"WHERE rank <= {limit}" if limit else ""
     return (
         ("pbm",),
@@ -439,7 +439,7 @@ def passage_arm_sql(limit: int) -> tuple[tuple[str, ...], str]:
     )
 
 
-def fused_sql(limit: int, mode: str = "hybrid", arm: int | None = None) -> dict[str, tuple[tuple[str, ...], str]]:
+def fused_sql(limit: int, mode: str = "hybrid", arm: int | None = None, scan: int | None = 3) -> dict[str, tuple[tuple[str, ...], str]]:
     """The fused pool and its ranking at a limit (0: everything)."""
     arm = (max(3 * limit, 20) if limit else 0) if arm is None else arm
     bk = f"WHERE rank <= {arm}" if arm else ""
@@ -458,7 +458,7 @@ def fused_sql(limit: int, mode: str = "hybrid", arm: int | None = None) -> dict[
         deps.append("vec_arm")
     keep = f"WHERE rank <= {limit}" if limit else ""
     return {
-        "parm": passage_arm_sql(arm),
+        "parm": passage_arm_sql(arm, scan),
         "fused": (
             tuple(deps),
             "SELECT query_id, chunk_id, sum(bm25) AS bm25, sum(vector) AS vector, max(s) AS s, max(e) AS e, sum(bm25) + sum(vector) AS score FROM ("

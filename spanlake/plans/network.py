@@ -64,7 +64,7 @@ def merge_undersized(spark, sf):
 def _hits(spark, sf):
     idx = SearchIndex(fx.docs_with_vec(spark, sf))
     q = fx.queries_with_vec(spark, sf)
-    return q, hybrid_search(q, idx, limit=20)
+    return q, hybrid_search(q, idx, limit=20, scan_factor=3)
 
 
 def cluster_per_query(spark, sf):

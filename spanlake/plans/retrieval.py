@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from spanlake.operators import fusion, lexical
@@ -10,6 +12,7 @@ from spanlake.plans import fixtures as fx
 from spanlake.plans.fixtures import oracle
 
 LIMIT = 10
+SCAN = 3  # the reference looks at the best 3k passages only; the queries named _all look at every one
 
 
 def _r(col: str, places: int = 6):
@@ -51,11 +54,14 @@ def upsert_bm25(spark, sf):
     )
 
 
-def passage_search(spark, sf):
-    index = lexical.build_passage_index(fx.docs(spark, sf))
-    return lexical.passage_search(fx.queries(spark, sf), index, LIMIT).select(
-        "query_id", "chunk_id", "start", "end", "rank", _r("score")
-    )
+def _passage(scan):
+    def run(spark, sf):
+        index = lexical.build_passage_index(fx.docs(spark, sf))
+        return lexical.passage_search(fx.queries(spark, sf), index, LIMIT, scan_factor=scan).select(
+            "query_id", "chunk_id", "start", "end", "rank", _r("score")
+        )
+
+    return run
 
 
 def vector_search_q(spark, sf):
@@ -74,11 +80,11 @@ def _index(spark, sf):
     return fusion.SearchIndex(fx.docs_with_vec(spark, sf))
 
 
-def rrf_fuse_arms(spark, sf):
+def rrf_fuse_arms(spark, sf, scan=SCAN):
     idx, q = _index(spark, sf), fx.queries_with_vec(spark, sf)
     return fusion.rrf_fuse_arms(
         lexical.bm25_search(q, idx.keyword, 20),
-        lexical.passage_search(q, idx.passages, 20),
+        lexical.passage_search(q, idx.passages, 20, scan_factor=scan),
         vector_search(q, idx.chunks, 20),
     ).select("query_id", "chunk_id", "start", "end", _r("bm25", 8), _r("vector", 8), _r("score", 8))
 
@@ -93,10 +99,10 @@ def rrf_fuse_lists(spark, sf):
     return fusion.rrf_fuse_lists(lists).select("query_id", "chunk_id", _r("score", 8))
 
 
-def _hybrid(mode):
+def _hybrid(mode, scan=SCAN):
     def run(spark, sf):
         return fusion.hybrid_search(
-            fx.queries_with_vec(spark, sf), _index(spark, sf), mode=mode, limit=LIMIT
+            fx.queries_with_vec(spark, sf), _index(spark, sf), mode=mode, limit=LIMIT, scan_factor=scan
         ).select("query_id", "chunk_id", "rank", "start", "end", _r("score", 8))
 
     return run
@@ -134,24 +140,24 @@ def _bullets(spark, sf):
     )
 
 
-def suggest(spark, sf):
+def suggest(spark, sf, scan=SCAN):
     nodes = _bullets(spark, sf)
     used = fx.queries(spark, sf).select(
         F.col("query_id").alias("node_id"), fx.chunk_key(F.col("query_id")).alias("chunk_id")
     )
-    return fusion.suggest(nodes, _index(spark, sf), used, limit=5).select(
+    return fusion.suggest(nodes, _index(spark, sf), used, limit=5, scan_factor=scan).select(
         "node_id", "rank", "chunk_id", "label", _r("score", 8), _r("confidence", 6)
     )
 
 
-def context_check(spark, sf):
+def context_check(spark, sf, scan=SCAN):
     nodes = _bullets(spark, sf).withColumn(
         "parent_title", F.when(F.col("node_id") % 5 == 0, "").otherwise(F.col("title"))
     )
     mine = fx.table(spark, sf, "labels").select(
         (F.col("doc_id") % 40).alias("node_id"), fx.chunk_key(F.col("doc_id")).alias("chunk_id")
     )
-    return fusion.context_check(nodes, mine, _index(spark, sf)).select("node_id", _r("score"), "in_context", "message")
+    return fusion.context_check(nodes, mine, _index(spark, sf), scan_factor=scan).select("node_id", _r("score"), "in_context", "message")
 
 
 def rank_regions_q(spark, sf):
@@ -166,18 +172,24 @@ QUERIES = {
     "bm25_search": bm25_search,
     "idf": idf,
     "upsert_bm25": upsert_bm25,
-    "passage_search": passage_search,
+    "passage_search": _passage(SCAN),
+    "passage_search_all": _passage(None),
     "vector_search": vector_search_q,
     "vector_search_ann": vector_search_ann_q,
     "rrf_fuse_arms": rrf_fuse_arms,
+    "rrf_fuse_arms_all": partial(rrf_fuse_arms, scan=None),
     "rrf_fuse_lists": rrf_fuse_lists,
     "match_kind": match_kind,
     "hybrid_search": _hybrid("hybrid"),
+    "hybrid_search_all": _hybrid("hybrid", None),
     "hybrid_search_keyword": _hybrid("keyword"),
+    "hybrid_search_keyword_all": _hybrid("keyword", None),
     "hybrid_search_semantic": _hybrid("semantic"),
     "ranked_page": ranked_page,
     "suggest": suggest,
+    "suggest_all": partial(suggest, scan=None),
     "context_check": context_check,
+    "context_check_all": partial(context_check, scan=None),
     "rank_regions": rank_regions_q,
 }
 
@@ -187,19 +199,19 @@ nodesq AS (SELECT item_id AS node_id, substring(text, 1, 60) AS title, substring
 """
 
 
-def _hybrid_sql(mode: str) -> str:
+def _hybrid_sql(mode: str, scan: int | None = SCAN) -> str:
     return oracle(
         "SELECT query_id, chunk_id, rank, s AS \"start\", e AS \"end\", round(score, 8) AS score FROM pool",
         "pool",
-        extra=fused_extra(mode),
+        extra=fused_extra(mode, scan=scan),
     )
 
 
-def fused_extra(mode: str = "hybrid", limit: int = LIMIT):
-    return fx.fused_sql(limit, mode)
+def fused_extra(mode: str = "hybrid", limit: int = LIMIT, scan: int | None = SCAN):
+    return fx.fused_sql(limit, mode, scan=scan)
 
 
-def _suggest_sql() -> str:
+def _suggest_sql(scan: int | None = SCAN) -> str:
     from spanlake.functions.wordlists import QUERY_STOP_WORDS, SUGGESTION_SUFFIXES
 
     stop = fx._quoted(QUERY_STOP_WORDS)
@@ -227,7 +239,7 @@ def _suggest_sql() -> str:
             ("variants",),
             "SELECT node_id || '#' || variant AS query_id, embedding::DOUBLE[] AS vec FROM variants JOIN embeddings ON vec_id = node_id",
         ),
-        **fx.fused_sql(10),
+        **fx.fused_sql(10, scan=scan),
     }
     return oracle(
         f"""SELECT node_id, rank, chunk_id, trim(title) || ' — ' || ([{suffixes}])[((rank - 1) % 5 + 1)::INT] AS label, round(score, 8) AS score,
@@ -241,14 +253,14 @@ def _suggest_sql() -> str:
     )
 
 
-def _context_sql() -> str:
+def _context_sql(scan: int | None = SCAN) -> str:
     extra = {
         "q": ((), "SELECT item_id AS query_id, substring(text, 1, 60) AS text FROM benchmark WHERE item_id % 5 <> 0"),
         "qv": (
             (),
             "SELECT item_id AS query_id, embedding::DOUBLE[] AS vec FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 5 <> 0",
         ),
-        **fx.fused_sql(50),
+        **fx.fused_sql(50, scan=scan),
     }
     return oracle(
         """SELECT item_id AS node_id, round(coalesce(sc, 1.0), 6) AS score, coalesce(sc, 1.0) >= 0.3 AS in_context,
@@ -292,6 +304,11 @@ ORACLES = {
         "parm",
         extra={"parm": fx.passage_arm_sql(LIMIT)},
     ),
+    "passage_search_all": oracle(
+        "SELECT query_id, chunk_id, s AS \"start\", e AS \"end\", rank, round(score, 6) AS score FROM parm",
+        "parm",
+        extra={"parm": fx.passage_arm_sql(LIMIT, None)},
+    ),
     "vector_search": oracle(
         f"SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM vec_ranked WHERE rank <= {LIMIT}", "vec_ranked"
     ),
@@ -300,6 +317,11 @@ ORACLES = {
         "fused",
         extra=fx.fused_sql(1, arm=20),
     ),
+    "rrf_fuse_arms_all": oracle(
+        "SELECT query_id, chunk_id, s AS \"start\", e AS \"end\", round(bm25, 8) AS bm25, round(vector, 8) AS vector, round(score, 8) AS score FROM fused",
+        "fused",
+        extra=fx.fused_sql(1, arm=20, scan=None),
+    ),
     "rrf_fuse_lists": oracle(
         """SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT query_id, chunk_id, rank FROM bm_ranked WHERE rank <= 20
         UNION ALL SELECT query_id, chunk_id, rank FROM vec_arm WHERE rank <= 20) GROUP BY ALL""",
@@ -313,7 +335,9 @@ ORACLES = {
         extra=fx.fused_sql(0),
     ),
     "hybrid_search": _hybrid_sql("hybrid"),
+    "hybrid_search_all": _hybrid_sql("hybrid", None),
     "hybrid_search_keyword": _hybrid_sql("keyword"),
+    "hybrid_search_keyword_all": _hybrid_sql("keyword", None),
     "hybrid_search_semantic": _hybrid_sql("semantic"),
     "ranked_page": oracle(
         """SELECT query_id, chunk_id, rank, total, least(greatest(query_id % 9, 1), pages) AS page, page_size, pages, round(score / top, 6) AS score_norm
@@ -324,7 +348,9 @@ ORACLES = {
         "bm_ranked",
     ),
     "suggest": _suggest_sql(),
+    "suggest_all": _suggest_sql(None),
     "context_check": _context_sql(),
+    "context_check_all": _context_sql(None),
     "rank_regions": oracle(
         """SELECT query_id, region_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, region_id) AS rank FROM (
         SELECT query_id, region_id, list_dot_product(vec, centroid) / sqrt(list_dot_product(vec, vec)) / sqrt(list_dot_product(centroid, centroid)) AS score FROM qv, centroids)) WHERE rank <= 5""",

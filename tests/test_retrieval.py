@@ -173,3 +173,20 @@ def test_find_evidence_cascade(spark):
     assert rows["d001"].how in ("semantic", "head") and rows["d001"].total == 3
     marked = [s.text for s in rows["d000"].segments if s.mark]
     assert marked == ["rare", "zebra"]
+
+
+LONG = " ".join(f"zebra stripes number {i} run over the wide plain and then rest." for i in range(200))
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_long_chunk_leaves_room_for_others(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(lx, "SMALL_TERMS", 0)
+    monkeypatch.setattr(lx, "DOC_BLOCK", 7)
+    d = docs(spark, [LONG, LONG, "a zebra " + "with many other words " * 20, "no match here", "one more zebra " + "and some other words too " * 20])
+    index, q = lx.build_passage_index(d), qs(spark, "zebra stripes run", "plain zebra")
+    whole, got, cut = (lx.passage_search(q, index, k, scan_factor=f).collect() for k, f in ((0, None), (3, None), (3, 3)))
+    key = lambda rows: sorted((r.query_id, r["rank"], r.chunk_id, r.start, r.end, round(r.score, 9)) for r in rows)
+    assert key(got) == [x for x in key(whole) if x[1] <= 3] and len(got) == 6
+    assert len(cut) < len(got)
+    assert len(fusion.hybrid_search(q, fusion.SearchIndex(d), limit=3).collect()) == 6
