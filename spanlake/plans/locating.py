@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from spanlake.operators import lexical, locate
@@ -9,42 +11,42 @@ from spanlake.operators.fusion import SearchIndex
 from spanlake.plans import fixtures as fx
 from spanlake.plans.fixtures import oracle
 
-PAIRS = 3  # located hits per query: the top of each keyword ranking
+PAIRS = 3  # located hits per query: the top of each keyword ranking; the queries named _all locate every hit (0)
 
 
-def _pairs(spark, sf):
+def _pairs(spark, sf, k):
     index = lexical.build_bm25(fx.docs(spark, sf))
     q = fx.queries(spark, sf)
-    hits = lexical.bm25_search(q, index, PAIRS).select("query_id", "chunk_id")
+    hits = lexical.bm25_search(q, index, k).select("query_id", "chunk_id")
     return q, index, hits.join(fx.docs(spark, sf), "chunk_id")
 
 
-def locate_passage(spark, sf):
-    q, index, pairs = _pairs(spark, sf)
+def locate_passage(spark, sf, k=PAIRS):
+    q, index, pairs = _pairs(spark, sf, k)
     win, _ = locate.locate_passage(pairs, locate.query_weights(q, index))
     return win.select("query_id", "chunk_id", "win_start", "win_end", F.round("score", 6).alias("score"))
 
 
-def locate_passage_sentences(spark, sf):
-    q, index, pairs = _pairs(spark, sf)
+def locate_passage_sentences(spark, sf, k=PAIRS):
+    q, index, pairs = _pairs(spark, sf, k)
     _, scores = locate.locate_passage(pairs, locate.query_weights(q, index))
     return scores.select("query_id", "chunk_id", "sent", "start", "end", F.round("score", 6).alias("score"))
 
 
-def locate_window(spark, sf):
-    q, index, pairs = _pairs(spark, sf)
+def locate_window(spark, sf, k=PAIRS):
+    q, index, pairs = _pairs(spark, sf, k)
     win = locate.locate_window(pairs, locate.query_weights(q, index))
     return win.select("query_id", "chunk_id", "win_start", "win_end", F.round("score", 6).alias("score"))
 
 
-def semantic_locate(spark, sf):
-    q, _, pairs = _pairs(spark, sf)
+def semantic_locate(spark, sf, k=PAIRS):
+    q, _, pairs = _pairs(spark, sf, k)
     win, _ = locate.semantic_locate(pairs, q)
     return win.select("query_id", "chunk_id", "win_start", "win_end", F.round("score", 5).alias("score"))
 
 
-def multi_span_snippet(spark, sf):
-    q, index, pairs = _pairs(spark, sf)
+def multi_span_snippet(spark, sf, k=PAIRS):
+    q, index, pairs = _pairs(spark, sf, k)
     _, scores = locate.locate_passage(pairs, locate.query_weights(q, index), max_window=1 << 20)
     return locate.multi_span_groups(scores, budget=900).select(
         "query_id", "chunk_id", "ord", "start", "end", F.round("score", 6).alias("score"), "focus"
@@ -68,9 +70,15 @@ QUERIES = {
     "multi_span_snippet": multi_span_snippet,
     "find_evidence": find_evidence,
 }
+_LOCATED = [n for n in QUERIES if n != "find_evidence"]
+QUERIES |= {f"{n}_all": partial(QUERIES[n], k=0) for n in _LOCATED}
+
+
+def _pairs_sql(k: int) -> dict:
+    return {"pairs": (("bm_ranked",), "SELECT query_id, chunk_id FROM bm_ranked" + (f" WHERE rank <= {k}" if k else ""))}
+
 
 _BASE = {
-    "pairs": (("bm_ranked",), f"SELECT query_id, chunk_id FROM bm_ranked WHERE rank <= {PAIRS}"),
     "wts": (
         ("qt", "dfs", "dstat"),
         "SELECT query_id, term, ln((n_docs - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1.0) AS w FROM qt LEFT JOIN dfs USING (term), dstat",
@@ -101,9 +109,10 @@ _BASE = {
 }
 
 
-def _bounded(max_w: int) -> dict:
+def _bounded(max_w: int, k: int) -> dict:
     return {
         **_BASE,
+        **_pairs_sql(k),
         "okb": (
             ("bestsc", "sent"),
             f"SELECT b.query_id, b.chunk_id, b.sent, b.raw, s.s, s.e FROM bestsc b JOIN sent s USING (chunk_id, sent) WHERE s.e - s.s <= {max_w}",
@@ -116,36 +125,40 @@ def _bounded(max_w: int) -> dict:
     }
 
 
-ORACLES = {
-    "locate_passage": oracle(
-        """SELECT query_id, chunk_id, CASE WHEN coalesce(w1 + o.s - p.s <= 240, false) THEN p.s ELSE o.s END AS win_start, CASE WHEN tn THEN ne ELSE oe END AS win_end, round(raw, 6) AS score
+def _oracles(k: int) -> dict[str, str]:
+    return {
+        "locate_passage": oracle(
+            """SELECT query_id, chunk_id, CASE WHEN coalesce(w1 + o.s - p.s <= 240, false) THEN p.s ELSE o.s END AS win_start, CASE WHEN tn THEN ne ELSE oe END AS win_end, round(raw, 6) AS score
         FROM (SELECT o.query_id, o.chunk_id, o.sent, o.raw, o.s, o.e AS oe, n.e AS ne, coalesce(n.e - o.s <= 240, false) AS tn, CASE WHEN coalesce(n.e - o.s <= 240, false) THEN n.e - o.s ELSE o.e - o.s END AS w1
         FROM okb o LEFT JOIN sent n ON n.chunk_id = o.chunk_id AND n.sent = o.sent + 1) o LEFT JOIN (SELECT chunk_id, sent + 1 AS sent, s FROM sent) p USING (chunk_id, sent)""",
-        "okb",
-        extra=_bounded(240),
-    ),
-    "locate_passage_sentences": oracle(
-        'SELECT query_id, chunk_id, sent, s AS "start", e AS "end", round(score, 6) AS score FROM scores', "scores", extra=_bounded(240)
-    ),
-    "locate_window": oracle(
-        """SELECT query_id, chunk_id, CASE WHEN s < e THEN s ELSE ws END AS win_start, CASE WHEN s < e THEN e ELSE we END AS win_end, round(sum, 6) AS score FROM (
+            "okb",
+            extra=_bounded(240, k),
+        ),
+        "locate_passage_sentences": oracle(
+            'SELECT query_id, chunk_id, sent, s AS "start", e AS "end", round(score, 6) AS score FROM scores', "scores", extra=_bounded(240, k)
+        ),
+        "locate_window": oracle(
+            """SELECT query_id, chunk_id, CASE WHEN s < e THEN s ELSE ws END AS win_start, CASE WHEN s < e THEN e ELSE we END AS win_end, round(sum, 6) AS score FROM (
         SELECT p.query_id, p.chunk_id, ws, we, sum, coalesce(max(CASE WHEN t.s < ws AND t.e > ws THEN t.e END), min(ws)) AS s, coalesce(min(CASE WHEN t.s < we AND t.e > we THEN t.s END), min(we)) AS e
         FROM (SELECT query_id, chunk_id, sum, greatest(st - greatest(240 - (last - st), 0) // 2, 0) AS ws, least(last + greatest(240 - (last - st), 0) - greatest(240 - (last - st), 0) // 2, total) AS we
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(sum, 9) DESC, st) AS r FROM (
         SELECT a.query_id, a.chunk_id, a.s AS st, sum(b.w) AS sum, max(b.e) AS last FROM hit a JOIN hit b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.s >= a.s AND b.e - a.s <= 240 GROUP BY ALL))
         JOIN (SELECT chunk_id, max(e) AS total FROM toks GROUP BY chunk_id) USING (chunk_id) WHERE r = 1) p JOIN toks t USING (chunk_id) GROUP BY ALL)""",
-        "hit",
-        "toks",
-        extra=_BASE,
-    ),
-    "multi_span_snippet": oracle(
-        """SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY s) AS ord, s AS "start", e AS "end", round(score, 6) AS score, r = 1 AS focus FROM (
+            "hit",
+            "toks",
+            extra=_BASE | _pairs_sql(k),
+        ),
+        "multi_span_snippet": oracle(
+            """SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY s) AS ord, s AS "start", e AS "end", round(score, 6) AS score, r = 1 AS focus FROM (
         SELECT *, max(width) OVER (PARTITION BY query_id, chunk_id) AS total FROM (SELECT *, max(CASE WHEN r = 3 THEN width END) OVER (PARTITION BY query_id, chunk_id) AS w3 FROM (
         SELECT *, count(*) OVER (PARTITION BY query_id, chunk_id) AS n, sum(e - s + 3) OVER (PARTITION BY query_id, chunk_id ORDER BY r) AS width FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(score, 9) DESC, s) AS r FROM (
         SELECT query_id, chunk_id, min(s) AS s, max(e) AS e, max(score) AS score FROM (SELECT *, sent - row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY sent) AS isl FROM scores WHERE score >= 0.5) GROUP BY query_id, chunk_id, isl)) WHERE r <= 3))
         WHERE n >= 2 AND r <= CASE WHEN w3 <= 900 THEN 3 ELSE 2 END) WHERE total <= 900""",
-        "scores",
-        extra=_bounded(1 << 20),
-    ),
-}
+            "scores",
+            extra=_bounded(1 << 20, k),
+        ),
+    }
+
+
+ORACLES = _oracles(PAIRS) | {f"{n}_all": text for n, text in _oracles(0).items()}

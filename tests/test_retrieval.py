@@ -190,3 +190,13 @@ def test_long_chunk_leaves_room_for_others(spark, monkeypatch, small):
     assert key(got) == [x for x in key(whole) if x[1] <= 3] and len(got) == 6
     assert len(cut) < len(got)
     assert len(fusion.hybrid_search(q, fusion.SearchIndex(d), limit=3).collect()) == 6
+
+
+def test_every_hit_is_located(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    key = ("query_id", "chunk_id")
+    located = {tuple(r[c] for c in key) for r in entry.queries()["locate_passage_sentences_all"](spark, sf).select(*key).distinct().collect()}
+    top = {tuple(r[c] for c in key) for r in entry.queries()["locate_passage_sentences"](spark, sf).select(*key).distinct().collect()}
+    assert top < located and len(located) > 3 * 40
