@@ -230,6 +230,30 @@ def test_toxicity_held_out(spark):
     assert toxicity.graded(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("sf, recall, precision", [("0.01", 0.6, 0.9), ("0.1", 0.9, 0.95)])
+def test_toxic_flag_held_out(spark, sf, recall, precision):
+    """Learned and set on the even labels, judged on the odd ones."""
+    folder = f"/root/testdata/sf{sf}"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = {r.doc_id: r.toxic for r in toxicity.graded(docs, labels.filter("doc_id % 2 = 0")).collect()}
+    flags = [(bool(r.toxic), got[r.doc_id]) for r in labels.filter("doc_id % 2 = 1 and toxic is not null").collect()]
+    caught, bad, flagged = flags.count((True, True)), sum(t for t, _ in flags), sum(f for _, f in flags)
+    assert caught / bad > recall and caught / flagged > precision
+
+
+def test_unknown_toxic_has_no_grade(spark):
+    labels = spark.createDataFrame([(1, 0, None), (2, 0, 1), (3, 1, 1), (4, 0, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.grade for r in toxicity.label_grades(labels).collect()} == {1: None, 2: 2, 3: 1, 4: 0, 5: 1}
+
+
+def test_flag_threshold_has_best_f1():
+    rng = np.random.default_rng(5)
+    p, toxic = np.round(rng.random(200), 2), rng.random(200) < 0.2
+    f1 = lambda c: 2 * ((p >= c) & toxic).sum() / ((p >= c).sum() + toxic.sum())
+    assert f1(toxicity.flag_threshold(p, toxic)) == max(f1(c) for c in p)
+    assert toxicity.flag_threshold(p, toxic & False) == 0.5
+
+
 # 4 language
 
 
