@@ -144,16 +144,22 @@ def two_means(u: np.ndarray, raw: np.ndarray, max_iters: int) -> np.ndarray:
     return right
 
 
-def bisect(df: DataFrame, key: str, max_iters: int = 25) -> DataFrame:
-    """(key, chunk_id, side): one split of every cluster; each must fit a task (see ``cluster_chunks``)."""
+def bisect(df: DataFrame, key: str, max_iters: int = 25, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, chunk_id, side): one split of every cluster, however large.
 
-    def split(k: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_id")
-        side = two_means(_matrix(pdf["vec"]), _raw(pdf["vec"]), max_iters) if len(pdf) > 1 else np.zeros(len(pdf), bool)
-        return pd.DataFrame({key: k[0], "chunk_id": pdf["chunk_id"], "side": side.astype("int32")})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "chunk_id", "vec").groupBy(key).applyInPandas(split, f"{key} {kind}, chunk_id string, side int")
+    Farthest pairs come from products of block pairs, assignment and centroids from scans; two centroids
+    per cluster reach the driver. A cluster of one row is all left.
+    """
+    kind = df.schema[key].dataType
+    node = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))
+    rows = cut(df.select("chunk_id", "vec", node.alias("node")))
+    sizes = {r["node"]: r["count"] for r in rows.groupBy("node").count().collect()}
+    large = {k: n for k, n in sizes.items() if n > 1}
+    split = rows.filter(F.col("node").isin(list(large)))
+    halves = _bisect_large(split, large, ClusterParams(max_iters=max_iters), block_rows) if large else split
+    alone = rows.filter(~F.col("node").isin(list(large))).withColumn("node", F.concat("node", F.lit("0")))
+    of = F.when(F.col("node").startswith("k"), F.expr("substring(node, 2, length(node) - 2)")).cast(kind)
+    return halves.unionByName(alone).select(of.alias(key), "chunk_id", F.expr("right(node, 1)").cast("int").alias("side"))
 
 
 def _split_to_end(df: DataFrame, p: ClusterParams) -> DataFrame:
@@ -241,14 +247,14 @@ def _side_column(cents: dict[str, tuple[np.ndarray, np.ndarray]]):
     return assign
 
 
-def _bisect_large(big: DataFrame, sizes: dict[str, int], p: ClusterParams) -> DataFrame:
+def _bisect_large(big: DataFrame, sizes: dict[str, int], p: ClusterParams, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One split of every large cluster at once; only centroids (two per cluster) reach the driver."""
     if p.seeds == "two_hop":
         first = {r["node"]: r["c"] for r in big.groupBy("node").agg(F.min("chunk_id").alias("c")).collect()}
         a_ids = _farthest_from(big, _fetch(big, first))
         b_ids = _farthest_from(big, _fetch(big, a_ids))
     else:
-        blocks = {k: max(1, math.ceil(n / BLOCK_ROWS)) for k, n in sizes.items()}
+        blocks = {k: max(1, math.ceil(n / block_rows)) for k, n in sizes.items()}
         rows = _seeds_exact(big, blocks).collect()
         a_ids, b_ids = {r["node"]: r["a"] for r in rows}, {r["node"]: r["b"] for r in rows}
     a, b = _fetch(big, a_ids), _fetch(big, b_ids)

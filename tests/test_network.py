@@ -172,3 +172,18 @@ def test_build_and_prune(spark, tmp_path):
     assert store.read("region_members", "b2").count() == 30
     assert nw.prune_builds(store) == ["b1"]
     assert {r.build_id for r in store.read("regions").select("build_id").distinct().collect()} == {"b2"}
+
+
+def test_bisect_splits_a_cluster_over_many_tasks(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a" if i % 3 else None, f"c{i:03d}", rng.standard_normal(5).tolist()) for i in range(120)] + [("b", "c900", [1.0] * 5)]
+    want = {}
+    for key in ("a", None):
+        mine = sorted(r[1:] for r in rows if r[0] == key)
+        raw = np.array([v for _, v in mine])
+        side = cl.two_means(raw / np.linalg.norm(raw, axis=1, keepdims=True), raw, 25)
+        want |= {(key, c): int(x) for (c, _), x in zip(mine, side)}
+    df = spark.createDataFrame(rows, "region string, chunk_id string, vec array<double>")
+    split = cl.bisect(df, "region", block_rows=16)
+    assert "FlatMapGroupsInPandas" not in split._jdf.queryExecution().toString()
+    assert {(r.region, r.chunk_id): r.side for r in split.collect()} == want | {("b", "c900"): 0}
