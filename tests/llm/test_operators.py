@@ -603,3 +603,15 @@ def test_shards_of_little(spark):
     assert sharding.kd_shards(frame(spark, []), dims, shards=4).count() == 0
     got = sharding.kd_shards(frame(spark, [(1, "a"), (1, "a"), (2, "b")]), dims, shards=4).collect()
     assert len(got) == 3 and all(0 <= r.shard < 4 for r in got)
+
+
+def test_decoding_matches_sentencepiece():
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    model = pieces.read_model()
+    own = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t]
+    texts += ["", " a  b ", "Über \U0001f600 日本語\n\ttab", "x" * 500]
+    ids = [own.encode(t) for t in texts]
+    assert pieces.decode(ids, model) == [own.decode(x) for x in ids]
