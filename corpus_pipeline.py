@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanlake.llm import decontaminate, langid, line_dedup, minhash, pieces
 from spanlake.llm.scratch import stored
+from spanlake.ordered import with_ordinal
 
 #: A text of at least so many n-grams, of which no language has this share, is in none of them.
 LEAST_GRAMS, LEAST_COVERAGE = 20, 0.2
@@ -40,9 +41,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate class."""
-    later = minhash.near_duplicates(docs).filter("not is_first").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """The first row of each near-duplicate class.
+
+    Rows are numbered by doc_id, null ones last, and then by content, so that of rows with one id or with
+    none, too, a single one of a class stays.
+    """
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns)]
+    rows = stored(with_ordinal(docs.withColumn("_all", F.lit(0)), ["_all"], order, "_row"), "numbered")
+    found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    later = found.filter("not is_first").select(F.col("doc_id").alias("_row"))
+    return rows.join(later, "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

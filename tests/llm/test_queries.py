@@ -33,3 +33,13 @@ def test_stages_take_odd_tables(spark, i):
     got = {r.doc_id for r in stage(spark, spark.createDataFrame(rows, schema), SF).collect()}
     assert 3 in got
     assert stage(spark, spark.createDataFrame([], schema), SF).count() == 0
+
+
+def test_one_row_of_a_class_stays(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text, other = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    rows = [(7, text), (7, text), (None, text), (None, text), (9, other), (7, other), (8, text), (None, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], schema)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted([(7, text), (7, other), (5, None), (None, None)], key=key)
