@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import decontaminate, fingerprints, langid, line_dedup, minhash, pieces, sharding, sql, substring, toxicity, warc
+from spanlake.llm import (
+    cover_tree,
+    decontaminate,
+    fingerprints,
+    langid,
+    line_dedup,
+    minhash,
+    ngram_join,
+    pieces,
+    sharding,
+    sql,
+    substring,
+    toxicity,
+    warc,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,6 +89,22 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all vectors."""
+    return cover_tree.hard_negatives(_table(spark, folder, "embeddings"))
+
+
+def op12_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of similar four-word shingle sets."""
+    return ngram_join.linked_documents(_table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the 16 leading components, scaled to variance one."""
+    found = whitening.whitened(_table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
@@ -85,5 +116,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_whitening": op13_whitening,
+}
+ORACLES: dict[str, str] = {
+    "op1_warc": sql.OP1,
+    "op2_line_dedup": sql.OP2,
+    "op7_minhash": sql.OP7,
+    "op8_substring": sql.OP8,
+    "op11_hard_negatives": sql.OP11,
+    "op12_ngram_join": sql.OP12,
 }
-ORACLES: dict[str, str] = {"op1_warc": sql.OP1, "op2_line_dedup": sql.OP2, "op7_minhash": sql.OP7, "op8_substring": sql.OP8}

@@ -48,3 +48,25 @@ OP8 = r"""WITH d AS (SELECT doc_id, WORDS AS ws FROM documents),
     SELECT doc_id, len(ws) AS n_words, len(coalesce(g, [])) AS n_removed,
     sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(g, []), i)), ' ')) AS kept_sha256
     FROM d LEFT JOIN gone USING (doc_id)""".replace("WORDS", _WORDS.format("coalesce(text, '')"))
+
+OP11 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+    n AS (SELECT p.a, p.b, p.score, s.b AS neg, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+        FROM p JOIN s ON s.a = p.a WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+    SELECT a AS anchor_id, b AS positive_id, rank::INT AS rank, neg AS negative_id, score AS positive_score, ns AS negative_score FROM n WHERE rank <= 5"""
+
+OP12 = r"""WITH RECURSIVE d AS (SELECT doc_id, WORDS AS ws FROM documents),
+    i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM i),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b)
+    SELECT a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a""".replace(
+    "WORDS", _WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+)
