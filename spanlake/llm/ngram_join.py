@@ -31,8 +31,8 @@ from spanlake.llm.words import U64, mix, shingles, slices, words_of
 from spanlake.runtime import has_at_most, shuffle_partitions
 
 WORDS, PERCENT = 4, 85
-#: rounds against the shortest set of each tree, before the rest is paired
-ROUNDS = 3
+#: rounds in which a set meets one other, before the rest is paired
+ROUNDS = 4
 #: ids that are sent to every task; more are joined by a shuffle
 SMALL = 1_000_000
 #: partners of one set in a trie; more are dealt to several
@@ -218,8 +218,13 @@ def linked_sets(paths: DataFrame, percent: int) -> DataFrame | None:
             mine = mine.groupBy("g").agg(F.min_by(F.struct("y_sid", "y_n", "y_left", "y_label"), pick).alias("y")).select("g", "y.*")
         after = (F.col("n") > F.col("y_n")) | ((F.col("n") == F.col("y_n")) & (F.col("sid") > F.col("y_sid")))
         met = live.join(mine, "g").filter(after & (F.col("label") != F.col("y_label")) & _fits(percent))
-        pairs = met.select(F.col("y_sid").alias("a"), F.col("sid").alias("b")).distinct()
-        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        pairs = met.select(F.col("y_sid").alias("a"), F.col("sid").alias("b"), F.col("y_n").alias("n")).distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        if number < ROUNDS:  # a set is held against one other set a round, so that a class costs a pair a member
+            choice = F.struct("n", "a") if not number else F.struct(F.xxhash64(F.lit(number), "a"), "a")
+            pairs = pairs.groupBy("b").agg(F.min(choice).alias("one")).select(F.col("one.a").alias("a"), "b")
+        pairs = stored(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
             if number < ROUNDS:
                 continue
