@@ -11,7 +11,7 @@ cover it within its radius over ``BASE``, or until ``FANOUT``; each keeps the ra
 
 Search: anchors go to the pivots whose balls reach their window, then down the trees of those pivots. On each
 level all pairs of anchor and node outside the window are dropped; the leaves that are left are read best
-first, in rounds, and an anchor stops at a leaf that can't better its worst hit. Scores are integers.
+first, in rounds of one, two, four and so on, and an anchor stops at a leaf that can't better its worst hit. Scores are integers.
 """
 
 from __future__ import annotations
@@ -197,32 +197,40 @@ class Tree:
         who, leaf, above = self.leaves(q, q_square, label, low, high, same)
         order = np.lexsort((leaf, -above, who))
         who, leaf, above = who[order], leaf[order], above[order]
-        starts = np.searchsorted(who, np.arange(len(q) + 1))
-        kept_s = np.full((len(q), k), -_MANY)
-        kept_i = np.full((len(q), k), _MANY)
-        cursor, active = starts[:-1].copy(), np.arange(len(q))
+        cursor, end = np.searchsorted(who, np.arange(len(q))), np.searchsorted(who, np.arange(1, len(q) + 1))
+        worst = np.full(len(q), -_MANY)  # score of the last of a query's k hits
+        hits = tuple(np.empty(0, np.int64) for _ in range(3))
+        active, step = np.arange(len(q)), 1
         while True:
-            active = active[cursor[active] < starts[active + 1]]
             # best first: what is left of a query's leaves reaches no higher than the next one
-            active = active[above[cursor[active]] >= kept_s[active, -1]]
+            active = active[cursor[active] < end[active]]
+            active = active[above[cursor[active]] >= worst[active]]
             if not len(active):
-                break
-            nxt = leaf[cursor[active]]
-            cursor[active] += 1
-            for at in np.unique(nxt):
-                mine = active[nxt == at]
-                lo, hi = self.rows[at]
-                score = exact(q[mine], self.x[lo:hi])
-                own = self.labels[None, lo:hi] == label[mine][:, None]
-                good = (own if same else ~own) & (score >= low[mine][:, None]) & (score <= high[mine][:, None])
+                return hits
+            many = np.minimum(step, end[active] - cursor[active])
+            at = np.repeat(cursor[active], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            cursor[active] += many
+            step *= 2
+            at = at[above[at] >= worst[who[at]]]
+            at = at[np.argsort(leaf[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(leaf[at], prepend=-1, append=-1))
+            found = [hits]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                mine, (first, last) = who[at[lo:hi]], self.rows[leaf[at[lo]]]
+                score = exact(q[mine], self.x[first:last])
+                own = self.labels[None, first:last] == label[mine, None]
+                good = (own if same else ~own) & (score >= np.maximum(low, worst)[mine, None]) & (score <= high[mine, None])
                 if same:
-                    good &= self.ids[None, lo:hi] != q_ids[mine][:, None]
-                all_s = np.concatenate([kept_s[mine], np.where(good, score, -_MANY)], axis=1)
-                all_i = np.concatenate([kept_i[mine], np.where(good, np.broadcast_to(self.ids[lo:hi], score.shape), _MANY)], axis=1)
-                best = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-                kept_s[mine], kept_i[mine] = np.take_along_axis(all_s, best, 1), np.take_along_axis(all_i, best, 1)
-        row, col = np.nonzero(kept_i != _MANY)
-        return row, kept_i[row, col], kept_s[row, col]
+                    good &= self.ids[None, first:last] != q_ids[mine, None]
+                row, col = np.nonzero(good)
+                found.append((mine[row], self.ids[first + col], score[row, col]))
+            row, ids, score = (np.concatenate(f) for f in zip(*found))
+            order = np.lexsort((ids, -score, row))
+            row, ids, score = row[order], ids[order], score[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, ids, score = hits = row[keep], ids[keep], score[keep]
+            full = np.flatnonzero(np.bincount(row, minlength=len(q)) == k)
+            worst[full] = score[np.searchsorted(row, full, "right") - 1]
 
 
 # index
