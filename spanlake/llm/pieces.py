@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+from spanlake.llm.scratch import unused
+
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the protobuf: model types and piece types.
@@ -69,7 +71,9 @@ def build(model: bytes, bare: bool = False) -> Tokenizer:
     else:
         raise ValueError("only unigram and BPE models are supported")
     out = Tokenizer(core)
+    whole = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     if bare:
+        out.decoder = decoders.Sequence(whole)
         return out
     steps = []
     if spec.precompiled_charsmap:
@@ -84,15 +88,12 @@ def build(model: bytes, bare: bool = False) -> Tokenizer:
         out.normalizer = normalizers.Sequence(steps)
     if can_cut([p.piece for p in pieces if p.type in (NORMAL, USER_DEFINED)]):
         out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-    back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    if spec.add_dummy_prefix:
-        back.append(decoders.Strip(" ", 1, 0))
-    out.decoder = decoders.Sequence(back)
+    out.decoder = decoders.Sequence([*whole, decoders.Strip(" ", 1, 0)] if spec.add_dummy_prefix else whole)
     return out
 
 
 class Backend:
-    """A model in both libraries, with the ids of the words met so far in this process.
+    """A model in both libraries, with the ids of the words met so far in this process and what they decode to.
 
     Words are kept only where texts can be cut into them and the normaliser is the plain one; else a
     text is one word and nothing is kept. The memory is emptied when it holds ``most`` words or as
@@ -109,7 +110,7 @@ class Backend:
         plain = spec.add_dummy_prefix and spec.escape_whitespaces and not (spec.remove_extra_whitespaces or spec.precompiled_charsmap)
         self.cut = bool(plain and self.tokenizer.pre_tokenizer)
         self.bare = build(model, bare=True)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[list[int], str]] = {}
         self.held, self.most = 0, most
         self.numbers = list(range(self.tokenizer.get_vocab_size()))
 
@@ -125,11 +126,16 @@ class Backend:
     def differ(self, units: Sequence[str], ids: Sequence[list[int]]) -> list[str]:
         return [u for u, a, b in zip(units, ids, self.own.encode(list(units), num_threads=1)) if a != b]
 
-    def encode(self, texts: Sequence[str], verify: bool) -> list[list[int]]:
+    def both(self, texts: Sequence[str], verify: bool) -> tuple[list[list[int]], list[str]]:
+        """Ids of every text and the text decoded from them.
+
+        Every word begins with the marker, which is a piece, so no run of byte pieces goes on from one word
+        to the next and a text decodes to what its words decode to.
+        """
         if not self.cut:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
             self.check(self.differ(texts, ids) if verify else [])
-            return ids
+            return ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         if len(self.known) > self.most or self.held > 8 * self.most:
             self.known, self.held = {}, 0
         parts = [self.words(t) for t in texts]
@@ -137,13 +143,14 @@ class Backend:
         ids = [e.ids for e in self.bare.encode_batch_fast([MARK + w for w in new], add_special_tokens=False)]
         # the lone marker of a space at the end is no text of its own
         self.check(self.differ(*zip(*[x for x in zip(new, ids) if x[0]])) if verify and any(new) else [])
-        for w, x in zip(new, ids):
-            self.known[w] = [self.numbers[i] for i in x]
+        for w, x, back in zip(new, ids, self.bare.decode_batch(ids, skip_special_tokens=False)):
+            self.known[w] = [self.numbers[i] for i in x], back
             self.held += len(x)
-        out = [list(chain.from_iterable(map(self.known.__getitem__, p))) for p in parts]
+        found = [list(map(self.known.__getitem__, p)) for p in parts]
+        out = [list(chain.from_iterable(x for x, _ in f)) for f in found]
         ends = [(t, x) for t, p, x in zip(texts, parts, out) if p and not p[-1]]
         self.check(self.differ(*zip(*ends)) if verify and ends else [])
-        return out
+        return out, ["".join([back for _, back in f])[1:] for f in found]
 
     @staticmethod
     def check(wrong: list[str]) -> None:
@@ -160,7 +167,7 @@ def _loaded(model: bytes) -> Backend:
 
 
 def encode(texts: Sequence[str], model: bytes, verify: bool = False) -> list[list[int]]:
-    return _loaded(model).encode(texts, verify)
+    return _loaded(model).both(texts, verify)[0]
 
 
 def decode(ids: Sequence[Sequence[int]], model: bytes) -> list[str]:
@@ -198,8 +205,7 @@ def encoded(text: str | Column, model: bytes, verify: bool = True, with_ids: boo
         ids_out, n, sha, back_sha, same = [], [], [], [], []
         for lo, hi in _batched(texts):
             part = texts[lo:hi]
-            ids = encode(part, model, verify)
-            for t, x, back in zip(part, ids, decode(ids, model)):
+            for t, x, back in zip(part, *_loaded(model).both(part, verify)):
                 arr = np.array(x, "<i4")
                 ids_out.append(arr if with_ids else None)
                 n.append(len(x))
@@ -225,6 +231,7 @@ def read_model(path: str = DEFAULT_MODEL) -> bytes:
 
 def token_ids(docs: DataFrame, model: bytes, columns: Sequence[str] = ("doc_id",), verify: bool = True, with_ids: bool = True) -> DataFrame:
     """``columns`` and what ``encoded`` gives for every row of ``docs``."""
-    return docs.withColumn("_found", encoded(F.col("text").cast("string"), model, verify, with_ids)).select(
-        *columns, *(F.col(f"_found.{n}").alias(n) for n in ("ids", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"))
+    (found,) = unused(docs, "_found")
+    return docs.withColumn(found, encoded(F.col("text").cast("string"), model, verify, with_ids)).select(
+        *columns, *(F.col(f"{found}.{n}").alias(n) for n in ("ids", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"))
     )

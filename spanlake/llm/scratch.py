@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.runtime import _ensure_checkpoint_dir
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of ``df`` has it; Spark ignores case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
