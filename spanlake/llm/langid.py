@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanlake.llm.scratch import unused
 from spanlake.llm.words import U64, mix, slices
 
 GRAM, HASHES, CELLS = 4, 3, 1 << 20
@@ -145,9 +146,13 @@ def train(
     languages = tuple(r["lang"] for r in found)
     if not languages:
         return Filters((), np.zeros(cells, U64), k, size)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "length"), "doc_id")
+    by_hash = F.xxhash64("doc_id", "length")
+    first = Window.partitionBy("lang").orderBy(by_hash, "doc_id")
+    # a language of many rows is cut by the hash before the window, to about twice the rows that are picked
+    shares = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * per_language / r["count"])))])
+    low = (F.shiftrightunsigned(by_hash.bitwiseXOR(F.lit(-(1 << 63))), 32) < F.element_at(shares, F.col("lang")) * F.lit(float(1 << 32)))
     # the sample is chosen on narrow rows, with a group limit before the shuffle, then fetched
-    keys = known.select("lang", "doc_id", F.length("text").alias("length"))
+    keys = known.select("lang", "doc_id", F.length("text").alias("length")).filter(low)
     picked = keys.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= per_language)
     sample = known.withColumn("length", F.length("text")).join(F.broadcast(picked.select("lang", "doc_id", "length").distinct()), ["lang", "doc_id", "length"])
     counted = sample.select("text", "lang").mapInArrow(_counted(size), "lang string, gram long, n long")
@@ -197,5 +202,6 @@ def identify(docs: DataFrame, columns: Sequence[str] = ("doc_id",), **options) -
     texts and texts without a letter, and for all if nothing could be learned.
     """
     filters = train(docs.filter(~held_out()).select("doc_id", "text", "lang"), **options)
-    found = docs.withColumn("_found", language(F.col("text").cast("string"), filters)).withColumn("_held", held_out())
-    return found.select(*columns, F.col("_held").alias("held_out"), "_found.lang_pred", "_found.score", "_found.coverage", "_found.n_grams")
+    found, held = unused(docs, "_found", "_held")
+    rows = docs.withColumn(found, language(F.col("text").cast("string"), filters)).withColumn(held, held_out())
+    return rows.select(*columns, F.col(held).alias("held_out"), *(f"{found}.{c}" for c in ("lang_pred", "score", "coverage", "n_grams")))

@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.scratch import stored
+from spanlake.llm.scratch import stored, unused
 from spanlake.runtime import shuffle_partitions
 
 THRESHOLD = 0.8
@@ -199,21 +199,22 @@ def without_similar_lines(docs: DataFrame, threshold: float = THRESHOLD, n_lines
     neither earlier nor later. Rows repeated with one doc_id are at the same place.
     """
     columns = [c for c in docs.columns if c not in (n_lines, n_removed)]
-    rows = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_th": F.xxhash64("text")})
+    doc, th, lost, split = unused(docs, "_doc", "_th", "_gone", "_parts")
+    rows = docs.withColumns({doc: F.col("doc_id").cast("long"), th: F.xxhash64("text")})
     known = rows.filter("doc_id is not null and text is not null")
-    texts = known.select(F.col("_doc").alias("doc_id"), F.col("_th").alias("th"), F.col("text").cast("string").alias("text"))
-    gone = similar_lines(texts, threshold).groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line_no").alias("_gone"))
+    texts = known.select(F.col(doc).alias("doc_id"), F.col(th).alias("th"), F.col("text").cast("string").alias("text"))
+    gone = similar_lines(texts, threshold).groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th)).agg(F.collect_set("line_no").alias(lost))
     gone = stored(gone, "gone-lines")
     parts = F.split("text", "\n")
-    touched = F.coalesce(_member(gone, "_doc"), F.lit(False)) & F.col("text").isNotNull()
+    touched = F.coalesce(_member(gone, doc), F.lit(False)) & F.col("text").isNotNull()
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("int")
     same = rows.filter(~touched).select(*columns, size.alias(n_lines), F.lit(0).alias(n_removed))
     # split once, not in the function over line numbers
-    met = rows.filter(touched).join(gone, ["_doc", "_th"], "left").withColumn("_parts", parts)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.coalesce("_gone", F.array().cast("array<int>")))
-    kept = F.array_join(F.transform(stay, lambda i: F.get("_parts", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    met = rows.filter(touched).join(gone, [doc, th], "left").withColumn(split, parts)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.coalesce(lost, F.array().cast("array<int>")))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept)
     changed = met.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in columns), F.size("_parts").alias(n_lines), F.coalesce(F.size("_gone"), F.lit(0)).alias(n_removed)
+        *(text.alias("text") if c == "text" else F.col(c) for c in columns), F.size(split).alias(n_lines), F.coalesce(F.size(lost), F.lit(0)).alias(n_removed)
     )
     return same.unionByName(changed)

@@ -16,7 +16,8 @@ from spanlake.llm.words import U64, hashed_words, shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: names that the operators use inside
-CLASHING = ("id", "a", "b", "n", "key", "size", "shard", "slot", "label", "gram", "score", "lang_pred", "held_out", "ta", "tb", "lo", "hi", "n_lines", "_part", "digest", "head", "salt")
+CLASHING = ("id", "a", "b", "n", "key", "size", "shard", "slot", "label", "gram", "score", "lang_pred", "held_out", "ta", "tb", "lo", "hi", "n_lines", "_part", "digest", "head", "salt",
+    "_gone", "_doc", "_th", "_parts", "_n_lines", "_n_removed", "_row", "_first", "_all", "_language", "_found", "_held", "c", "p", "class_id", "least")
 
 
 def clash(df):

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from tests.llm.test_operators import clash
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_all_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_stages_return_documents(spark):
@@ -33,6 +34,13 @@ def test_stages_take_odd_tables(spark, i):
     got = {r.doc_id for r in stage(spark, spark.createDataFrame(rows, schema), SF).collect()}
     assert 3 in got
     assert stage(spark, spark.createDataFrame([], schema), SF).count() == 0
+    extra = clash(spark.createDataFrame(rows, schema))
+    out = stage(spark, extra, SF)
+    if i < 4:
+        assert out.columns == extra.columns
+        assert all(r[c] == "x" for r in out.collect() for c in out.columns[5:])
+    else:
+        assert out.count() == len(rows)
 
 
 def test_one_row_of_a_class_stays(spark):
