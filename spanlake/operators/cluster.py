@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.wordlists import THEME_NAMES
+from spanlake.functions.wordlists import PAGE_SIZES, THEME_NAMES
 from spanlake.operators.vectors import BLOCK_ROWS
 from spanlake.runtime import cut
 
@@ -419,8 +419,12 @@ def cluster_per_query(hits: DataFrame, max_clusters: int = 4, min_similarity: fl
     """Greedy sub-themes of each query's page of hits in rank order:
     (query_id, cluster, label, chunk_id, confidence).
 
-    hits: (query_id, title, chunk_id, rank, score, vec), a page (at most 100 rows) per query.
+    hits: (query_id, title, chunk_id, rank, score, vec), a page per query; a rank beyond the largest page is an
+    error, so a query's rows fit in one task.
     """
+    most = PAGE_SIZES[-1]
+    beyond = F.raise_error(F.lit(f"a page has at most {most} hits"))
+    hits = hits.withColumn("rank", F.when(F.col("rank") <= most, F.col("rank")).otherwise(beyond.cast("int")))
 
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.ordered import shifted, with_ordinal
+from spanlake.runtime import cut
 
 ORDER = ["start_offset", "created_at", "chunk_id"]
 
@@ -23,7 +24,7 @@ def chunks_of_source(chunks: DataFrame, source: str | None = None) -> DataFrame:
     rows = live_chunks(chunks)
     if source is not None:
         rows = rows.filter(F.col("source_file") == source)
-    return with_ordinal(rows, ["source_file"], ORDER, "pos")
+    return with_ordinal(rows, ["source_file"], ORDER, "pos", id=["chunk_id"])
 
 
 def page_with_total(df: DataFrame, order: list[str | Column], limit: int, offset: int) -> DataFrame:
@@ -113,22 +114,25 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
 def window_around(focus: DataFrame, chunks: DataFrame, radius: int = 2) -> DataFrame:
     """(focus_id, pos, chunk_id, text, is_focus, has_prev, has_next, prev_chunk, next_chunk).
 
-    Chunks get their ordinal per source once; every focus then asks for 2r+1 ordinals by equi-join on
-    (source, ordinal), a unique key, so a source of any size stays spread out.
+    Only sources that hold a focus are ordered, by narrow rows; every focus then asks for 2r+1 ordinals by equi-join
+    on (source, ordinal), a unique key, so a source of any size stays spread out. Texts are joined to the windows.
     """
     radius = radius if radius > 0 else 2
-    pos = chunks_of_source(chunks).select("source_file", "pos", "chunk_id", "content")
+    live = live_chunks(chunks)
+    sources = live.join(focus.select("chunk_id").distinct(), "chunk_id", "left_semi").select("source_file").distinct()
+    narrow = live.select("source_file", *ORDER).join(sources, "source_file", "left_semi")
+    pos = with_ordinal(narrow, ["source_file"], ORDER, "pos").select("source_file", "pos", "chunk_id")
     centre = focus.select(F.col("chunk_id").alias("focus_id")).distinct().join(
         pos.select(F.col("chunk_id").alias("focus_id"), "source_file", F.col("pos").alias("at")), "focus_id"
     )
     wanted = centre.withColumn("pos", F.explode(F.sequence(F.col("at") - radius - 1, F.col("at") + radius + 1)))
-    got = wanted.join(pos, ["source_file", "pos"])
+    got = cut(wanted.join(pos, ["source_file", "pos"]))
     edge = got.groupBy("focus_id").agg(
         F.max(F.when(F.col("pos") == F.col("at") - radius - 1, F.col("chunk_id"))).alias("prev_chunk"),
         F.max(F.when(F.col("pos") == F.col("at") + radius + 1, F.col("chunk_id"))).alias("next_chunk"),
     )
     inside = got.filter(F.abs(F.col("pos") - F.col("at")) <= radius)
-    return inside.join(edge, "focus_id").select(
+    return inside.join(edge, "focus_id").join(live.select("chunk_id", "content"), "chunk_id").select(
         "focus_id",
         "source_file",
         "pos",
@@ -226,5 +230,6 @@ def reader_focus(windows: DataFrame, spans: DataFrame) -> DataFrame:
 
 def sequence_edges(chunks: DataFrame) -> DataFrame:
     """(source_file, a, b) for consecutive chunks of a source."""
-    pos = chunks_of_source(chunks).select("source_file", "pos", F.col("chunk_id").alias("a"))
+    pos = with_ordinal(live_chunks(chunks).select("source_file", *ORDER), ["source_file"], ORDER, "pos")
+    pos = pos.select("source_file", "pos", F.col("chunk_id").alias("a"))
     return shifted(pos, ["source_file"], "pos", 1, "a", "b").filter(F.col("b").isNotNull()).select("source_file", "a", "b")

@@ -10,14 +10,8 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.text import query_variants
 from spanlake.functions.wordlists import PAGE_SIZES, SUGGESTION_SUFFIXES
-from spanlake.operators.lexical import (
-    LexicalIndex,
-    bm25_search,
-    build_bm25,
-    build_passage_index,
-    passage_search,
-    rank_hits,
-)
+from spanlake.operators.blocks import BlockIndex, build_blocks, build_passage_blocks
+from spanlake.operators.lexical import LexicalIndex, bm25_search, passage_search, rank_hits
 from spanlake.operators.vectors import vector_search
 from spanlake.ordered import top_k, with_ordinal
 
@@ -25,12 +19,26 @@ RRF_K = 60
 
 
 class SearchIndex:
-    """The three arms of retrieval over one chunk table (chunk_id, content, vec)."""
+    """The three arms of retrieval over one chunk table (chunk_id, content, vec).
 
-    def __init__(self, chunks: DataFrame, keyword: LexicalIndex | None = None, passages: LexicalIndex | None = None):
+    An arm that is not given is built when it is first searched, as blocks in the shared folder.
+    """
+
+    def __init__(self, chunks: DataFrame, keyword: LexicalIndex | BlockIndex | None = None, passages: LexicalIndex | BlockIndex | None = None):
         self.chunks = chunks
-        self.keyword = keyword or build_bm25(chunks)
-        self.passages = passages or build_passage_index(chunks)
+        self._keyword, self._passages = keyword, passages
+
+    @property
+    def keyword(self) -> LexicalIndex | BlockIndex:
+        if self._keyword is None:
+            self._keyword = build_blocks(self.chunks)
+        return self._keyword
+
+    @property
+    def passages(self) -> LexicalIndex | BlockIndex:
+        if self._passages is None:
+            self._passages = build_passage_blocks(self.chunks)
+        return self._passages
 
 
 def _arm(df: DataFrame | None, keyword: bool, k: int) -> DataFrame | None:
@@ -80,13 +88,12 @@ def match_kind(bm25: Column, vector: Column) -> Column:
 
 
 def hybrid_search(
-    queries: DataFrame, index: SearchIndex, mode: str = "hybrid", limit: int = 10, k: int = RRF_K, vector_pool: int | None = None,
-    scan_factor: int | None = None,
-) -> DataFrame:
+    queries: DataFrame, index: SearchIndex, mode: str = "hybrid", limit: int = 10, k: int = RRF_K, scan_factor: int | None = None
+) -> DataFrame:
     """(query_id, chunk_id, score, bm25, vector, start, end, rank).
 
-    With a limit, each arm brings max(3 * limit, 20) candidates; without, all keyword matches and the
-    ``vector_pool`` nearest chunks, by default every embedded chunk. A query without a vector is ranked
+    With a limit, each arm brings max(3 * limit, 20) candidates; without, all keyword matches and every embedded
+    chunk (for a page of that ranking see ``paging.hybrid_page``). A query without a vector is ranked
     by the other arms alone. ``scan_factor`` cuts the passage arm (see ``passage_search``).
     """
     mode = mode if mode in ("keyword", "semantic") else "hybrid"
@@ -96,7 +103,7 @@ def hybrid_search(
         bm25 = bm25_search(queries, index.keyword, arm_limit)
         passage = passage_search(queries, index.passages, arm_limit, scan_factor=scan_factor)
     if mode != "keyword" and "vec" in queries.columns:
-        depth = arm_limit or vector_pool or max(1, index.chunks.filter(F.size("vec") > 0).count())
+        depth = arm_limit or max(1, index.chunks.filter(F.size("vec") > 0).count())
         vector = vector_search(queries, index.chunks, depth)
     if bm25 is None and vector is None:
         vector = vector_search(

@@ -1,4 +1,8 @@
-"""Keyword index and BM25 ranking over whole tables of queries."""
+"""Keyword index and BM25 ranking over whole tables of queries.
+
+``LexicalIndex`` holds postings as rows, for changes and joins; ``blocks.BlockIndex`` holds them packed, for
+searches. Every function that ranks or weighs takes either.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.functions.text import chunk_passages, tokenize
+from spanlake.operators.blocks import BlockIndex, block_search
 from spanlake.operators.vectors import best_per_row
 from spanlake.ordered import top_k, with_ordinal
 from spanlake.runtime import has_at_most, salt_of
@@ -37,39 +42,55 @@ class LexicalIndex:
             F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl")
         )
 
+    def frequencies(self, asked: DataFrame) -> DataFrame:
+        """(term, df) of the asked terms that occur."""
+        return self.postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
 
 def build_bm25(docs: DataFrame, ids: Sequence[str] = ("chunk_id",), text: str = "content") -> LexicalIndex:
-    """Keyword index of ``docs``. The document length rides along in the postings, so ranking needs no
-    join back to the documents.
+    """Keyword index of ``docs``, whose ids are unique. The document length rides along in the postings, so
+    ranking needs no join back to the documents.
 
-    Documents are hashed by id once. Counting a document's terms and adding up its scores per query
-    both group by more than the id, so neither needs another shuffle, and ids are never skewed.
+    Terms are counted where a text is read: neither texts nor tokens are shuffled.
     """
-    return _index(docs.select(*ids, text).repartition(*ids), ids, text)
+    return _index(docs.select(*ids, text), ids, text)
 
 
 def _index(docs: DataFrame, ids: Sequence[str], text: str) -> LexicalIndex:
-    toks = docs.select(*ids, tokenize(text).alias("toks")).withColumn("dl", F.size("toks"))
-    postings = (
-        # an outer explode: for a plain one the optimizer would tokenise again in a filter at the scan
-        toks.select(*ids, "dl", F.explode_outer("toks").alias("term"))
-        .filter(F.col("term").isNotNull())
-        .groupBy("term", *ids, "dl")
-        .agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        .select("term", *ids, "tf", "dl")
-    )
-    return LexicalIndex(postings, toks.select(*ids, "dl"), tuple(ids))
+    toks = docs.select(*ids, F.coalesce(tokenize(text), F.array().cast("array<string>")).alias("toks"))
+    fields = [toks.schema[c] for c in ids]
+    out = T.StructType([T.StructField("term", T.StringType()), *fields, T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
+    return LexicalIndex(toks.mapInArrow(_counted(list(ids)), out), toks.select(*ids, F.size("toks").alias("dl")), tuple(ids))
+
+
+def _counted(ids: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks = batch.column("toks")
+            dl = np.diff(toks.offsets.to_numpy())
+            coded = toks.flatten().dictionary_encode()
+            key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            wide = max(1, len(coded.dictionary))
+            found, tf = np.unique(np.repeat(np.arange(batch.num_rows), dl) * wide + key, return_counts=True)
+            row = found // wide
+            yield pa.RecordBatch.from_arrays(
+                [
+                    coded.dictionary.take(pa.array(found % wide)), *(batch.column(c).take(pa.array(row)) for c in ids),
+                    pa.array(tf, pa.int32()), pa.array(dl[row], pa.int32()),
+                ],
+                names=["term", *ids, "tf", "dl"],
+            )
+
+    return run
 
 
 def build_passages(docs: DataFrame) -> DataFrame:
     """passages(chunk_id, start, end, text)."""
-    docs = docs.select("chunk_id", "content").repartition("chunk_id")
     cut_up = docs.select("chunk_id", F.explode_outer(chunk_passages("content")).alias("p"))
     return cut_up.filter(F.col("p").isNotNull()).select("chunk_id", "p.start", "p.end", "p.text")
 
 
 def build_passage_index(docs: DataFrame) -> LexicalIndex:
-    # passages stay where their chunk is: hashed by chunk_id
     return _index(build_passages(docs), ("chunk_id", "start", "end"), "text")
 
 
@@ -77,24 +98,19 @@ def idf_expr(n, df):
     return F.log((n - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
 
 
-def weigh(terms: DataFrame, index: LexicalIndex, small: bool = False) -> DataFrame:
+def weigh(terms: DataFrame, index: LexicalIndex | BlockIndex, small: bool = False) -> DataFrame:
     """(term, df, n_docs, avg_dl, idf) of each distinct term; an absent term has document frequency 0."""
     wanted = terms.select(F.lower("term").alias("term")).distinct()
     asked = F.broadcast(wanted) if small else wanted
-    df = (
-        index.postings.join(asked, "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
     return (
-        wanted.join(df, "term", "left")
+        wanted.join(index.frequencies(asked), "term", "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))
         .crossJoin(F.broadcast(index.stats))  # stats is an ungrouped aggregate: always one row
         .select("term", "df", "n_docs", "avg_dl", idf_expr(F.col("n_docs"), F.col("df")).alias("idf"))
     )
 
 
-def idf(terms: DataFrame, index: LexicalIndex) -> DataFrame:
+def idf(terms: DataFrame, index: LexicalIndex | BlockIndex) -> DataFrame:
     """(term, df, idf)."""
     return weigh(terms, index).select("term", "df", "idf")
 
@@ -237,12 +253,38 @@ def _best_of_each(scores: np.ndarray, chunk: np.ndarray, place: np.ndarray) -> n
     return order[first]
 
 
-def bm25_search(queries: DataFrame, index: LexicalIndex, k: int = 10, salts: int = 16) -> DataFrame:
+def _block_hits(queries: DataFrame, index: BlockIndex, k: int, per_chunk: bool = False) -> DataFrame:
+    qterms = query_terms(queries)
+    weights = qterms.join(weigh(qterms, index), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avg_dl")
+    return block_search(queries, index, weights, k, per_chunk)
+
+
+def bm25_search(queries: DataFrame, index: LexicalIndex | BlockIndex, k: int = 10, salts: int = 16) -> DataFrame:
     """(query_id, *ids, score, rank); ``k`` <= 0 ranks every match."""
+    if isinstance(index, BlockIndex):
+        return rank_hits(_block_hits(queries, index, k), k, index.ids)
     best = _best_hits(queries, index, k) if k > 0 else None
     return rank_hits(best if best is not None else score_bm25(queries, index, salts), k, index.ids)
 
 
+def all_scores(queries: DataFrame, index: LexicalIndex | BlockIndex) -> DataFrame:
+    """(query_id, *ids, score) of every match, in no order."""
+    return _block_hits(queries, index, 0) if isinstance(index, BlockIndex) else score_bm25(queries, index)
+
+
+def best_passages(queries: DataFrame, index: LexicalIndex | BlockIndex) -> DataFrame:
+    """(query_id, chunk_id, score, start, end): the best passage of every chunk that has one, in no order."""
+    hits = _block_hits(queries, index, 0, per_chunk=True) if isinstance(index, BlockIndex) else score_bm25(queries, index)
+    return _best_of_chunk(hits)
+
+
+def _best_of_chunk(hits: DataFrame) -> DataFrame:
+    best = hits.groupBy("query_id", "chunk_id").agg(
+        F.min(F.struct((-F.round("score", 9)).alias("neg"), "start", "end", "score")).alias("b")
+    )
+    return best.select("query_id", "chunk_id", "b.score", "b.start", "b.end")
+
+
 def rank_hits(hits: DataFrame, k: int, ids: Sequence[str] = ("chunk_id",)) -> DataFrame:
     """Rank by score (to nine places, so equal texts tie) and then id."""
     order = [F.round("score", 9).desc(), *[F.col(c).asc() for c in ids]]
@@ -252,7 +294,7 @@ def rank_hits(hits: DataFrame, k: int, ids: Sequence[str] = ("chunk_id",)) -> Da
 
 
 def passage_search(
-    queries: DataFrame, index: LexicalIndex, k: int = 10, salts: int = 16, scan_factor: int | None = None
+    queries: DataFrame, index: LexicalIndex | BlockIndex, k: int = 10, salts: int = 16, scan_factor: int | None = None
 ) -> DataFrame:
     """Chunks ranked by their best passage: (query_id, chunk_id, score, start, end, rank).
 
@@ -261,13 +303,12 @@ def passage_search(
     """
     if k > 0 and scan_factor:
         hits = bm25_search(queries, index, scan_factor * k, salts).drop("rank")
+    elif isinstance(index, BlockIndex):
+        hits = _block_hits(queries, index, k, per_chunk=True)
     else:
         hits = _best_hits(queries, index, k, per_chunk=True) if k > 0 else None
         hits = hits if hits is not None else score_bm25(queries, index, salts)
-    best = hits.groupBy("query_id", "chunk_id").agg(
-        F.min(F.struct((-F.round("score", 9)).alias("neg"), "start", "end", "score")).alias("b")
-    )
-    return rank_hits(best.select("query_id", "chunk_id", "b.score", "b.start", "b.end"), k)
+    return rank_hits(_best_of_chunk(hits), k)
 
 
 def upsert_bm25(index: LexicalIndex, changed: DataFrame, deleted: DataFrame | None = None) -> LexicalIndex:

@@ -16,8 +16,10 @@ from spanlake.functions.text import (
     trim_ws,
 )
 from spanlake.functions.vectors import cosine, stub_embed
-from spanlake.operators.fusion import SearchIndex, hybrid_search, match_kind, ranked_page
+from spanlake.operators.fusion import SearchIndex, match_kind
 from spanlake.operators.lexical import idf
+from spanlake.operators.paging import hybrid_page
+from spanlake.runtime import cut
 
 MAX_WINDOW = 240
 SNIPPET = 320
@@ -80,7 +82,11 @@ def locate_passage(
     pairs: DataFrame, weights: DataFrame, max_window: int = MAX_WINDOW
 ) -> tuple[DataFrame, DataFrame]:
     """Sentence locator: (pair, win_start, win_end, score) of found pairs, and all sentence scores
-    (pair, sent, start, end, score normalised to the best)."""
+    (pair, sent, start, end, score normalised to the best).
+
+    Sums of weights depend on their order in the last bits, so scores are rounded to nine places before
+    anything is compared with them.
+    """
     sents = pair_sentences(pairs)
     raw = _hits(pairs, weights).filter("sent >= 0").groupBy(*PAIR, "sent").agg(F.sum("w").alias("raw"))
     best = raw.groupBy(*PAIR).agg(
@@ -91,7 +97,7 @@ def locate_passage(
     scores = (
         sents.join(bounded.select(*PAIR, F.col("score").alias("top")), PAIR)
         .join(raw, [*PAIR, "sent"], "left")
-        .select(*PAIR, "sent", "start", "end", (F.coalesce("raw", F.lit(0.0)) / F.col("top")).alias("score"))
+        .select(*PAIR, "sent", "start", "end", F.round(F.coalesce("raw", F.lit(0.0)) / F.col("top"), 9).alias("score"))
     )
     return _extend(sents, bounded, max_window), scores
 
@@ -173,10 +179,10 @@ def semantic_locate(
     best = sims.groupBy(*PAIR).agg(
         F.min(F.struct((-F.round("sim", 9)).alias("neg"), "sent", "start", "end", F.col("sim").alias("score"))).alias("b")
     )
-    best = best.select(*PAIR, "b.sent", "b.start", "b.end", "b.score").filter(F.col("score") >= floor)
+    best = best.select(*PAIR, "b.sent", "b.start", "b.end", "b.score").filter(F.round("score", 9) >= floor)
     scores = sims.join(best.select(*PAIR, F.col("score").alias("top")), PAIR).select(
         *PAIR, "sent", "start", "end",
-        F.greatest(F.when(F.col("top") > 0, F.col("sim") / F.col("top")).otherwise(0.0), F.lit(0.0)).alias("score"),
+        F.round(F.greatest(F.when(F.col("top") > 0, F.col("sim") / F.col("top")).otherwise(0.0), F.lit(0.0)), 9).alias("score"),
     )
     return _extend(sents, best, max_window), scores
 
@@ -185,12 +191,12 @@ def multi_span_groups(scores: DataFrame, budget: int = SNIPPET, min_score: float
     """The 2-3 best separated sentence groups per pair when they fit the budget:
     (pair, ord, start, end, score, focus).
 
-    scores: (pair, sent, start, end, score). Groups are runs of consecutive sentences; a pair has at
+    scores: (pair, sent, start, end, score to nine places). Groups are runs of consecutive sentences; a pair has at
     most three ranked groups, so dropping the lowest is arithmetic on three rows.
     """
     w = Window.partitionBy(*PAIR).orderBy("sent")
     runs = (
-        scores.filter(F.col("score") >= min_score)
+        scores.filter(F.round("score", 9) >= min_score)
         .withColumn("isl", F.col("sent") - F.row_number().over(w))
         .groupBy(*PAIR, "isl")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"))
@@ -245,22 +251,18 @@ def find_evidence(
     page: int = 1,
     page_size: int = 12,
     embed=stub_embed,
-    vector_pool: int | None = None,
 ) -> DataFrame:
     """One page of located passages per draft bullet.
 
     bullets: (query_id, text [, vec]); chunks: (chunk_id, source_file, speaker, content). Only the
-    rows of the page are joined to their text and located. Result: (query_id, rank, chunk_id,
+    rows of the page are ranked, joined to their text and located. Result: (query_id, rank, chunk_id,
     source_file, speaker, score, score_norm, match, how, focus_start, focus_end, snippet, segments,
     total, page, page_size).
     """
     asked = bullets.filter(trim_ws("text") != "")
     cleaned = asked.withColumn("text", clean_query("text"))
-    pool = hybrid_search(cleaned, index, mode=mode, limit=0, vector_pool=vector_pool)
     req = cleaned.select("query_id", F.lit(page).alias("page"), F.lit(page_size).alias("page_size"))
-    rows = ranked_page(pool, req).join(chunks.select("chunk_id", "source_file", "speaker", "content"), "chunk_id")
-    from spanlake.runtime import cut
-
+    rows = hybrid_page(cleaned, index, req, mode).join(chunks.select("chunk_id", "source_file", "speaker", "content"), "chunk_id")
     rows = cut(rows)  # the page feeds every locator below; at most 100 rows per bullet
     pairs = rows.select(*PAIR, "content")
     weights = cut(query_weights(cleaned, index.keyword))

@@ -299,7 +299,7 @@ def conditional_walk(contexts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def linearize_thread(threads: DataFrame, thread_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(thread_id, pos, node_id, title, body) by position; ``missing`` marks references to no node."""
-    mine = thread_nodes.join(threads.select("thread_id"), "thread_id", "left_semi")
+    mine = thread_nodes.select("thread_id", "node_id", "position").join(threads.select("thread_id"), "thread_id", "left_semi")
     placed = with_ordinal(mine, ["thread_id"], ["position", "node_id"], "pos")
     return placed.join(
         nodes.select("node_id", "title", "body", F.lit(False).alias("here")), "node_id", "left"

@@ -201,6 +201,30 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 10, small_left
     return top_k(found, ["query_id"], [F.round("score", 9).desc(), F.col("chunk_id").asc()], k)
 
 
+def all_similarities(queries: DataFrame, chunks: DataFrame, small_left: int = SMALL_LEFT) -> DataFrame:
+    """(query_id, chunk_id, score) of every query with a vector and every embedded chunk, in no order.
+
+    At most ``small_left`` queries go to every task as one matrix; more are met in blocks.
+    """
+    q = queries.filter(F.size("vec") > 0).select("query_id", "vec")
+    c = chunks.filter(F.size("vec") > 0).select("chunk_id", "vec")
+    if not has_at_most(q, small_left):
+        return vector_search(queries, chunks, max(1, c.count()), small_left).drop("rank")
+    local = q.toArrow()  # at most `small_left` rows, checked above
+    names, qvecs = local["query_id"].combine_chunks(), local["vec"].combine_chunks()
+    schema = T.StructType([queries.schema["query_id"], T.StructField("chunk_id", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows if len(names) else 0, BLOCK_ROWS):
+                part = batch.slice(lo, BLOCK_ROWS)
+                sims = similarity(qvecs, part.column("vec"))
+                row, col = (x.reshape(-1) for x in np.indices(sims.shape))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), part.column("chunk_id").take(pa.array(col)), pa.array(sims.reshape(-1))], names=["query_id", "chunk_id", "score"])
+
+    return c.mapInArrow(run, schema)
+
+
 def _bands(vec, tables: int, bits: int, seed: int):
     """Bucket number per table: the signs of ``bits`` seeded random projections."""
 

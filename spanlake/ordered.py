@@ -9,6 +9,7 @@ by the totals of the partitions before it, a table with one row per (key, partit
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,14 +29,26 @@ def with_running(
     order: Sequence[str | Column],
     ordinal: str | None = None,
     sums: Mapping[str, str | Column] | None = None,
+    id: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add a 0-based ordinal and exclusive running sums per key, in ``order``.
 
     ``order`` must be total within a key (end it with an id). ``sums`` maps new column -> summed
     expression; each new column holds the sum over the rows before this one.
+
+    With ``id``, columns that name a row, ``order`` is of column names, and only keys, order, ids and summands are
+    ordered and written; texts, vectors and the like are joined to the result. Give it for wide rows.
     """
     sums = dict(sums or {})
     keys = list(keys)
+    if id is not None:
+        narrow = list(dict.fromkeys([*keys, *order, *id]))
+        staged = df.select(*narrow, *(F.coalesce(_as_cols([expr])[0], F.lit(0)).alias("_s_" + name) for name, expr in sums.items()))
+        placed = with_running(staged, keys, order, ordinal, {name: F.col("_s_" + name) for name in sums})
+        new = [*([ordinal] if ordinal else []), *sums]
+        named = placed.select(*(F.col(c).alias("_i_" + c) for c in id), *(F.col(c).alias("_n_" + c) for c in new))
+        met = df.join(named, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col("_i_" + c)) for c in id]))
+        return met.select(*(F.col(c) for c in df.columns if c not in new), *(F.col("_n_" + c).alias(c) for c in new))
     cols = _as_cols(order)
     staged = df
     for name, expr in sums.items():
@@ -102,10 +115,10 @@ def latest(df: DataFrame, keys: Sequence[str], order: str | None = None) -> Data
 
 
 def with_ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "ord", start: int = 0
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "ord", start: int = 0, id: Sequence[str] | None = None
 ) -> DataFrame:
-    """0-based (or ``start``-based) position of each row inside its key."""
-    out = with_running(df, keys, order, ordinal=name)
+    """0-based (or ``start``-based) position of each row inside its key; ``id`` as in ``with_running``."""
+    out = with_running(df, keys, order, ordinal=name, id=id)
     return out.withColumn(name, F.col(name) + F.lit(start)) if start else out
 
 

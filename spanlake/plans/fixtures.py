@@ -443,7 +443,7 @@ def fused_sql(limit: int, mode: str = "hybrid", arm: int | None = None, scan: in
     """The fused pool and its ranking at a limit (0: everything)."""
     arm = (max(3 * limit, 20) if limit else 0) if arm is None else arm
     bk = f"WHERE rank <= {arm}" if arm else ""
-    vk = f"WHERE rank <= {arm or 500}"
+    vk = bk
     parts, deps = [], []
     if mode != "semantic":
         parts += [

@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from spanlake.operators import lexical, locate
+from spanlake.operators import blocks, lexical, locate
 from spanlake.operators.fusion import SearchIndex
 from spanlake.plans import fixtures as fx
 from spanlake.plans.fixtures import oracle
@@ -15,7 +15,7 @@ PAIRS = 3  # located hits per query: the top of each keyword ranking; the querie
 
 
 def _pairs(spark, sf, k):
-    index = lexical.build_bm25(fx.docs(spark, sf))
+    index = blocks.build_blocks(fx.docs(spark, sf))
     q = fx.queries(spark, sf)
     hits = lexical.bm25_search(q, index, k).select("query_id", "chunk_id")
     return q, index, hits.join(fx.docs(spark, sf), "chunk_id")
@@ -30,7 +30,7 @@ def locate_passage(spark, sf, k=PAIRS):
 def locate_passage_sentences(spark, sf, k=PAIRS):
     q, index, pairs = _pairs(spark, sf, k)
     _, scores = locate.locate_passage(pairs, locate.query_weights(q, index))
-    return scores.select("query_id", "chunk_id", "sent", "start", "end", F.round("score", 6).alias("score"))
+    return scores.select("query_id", "chunk_id", "sent", "start", "end", "score")
 
 
 def locate_window(spark, sf, k=PAIRS):
@@ -49,13 +49,13 @@ def multi_span_snippet(spark, sf, k=PAIRS):
     q, index, pairs = _pairs(spark, sf, k)
     _, scores = locate.locate_passage(pairs, locate.query_weights(q, index), max_window=1 << 20)
     return locate.multi_span_groups(scores, budget=900).select(
-        "query_id", "chunk_id", "ord", "start", "end", F.round("score", 6).alias("score"), "focus"
+        "query_id", "chunk_id", "ord", "start", "end", "score", "focus"
     )
 
 
 def find_evidence(spark, sf):
     chunks = fx.live(spark, sf)
-    out = locate.find_evidence(fx.queries_with_vec(spark, sf), SearchIndex(chunks), chunks, page=2, vector_pool=500)
+    out = locate.find_evidence(fx.queries_with_vec(spark, sf), SearchIndex(chunks), chunks, page=2)
     return out.select(
         "query_id", "rank", "chunk_id", "match", "how", "focus_start", "focus_end", "snippet", "total", "page",
         F.round("score_norm", 6).alias("score_norm"),
@@ -98,9 +98,14 @@ _BASE = {
         ("pairs", "toks", "wts"),
         "SELECT p.query_id, p.chunk_id, t.s, t.e, w.w FROM pairs p JOIN toks t USING (chunk_id) JOIN wts w ON w.query_id = p.query_id AND w.term = t.term",
     ),
+    # a sentence's terms once, however many queries ask for them
+    "tsent": (
+        ("toks", "sent"),
+        "SELECT t.chunk_id, x.sent, t.term, count(*) AS n FROM toks t ASOF JOIN sent x ON x.chunk_id = t.chunk_id AND t.s >= x.s WHERE t.s < x.e GROUP BY ALL",
+    ),
     "rawsc": (
-        ("hit", "sent"),
-        "SELECT h.query_id, h.chunk_id, x.sent, sum(w) AS raw FROM hit h JOIN sent x ON x.chunk_id = h.chunk_id AND h.s >= x.s AND h.s < x.e GROUP BY ALL",
+        ("tsent", "wts", "pairs"),
+        "SELECT w.query_id, t.chunk_id, t.sent, sum(t.n * w.w) AS raw FROM tsent t JOIN wts w USING (term) SEMI JOIN pairs p ON p.query_id = w.query_id AND p.chunk_id = t.chunk_id GROUP BY ALL",
     ),
     "bestsc": (
         ("rawsc",),
@@ -119,7 +124,7 @@ def _bounded(max_w: int, k: int) -> dict:
         ),
         "scores": (
             ("okb", "sent", "rawsc"),
-            """SELECT o.query_id, o.chunk_id, s.sent, s.s, s.e, coalesce(r.raw, 0) / o.raw AS score FROM okb o JOIN sent s USING (chunk_id)
+            """SELECT o.query_id, o.chunk_id, s.sent, s.s, s.e, round(coalesce(r.raw, 0) / o.raw, 9) AS score FROM okb o JOIN sent s USING (chunk_id)
             LEFT JOIN rawsc r ON r.query_id = o.query_id AND r.chunk_id = o.chunk_id AND r.sent = s.sent""",
         ),
     }
@@ -135,7 +140,7 @@ def _oracles(k: int) -> dict[str, str]:
             extra=_bounded(240, k),
         ),
         "locate_passage_sentences": oracle(
-            'SELECT query_id, chunk_id, sent, s AS "start", e AS "end", round(score, 6) AS score FROM scores', "scores", extra=_bounded(240, k)
+            'SELECT query_id, chunk_id, sent, s AS "start", e AS "end", score FROM scores', "scores", extra=_bounded(240, k)
         ),
         "locate_window": oracle(
             """SELECT query_id, chunk_id, CASE WHEN s < e THEN s ELSE ws END AS win_start, CASE WHEN s < e THEN e ELSE we END AS win_end, round(sum, 6) AS score FROM (
@@ -149,7 +154,7 @@ def _oracles(k: int) -> dict[str, str]:
             extra=_BASE | _pairs_sql(k),
         ),
         "multi_span_snippet": oracle(
-            """SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY s) AS ord, s AS "start", e AS "end", round(score, 6) AS score, r = 1 AS focus FROM (
+            """SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY s) AS ord, s AS "start", e AS "end", score, r = 1 AS focus FROM (
         SELECT *, max(width) OVER (PARTITION BY query_id, chunk_id) AS total FROM (SELECT *, max(CASE WHEN r = 3 THEN width END) OVER (PARTITION BY query_id, chunk_id) AS w3 FROM (
         SELECT *, count(*) OVER (PARTITION BY query_id, chunk_id) AS n, sum(e - s + 3) OVER (PARTITION BY query_id, chunk_id ORDER BY r) AS width FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(score, 9) DESC, s) AS r FROM (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from spanlake.functions.wordlists import LABEL_STOP_WORDS
@@ -11,10 +9,13 @@ from spanlake.operators import cluster as cl
 from spanlake.operators import digest as dg
 from spanlake.operators import keywords as kw
 from spanlake.operators import network as nw
+from spanlake.operators.blocks import build_blocks
 from spanlake.operators.fusion import SearchIndex, hybrid_search
+from spanlake.operators.lexical import bm25_search
 from spanlake.plans import fixtures as fx
 from spanlake.plans.fixtures import _quoted, oracle
 from spanlake.plans.scalars import _TITLE, _runes, _trim, _words
+from spanlake.runtime import shared_path
 
 
 def _corpus(spark, sf):
@@ -64,13 +65,13 @@ def merge_undersized(spark, sf):
 def _hits(spark, sf):
     idx = SearchIndex(fx.docs_with_vec(spark, sf))
     q = fx.queries_with_vec(spark, sf)
-    return q, hybrid_search(q, idx, limit=20, scan_factor=3)
+    return q, hybrid_search(q, idx, limit=20)
 
 
 def cluster_per_query(spark, sf):
     q, hits = _hits(spark, sf)
     rows = hits.join(fx.vectors(spark, sf).drop("label"), "chunk_id").join(
-        q.select("query_id", F.substring("text", 1, 20).alias("title")), "query_id"
+        q.select("query_id", F.col("text").alias("title")), "query_id"
     )
     return cl.cluster_per_query(rows).withColumn("confidence", F.round("confidence", 6))
 
@@ -84,9 +85,7 @@ def _label_regions(spark, sf):
 
 
 def sub_themes_by_region(spark, sf):
-    from spanlake.operators.lexical import bm25_search, build_bm25
-
-    hits = bm25_search(fx.queries(spark, sf), build_bm25(fx.docs(spark, sf)), 20)
+    hits = bm25_search(fx.queries(spark, sf), build_blocks(fx.docs(spark, sf)), 20)
     return cl.sub_themes_by_region(hits, fx.members(spark, sf), _label_regions(spark, sf)).withColumn("score", F.round("score", 6))
 
 
@@ -226,7 +225,7 @@ def label_chunks(spark, sf):
 
 
 def upsert_labels(spark, sf):
-    new = fx.docs(spark, sf).select("chunk_id", F.substring("content", 1, 12).alias("label"), F.lit("llm:n").alias("source"))
+    new = fx.docs(spark, sf).select("chunk_id", F.col("content").alias("label"), F.lit("llm:n").alias("source"))
     missing = dg.labels_missing(fx.docs(spark, sf), _labels(spark, sf))
     blank = new.join(missing, "chunk_id", "left_semi").withColumn(
         "chunk_id", F.when(F.col("label").startswith("T"), "").otherwise(F.col("chunk_id"))
@@ -256,7 +255,7 @@ def digest_with_completer(spark, sf):
 def parse_digest_replies(spark, sf):
     """Replies spelled from the documents: reasoning, decoration and repeated fields around their words."""
     d = fx.table(spark, sf, "documents")
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]+"), F.lit(0)), 1, 10), " ")
+    first = F.array_join(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]+"), F.lit(0)), " ")
     lead = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("hm TITLE: wrong</think>\n"))).otherwise("```\n")
     reply = F.concat(
         lead, F.lit("** Title : "), first, F.lit("**\nnoise\nTITLE: second\n# SUMMARY: about "), F.col("source"),
@@ -303,7 +302,7 @@ def parse_span_replies(spark, sf):
 
 
 def build_atlas(spark, sf):
-    store = nw.BuildStore(spark, tempfile.mkdtemp(prefix="spanlake-build-"))
+    store = nw.BuildStore(spark, shared_path(spark, "atlas"))
     nw.build_atlas(store, "b1", fx.chunks(spark, sf))
     r, m, l = (store.read(t) for t in ("regions", "region_members", "region_links"))
     return nw.build_counts(nw.current_build_id(store.builds()), r, m, l)
@@ -571,7 +570,7 @@ ORACLES = {
     "upsert_labels": _o(
         """SELECT chunk_id, label, source FROM labs WHERE chunk_id NOT IN (SELECT chunk_id FROM fresh) UNION ALL SELECT * FROM fresh""",
         "labs", "fresh",
-        fresh=(("docs", "labs"), "SELECT chunk_id, substring(content, 1, 12) AS label, 'llm:n' AS source FROM docs WHERE chunk_id NOT IN (SELECT chunk_id FROM labs WHERE source LIKE 'llm:%') AND NOT starts_with(content, 'T')"),
+        fresh=(("docs", "labs"), "SELECT chunk_id, content AS label, 'llm:n' AS source FROM docs WHERE chunk_id NOT IN (SELECT chunk_id FROM labs WHERE source LIKE 'llm:%') AND NOT starts_with(content, 'T')"),
     ),
     "get_labels": _o("SELECT chunk_id, label, source FROM labs WHERE chunk_id IN (SELECT 'd' || lpad(vec_id::VARCHAR, 8, '0') FROM embeddings)", "labs"),
     "parse_digest_replies": """SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:8], ' ') AS title, 'about ' || source AS abstract, lang || '|' || lower(source) AS keywords

@@ -222,6 +222,37 @@ def snapshot(spark, sf):
     return ch.snapshot_summaries(versions).select("version_id", "label", "rows").unionByName(per)
 
 
+def export_state_all(spark, sf):
+    """All five tables as JSON lines."""
+    return ch.export_state(_state(spark, sf))
+
+
+def _old_references(spark, sf):
+    return fx.table(spark, sf, "labels").select(
+        F.lit("node_chunks").alias("kind"),
+        F.to_json(F.struct(F.concat(F.lit("c"), "doc_id").alias("node_id"), fx.chunk_key(F.col("doc_id")).alias("chunk_id"))).alias("json"),
+    )
+
+
+def import_state_all(spark, sf):
+    """All five tables exported, imported next to old-style references, and exported again."""
+    state = _state(spark, sf)
+    lines = ch.export_state(state).unionByName(_old_references(spark, sf))
+    return ch.export_state(ch.import_state(lines, {k: df.schema for k, df in state.items()}))
+
+
+def restore_all(spark, sf):
+    """All tables of two versions as they are restored: the first whole, the second without its evidence."""
+    state = _state(spark, sf)
+    lines = ch.export_state(state)
+    versions = ch.snapshot(lines, "v1", "first", F.timestamp_seconds(F.lit(1700000000))).unionByName(
+        ch.snapshot(lines.filter("kind <> 'evidence'"), "v2", "second", F.timestamp_seconds(F.lit(1700000100)))
+    )
+    schemas = {k: df.schema for k, df in state.items()}
+    back = [ch.export_state(ch.restore(versions, v, schemas)).withColumn("version_id", F.lit(v)) for v in ("v1", "v2")]
+    return back[0].unionByName(back[1])
+
+
 def _old_chunks(spark, sf):
     return fx.chunks(spark, sf).select("chunk_id", "source_file", "content", "created_at", "deleted_at")
 
@@ -381,12 +412,24 @@ QUERIES = {
     for f in (
         build_tree, flatten_preorder, subtree, neighbours, outline_stats, find_roots, would_create_cycle, topological_sort,
         validate_graph, reachable_static, conditional_walk, linearize_thread, collect_spans, stitch_spans, stitch_stats, exits,
-        diff_states, outline_report, manuscript_report, export_state, import_state, snapshot, supersede_source, supersede_counts,
+        diff_states, outline_report, manuscript_report, export_state, import_state, snapshot, export_state_all, import_state_all, restore_all, supersede_source, supersede_counts,
         rechunk, versioned_upsert, cascade_delete, apply_changes, replace_thread_nodes, align_quotes, audit_evidence,
         detach_unresolved, constraint_checks, invalidate_vectors, meta_upsert, index_gap,
     )
 }
 
+#: every table as JSON lines, with keys in order
+_STATE = {
+    "nodes": ("nodes", "{'body': body, 'locked': locked, 'node_id': node_id, 'title': title, 'type': type}"),
+    "edges": ("edges", "{'condition': condition, 'edge_id': edge_id, 'from_node': from_node, 'to_node': to_node, 'type': type, 'weight': weight}"),
+    "threads": ("threads", "{'name': name, 'thread_id': thread_id}"),
+    "thread_nodes": ("thread_nodes", "{'node_id': node_id, 'position': position, 'thread_id': thread_id}"),
+    "evidence": (
+        "evidence",
+        "{'char_end': char_end, 'char_start': char_start, 'chunk_id': chunk_id, 'edited': edited, 'evidence_id': evidence_id, 'node_id': node_id, 'position': position, 'source_file': source_file, 'text': text}",
+    ),
+}
+_STATE_SQL = " UNION ALL ".join(f"SELECT '{kind}' AS kind, to_json({value})::VARCHAR AS json FROM {name}" for kind, (name, value) in _STATE.items())
 _STEP = "lpad({w}::VARCHAR, 5, '0') || lpad({t}::VARCHAR, 12, '0') || {i}"
 _EX = {
     "links": (
@@ -522,6 +565,14 @@ ORACLES = {
         UNION ALL SELECT 'v1', 'first', (SELECT count(*) FROM nodes) + (SELECT count(*) FROM edges) + (SELECT count(*) FROM threads) + (SELECT count(*) FROM thread_nodes) + (SELECT count(*) FROM evidence)
         UNION ALL SELECT type, 'restored', count(*) FROM nodes GROUP BY type""", "nodes", "edges", "threads", "thread_nodes", "evidence"
     ),
+    "export_state_all": _o(_STATE_SQL, *_STATE),
+    "import_state_all": _o(
+        _STATE_SQL + """ UNION ALL SELECT 'evidence', '{"char_end":null,"char_start":null,"chunk_id":"d' || lpad(doc_id::VARCHAR, 8, '0') || '","edited":null,"evidence_id":"legacy:c' || doc_id || ':d' || lpad(doc_id::VARCHAR, 8, '0')
+        || '","node_id":"c' || doc_id || '","position":null,"source_file":null,"text":""}' FROM labels""", *_STATE
+    ),
+    "restore_all": _o(
+        f"SELECT kind, json, version_id FROM ({_STATE_SQL}), (SELECT unnest(['v1', 'v2']) AS version_id) WHERE kind <> 'evidence' OR version_id = 'v1'", *_STATE
+    ),
     "supersede_source": _o(
         """SELECT chunk_id, source_file, CASE WHEN deleted_at IS NULL AND source_file IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE quality = 0) THEN 1800000000 ELSE deleted_at END AS deleted_at FROM chunks
         UNION ALL SELECT 'n' || doc_id, source, NULL FROM documents JOIN labels USING (doc_id) WHERE quality = 0""", "chunks"

@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from spanlake.operators import fusion, lexical
+from spanlake.operators import blocks, fusion, lexical, paging
 from spanlake.operators.vectors import rank_regions, vector_search, vector_search_ann
 from spanlake.plans import fixtures as fx
 from spanlake.plans.fixtures import oracle
@@ -25,12 +25,12 @@ def build_bm25(spark, sf):
 
 
 def bm25_search(spark, sf):
-    index = lexical.build_bm25(fx.docs(spark, sf))
+    index = blocks.build_blocks(fx.docs(spark, sf))
     return lexical.bm25_search(fx.queries(spark, sf), index, LIMIT).select("query_id", "chunk_id", "rank", _r("score"))
 
 
 def idf(spark, sf):
-    index = lexical.build_bm25(fx.docs(spark, sf))
+    index = blocks.build_blocks(fx.docs(spark, sf))
     terms = fx.queries(spark, sf).select(F.explode(F.split("text", " ")).alias("term"))
     return lexical.idf(terms, index).select("term", "df", _r("idf"))
 
@@ -56,7 +56,7 @@ def upsert_bm25(spark, sf):
 
 def _passage(scan):
     def run(spark, sf):
-        index = lexical.build_passage_index(fx.docs(spark, sf))
+        index = blocks.build_passage_blocks(fx.docs(spark, sf))
         return lexical.passage_search(fx.queries(spark, sf), index, LIMIT, scan_factor=scan).select(
             "query_id", "chunk_id", "start", "end", "rank", _r("score")
         )
@@ -109,7 +109,7 @@ def _hybrid(mode, scan=SCAN):
 
 
 def match_kind(spark, sf):
-    hits = fusion.hybrid_search(fx.queries_with_vec(spark, sf), _index(spark, sf), limit=0, vector_pool=500)
+    hits = fusion.hybrid_search(fx.queries_with_vec(spark, sf), _index(spark, sf), limit=0)
     return hits.groupBy("query_id", fusion.match_kind(F.col("bm25"), F.col("vector")).alias("kind")).agg(
         F.count(F.lit(1)).alias("n"), F.min("rank").alias("best_rank")
     )
@@ -117,7 +117,7 @@ def match_kind(spark, sf):
 
 def ranked_page(spark, sf):
     """Page and size vary with the query; the pool is the whole keyword ranking."""
-    pool = lexical.bm25_search(fx.queries(spark, sf), lexical.build_bm25(fx.docs(spark, sf)), 0)
+    pool = lexical.bm25_search(fx.queries(spark, sf), blocks.build_blocks(fx.docs(spark, sf)), 0)
     req = fx.queries(spark, sf).select(
         "query_id",
         (F.col("query_id") % 9).cast("int").alias("page"),
@@ -128,6 +128,16 @@ def ranked_page(spark, sf):
     )
 
 
+def hybrid_page(spark, sf):
+    """Pages of the fused ranking of all matches; page and size vary with the query."""
+    req = fx.queries(spark, sf).select(
+        "query_id", (F.col("query_id") % 9).cast("int").alias("page"), (F.col("query_id") * 3 - 5).cast("int").alias("page_size")
+    )
+    return paging.hybrid_page(fx.queries_with_vec(spark, sf), _index(spark, sf), req).select(
+        "query_id", "chunk_id", "rank", "total", "page", "page_size", "pages", "start", "end", _r("score", 8), _r("score_norm")
+    )
+
+
 def _bullets(spark, sf):
     """Benchmark texts as nodes: first sentence-like piece as title, the rest as body."""
     q = fx.queries_with_vec(spark, sf)
@@ -186,6 +196,7 @@ QUERIES = {
     "hybrid_search_keyword_all": _hybrid("keyword", None),
     "hybrid_search_semantic": _hybrid("semantic"),
     "ranked_page": ranked_page,
+    "hybrid_page": hybrid_page,
     "suggest": suggest,
     "suggest_all": partial(suggest, scan=None),
     "context_check": context_check,
@@ -347,6 +358,15 @@ ORACLES = {
         WHERE rank > (least(greatest(query_id % 9, 1), pages) - 1) * page_size AND rank <= least(greatest(query_id % 9, 1), pages) * page_size""",
         "bm_ranked",
     ),
+    "hybrid_page": oracle(
+        """SELECT query_id, chunk_id, rank, total, least(greatest(query_id % 9, 1), pages) AS page, page_size, pages, s AS "start", e AS "end", round(score, 8) AS score, round(score / top, 6) AS score_norm
+        FROM pool JOIN (SELECT query_id, total, top, page_size, greatest(ceil(total / page_size), 1)::INT AS pages FROM (
+        SELECT query_id, count(*) AS total, max(score) AS top, CASE WHEN query_id * 3 - 5 <= 18 THEN 12 WHEN query_id * 3 - 5 <= 37 THEN 25 WHEN query_id * 3 - 5 <= 75 THEN 50 ELSE 100 END AS page_size
+        FROM pool GROUP BY query_id)) USING (query_id)
+        WHERE rank > (least(greatest(query_id % 9, 1), pages) - 1) * page_size AND rank <= least(greatest(query_id % 9, 1), pages) * page_size""",
+        "pool",
+        extra=fx.fused_sql(0, scan=None),
+    ),
     "suggest": _suggest_sql(),
     "suggest_all": _suggest_sql(None),
     "context_check": _context_sql(),

@@ -8,8 +8,11 @@ import tempfile
 from pyspark.sql import functions as F
 
 from spanlake.hooks import embedder
-from spanlake.operators import lexical
 from spanlake.functions.vectors import feature_hash
+from spanlake.operators import lexical
+from spanlake.operators import repair as repairing
+from spanlake.operators.blocks import build_blocks
+from spanlake.operators.fusion import SearchIndex, hybrid_search
 from spanlake.plans import fixtures as fx
 from spanlake.plans import retrieval, scalars
 from spanlake.plans.fixtures import oracle
@@ -116,6 +119,19 @@ def save_load_index(spark, sf):
     return lexical.bm25_search(fx.queries(spark, sf), index, 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+def save_load_search_index(spark, sf):
+    """Hybrid search on an index that was written and opened again; a second version replaces the first."""
+    at = _scratch(spark)
+    assert tables.load_search_index(spark, at) is None
+    chunks = fx.docs_with_vec(spark, sf)
+    good = fx.table(spark, sf, "labels").filter("quality = 1").select(fx.chunk_key(F.col("doc_id")).alias("chunk_id"))
+    first = tables.save_search_index(SearchIndex(chunks.join(good, "chunk_id", "left_semi")), at)
+    second = tables.save_search_index(SearchIndex(chunks), at, keep=0)
+    assert [name for _, name in tables.versions(spark, at)] == [second] and second != first
+    hits = hybrid_search(fx.queries_with_vec(spark, sf), tables.load_search_index(spark, at), limit=retrieval.LIMIT)
+    return hits.select("query_id", "chunk_id", "rank", "start", "end", F.round("score", 8).alias("score"))
+
+
 def _doc_stream(spark, sf):
     schema = fx.table(spark, sf, "documents").schema
     return (
@@ -150,6 +166,56 @@ def stream_backfill(spark, sf):
     return spark.read.parquet(f"{at}/vectors").select("chunk_id", F.size("vec").alias("dim"))
 
 
+def stream_backfill_stored(spark, sf):
+    """How often each chunk was embedded: even documents arrive, odd ones are stored already; then the vectors of
+    toxic ones are cleared, and the next batch, which brings the German ones again, makes those anew."""
+    at = _scratch(spark)
+    rows = fx.table(spark, sf, "documents").select("doc_id", "lang", fx.chunk_key(F.col("doc_id")).alias("chunk_id"), F.col("text").alias("content"))
+    rows.filter("doc_id % 2 = 1").write.parquet(f"{at}/chunks")
+    toxic = fx.table(spark, sf, "labels").filter("toxic = 1").select(fx.chunk_key(F.col("doc_id")).alias("chunk_id"))
+    for batch, (arriving, seen) in enumerate((("doc_id % 2 = 0", "doc_id % 2 = 1"), ("lang = 'de'", "true"))):
+        rows.filter(arriving).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        if batch:
+            jobs.clear_vectors(toxic, at, batch - 1)
+            rows.filter("doc_id % 2 = 0").write.mode("append").parquet(f"{at}/chunks")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in").select("chunk_id", "content")
+        stored = lambda s: s.read.parquet(f"{at}/chunks")
+        jobs.stream_backfill(stream, embedder(_hashed), at, f"{at}/cp", stored=stored).awaitTermination()
+    made = spark.read.parquet(f"{at}/vectors").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("times"))
+    now = jobs.current_vectors(spark, at).select("chunk_id", F.size("vec").alias("dim"))
+    log = spark.read.parquet(f"{at}/work").filter("state = 'done'").groupBy("chunk_id").agg(F.max("batch").cast("long").alias("last_batch"))
+    return made.join(now, "chunk_id").join(log, "chunk_id")
+
+
+def stream_ingest_broken(spark, sf):
+    """Documents as files in Latin-1: those with a letter beyond ASCII are no UTF-8 and fail alone."""
+    at = _scratch(spark)
+    d = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("value"))
+    d.repartition(8, "doc").write.partitionBy("doc").option("encoding", "ISO-8859-1").option("extension", "txt").csv(f"{at}/files")
+    jobs.stream_ingest(jobs.file_stream(spark, f"{at}/files", 5000), f"{at}/store", f"{at}/cp").awaitTermination()
+    rejected = spark.read.parquet(f"{at}/store/rejects").select("upload_id", F.lit(True).alias("rejected"))
+    return jobs.latest_status(spark, f"{at}/store").join(rejected, "upload_id", "left").select(
+        _doc_of("source_file").alias("doc_id"), "status", "error", F.coalesce("rejected", F.lit(False)).alias("rejected")
+    )
+
+
+def repair_index(spark, sf):
+    """What a repair finds, by arm, after each arm was damaged; nothing is left to find after it."""
+    at = _scratch(spark)
+    chunks = fx.live(spark, sf)
+    lab = fx.table(spark, sf, "labels").select(fx.chunk_key(F.col("doc_id")).alias("chunk_id"), "quality", "toxic", "doc_id")
+    poor, odd = lab.filter("quality = 0").select("chunk_id"), lab.filter("doc_id % 2 = 1").select("chunk_id")
+    # the arms are made of another state: poor chunks have another text, odd ones are not there, toxic ones still are
+    before = fx.chunks(spark, sf).withColumn("deleted_at", F.lit(None).cast("timestamp")).join(poor.withColumn("_poor", F.lit(True)), "chunk_id", "left")
+    before = before.withColumn("content", F.when(F.col("_poor"), F.lit("Another text")).otherwise(F.col("content"))).drop("_poor")
+    repairing.write_arms(before.join(odd, "chunk_id", "left_anti"), at, 16)
+    report = repairing.repair(chunks, at, 16)
+    counts = report.groupBy("arm", "problem").agg(F.count(F.lit(1)).alias("n"))
+    assert repairing.reconcile(chunks, at).isEmpty()
+    held = [repairing.read_arm(spark, at, arm).agg(F.lit(arm).alias("arm"), F.count_distinct("chunk_id").alias("held")) for arm in repairing.ARMS]
+    return counts.join(held[0].union(held[1]).union(held[2]), "arm")
+
+
 def stream_index_update(spark, sf):
     at = _scratch(spark)
     jobs.stream_index_update(_doc_stream(spark, sf), at, f"{at}/cp").awaitTermination()
@@ -184,7 +250,7 @@ def stream_state_mirror(spark, sf):
 def stabilize_results(spark, sf):
     """Three result pages per query: top 5, the same reordered with other snippets, and top 6."""
     at = _scratch(spark)
-    hits = lexical.bm25_search(fx.queries(spark, sf), lexical.build_bm25(fx.docs(spark, sf)), 6)
+    hits = lexical.bm25_search(fx.queries(spark, sf), build_blocks(fx.docs(spark, sf)), 6)
     for seq, most in ((1, 5), (2, 5), (3, 6)):
         page = hits.filter(F.col("rank") <= most).select(
             F.concat(F.lit("q"), "query_id").alias("node_id"), F.lit(seq).cast("long").alias("seq"), "chunk_id",
@@ -202,8 +268,8 @@ def stabilize_results(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_transcripts, read_fembed, read_embed_tsv, convert_tsv_to_fembed, append_chunks, save_load_index, stream_ingest,
-        stream_backfill, stream_index_update, stream_snapshot, stream_state_mirror, stabilize_results,
+        scan_transcripts, read_fembed, read_embed_tsv, convert_tsv_to_fembed, append_chunks, save_load_index, save_load_search_index, stream_ingest, stream_ingest_broken,
+        stream_backfill, stream_backfill_stored, repair_index, stream_index_update, stream_snapshot, stream_state_mirror, stabilize_results,
     )
 }
 
@@ -219,11 +285,27 @@ ORACLES = {
         """SELECT source_file, count(*) AS n, count(DISTINCT chunk_id IN (SELECT 'd' || lpad(doc_id::VARCHAR, 8, '0') FROM labels)) AS commits, 1 AS buckets FROM live GROUP BY source_file""", "live"
     ),
     "save_load_index": retrieval.ORACLES["bm25_search"],
+    "save_load_search_index": retrieval.ORACLES["hybrid_search_all"],
     "stream_ingest": oracle(
         """SELECT doc_id, CASE WHEN n > 0 THEN 'done' ELSE 'failed' END AS status, n AS segments, b AS bytes FROM (SELECT doc_id, count(text) AS n, coalesce(sum(strlen(text) + 1) - 1, 0) AS b
         FROM documents d LEFT JOIN (SELECT source_file, text FROM sents) s ON s.source_file = 'doc' || doc_id GROUP BY doc_id)""".replace("documents d", "(SELECT doc_id FROM documents) d"), "sents", extra=scalars._PARSE
     ),
     "stream_backfill": oracle("SELECT chunk_id, 64 AS dim FROM docs", "docs"),
+    "stream_backfill_stored": """SELECT 'd' || lpad(d.doc_id::VARCHAR, 8, '0') AS chunk_id, CASE WHEN t.doc_id IS NULL THEN 1 ELSE 2 END AS times, 64 AS dim,
+        CASE WHEN t.doc_id IS NULL THEN 0 ELSE 1 END AS last_batch FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) t USING (doc_id)""",
+    "stream_ingest_broken": """SELECT doc_id, CASE WHEN bad THEN 'failed' ELSE 'done' END AS status, CASE WHEN bad THEN 'not a UTF-8 text' ELSE '' END AS error, bad AS rejected
+        FROM (SELECT doc_id, regexp_matches(text, '[\\x{80}-\\x{FF}]') AS bad FROM documents)""",
+    "repair_index": oracle(
+        """SELECT arm, problem, n, held FROM (SELECT arm, CASE WHEN l.chunk_id IS NULL THEN 'extra' WHEN b.chunk_id IS NULL THEN 'missing' ELSE 'stale' END AS problem, count(*) AS n
+        FROM (SELECT arm, chunk_id, content FROM live, (SELECT unnest(['keyword', 'passages', 'vectors']) AS arm) WHERE arm <> 'vectors' OR vec IS NOT NULL) l
+        FULL JOIN (SELECT arm, chunk_id, CASE WHEN quality = 0 THEN 'Another text' ELSE content END AS content FROM chunks LEFT JOIN lab USING (chunk_id), (SELECT unnest(['keyword', 'passages', 'vectors']) AS arm)
+        WHERE (arm <> 'vectors' OR vec IS NOT NULL) AND coalesce(doc_id % 2, 0) = 0) b USING (arm, chunk_id)
+        WHERE l.chunk_id IS NULL OR b.chunk_id IS NULL OR (arm <> 'vectors' AND l.content <> b.content) GROUP BY ALL)
+        JOIN (SELECT arm, count(*) AS held FROM live, (SELECT unnest(['keyword', 'passages', 'vectors']) AS arm) WHERE arm <> 'vectors' OR vec IS NOT NULL GROUP BY arm) USING (arm)""",
+        "live",
+        "lab",
+        extra={"lab": ((), "SELECT 'd' || lpad(doc_id::VARCHAR, 8, '0') AS chunk_id, quality, toxic, doc_id FROM labels")},
+    ),
     "stream_index_update": retrieval.ORACLES["bm25_search"],
     "stream_snapshot": oracle("SELECT term, count(*) AS df, sum(tf) AS tf FROM post GROUP BY term", "post"),
     "stream_state_mirror": oracle(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +49,29 @@ def is_empty(df: DataFrame) -> bool:
 def salt_of(*cols, salts: int):
     """Deterministic salt in [0, salts) from a row's own key columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder; no two calls give the same one."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to ``path``, else to the shared folder, and return the table: its lineage ends
+    there, so a lost executor costs no earlier step, and reading it prunes columns.
+
+    Nothing reads the shuffle files of the step again, so Spark is told to delete them at its end.
+    """
+    spark = df.sparkSession
+    path = path or shared_path(spark, name)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

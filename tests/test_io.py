@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from spanlake.hooks import EmbedderNotReady, embedder
 from spanlake.operators import lexical as lx
+from spanlake.operators import repair
 from spanlake.sources import embeddings as emb, tables, transcripts
 from spanlake.streaming import jobs
 
@@ -106,6 +107,88 @@ def test_backfill_pauses_then_drains(spark, tmp_path):
     assert got == {"a": [3.0], "b": [1.0]}
 
 
+def test_a_broken_file_fails_alone(spark, tmp_path):
+    src, store = tmp_path / "src", str(tmp_path / "store")
+    src.mkdir()
+    (src / "good.txt").write_text("One. Two.")
+    (src / "broken.txt").write_bytes(b"caf\xe9 and more.")
+    (src / "blank.txt").write_text(" ")
+    run(jobs.stream_ingest(jobs.file_stream(spark, str(src), source=jobs.file_name), store, str(tmp_path / "cp")))
+    status = {r.source_file: (r.status, r.error) for r in jobs.latest_status(spark, store).collect()}
+    assert status == {"good.txt": ("done", ""), "broken.txt": ("failed", "not a UTF-8 text"), "blank.txt": ("failed", "empty transcript")}
+    assert [r.content for r in jobs.ingested(spark, store).collect()] == ["One. Two."]
+    assert {r.error for r in spark.read.parquet(f"{store}/rejects").collect()} == {"not a UTF-8 text", "empty transcript"}
+    (src / "again").mkdir()
+    (src / "again" / "broken.txt").write_text("Now fine.")
+    run(jobs.stream_ingest(jobs.file_stream(spark, str(src), source=jobs.file_name), store, str(tmp_path / "cp")))
+    assert {r.source_file: r.status for r in jobs.latest_status(spark, store).collect()}["broken.txt"] == "done"
+    steps = spark.read.parquet(f"{store}/uploads").filter("source_file = 'good.txt'").orderBy("step").collect()
+    assert [(r.status, r.part) for r in steps] == [("pending", "begun"), ("transcribing", "begun"), ("done", "ended")]
+
+
+def test_work_that_died_leaves_its_files_transcribing(spark, tmp_path, monkeypatch):
+    src, store = tmp_path / "src", str(tmp_path / "store")
+    src.mkdir()
+    (src / "a.txt").write_text("One.")
+    real = jobs.chunk_raw
+    monkeypatch.setattr(jobs, "chunk_raw", lambda df: 1 / 0)
+    go = lambda: run(jobs.stream_ingest(jobs.file_stream(spark, str(src)), store, str(tmp_path / "cp")))
+    with pytest.raises(Exception, match="ZeroDivision"):
+        go()
+    assert [r.status for r in jobs.latest_status(spark, store).collect()] == ["transcribing"]
+    monkeypatch.setattr(jobs, "chunk_raw", real)
+    go()  # the same batch again
+    assert [r.status for r in jobs.latest_status(spark, store).collect()] == ["done"]
+
+
+def test_backfill_of_stored_rows_and_of_rows_that_failed(spark, tmp_path):
+    schema, at = "chunk_id string, content string", str(tmp_path / "out")
+    table = spark.createDataFrame([("old1", "x"), ("old2", "yy"), ("bad", "?")], schema)
+    table.write.parquet(str(tmp_path / "table"))
+    calls = str(tmp_path / "calls")
+
+    def model(texts, side):
+        with open(calls, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+        return [[] if t == "?" else [float(len(t))] for t in texts]
+
+    def batch(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        run(jobs.stream_backfill(stream, embedder(model), at, str(tmp_path / "cp"), stored=lambda s: s.read.parquet(str(tmp_path / "table")), attempts=2, patience=2))
+        return {r.chunk_id: r.vec for r in jobs.current_vectors(spark, at).collect()}
+
+    first = batch(("new1", "zzz"))
+    assert first == {"old1": [1.0], "old2": [2.0], "new1": [3.0]}
+    jobs.clear_vectors(table.filter("chunk_id = 'old1'"), at, 0)
+    assert {r.chunk_id for r in jobs.current_vectors(spark, at).collect()} == {"old2", "new1"}
+    assert batch(("new1", "zzz"))["old1"] == [1.0]  # embedded again; the one that failed is not due yet
+    batch(("new2", "w"))  # the second and last attempt
+    batch(("new3", "w"))
+    asked = open(calls).read().split()
+    assert asked.count("?") == 2 and asked.count("x") == 2 and asked.count("yy") == 1 and asked.count("zzz") == 1
+    work = spark.read.parquet(f"{at}/work").filter("chunk_id = 'bad'").orderBy("batch", "part").collect()
+    assert [(r.batch, r.state, r.attempt) for r in work] == [(0, "failed", 1), (0, "leased", 1), (2, "failed", 2), (2, "leased", 2)]
+
+
+def test_repair_mends_each_arm_and_touches_few_buckets(spark, tmp_path):
+    rows = [(f"c{i}", f"word{i} shared. More.", [float(i)] if i % 2 else None, None) for i in range(40)] + [("silent", "!!", None, None), ("dead", "gone", [1.0], "x")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string, vec array<float>, deleted_at string")
+    at = str(tmp_path / "arms")
+    repair.write_arms(chunks, at, 8)
+    assert repair.reconcile(chunks, at).isEmpty()
+    files = {arm: {r.f for r in repair.read_arm(spark, at, arm).select(F.input_file_name().alias("f")).distinct().collect()} for arm in repair.ARMS}
+    now = chunks.filter("chunk_id <> 'c3'").unionByName(spark.createDataFrame([("c90", "fresh", [5.0], None)], chunks.schema))
+    now = now.withColumn("content", F.when(F.col("chunk_id") == "c5", "changed").otherwise(F.col("content")))
+    report = {(r.arm, r.chunk_id, r.problem) for r in repair.repair(now, at, 8).collect()}
+    both = {(arm, *x) for arm in ("keyword", "passages") for x in (("c3", "extra"), ("c90", "missing"), ("c5", "stale"))}
+    assert report == both | {("vectors", "c3", "extra"), ("vectors", "c90", "missing")}
+    assert repair.reconcile(now, at).isEmpty() and repair.repair(now, at, 8).count() == 0
+    left = {r.f for r in repair.read_arm(spark, at, "keyword").select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(files["keyword"] & left) >= len(files["keyword"]) / 2  # other buckets keep their files
+    assert {r.term for r in repair.read_arm(spark, at, "keyword").filter("chunk_id = 'c5'").collect()} == {"changed"}
+
+
 def test_streamed_index_drops_old_rows(spark, tmp_path):
     at = str(tmp_path / "store")
     schema = "chunk_id string, content string"
