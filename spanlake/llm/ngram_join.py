@@ -92,12 +92,13 @@ def _whole_rows(words: int):
 
 
 def ordered_sets(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """sid, n and ``path``: the n-grams that occur in another set, rare ones first; sets that have too few are left out."""
+    """sid, n, ``path``: the n-grams that occur in another set, rare ones first, and ``core``: in how many sets they
+    occur on average. Sets that have too few are left out."""
     occurs = sets.select("sid", F.explode("grams").alias("g"))
     again = occurs.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    path = occurs.join(again, "g").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("p"))
-    path = path.select("sid", F.transform("p", lambda x: x.g).alias("path"))
-    return path.join(sizes, "sid").filter(F.size("path") >= F.expr(f"(n * {percent} + 99) div 100")).select("sid", F.col("n").cast("int").alias("n"), "path")
+    path = occurs.join(again, "g").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("p"), F.avg("c").alias("core"))
+    path = path.select("sid", "core", F.transform("p", lambda x: x.g).alias("path"))
+    return path.join(sizes, "sid").filter(F.size("path") >= F.expr(f"(n * {percent} + 99) div 100")).select("sid", F.col("n").cast("int").alias("n"), "core", "path")
 
 
 def _shared(n: Column, m: Column, percent: int) -> Column:
@@ -106,18 +107,20 @@ def _shared(n: Column, m: Column, percent: int) -> Column:
 
 
 def prefix_entries(paths: DataFrame, percent: int) -> DataFrame:
-    """g, sid, n, left (n-grams from this one on) and ``short`` (in the index prefix), for each prefix n-gram."""
+    """g, sid, n, core, left (n-grams from this one on) and ``short`` (in the index prefix), for each prefix n-gram."""
     size, n = F.size("path"), F.col("n")
     probe = size - F.expr(f"(n * {percent} + 99) div 100") + 1
     index = size - _shared(n, n, percent) + 1
-    rows = paths.select("sid", "n", size.alias("size"), index.alias("index"), F.posexplode(F.slice("path", F.lit(1), probe.cast("int"))).alias("pos", "g"))
-    return rows.select("g", "sid", "n", (F.col("size") - F.col("pos")).cast("int").alias("left"), (F.col("pos") < F.col("index")).alias("short"))
+    rows = paths.select("sid", "n", "core", size.alias("size"), index.alias("index"), F.posexplode(F.slice("path", F.lit(1), probe.cast("int"))).alias("pos", "g"))
+    return rows.select("g", "sid", "n", "core", (F.col("size") - F.col("pos")).cast("int").alias("left"), (F.col("pos") < F.col("index")).alias("short"))
 
 
-def _fits(percent: int, a: str = "", b: str = "y_") -> Column:
-    """Sizes and remaining lengths from the shared n-gram on allow a link of the shorter set ``b``."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (m * 100 >= n * percent) & (F.least(F.col(f"{a}left"), F.col(f"{b}left")) >= _shared(n, m, percent))
+def _fits(percent: int) -> Column:
+    """Sizes and remaining lengths from the shared n-gram on allow a link, and the shorter set has it in its index prefix."""
+    n, m = F.col("n"), F.col("y_n")
+    first = (n < m) | ((n == m) & (F.col("sid") < F.col("y_sid")))
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    return sizes & (F.least("left", "y_left") >= _shared(n, m, percent)) & F.when(first, F.col("short")).otherwise(F.col("y_short"))
 
 
 class Walk:
@@ -212,17 +215,20 @@ def linked_sets(paths: DataFrame, percent: int) -> DataFrame | None:
     links = seen = labels = None
     for number in range(ROUNDS + 1):
         live = stored(_classed(entries, labels), "classed")
-        mine = live.select(F.col("g"), *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "left", "label", "short"))).filter("y_short").drop("y_short")
-        if number < ROUNDS:  # of each tree the shortest set, in later rounds one that chance picks
-            pick = F.struct("y_n", "y_sid") if not number else F.struct(F.xxhash64(F.lit(number), "y_label"), "y_n", "y_sid")
-            mine = mine.groupBy("g").agg(F.min_by(F.struct("y_sid", "y_n", "y_left", "y_label"), pick).alias("y")).select("g", "y.*")
+        mine = live.select("g", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "core", "left", "label", "short")))
         after = (F.col("n") > F.col("y_n")) | ((F.col("n") == F.col("y_n")) & (F.col("sid") > F.col("y_sid")))
+        if number < ROUNDS:  # of each tree the set whose n-grams most others have; later that of a class that chance picks
+            order = [-F.col("y_core"), F.col("y_sid")]
+            pick = F.struct(*order) if not number else F.struct(F.xxhash64(F.lit(number), "y_label"), *order)
+            mine = mine.groupBy("g").agg(F.min_by(F.struct(*(c for c in mine.columns if c != "g")), pick).alias("y")).select("g", "y.*")
+            after = F.lit(True)
         met = live.join(mine, "g").filter(after & (F.col("label") != F.col("y_label")) & _fits(percent))
-        pairs = met.select(F.col("y_sid").alias("a"), F.col("sid").alias("b"), F.col("y_n").alias("n")).distinct()
+        pairs = met.select(F.col("y_sid").alias("a"), F.col("sid").alias("b"), F.col("y_core").alias("core"))
+        pairs = pairs.distinct()
         if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            pairs = pairs.join(seen.union(seen.select("b", "a")), ["a", "b"], "left_anti")
         if number < ROUNDS:  # a set is held against one other set a round, so that a class costs a pair a member
-            choice = F.struct("n", "a") if not number else F.struct(F.xxhash64(F.lit(number), "a"), "a")
+            choice = F.struct(-F.col("core"), "a") if not number else F.struct(F.xxhash64(F.lit(number), "a"), "a")
             pairs = pairs.groupBy("b").agg(F.min(choice).alias("one")).select(F.col("one.a").alias("a"), "b")
         pairs = stored(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
