@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import first_sentences, is_label_term, title_case
+from spanlake.operators.lexical import count_terms
 from spanlake.ordered import top_k
 from spanlake.runtime import cut, has_at_most, salt_of
 
@@ -29,10 +30,11 @@ def keyword_df(chunks: DataFrame, text: str = "content") -> DataFrame:
 
 
 def term_counts(texts: DataFrame, group: Sequence[str], text: str = "content") -> DataFrame:
-    """(*group, term, tf)."""
+    """(*group, term, tf). A chunk is one text, so its terms are counted where it is read, without a shuffle."""
     rows = texts.select(*group, text)
-    # one text per group: hashed by the group, its terms are counted without a second shuffle
-    rows = rows.repartition(*group) if list(group) == ["chunk_id"] else rows
+    if list(group) == ["chunk_id"]:
+        toks = F.coalesce(F.filter(_raw_terms(text), is_label_term), F.array().cast("array<string>"))
+        return count_terms(rows.select("chunk_id", toks.alias("toks")), group).select("chunk_id", "term", "tf")
     terms = rows.select(*group, F.explode_outer(_raw_terms(text)).alias("term"))
     return terms.filter(is_label_term(F.col("term"))).groupBy(*group, "term").agg(F.count(F.lit(1)).alias("tf"))
 

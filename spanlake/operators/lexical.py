@@ -58,9 +58,14 @@ def build_bm25(docs: DataFrame, ids: Sequence[str] = ("chunk_id",), text: str =
 
 def _index(docs: DataFrame, ids: Sequence[str], text: str) -> LexicalIndex:
     toks = docs.select(*ids, F.coalesce(tokenize(text), F.array().cast("array<string>")).alias("toks"))
+    return LexicalIndex(count_terms(toks, ids), toks.select(*ids, F.size("toks").alias("dl")), tuple(ids))
+
+
+def count_terms(toks: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """(term, *ids, tf, dl) of rows (*ids, toks), counted row by row in the task that has them."""
     fields = [toks.schema[c] for c in ids]
     out = T.StructType([T.StructField("term", T.StringType()), *fields, T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
-    return LexicalIndex(toks.mapInArrow(_counted(list(ids)), out), toks.select(*ids, F.size("toks").alias("dl")), tuple(ids))
+    return toks.mapInArrow(_counted(list(ids)), out)
 
 
 def _counted(ids: list[str]):

@@ -14,7 +14,7 @@ from spanlake.operators.fusion import SearchIndex, hybrid_search
 from spanlake.operators.lexical import bm25_search
 from spanlake.plans import fixtures as fx
 from spanlake.plans.fixtures import _quoted, oracle
-from spanlake.plans.scalars import _TITLE, _runes, _trim, _words
+from spanlake.plans.scalars import _TITLE, _dealt, _runes, _trim, _words
 from spanlake.runtime import shared_path
 
 
@@ -93,8 +93,8 @@ def keyword_df(spark, sf):
     return kw.keyword_df(fx.docs(spark, sf))
 
 
-def top_keywords(spark, sf):
-    d = fx.docs(spark, sf)
+def top_keywords(spark, sf, partitions=None):
+    d = _dealt(fx.docs(spark, sf), partitions)
     return kw.top_keywords(d, kw.keyword_df(d), kw.corpus_size(d), ["chunk_id"], 4).withColumn("score", F.round("score", 6))
 
 
@@ -165,8 +165,8 @@ def digest_regions(spark, sf):
     return out.select("region_id", "title", "source", F.size("vec").alias("dim"))
 
 
-def transcript_digests(spark, sf):
-    out = dg.transcript_digests(fx.live(spark, sf))
+def transcript_digests(spark, sf, partitions=None):
+    out = dg.transcript_digests(_dealt(fx.live(spark, sf), partitions))
     return out.select("source_file", "chunk_count", "title", "abstract", F.array_join("keywords", " ").alias("keywords"))
 
 

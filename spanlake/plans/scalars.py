@@ -47,8 +47,13 @@ def _raw(spark, sf):
     return d.unionByName(p)
 
 
-def parse_transcript(spark, sf):
-    return tr.parse_transcript(_raw(spark, sf))
+def _dealt(df, partitions):
+    """A table of few file splits dealt to ``partitions`` tasks; as it is read if None."""
+    return df.repartition(partitions) if partitions else df
+
+
+def parse_transcript(spark, sf, partitions=None):
+    return tr.parse_transcript(_dealt(_raw(spark, sf), partitions))
 
 
 def sentence_spans(spark, sf):
@@ -60,8 +65,8 @@ def first_sentences(spark, sf):
     return _docs(spark, sf).select("chunk_id", tx.first_sentences("content", 2).alias("abstract"))
 
 
-def chunk_transcript(spark, sf):
-    return tr.chunk_raw(_raw(spark, sf)).select("source_file", "start_offset", "end_offset", F.md5("content").alias("content_md5"))
+def chunk_transcript(spark, sf, partitions=None):
+    return tr.chunk_raw(_dealt(_raw(spark, sf), partitions)).select("source_file", "start_offset", "end_offset", F.md5("content").alias("content_md5"))
 
 
 def chunk_segments(spark, sf):
