@@ -37,6 +37,8 @@ ROUNDS = 4
 SMALL = 1_000_000
 #: partners of one set in a trie; more are dealt to several
 TRIE = 4096
+#: 64 bits each
+BITS = ("b0", "b1", "b2", "b3")
 _ENDLESS = 1 << 62
 
 
@@ -98,7 +100,22 @@ def ordered_sets(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     again = occurs.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     path = occurs.join(again, "g").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("p"), F.avg("c").alias("core"))
     path = path.select("sid", "core", F.transform("p", lambda x: x.g).alias("path"))
-    return path.join(sizes, "sid").filter(F.size("path") >= F.expr(f"(n * {percent} + 99) div 100")).select("sid", F.col("n").cast("int").alias("n"), "core", "path")
+    kept = path.join(sizes, "sid").filter(F.size("path") >= F.expr(f"(n * {percent} + 99) div 100")).select("sid", F.col("n").cast("int").alias("n"), "core", "path")
+    return kept.mapInArrow(_with_parity, "sid long, n int, core double, path array<long>, own int, " + ", ".join(f"{b} long" for b in BITS))
+
+
+def _with_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds how many n-grams no other set has, and bits of which each is flipped by the others that fall to it."""
+    wide = 64 * len(BITS)
+    for batch in batches:
+        lists, n = batch.column("path"), batch.num_rows
+        size = np.diff(lists.offsets.to_numpy())
+        grams = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
+        cell = np.repeat(np.arange(n), size) * wide + (mix(grams) % U64(wide)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=n * wide).reshape(n, wide) & 1).astype(np.uint8)
+        words = np.packbits(odd, axis=1, bitorder="little").view("<i8")
+        own = batch.column("n").to_numpy(zero_copy_only=False) - size
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(BITS)))], [*batch.schema.names, "own", *BITS])
 
 
 def _shared(n: Column, m: Column, percent: int) -> Column:
@@ -107,20 +124,26 @@ def _shared(n: Column, m: Column, percent: int) -> Column:
 
 
 def prefix_entries(paths: DataFrame, percent: int) -> DataFrame:
-    """g, sid, n, core, left (n-grams from this one on) and ``short`` (in the index prefix), for each prefix n-gram."""
+    """g, sid, n, core, own, bits, left (n-grams from this one on) and ``short`` (in the index prefix), for each prefix n-gram."""
     size, n = F.size("path"), F.col("n")
     probe = size - F.expr(f"(n * {percent} + 99) div 100") + 1
     index = size - _shared(n, n, percent) + 1
-    rows = paths.select("sid", "n", "core", size.alias("size"), index.alias("index"), F.posexplode(F.slice("path", F.lit(1), probe.cast("int"))).alias("pos", "g"))
-    return rows.select("g", "sid", "n", "core", (F.col("size") - F.col("pos")).cast("int").alias("left"), (F.col("pos") < F.col("index")).alias("short"))
+    rows = paths.select("sid", "n", "core", "own", *BITS, size.alias("size"), index.alias("index"), F.posexplode(F.slice("path", F.lit(1), probe.cast("int"))).alias("pos", "g"))
+    return rows.select("g", "sid", "n", "core", "own", *BITS, (F.col("size") - F.col("pos")).cast("int").alias("left"), (F.col("pos") < F.col("index")).alias("short"))
 
 
 def _fits(percent: int) -> Column:
-    """Sizes and remaining lengths from the shared n-gram on allow a link, and the shorter set has it in its index prefix."""
+    """Sizes and remaining lengths from the shared n-gram on allow a link, the sets don't differ in more n-grams than linked
+    ones may, and the shorter set has the n-gram in its index prefix.
+
+    Sets differ in the n-grams that are their own, and in at least as many others as their bits differ.
+    """
     n, m = F.col("n"), F.col("y_n")
     first = (n < m) | ((n == m) & (F.col("sid") < F.col("y_sid")))
     sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    return sizes & (F.least("left", "y_left") >= _shared(n, m, percent)) & F.when(first, F.col("short")).otherwise(F.col("y_short"))
+    shared = _shared(n, m, percent)
+    differ = F.col("own") + F.col("y_own") + sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"y_{b}"))) for b in BITS), F.lit(0))
+    return sizes & (F.least("left", "y_left") >= shared) & (differ <= n + m - 2 * shared) & F.when(first, F.col("short")).otherwise(F.col("y_short"))
 
 
 class Walk:
@@ -215,7 +238,7 @@ def linked_sets(paths: DataFrame, percent: int) -> DataFrame | None:
     links = seen = labels = None
     for number in range(ROUNDS + 1):
         live = stored(_classed(entries, labels), "classed")
-        mine = live.select("g", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "core", "left", "label", "short")))
+        mine = live.select("g", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "core", "own", *BITS, "left", "label", "short")))
         after = (F.col("n") > F.col("y_n")) | ((F.col("n") == F.col("y_n")) & (F.col("sid") > F.col("y_sid")))
         if number < ROUNDS:  # of each tree the set whose n-grams most others have; later that of a class that chance picks
             order = [-F.col("y_core"), F.col("y_sid")]
