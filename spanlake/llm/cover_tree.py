@@ -32,7 +32,7 @@ SCALE, POSITIVES, NEGATIVES = 256, 5, 5
 #: a negative's score is at least this percentage of the positive's
 LEAST_PERCENT = 80
 #: rows of a block, rows of a leaf, children of a node, and how much smaller a child's radius should be
-BLOCK, LEAF, FANOUT, BASE = 1024, 32, 16, 1.3
+BLOCK, LEAF, FANOUT, BASE = 1024, 48, 16, 1.3
 #: sample that pivots are taken from, and the most pivots; both bound what the driver holds
 SAMPLE, PIVOTS = 8192, 512
 #: anchors that meet a block at a time
@@ -112,7 +112,8 @@ class Tree:
                 nodes.append([members[centre], radius, 0, 0, 0, 0, only])
                 picked = np.empty(0, int)
                 if len(members) > LEAF and radius > 0:
-                    picked = farthest_first(np.roll(own, -centre, axis=0), FANOUT, radius / BASE)
+                    most = min(FANOUT, -(-len(members) // LEAF))  # no more than fill their leaves
+                    picked = farthest_first(np.roll(own, -centre, axis=0), most, radius / BASE)
                     picked = (picked + centre) % len(members)
                 if len(picked) < 2:
                     nodes[at][4:6] = [count, count + len(members)]
@@ -164,15 +165,12 @@ class Tree:
         """(query, leaf, highest score) of all leaves that can hold a score in a query's window."""
         who, node = np.arange(len(q)), np.zeros(len(q), np.int64)
         found: list[tuple[np.ndarray, ...]] = []
-        centres = augmented(self.x[self.centre], self.square)
-        wide = np.column_stack([q.astype(float), np.zeros(len(q))])
+        # the nodes of a block are few, and windows of one query follow each other: one product gives all distances
+        new = np.concatenate([[True], (q[1:] != q[:-1]).any(axis=1)]) if len(q) else np.empty(0, bool)
+        which = np.cumsum(new) - 1
+        far = distances(np.column_stack([q[new].astype(float), np.zeros(int(new.sum()))]), augmented(self.x[self.centre], self.square))
         while len(who):
-            dist = np.empty(len(who))
-            for lo in range(0, len(who), 65536):  # pairs at a time
-                p = slice(lo, lo + 65536)
-                gap = wide[who[p]] - centres[node[p]]
-                dist[p] = np.sqrt((gap * gap).sum(axis=1))
-            below, above = bounds(dist, self.radius[node], q_square[who], self.square)
+            below, above = bounds(far[which[who], node], self.radius[node], q_square[who], self.square)
             alone = self.only[node] == label[who]
             keep = (above >= low[who]) & (below <= high[who])
             # a node of one label: the anchor's own is all that counts, or nothing that counts
@@ -320,6 +318,7 @@ def _searched(k: int, same: bool):
         if not trees.num_rows:  # a slot that no row was dealt to
             return pa.table({c: pa.array([], pa.int64()) for c in ("anchor_id", "tag", "vec_id", "score")})
         tree = Tree.from_bytes(trees.column("tree")[0].as_py())
+        anchors = anchors.sort_by([("anchor_id", "ascending"), ("tag", "ascending")])
         ids, tags, label, low, high = (np.asarray(anchors.column(c)) for c in ("anchor_id", "tag", "label", "low", "high"))
         who, found, score = tree.best(ids, unpacked(anchors.column("x")), label, low, high, k, same)
         return pa.table({"anchor_id": ids[who], "tag": tags[who], "vec_id": found, "score": score})
