@@ -15,9 +15,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -110,9 +111,10 @@ class Backend:
         plain = spec.add_dummy_prefix and spec.escape_whitespaces and not (spec.remove_extra_whitespaces or spec.precompiled_charsmap)
         self.cut = bool(plain and self.tokenizer.pre_tokenizer)
         self.bare = build(model, bare=True)
-        self.known: dict[str, tuple[list[int], str]] = {}
+        # ids as little-endian 32-bit integers, so that a text's are its words' joined
+        self.known: dict[str, bytes] = {}
+        self.back: dict[str, str] = {}
         self.held, self.most = 0, most
-        self.numbers = list(range(self.tokenizer.get_vocab_size()))
 
     def words(self, text: str) -> list[str]:
         """The text's words without the marker that each begins with."""
@@ -126,8 +128,8 @@ class Backend:
     def differ(self, units: Sequence[str], ids: Sequence[list[int]]) -> list[str]:
         return [u for u, a, b in zip(units, ids, self.own.encode(list(units), num_threads=1)) if a != b]
 
-    def both(self, texts: Sequence[str], verify: bool) -> tuple[list[list[int]], list[str]]:
-        """Ids of every text and the text decoded from them.
+    def both(self, texts: Sequence[str], verify: bool) -> tuple[list[bytes], list[str]]:
+        """Ids of every text, as bytes, and the text decoded from them.
 
         Every word begins with the marker, which is a piece, so no run of byte pieces goes on from one word
         to the next and a text decodes to what its words decode to.
@@ -135,22 +137,21 @@ class Backend:
         if not self.cut:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
             self.check(self.differ(texts, ids) if verify else [])
-            return ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            return list(map(_packed, ids)), self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         if len(self.known) > self.most or self.held > 8 * self.most:
-            self.known, self.held = {}, 0
+            self.known, self.back, self.held = {}, {}, 0
         parts = [self.words(t) for t in texts]
-        new = list({w for p in parts for w in p if w not in self.known})
+        new = list(set().union(*parts).difference(self.known))
         ids = [e.ids for e in self.bare.encode_batch_fast([MARK + w for w in new], add_special_tokens=False)]
         # the lone marker of a space at the end is no text of its own
         self.check(self.differ(*zip(*[x for x in zip(new, ids) if x[0]])) if verify and any(new) else [])
-        for w, x, back in zip(new, ids, self.bare.decode_batch(ids, skip_special_tokens=False)):
-            self.known[w] = [self.numbers[i] for i in x], back
-            self.held += len(x)
-        found = [list(map(self.known.__getitem__, p)) for p in parts]
-        out = [list(chain.from_iterable(x for x, _ in f)) for f in found]
-        ends = [(t, x) for t, p, x in zip(texts, parts, out) if p and not p[-1]]
+        self.known.update(zip(new, map(_packed, ids)))
+        self.back.update(zip(new, self.bare.decode_batch(ids, skip_special_tokens=False)))
+        self.held += sum(map(len, ids))
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        ends = [(t, _unpacked(x)) for t, p, x in zip(texts, parts, out) if p and not p[-1]]
         self.check(self.differ(*zip(*ends)) if verify and ends else [])
-        return out, ["".join([back for _, back in f])[1:] for f in found]
+        return out, ["".join(map(self.back.__getitem__, p))[1:] for p in parts]
 
     @staticmethod
     def check(wrong: list[str]) -> None:
@@ -158,6 +159,14 @@ class Backend:
             raise ValueError(f"{len(wrong)} words are encoded otherwise by sentencepiece, such as {wrong[0]!r}")
 
 
+def _packed(ids: Sequence[int]) -> bytes:
+    return array("i", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<i4").tobytes()
+
+
+def _unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<i4").tolist()
+
+
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -167,7 +176,7 @@ def _loaded(model: bytes) -> Backend:
 
 
 def encode(texts: Sequence[str], model: bytes, verify: bool = False) -> list[list[int]]:
-    return _loaded(model).both(texts, verify)[0]
+    return list(map(_unpacked, _loaded(model).both(texts, verify)[0]))
 
 
 def decode(ids: Sequence[Sequence[int]], model: bytes) -> list[str]:
@@ -206,14 +215,13 @@ def encoded(text: str | Column, model: bytes, verify: bool = True, with_ids: boo
         for lo, hi in _batched(texts):
             part = texts[lo:hi]
             for t, x, back in zip(part, *_loaded(model).both(part, verify)):
-                arr = np.array(x, "<i4")
-                ids_out.append(arr if with_ids else None)
-                n.append(len(x))
-                sha.append(hashlib.sha256(arr.tobytes()).hexdigest())
+                ids_out.append(x if with_ids else b"")
+                n.append(len(x) // 4)
+                sha.append(hashlib.sha256(x).hexdigest())
                 back_sha.append(hashlib.sha256(back.encode()).hexdigest())
                 same.append(back == t)
         if with_ids:
-            flat = np.concatenate(ids_out) if ids_out else np.empty(0, np.int32)
+            flat = np.frombuffer(b"".join(ids_out), "<i4")
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat, pa.int32()))
         else:
             lists = pa.nulls(len(texts), pa.list_(pa.int32()))
