@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -459,6 +459,16 @@ def cluster_per_query(hits: DataFrame, max_clusters: int = 4, min_similarity: fl
     )
 
 
+def query_themes(queries: DataFrame, hits: DataFrame, vectors: DataFrame, clusterer: Callable[[DataFrame], DataFrame] = cluster_per_query) -> DataFrame:
+    """Sub-themes of each query's page of hits by any ``clusterer``: (query_id, cluster, label, chunk_id, confidence).
+
+    queries: (query_id, text), hits: (query_id, chunk_id, rank, score), vectors: (chunk_id, vec). The clusterer gets
+    (query_id, title, chunk_id, rank, score, vec); hits without a vector are in no theme.
+    """
+    rows = hits.select("query_id", "chunk_id", "rank", "score").join(vectors.select("chunk_id", "vec"), "chunk_id")
+    return clusterer(rows.join(queries.select("query_id", F.col("text").alias("title")), "query_id"))
+
+
 def sub_themes_by_region(hits: DataFrame, members: DataFrame, regions: DataFrame) -> DataFrame:
     """(query_id, region_id, label, n, score): a query's hits grouped by the region they fall in."""
     return (

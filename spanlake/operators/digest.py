@@ -14,6 +14,7 @@ from spanlake.operators.keywords import corpus_size, extractive_digest, keyword_
 from spanlake.ordered import latest, top_k
 
 Completer = Callable[[str, str], str]
+Summariser = Callable[..., DataFrame]
 NUL = "\x00"
 
 # ---- cache ---------------------------------------------------------------------------------------
@@ -129,12 +130,13 @@ def digest_with_completer(
 
 def digest_regions(
     members: DataFrame, chunks: DataFrame, cache: DataFrame, complete: Completer | None = None, model: str = "llm",
-    embed=stub_embed, n_docs_of: DataFrame | None = None,
+    embed=stub_embed, n_docs_of: DataFrame | None = None, summarise: Summariser = extractive_digest,
 ) -> tuple[DataFrame, DataFrame]:
     """Digest every region through the cache: (region_id, title, abstract, keywords, source, vec) and the new cache.
 
     Only cache misses are summarised, only digests without a vector are embedded; ``embed`` None
-    means the embedder is not ready and vectors stay empty.
+    means the embedder is not ready and vectors stay empty. ``summarise`` is called as ``extractive_digest`` is and
+    gives its columns.
     """
     corpus = n_docs_of if n_docs_of is not None else chunks
     hashes = digest_hash(members, ["region_id"], "region")
@@ -145,7 +147,7 @@ def digest_regions(
         .join(chunks.select("chunk_id", "content"), "chunk_id")
     )
     order = ["distance", "chunk_id"]
-    fresh = extractive_digest(texts, keyword_df(corpus), corpus_size(corpus), "region_id", order)
+    fresh = summarise(texts, keyword_df(corpus), corpus_size(corpus), "region_id", order)
     if complete is not None:
         fresh = digest_with_completer(texts, fresh, "region_id", order, complete, model)
     fresh = fresh.join(miss, "region_id").withColumn("vec", F.lit(None).cast("array<float>"))
@@ -160,13 +162,15 @@ def digest_regions(
     return done.drop("input_hash"), new_cache
 
 
-def transcript_digests(chunks: DataFrame, cache: DataFrame | None = None, complete: Completer | None = None, model: str = "llm") -> DataFrame:
+def transcript_digests(
+    chunks: DataFrame, cache: DataFrame | None = None, complete: Completer | None = None, model: str = "llm", summarise: Summariser = extractive_digest
+) -> DataFrame:
     """(source_file, chunk_count, title, abstract, keywords, source) per source file, blank sources skipped."""
-    return transcript_digests_cached(chunks, cache, complete, model)[0]
+    return transcript_digests_cached(chunks, cache, complete, model, summarise)[0]
 
 
 def transcript_digests_cached(
-    chunks: DataFrame, cache: DataFrame | None = None, complete: Completer | None = None, model: str = "llm"
+    chunks: DataFrame, cache: DataFrame | None = None, complete: Completer | None = None, model: str = "llm", summarise: Summariser = extractive_digest
 ) -> tuple[DataFrame, DataFrame | None]:
     """What ``transcript_digests`` gives, and the cache with the digests made now; only misses are summarised."""
     rows = chunks.filter(F.coalesce("source_file", F.lit("")) != "")
@@ -178,7 +182,7 @@ def transcript_digests_cached(
         hit, miss = digest_cache_lookup(hashes, cache, complete is not None)
         todo = rows.join(miss.select("source_file"), "source_file", "left_semi")
     order = ["start_offset", "chunk_id"]
-    made = extractive_digest(todo, keyword_df(rows), corpus_size(rows), "source_file", order)
+    made = summarise(todo, keyword_df(rows), corpus_size(rows), "source_file", order)
     if complete is not None:
         made = digest_with_completer(todo, made, "source_file", order, complete, model)
     cols = ["source_file", "title", "abstract", "keywords", "source"]

@@ -14,7 +14,7 @@ from spanlake.functions.vectors import stub_embed
 from spanlake.operators.cluster import ClusterParams, cluster_chunks
 from spanlake.operators.corpus import chunks_with_vector
 from spanlake.operators.digest import digest_regions, label_chunks, labels_missing, transcript_digests_cached, upsert_labels
-from spanlake.operators.keywords import tag_regions
+from spanlake.operators.keywords import extractive_digest, tag_regions
 from spanlake.operators.vectors import block_topk
 from spanlake.ordered import top_k, with_ordinal
 from spanlake.runtime import cut
@@ -158,9 +158,9 @@ class BuildStore:
 
 def build_atlas(
     store: BuildStore, build_id: str, chunks: DataFrame, params: BuildParams | None = None, cache: DataFrame | None = None,
-    labels: DataFrame | None = None, complete=None, model: str = "llm", embed=stub_embed,
+    labels: DataFrame | None = None, complete=None, model: str = "llm", embed=stub_embed, summarise=extractive_digest,
 ) -> tuple[DataFrame, DataFrame]:
-    """Cluster, digest, link and label the embedded chunks as a new build; returns the new digest
+    """Cluster, digest (by ``summarise``), link and label the embedded chunks as a new build; returns the new digest
     cache and label table. A failure removes what was written and is raised again."""
     p = params or BuildParams()
     spark = chunks.sparkSession
@@ -174,7 +174,7 @@ def build_atlas(
     store.mark(build_id, "building", count, spec)
     try:
         regions, members = cluster_chunks(rows, p.cluster)
-        digests, new_cache = digest_regions(members, rows, cache, complete, model, embed)
+        digests, new_cache = digest_regions(members, rows, cache, complete, model, embed, summarise=summarise)
         digests, new_cache = cut(digests), cut(new_cache)
         full = regions.join(digests.withColumnRenamed("vec", "digest_vec"), "region_id")
         full, members = tag_regions(full, members, rows)
@@ -182,7 +182,7 @@ def build_atlas(
         store.write("region_members", build_id, members)
         # links need the final region ids
         store.write("region_links", build_id, region_links(regions, p.link_k, p.link_min_weight))
-        files, new_cache = transcript_digests_cached(rows, new_cache, complete, model)
+        files, new_cache = transcript_digests_cached(rows, new_cache, complete, model, summarise)
         files, new_cache = cut(files), cut(new_cache)
         store.write("transcript_digests", build_id, files)
         if complete is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from typing import Any
 
 import pandas as pd
@@ -537,6 +539,19 @@ def outline_report(
     return numbered.select(F.lit(project).alias("project"), "line_no", "line")
 
 
+def stitched_manuscript(
+    titles: DataFrame, ordered: DataFrame, evidence: DataFrame, ways: DataFrame, stitch: Callable[[DataFrame, int], DataFrame] | None = None, glue_level: int = 0
+) -> DataFrame:
+    """``manuscript_report`` of the spans along an ordered node list, put together by any ``stitch``.
+
+    The stitcher gets the spans (doc_id, idx, chunk_id, text) and a glue level of 0 to 100 and gives pieces as
+    ``stitch_spans`` does, which is the default.
+    """
+    spans = collect_spans(ordered, evidence)
+    pieces = stitch(spans, glue_level) if stitch else stitch_spans(spans)
+    return manuscript_report(titles, ordered, pieces, ways)
+
+
 def manuscript_report(titles: DataFrame, ordered: DataFrame, pieces: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, piece_no, text): pieces whose concatenation in order is the Markdown document.
 

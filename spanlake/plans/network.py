@@ -70,10 +70,35 @@ def _hits(spark, sf):
 
 def cluster_per_query(spark, sf):
     q, hits = _hits(spark, sf)
-    rows = hits.join(fx.vectors(spark, sf).drop("label"), "chunk_id").join(
-        q.select("query_id", F.col("text").alias("title")), "query_id"
-    )
-    return cl.cluster_per_query(rows).withColumn("confidence", F.round("confidence", 6))
+    return cl.query_themes(q, hits, fx.vectors(spark, sf)).withColumn("confidence", F.round("confidence", 6))
+
+
+def query_themes(spark, sf):
+    """Another clusterer: hits fall in themes by the sign of their first component."""
+
+    def by_sign(hits):
+        return hits.select(
+            "query_id", F.when(F.col("vec")[0] < 0, 0).otherwise(1).alias("cluster"), F.concat(F.length("title").cast("string"), F.lit(" letters")).alias("label"),
+            "chunk_id", F.lit(1.0).alias("confidence"),
+        )
+
+    q = fx.queries(spark, sf)
+    hits = bm25_search(q, build_blocks(fx.docs(spark, sf)), 20)
+    return cl.query_themes(q, hits, fx.vectors(spark, sf), by_sign)
+
+
+def digests_by_summariser(spark, sf):
+    """Transcript digests by another summariser: the length of all texts and the first text's letters."""
+
+    def by_length(texts, df, n_docs, group, order):
+        first = F.min_by("content", F.struct(*order))
+        return texts.groupBy(group).agg(
+            F.concat(F.sum(F.length("content")).cast("string"), F.lit(" letters")).alias("title"), F.md5(first).alias("abstract"),
+            F.array(F.lit("k")).alias("keywords"), F.lit("own").alias("source"),
+        )
+
+    out = dg.transcript_digests(fx.live(spark, sf), summarise=by_length)
+    return out.select("source_file", "chunk_count", "title", "abstract", F.array_join("keywords", " ").alias("keywords"), "source")
 
 
 def _label_regions(spark, sf):
@@ -368,6 +393,8 @@ QUERIES = {
     "centroid_distance": member_distance,
     "merge_undersized": merge_undersized,
     "cluster_per_query": cluster_per_query,
+    "query_themes": query_themes,
+    "digests_by_summariser": digests_by_summariser,
     "sub_themes_by_region": sub_themes_by_region,
     "keyword_df": keyword_df,
     "top_keywords": top_keywords,
@@ -567,6 +594,14 @@ ORACLES = {
     "transcript_edges": _o("SELECT a, b, round(weight, 6) AS weight FROM tedge", "tedge", **_knn("vecs", 6, 0.35), **_tedge(4)),
     "tag_files": _o("SELECT source_file, rank, region_id, round(share, 6) AS share FROM ftags", "ftags", **_TAGS),
     "labels_missing": _o("SELECT chunk_id FROM docs WHERE chunk_id NOT IN (SELECT chunk_id FROM labs WHERE source LIKE 'llm:%')", "docs", "labs"),
+    "query_themes": _o(
+        """SELECT query_id, CASE WHEN vec[1] < 0 THEN 0 ELSE 1 END AS cluster, length(text) || ' letters' AS label, chunk_id, 1.0::DOUBLE AS confidence
+        FROM bm_ranked JOIN vecs USING (chunk_id) JOIN q USING (query_id) WHERE rank <= 20""", "bm_ranked", "vecs", "q"
+    ),
+    "digests_by_summariser": _o(
+        """SELECT source_file, count(*) AS chunk_count, sum(length(content)) || ' letters' AS title, md5(first(content ORDER BY start_offset, chunk_id)) AS abstract, 'k' AS keywords, 'own' AS source
+        FROM live WHERE source_file <> '' GROUP BY source_file""", "live"
+    ),
     "upsert_labels": _o(
         """SELECT chunk_id, label, source FROM labs WHERE chunk_id NOT IN (SELECT chunk_id FROM fresh) UNION ALL SELECT * FROM fresh""",
         "labs", "fresh",

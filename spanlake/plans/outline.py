@@ -181,6 +181,20 @@ def manuscript_report(spark, sf):
     return ol.manuscript_report(titles, _ordered(spark, sf), ol.stitch_spans(collect_spans(spark, sf)), ways)
 
 
+def stitched_manuscript(spark, sf):
+    """Another stitcher: pieces without glue between them, each in brackets."""
+
+    def bracketed(spans, level):
+        return spans.select(
+            "doc_id", (F.col("idx") * 2).alias("ord"), F.lit("chunk").alias("type"), "idx", "chunk_id", F.concat(F.lit("["), "text", F.lit("]")).alias("text"), F.lit(level).cast("long").alias("char_start")
+        )
+
+    ev = fx.evidence(spark, sf)
+    titles = fx.threads(spark, sf).select(F.col("thread_id").alias("doc_id"), F.col("name").alias("title"))
+    out = ol.stitched_manuscript(titles, _ordered(spark, sf), ev, fx.edges(spark, sf), bracketed)
+    return out.groupBy("doc_id").agg(F.count_if(F.col("text").startswith("[") & F.col("text").endswith("]")).alias("pieces"))
+
+
 # ---- state and changes ---------------------------------------------------------------------------
 
 
@@ -412,7 +426,7 @@ QUERIES = {
     for f in (
         build_tree, flatten_preorder, subtree, neighbours, outline_stats, find_roots, would_create_cycle, topological_sort,
         validate_graph, reachable_static, conditional_walk, linearize_thread, collect_spans, stitch_spans, stitch_stats, exits,
-        diff_states, outline_report, manuscript_report, export_state, import_state, snapshot, export_state_all, import_state_all, restore_all, supersede_source, supersede_counts,
+        diff_states, outline_report, manuscript_report, stitched_manuscript, export_state, import_state, snapshot, export_state_all, import_state_all, restore_all, supersede_source, supersede_counts,
         rechunk, versioned_upsert, cascade_delete, apply_changes, replace_thread_nodes, align_quotes, audit_evidence,
         detach_unresolved, constraint_checks, invalidate_vectors, meta_upsert, index_gap,
     )
@@ -550,6 +564,10 @@ ORACLES = {
     ),
     "outline_report": _o("SELECT 1", "pre", "nodes", "edges", "threads", "thread_nodes", "ordn").rsplit("\n", 1)[0] + "," + _REPORT,
     "manuscript_report": _o("SELECT 1", "ordn", "pieces2", "edges", "threads").rsplit("\n", 1)[0] + _MANU,
+    "stitched_manuscript": _o(
+        "SELECT thread_id AS doc_id, count(chunk_id) AS pieces FROM threads LEFT JOIN spans ON doc_id = thread_id GROUP BY 1", "threads", "spans",
+        halfev=(("evidence",), "SELECT * FROM evidence"),
+    ),
     "export_state": _o(
         """SELECT 'threads' AS kind, '{"name":"' || name || '","thread_id":"' || thread_id || '"}' AS json FROM threads
         UNION ALL SELECT 'thread_nodes', '{"node_id":"' || node_id || '","position":' || position || ',"thread_id":"' || thread_id || '"}' FROM thread_nodes
