@@ -8,7 +8,7 @@ from spanlake.operators import changes as ch
 from spanlake.operators import outline as ol
 from spanlake.plans import fixtures as fx
 from spanlake.plans.fixtures import oracle
-from spanlake.plans.scalars import _chunk_sql, _flat
+from spanlake.plans.scalars import _chunk_sql, _flat, _trim, _words
 
 
 def _tree(spark, sf):
@@ -632,6 +632,19 @@ ORACLES = {
         """SELECT thread_id, node_id, position FROM thread_nodes WHERE thread_id NOT IN (SELECT 't' || n_nationkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 0)
         UNION ALL SELECT 't' || n_nationkey, 's' || s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1 FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 0""", "thread_nodes"
     ),
+    "align_quotes": _o(
+        """SELECT quote_id, coalesce(hs, 0) AS char_start, CASE WHEN hs IS NOT NULL THEN hs + hl WHEN ok THEN char_end ELSE length(content) END AS char_end, md5(t) AS text_md5,
+        CASE WHEN length(t) <= 80 THEN t ELSE substring(t, 1, 80) || '…' END AS title FROM (
+        SELECT *, CASE WHEN hs IS NOT NULL THEN substring(content, hs + 1, hl) WHEN ok THEN text ELSE content END AS t FROM (
+        SELECT *, content IS NULL OR (text <> '' AND char_end > 0 AND char_end <= length(content)) AS ok,
+        CASE WHEN sel = '' THEN NULL WHEN instr(content, sel) > 0 THEN instr(content, sel) - 1 WHEN hit <> '' THEN instr(content, hit) - 1 END AS hs,
+        CASE WHEN instr(content, sel) > 0 THEN length(sel) ELSE length(hit) END AS hl FROM (
+        SELECT *, regexp_extract(content, array_to_string(list_transform(%s, lambda x: regexp_escape(x)), '%s+')) AS hit FROM (
+        SELECT evidence_id AS quote_id, position AS char_end, content, qt AS text, %s AS sel FROM (
+        SELECT *, CASE position WHEN 1 THEN replace(text, ' ', '  ') WHEN 2 THEN '' ELSE text END AS qt FROM evidence) LEFT JOIN chunks USING (chunk_id)))))"""
+        % (_words("sel"), fx.WS_SQL, _trim("qt")),
+        "evidence", "chunks",
+    ),
     "audit_evidence": _o(
         """SELECT evidence_id, CASE WHEN c.chunk_id IS NULL THEN 'unresolved' WHEN c.deleted_at IS NOT NULL THEN 'superseded' WHEN d AND edited THEN 'edited' WHEN d THEN 'drift' ELSE 'ok' END AS verdict FROM (
         SELECT e.*, c AS c, CASE WHEN char_end > length(c.content) THEN text <> c.content ELSE substring(c.content, char_start + 1, char_end - char_start) <> text END AS d FROM evidence e LEFT JOIN chunks c USING (chunk_id))""", "evidence", "chunks"

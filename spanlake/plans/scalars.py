@@ -337,6 +337,10 @@ ORACLES = {
       array_to_string({_words('content')}[1:6], ' ') AS head_label, CASE WHEN length(content) <= 80 THEN content ELSE substring(content, 1, 80) || '…' END AS preview_text,
       {_runes('content', 60)} AS trim_runes, {_flat('content')} AS collapse_ws, regexp_replace(translate(lower(content), ' _', '--'), '[^a-z0-9-]', '', 'g') AS slugify
       FROM ({fx.ORACLE['docs'][1]})""",
+    "locate_selection": f"""SELECT doc_id, CASE WHEN sel = '' THEN NULL WHEN instr(text, sel) > 0 THEN instr(text, sel) - 1 WHEN hit <> '' THEN instr(text, hit) - 1 END AS "start",
+        CASE WHEN sel = '' THEN NULL WHEN instr(text, sel) > 0 THEN instr(text, sel) - 1 + length(sel) WHEN hit <> '' THEN instr(text, hit) - 1 + length(hit) END AS "end"
+        FROM (SELECT *, regexp_extract(text, array_to_string(list_transform({_words('sel')}, lambda x: regexp_escape(x)), '{WS_SQL}+')) AS hit FROM (
+        SELECT doc_id, text, {_trim("CASE WHEN doc_id % 7 = 0 THEN substring(text, 11, 60) || '#absent' WHEN doc_id % 5 = 0 THEN replace(substring(text, 11, 60), ' ', ' ' || chr(10) || ' ') ELSE substring(text, 11, 60) END")} AS sel FROM documents))""",
     "cosine": oracle(
         """SELECT a.chunk_id, b.chunk_id AS other_id, round(list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec)) / sqrt(list_dot_product(b.vec, b.vec)), 6) AS cosine
         FROM vecs a JOIN vecs b ON b.chunk_id = 'd' || lpad(a.label::VARCHAR, 8, '0')""",
