@@ -33,6 +33,8 @@ B = 0.75
 #: documents of a range; a chunk's passages are never divided
 RANGE = 4096
 PASSAGE_RANGE = 16384
+#: tokens of a range, for long documents
+TOKENS = 1 << 22
 #: query terms that are sent to every task
 SMALL_TERMS = 200_000
 #: queries that one task ranks at a time over a range, and of these how many in one matrix
@@ -110,27 +112,42 @@ def _range_blocks(rows: pa.Table, ids: Sequence[str], number: int, schema: pa.Sc
 
 
 def _blocks(ids: Sequence[str], size: int, schema: pa.Schema):
+    """Ranges of ``size`` documents, or of fewer that have ``TOKENS`` tokens; a chunk's passages stay together."""
+
+    def ranges(table: pa.Table, last: bool) -> Iterator[tuple[int, int]]:
+        rows, first = table.num_rows, table.column(ids[0]).combine_chunks()
+        upto = np.cumsum(pc.list_value_length(table.column("toks")).to_numpy().astype(np.int64))
+        lo = 0
+        while lo < rows:
+            before = int(upto[lo - 1]) if lo else 0
+            hi = min(lo + size, int(np.searchsorted(upto, before + TOKENS)) + 1)
+            while hi < rows and first[hi].as_py() == first[hi - 1].as_py():
+                hi += 1
+            if hi >= rows and not last:  # its last chunk may go on
+                return
+            yield lo, min(hi, rows)
+            lo = hi
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, rows = TaskContext.get().partitionId() << 32, [], 0
+        number, held, rows, tokens = TaskContext.get().partitionId() << 32, [], 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            rows += batch.num_rows
-            if rows < 2 * size:
+            rows, tokens = rows + batch.num_rows, tokens + len(batch.column("toks").flatten())
+            if rows < 2 * size and tokens < 2 * TOKENS:
                 continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            first = table.column(ids[0]).combine_chunks()
-            lo = 0
-            while rows - lo >= 2 * size:
-                hi = lo + size
-                while hi < rows and first[hi].as_py() == first[hi - 1].as_py():  # a chunk's passages stay together
-                    hi += 1
-                yield _range_blocks(table.slice(lo, hi - lo), ids, number, schema)
-                number, lo = number + 1, hi
-            held, rows = table.slice(lo).to_batches(), rows - lo
+            table, end = pa.Table.from_batches(held).combine_chunks(), 0
+            for lo, end in ranges(table, False):
+                yield _range_blocks(table.slice(lo, end - lo), ids, number, schema)
+                number += 1
+            held = table.slice(end).to_batches()
+            rows, tokens = sum(b.num_rows for b in held), sum(len(b.column("toks").flatten()) for b in held)
         if rows:
-            yield _range_blocks(pa.Table.from_batches(held).combine_chunks(), ids, number, schema)
+            table = pa.Table.from_batches(held).combine_chunks()
+            for lo, end in ranges(table, True):
+                yield _range_blocks(table.slice(lo, end - lo), ids, number, schema)
+                number += 1
 
     return run
 

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,23 @@ def test_empty_index(spark):
         assert lx.passage_search(q, blocks.build_passage_blocks(frame(spark, rows)), 3).count() == 0
 
 
+def test_ranges_end_with_tokens_and_keep_chunks_whole(monkeypatch):
+    monkeypatch.setattr(blocks, "TOKENS", 50)
+    monkeypatch.setattr(blocks, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    rng = random.Random(0)
+    rows = [(f"c{i // 4:02d}", i, ["t"] * rng.choice([0, 3, 90])) for i in range(60)]
+    table = pa.table({"chunk_id": [r[0] for r in rows], "start": pa.array([r[1] for r in rows], pa.int32()), "toks": pa.array([r[2] for r in rows], pa.list_(pa.string()))})
+    members = pa.list_(pa.struct([("chunk_id", pa.string()), ("start", pa.int32())]))
+    numbers = pa.list_(pa.int32())
+    schema = pa.schema([("range", pa.int64()), ("term", pa.string()), ("n", pa.int32()), ("tf", pa.binary()), ("pos", pa.binary()), ("top_tf", numbers), ("top_dl", numbers), ("ids", members)])
+    for size, step in ((1, 7), (10, 7), (1000, 7), (10, 60)):
+        out = list(blocks._blocks(("chunk_id", "start"), size, schema)(iter(table.to_batches(max_chunksize=step))))
+        held = [[m["start"] for m in b.column("ids")[0].as_py()] for b in out]
+        assert sorted(i for h in held for i in h) == list(range(60))
+        assert all(h[0] % 4 == 0 for h in held)  # no chunk is divided
+        assert len({b.column("range")[0].as_py() for b in out}) == len(out) and out[0].column("range")[0].as_py() == 3 << 32
+
+
 def test_long_documents_need_wide_numbers(spark):
     rows = [("long", "a " * 70_000 + "b"), ("short", "b c")]
     index = blocks.build_blocks(frame(spark, rows))
