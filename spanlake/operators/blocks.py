@@ -32,7 +32,7 @@ K1 = 1.2
 B = 0.75
 #: documents of a range; a chunk's passages are never divided
 RANGE = 4096
-PASSAGE_RANGE = 16384
+PASSAGE_RANGE = 8192
 #: tokens of a range, for long documents
 TOKENS = 1 << 22
 #: query terms that are sent to every task
