@@ -1,6 +1,7 @@
 """What queries on files and streams do with tables of several files."""
 
 import glob
+import os
 
 import pyarrow as pa
 import pytest
@@ -29,6 +30,12 @@ def test_streams_read_a_folder_of_documents(spark, tables):
     assert streams.stream_backfill(spark, tables).count() == N
 
 
+def test_streams_read_a_file_of_documents(spark, tables, tmp_path):
+    (tmp_path / "one").mkdir()
+    os.link(glob.glob(f"{tables}/documents.parquet/*.parquet")[0], tmp_path / "one" / "documents.parquet")
+    assert 0 < streams.stream_backfill(spark, f"{tmp_path}/one").count() < N
+
+
 def test_files_of_documents_lie_in_few_folders(spark, tables):
     at = streams._files(spark, tables)
     files = glob.glob(f"{at}/*/*.txt")
