@@ -200,3 +200,40 @@ def test_every_hit_is_located(spark):
     located = {tuple(r[c] for c in key) for r in entry.queries()["locate_passage_sentences_all"](spark, sf).select(*key).distinct().collect()}
     top = {tuple(r[c] for c in key) for r in entry.queries()["locate_passage_sentences"](spark, sf).select(*key).distinct().collect()}
     assert top < located and len(located) > 3 * 40
+
+
+def test_chunk_is_located_once_for_all_queries(spark):
+    d = docs(spark, [FIVE, "The zebra ran far. Rest now."])
+    index, q = lx.build_bm25(d), qs(spark, *["rare zebra ran"] * 30)
+    pairs = q.select("query_id").crossJoin(d.select("chunk_id"))
+    weights = locate.query_weights(q, index)
+    met = locate._met(pairs, d, locate._summed(weights), locate._texts)
+    assert met.filter(~F.col("head")).count() == 2  # chunks, not the 60 pairs
+    win, scores = locate.locate_passage(pairs, weights, 60, d)
+    plain, _ = locate.locate_passage(pairs.join(d, "chunk_id"), weights, 60)
+    assert sorted(win.collect()) == sorted(plain.collect()) and win.count() == 60 and scores.count() == 30 * 7
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def embed(text):
+        calls.add(1)
+        return [1.0, float(len(text))]
+
+    vecs = q.withColumn("vec", F.array(F.lit(1.0), F.lit(9.0)).cast("array<float>"))
+    sem, _ = locate.semantic_locate(pairs, vecs, embed, contents=d)
+    assert sem.count() == 60 and calls.value == 7  # a sentence is embedded once, not for every query
+
+
+def test_repeated_pairs_and_weights_are_located_as_rows(spark):
+    d = docs(spark, [FIVE])
+    q = qs(spark, "rare zebra")
+    pairs, weights = q.select("query_id").crossJoin(d.select("chunk_id")), locate.query_weights(q, lx.build_bm25(d))
+    twice = lambda df: df.unionByName(df)
+    for once, several, rows in (
+        (locate.locate_passage(pairs, weights, 60, d)[0], locate.locate_passage(pairs, twice(weights), 60, twice(d))[0], 8),
+        (locate.locate_passage(pairs, weights, 60, d)[0], locate.locate_passage(twice(pairs), weights, 60, twice(d))[0], 64),
+        (locate.locate_window(pairs, weights, 60, d), locate.locate_window(pairs, weights, 60, twice(d)), 1),
+    ):
+        (a,), got = once.collect(), several.collect()
+        assert len(got) == rows and {(r.win_start, r.win_end) for r in got} == {(a.win_start, a.win_end)}
+        assert all(r.score == pytest.approx(4 * a.score) for r in got)
