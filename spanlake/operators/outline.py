@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -96,28 +96,68 @@ def find_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("to_node").alias("node_id")).distinct(), "node_id", "left_anti")
 
 
+MAX_LEVELS = 32  # a longer chain counts as one without an end
+
+
+def _spread(nodes: DataFrame, hop: DataFrame, out: str, into: str) -> DataFrame:
+    """(node): all that ``nodes`` lead to along ``hop``, themselves included."""
+    waves = [cut(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct())]
+    while not waves[-1].isEmpty():
+        wave = waves[-1].join(hop, F.col("node") == F.col(out)).select(F.col(into).alias("node")).distinct()
+        for seen in waves:
+            wave = wave.join(seen, "node", "left_anti")
+        waves.append(cut(wave))
+    return reduce(DataFrame.unionByName, waves[:-1], waves[-1])
+
+
+def _levels(nodes: DataFrame, hop: DataFrame) -> int | None:
+    """Number of steps of the longest chain that begins at ``nodes``; None for cycles and very long ones."""
+    wave = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    for n in range(MAX_LEVELS):
+        wave = cut(wave.join(hop, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct())
+        if wave.isEmpty():
+            return n
+    return None
+
+
 def would_create_cycle(candidates: DataFrame, edges: DataFrame, direction: str = "up") -> DataFrame:
     """candidates (from_node, to_node) plus ``cycle``: is from reachable from to.
 
-    Searches up from the distinct ``from`` nodes or down from the distinct ``to`` nodes, whichever side is
-    the narrower one for the graph. Visited (start, node) pairs are dropped by anti-join each wave.
+    Only edges on a way from some candidate's to to some candidate's from count. Both ends are followed towards each
+    other, the side that grows less next, until a side has ended or both have gone as far as the longest chain is;
+    a candidate closes a cycle when its ends have met. ``direction`` names the side that sets the first bound: up from
+    the from nodes or down from the to nodes.
     """
-    start, goal = ("from_node", "to_node") if direction == "up" else ("to_node", "from_node")
-    a, b = ("to_node", "from_node") if direction == "up" else ("from_node", "to_node")
-    hop = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    wave = cut(candidates.select(F.col(start).alias("start")).distinct().withColumn("node", F.col("start")))
-    seen = wave
-    while True:
-        wave = cut(
-            wave.join(hop, "node")
-            .select("start", F.col("next").alias("node"))
-            .distinct()
-            .join(seen, ["start", "node"], "left_anti")
-        )
-        if wave.isEmpty():
+    candidates = cut(candidates)
+    hop = cut(edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).distinct())
+    tops, ends = candidates.select("to_node").distinct(), candidates.select("from_node").distinct()
+    sides = [(tops, "a", "b"), (ends, "b", "a")]
+    for nodes, out, into in sides if direction == "down" else sides[::-1]:
+        hop = cut(hop.join(_spread(nodes, hop, out, into), F.col(out) == F.col("node"), "left_semi"))
+    levels = _levels(tops, hop)
+    # what each end has met, and what of it is new
+    met = {into: cut(nodes.select(F.col(nodes.columns[0]).alias("end"), F.col(nodes.columns[0]).alias("node"))) for nodes, _, into in sides}
+    new = dict(met)
+    turns = 0
+    while levels is None or turns < levels:
+        grown = {}
+        for _, out, into in sides:
+            many = hop.groupBy(F.col(out).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+            grown[into] = new[into].join(many, "node").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        into = min(grown, key=grown.get)
+        if not grown[into]:
             break
-        seen = cut(seen.unionByName(wave))
-    hit = seen.select(F.col("start").alias(start), F.col("node").alias(goal), F.lit(True).alias("cycle"))
+        out = "a" if into == "b" else "b"
+        step = new[into].join(hop, F.col("node") == F.col(out)).select("end", F.col(into).alias("node")).distinct()
+        new[into] = cut(step.join(met[into], ["end", "node"], "left_anti"))
+        met[into] = met[into].unionByName(new[into])
+        turns += 1
+    down = met["b"].withColumnRenamed("end", "to_node")
+    up = met["a"].withColumnRenamed("end", "from_node")
+    hit = (
+        candidates.select("from_node", "to_node").distinct().join(down, "to_node").join(up, ["from_node", "node"], "left_semi")
+        .select("from_node", "to_node", F.lit(True).alias("cycle")).distinct()
+    )
     return candidates.join(hit, ["from_node", "to_node"], "left").withColumn("cycle", F.coalesce("cycle", F.lit(False)))
 
 

@@ -70,6 +70,24 @@ def test_would_create_cycle(spark, direction):
     assert got == {("c", "a"): True, ("a", "c"): False, ("x", "x"): True, ("b", "a"): True}
 
 
+def test_cycle_search_grows_with_edges_not_with_pairs(spark, monkeypatch):
+    """Many tops and many ends around one hub, with more nodes above and below that no candidate asks for."""
+    tops, ends = [f"s{i}" for i in range(60)], [f"c{i}" for i in range(60)]
+    es = [e(t, "n") for t in tops] + [e("n", c) for c in ends] + [e(c, "o" + c) for c in ends] + [e("p" + t, t) for t in tops]
+    cand = [(c, t) for c, t in zip(ends, tops)] + [("c0", "m"), ("n", "c1"), (None, "s1")]
+    rows = []
+    monkeypatch.setattr(ol, "cut", lambda df, real=ol.cut: (rows.append(df.count()), real(df))[1])
+    for direction in ("up", "down"):
+        got = ol.would_create_cycle(spark.createDataFrame(cand, "from_node string, to_node string"), edges(spark, es), direction).collect()
+        assert sorted(r.cycle for r in got) == [False] * 3 + [True] * 60
+    assert max(rows) <= len(es) + 10  # not 60 * 60 pairs
+    ring = edges(spark, [e("a", "b"), e("b", "c"), e("c", "a"), e("c", "d")])
+    pairs = spark.createDataFrame([("d", "a"), ("a", "d"), ("b", "a"), ("a", "b")], "from_node string, to_node string")
+    assert {(r.from_node, r.to_node): r.cycle for r in ol.would_create_cycle(pairs, ring).collect()} == {
+        ("d", "a"): True, ("a", "d"): False, ("b", "a"): True, ("a", "b"): True
+    }
+
+
 def test_conditional_walk(spark):
     es = edges(
         spark,
