@@ -257,11 +257,11 @@ def reachable_static(contexts: DataFrame, edges: DataFrame) -> DataFrame:
     wave = cut(contexts.select("context_id", F.explode("starts").alias("node_id")).distinct())
     seen = wave
     none = F.array().cast("array<string>")
-    hop = edges.select("from_node", "to_node", "condition")
+    cond = trim_ws(F.coalesce("condition", F.lit("")))
+    closed = (cond != "") & ~cond.rlike(_HAS_READ)  # only these depend on the reader
+    hop = cut(edges.select("from_node", "to_node", F.when(closed, F.col("condition")).alias("condition")))
     while True:
-        held = trim_ws(F.coalesce("condition", F.lit(""))).rlike(_HAS_READ) | eval_condition(
-            F.col("condition"), F.col("audience"), none, F.col("labels")
-        )
+        held = F.col("condition").isNull() | eval_condition(F.col("condition"), F.col("audience"), none, F.col("labels"))
         wave = cut(
             wave.join(hop, wave["node_id"] == hop["from_node"])
             .join(ctx, "context_id")
@@ -272,7 +272,7 @@ def reachable_static(contexts: DataFrame, edges: DataFrame) -> DataFrame:
         )
         if wave.isEmpty():
             return seen
-        seen = cut(seen.unionByName(wave))
+        seen = seen.unionByName(wave)
 
 
 def conditional_walk(contexts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -88,6 +88,25 @@ def test_cycle_search_grows_with_edges_not_with_pairs(spark, monkeypatch):
     }
 
 
+def test_reach_makes_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(condition):
+        made.add(1)
+        return condition
+
+    chain = [e("a", "b", cond=" audience==expert "), e("b", "c", cond="!has_read(a)"), e("c", "d", cond="  "), e("d", "e", cond="audience!=expert")]
+    es = edges(spark, chain).withColumn("condition", counted("condition"))
+    ctx = spark.createDataFrame(
+        [("x", "Expert", {}, ["a"]), ("y", "novice", {}, ["a", "c"]), ("z", None, None, None)],
+        "context_id string, audience string, labels map<string,string>, starts array<string>",
+    )
+    got = {c: sorted(r.node_id for r in ol.reachable_static(ctx, es).collect() if r.context_id == c) for c in "xyz"}
+    assert got == {"x": list("abcd"), "y": list("acde"), "z": []}
+    assert made.value <= 2 * 2 * len(chain)  # one pass a job that calls it, twice written; not one for every wave
+
+
 def test_conditional_walk(spark):
     es = edges(
         spark,
