@@ -10,12 +10,13 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.wordlists import PAGE_SIZES, THEME_NAMES
-from spanlake.operators.vectors import BLOCK_ROWS
-from spanlake.runtime import cut
+from spanlake.operators.vectors import BLOCK_ROWS, lowest_pair, travelling_blocks
+from spanlake.runtime import cut, stored
 
 LOCAL_ROWS = 4096  # a cluster of at most this many rows is split to the end inside one task
 
@@ -43,6 +44,21 @@ def _raw(col) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col])
 
 
+def _rows_of(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column as rows, without a Python object for each number."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    sizes = pc.list_value_length(col)
+    if len(col) == 0 or sizes.null_count or len(pc.unique(sizes)) > 1:
+        return _raw(col.to_pylist())
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+
+
+def _added(m: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each group; every group has a row."""
+    order = np.argsort(group, kind="stable")
+    return np.add.reduceat(m[order], np.searchsorted(group[order], np.arange(n)), axis=0)
+
+
 # ---- sums per cluster ----------------------------------------------------------------------------
 
 
@@ -68,10 +84,9 @@ def vector_sums(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:
             keys = b.column(key).to_pandas().to_numpy()
             if len(keys) == 0:
                 continue
-            m = _raw(b.column(vec).to_pylist())
+            m = _rows_of(b.column(vec))
             uniq, inv = np.unique(keys, return_inverse=True)
-            sums = np.zeros((len(uniq), m.shape[1]))
-            np.add.at(sums, inv, m)
+            sums = _added(m, inv, len(uniq))
             for k, n, s in zip(uniq, np.bincount(inv), sums):
                 if k in acc:
                     acc[k][0] += int(n)
@@ -188,25 +203,35 @@ def _split_to_end(df: DataFrame, p: ClusterParams) -> DataFrame:
 
 
 def _seeds_exact(big: DataFrame, blocks: dict[str, int]) -> DataFrame:
-    """(node, a, b): farthest pair per large cluster from products of block pairs; a task returns one row."""
-    n = F.create_map(*[x for k, v in blocks.items() for x in (F.lit(k), F.lit(v))])
-    rows = big.withColumn("nb", n[F.col("node")]).withColumn("blk", F.pmod(F.xxhash64("chunk_id"), F.col("nb")).cast("int"))
+    """(node, a, b, va, vb): farthest pair per large cluster with its unit vectors, from products of block pairs;
+    a task returns one row."""
+    count = big.sparkSession.createDataFrame(list(blocks.items()), "node string, nb int")  # at most max_regions rows
+    rows = big.join(F.broadcast(count), "node").withColumn("blk", F.pmod(F.xxhash64("chunk_id"), F.col("nb")).cast("int"))
     seq = F.sequence(F.lit(0), F.col("nb") - 1)
     grid = rows.withColumn("other", F.explode(seq)).select(
         "node", "chunk_id", "vec", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj")
     )
 
-    def lowest(k: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_id")
-        ids = pdf["chunk_id"].to_numpy()
-        if len(ids) < 2:
-            return pd.DataFrame({"node": [], "sim": [], "a": [], "b": []})
-        u = _matrix(pdf["vec"])
-        i, j = farthest_pair(u)
-        return pd.DataFrame({"node": [k[0]], "sim": [round(float(u[i] @ u[j]), 9)], "a": [ids[i]], "b": [ids[j]]})
-
-    found = grid.groupBy("node", "bi", "bj").applyInPandas(lowest, "node string, sim double, a string, b string")
-    return found.groupBy("node").agg(F.min(F.struct("sim", "a", "b")).alias("m")).select("node", "m.a", "m.b")
+    def lowest(table: pa.Table) -> pa.Table:
+        ids = table["chunk_id"].to_pandas().to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, u, blk = ids[order], _unit(_rows_of(table["vec"]))[order], table["blk"].to_numpy()[order]
+        first, last = table["bi"][0].as_py(), table["bj"][0].as_py()
+        at = [np.flatnonzero(blk == first), np.flatnonzero(blk == last)]
+        found = [lowest_pair(u[at[0]], u[at[1]], at[0], at[1], first == last)]
+        found = [f for f in found if np.isfinite(f[0])]
+        return pa.table(
+            [
+                pa.array([table["node"][0].as_py() for _ in found], pa.string()), pa.array([f[0] for f in found], pa.float64()),
+                *(pa.array([ids[f[i]] for f in found], pa.string()) for i in (1, 2)),
+                *(pa.array([u[f[i]].tolist() for f in found], pa.list_(pa.float64())) for i in (1, 2)),
+            ],
+            names=["node", "sim", "a", "b", "va", "vb"],
+        )
+
+    schema = "node string, sim double, a string, b string, va array<double>, vb array<double>"
+    found = grid.groupBy("node", "bi", "bj").applyInArrow(lowest, schema)
+    return found.groupBy("node").agg(F.min(F.struct("sim", "a", "b", "va", "vb")).alias("m")).select("node", "m.a", "m.b", "m.va", "m.vb")
 
 
 def _fetch(df: DataFrame, ids: dict[str, str]) -> dict[str, np.ndarray]:
@@ -233,18 +258,53 @@ def _farthest_from(df: DataFrame, cents: dict[str, np.ndarray]) -> dict[str, str
     return {r["node"]: r["m"]["chunk_id"] for r in rows}
 
 
-def _side_column(cents: dict[str, tuple[np.ndarray, np.ndarray]]):
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            u = _matrix(pdf["vec"])
-            c0 = np.stack([cents[x][0] for x in pdf["node"]])
-            c1 = np.stack([cents[x][1] for x in pdf["node"]])
-            right = np.round(np.einsum("ij,ij->i", u, c0), 12) < np.round(np.einsum("ij,ij->i", u, c1), 12)
-            yield pdf.assign(node=pdf["node"] + np.where(right, "1", "0"))
+Centroids = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _sided(batch: pa.RecordBatch, cents: Centroids) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Clusters of a batch, and per row the number of its cluster, its vector and whether it goes right."""
+    coded = batch.column("node").dictionary_encode()
+    names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    raw = _rows_of(batch.column("vec"))
+    u = _unit(raw)
+    c0, c1 = (np.stack([cents[x][i] for x in names])[code] for i in (0, 1))
+    right = np.round(np.einsum("ij,ij->i", u, c0), 12) < np.round(np.einsum("ij,ij->i", u, c1), 12)
+    return names, code, raw, right
 
-    return assign
+
+def _with_side(df: DataFrame, cents: Centroids) -> DataFrame:
+    """``df`` with the side of every row appended to its cluster's path."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                names, code, _, right = _sided(batch, cents)
+                path = np.array([x + side for x in names for side in "01"], dtype=object)[code * 2 + right]
+                at = batch.schema.get_field_index("node")
+                yield batch.set_column(at, batch.schema.field(at), pa.array(path, pa.string()))
+
+    return df.mapInArrow(assign, df.schema)
+
+
+def _side_sums(df: DataFrame, cents: Centroids) -> dict[str, np.ndarray]:
+    """Sum of the vectors of each side that has rows. Tasks add up their rows, a task has few clusters when
+    ``df`` is ordered by them, and the driver adds up what tasks found: two rows per cluster and task."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                names, code, raw, right = _sided(batch, cents)
+                sides, inv = np.unique(code * 2 + right, return_inverse=True)
+                for side, s in zip(sides, _added(raw, inv, len(sides))):
+                    path = names[side // 2] + "01"[side % 2]
+                    acc[path] = acc[path] + s if path in acc else s
+        yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.string()), pa.array([x.tolist() for x in acc.values()], pa.list_(pa.float64()))], names=["path", "sum"])
+
+    out: dict[str, np.ndarray] = {}
+    for r in df.select("node", "vec").mapInArrow(partial, "path string, sum array<double>").collect():
+        out[r["path"]] = out.get(r["path"], 0) + np.asarray(r["sum"])
+    return out
 
 
 def _bisect_large(big: DataFrame, sizes: dict[str, int], p: ClusterParams, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -252,18 +312,16 @@ def _bisect_large(big: DataFrame, sizes: dict[str, int], p: ClusterParams, block
     if p.seeds == "two_hop":
         first = {r["node"]: r["c"] for r in big.groupBy("node").agg(F.min("chunk_id").alias("c")).collect()}
         a_ids = _farthest_from(big, _fetch(big, first))
-        b_ids = _farthest_from(big, _fetch(big, a_ids))
+        a, b = _fetch(big, a_ids), _fetch(big, _farthest_from(big, _fetch(big, a_ids)))
     else:
-        blocks = {k: max(1, math.ceil(n / block_rows)) for k, n in sizes.items()}
+        cores = big.sparkSession.sparkContext.defaultParallelism
+        blocks = {k: travelling_blocks(n, block_rows, -(-cores // len(sizes))) for k, n in sizes.items()}
         rows = _seeds_exact(big, blocks).collect()
-        a_ids, b_ids = {r["node"]: r["a"] for r in rows}, {r["node"]: r["b"] for r in rows}
-    a, b = _fetch(big, a_ids), _fetch(big, b_ids)
+        a, b = ({r["node"]: np.asarray(r[v]) for r in rows} for v in ("va", "vb"))
     cents = {k: (a[k], b[k]) for k in sizes}
     moving = set(sizes)
     for _ in range(p.max_iters - 1):
-        active = big.filter(F.col("node").isin(sorted(moving)))
-        sides = active.mapInPandas(_side_column(cents), active.schema)
-        sums = {r["node"]: np.asarray(r["sum"]) for r in vector_sums(sides, "node").collect()}
+        sums = _side_sums(big.filter(F.col("node").isin(sorted(moving))), {k: cents[k] for k in moving})
         for k in sorted(moving):
             if k + "0" not in sums or k + "1" not in sums:
                 moving.discard(k)
@@ -275,7 +333,7 @@ def _bisect_large(big: DataFrame, sizes: dict[str, int], p: ClusterParams, block
                 cents[k] = (n0, n1)
         if not moving:
             break
-    return big.mapInPandas(_side_column(cents), big.schema)
+    return _with_side(big, cents)
 
 
 @dataclass
@@ -317,6 +375,11 @@ class _Tree:
         return leaves, unknown
 
 
+def _parts(rows: DataFrame) -> DataFrame:
+    """Written ordered by part, so that a task reads few parts and a part's rows are found without the others."""
+    return stored(rows.repartitionByRange("node", "chunk_id").sortWithinPartitions("node"), "parts")
+
+
 def cluster_chunks(chunks: DataFrame, params: ClusterParams | None = None) -> tuple[DataFrame, DataFrame]:
     """Regions (region_id, centroid, chunk_count) and members (region_id, chunk_id, distance).
 
@@ -326,7 +389,7 @@ def cluster_chunks(chunks: DataFrame, params: ClusterParams | None = None) -> tu
     sizes. Small parts finish inside one task, larger ones are split by distributed scans.
     """
     p = params or ClusterParams()
-    rows = cut(chunks.filter(F.size("vec") > 0).select("chunk_id", "vec", F.lit("").alias("node")))
+    rows = _parts(chunks.filter(F.size("vec") > 0).select("chunk_id", "vec", F.lit("").alias("node")))
 
     def stats(df: DataFrame):
         return df.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("lo")).collect()
@@ -347,7 +410,7 @@ def cluster_chunks(chunks: DataFrame, params: ClusterParams | None = None) -> tu
             done = done.unionByName(_split_to_end(rows.filter(F.col("node").isin(small)), p))
         if large:
             done = done.unionByName(_bisect_large(rows.filter(F.col("node").isin(list(large))), large, p))
-        rows = cut(done)
+        rows = _parts(done)
         seen = stats(rows)
         tree = _Tree()
         tree.learn(seen)
@@ -361,7 +424,7 @@ def cluster_chunks(chunks: DataFrame, params: ClusterParams | None = None) -> tu
             fix = F.col("node")
             for x in bad:
                 fix = F.when(F.col("node").isin(x + "0", x + "1"), F.lit(x + "x")).otherwise(fix)
-            rows = cut(rows.withColumn("node", fix))
+            rows = _parts(rows.withColumn("node", fix))
     # map every row to its kept ancestor; at most max_regions of them
     kept = sorted(leaves)
     leaf = F.coalesce(*[F.when(F.col("node").startswith(x), F.lit(x)) for x in kept])

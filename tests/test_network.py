@@ -187,3 +187,21 @@ def test_bisect_splits_a_cluster_over_many_tasks(spark):
     split = cl.bisect(df, "region", block_rows=16)
     assert "FlatMapGroupsInPandas" not in split._jdf.queryExecution().toString()
     assert {(r.region, r.chunk_id): r.side for r in split.collect()} == want | {("b", "c900"): 0}
+
+
+def test_lowest_pair_of_blocks_is_the_farthest_pair_and_blocks_stay_few():
+    import numpy as np
+
+    from spanlake.operators.cluster import _unit, farthest_pair
+    from spanlake.operators.vectors import TRAVEL_ROWS, lowest_pair, travelling_blocks
+
+    rng = np.random.default_rng(3)
+    u = _unit(rng.standard_normal((1500, 8)).round(1))
+    u[[4, 900]], u[[7, 600, 1400]] = u[0], -u[0]
+    u[5] = 0
+    side = rng.random(len(u)) < 0.4
+    a, b = np.flatnonzero(side), np.flatnonzero(~side)
+    met = [lowest_pair(u[x], u[y], x, y, x is y) for x, y in ((a, a), (b, b), (a, b))]
+    assert min(met)[1:] == lowest_pair(u, u, np.arange(1500), np.arange(1500), True)[1:] == farthest_pair(u)
+    for rows in (100_000, 600_000):  # a row travels once for each block
+        assert travelling_blocks(rows, 128, 12) <= 7 + rows // TRAVEL_ROWS
