@@ -205,3 +205,24 @@ def test_lowest_pair_of_blocks_is_the_farthest_pair_and_blocks_stay_few():
     assert min(met)[1:] == lowest_pair(u, u, np.arange(1500), np.arange(1500), True)[1:] == farthest_pair(u)
     for rows in (100_000, 600_000):  # a row travels once for each block
         assert travelling_blocks(rows, 128, 12) <= 7 + rows // TRAVEL_ROWS
+
+
+def test_nearest_of_wide_blocks_equal_plain_products_and_travel_in_few_blocks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from spanlake.operators import vectors as vs
+
+    rng = np.random.default_rng(5)
+    u = rng.standard_normal((400, 6)).round(1).astype(np.float32)
+    u[::7], u[3], u[11, 2] = u[0], 0, np.nan  # copies, a zero, a row that isn't numbers
+    ids = np.array([f"c{i:04d}" for i in rng.permutation(400)], dtype=object)
+    col = pa.array(list(u), pa.list_(pa.float32()))
+    sims = vs.similarity(col, col)
+    sims[~np.isfinite(sims)] = -np.inf
+    monkeypatch.setattr(vs, "TILE", 64)
+    for floor in (None, 0.35):
+        r, c = vs.best_per_row(sims, ids, 5, ids[:, None] == ids[None, :], floor)
+        want = {(i, j) for i, j in zip(r.tolist(), c.tolist()) if np.isfinite(sims[i, j])}
+        a, b, _ = vs._nearest(col, col, ids, ids, 5, floor, True, 100)
+        assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
