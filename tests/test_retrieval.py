@@ -237,3 +237,19 @@ def test_repeated_pairs_and_weights_are_located_as_rows(spark):
         (a,), got = once.collect(), several.collect()
         assert len(got) == rows and {(r.win_start, r.win_end) for r in got} == {(a.win_start, a.win_end)}
         assert all(r.score == pytest.approx(4 * a.score) for r in got)
+
+
+def test_terms_are_counted_a_bounded_number_of_tokens_at_a_time(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from spanlake.operators import lexical
+
+    texts = [["a", "b", "a"], [], ["b"] * 9, ["c", "a"], ["a"], [], ["d", "d"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"c{i}" for i in range(len(texts))]), pa.array(texts, pa.list_(pa.string()))], names=["chunk_id", "toks"])
+    monkeypatch.setattr(lexical, "COUNTED_TOKENS", 4)
+    out = list(lexical._counted(["chunk_id"])([batch.slice(1), batch.slice(0, 1), batch.slice(0, 0)]))
+    got = sorted(tuple(r.values()) for b in out for r in b.to_pylist())
+    want = sorted((t, f"c{i}", n, len(x)) for i, x in enumerate(texts) for t, n in Counter(x).items())
+    assert got == want and len(out) > 3 and max(sum(b["tf"].to_pylist()) for b in out) == 9
