@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +42,40 @@ def term_counts(texts: DataFrame, group: Sequence[str], text: str = "content") -
     return terms.filter(is_label_term(F.col("term"))).groupBy(*group, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _leading(n: int):
+    """Rows (group, term, score, rounded): the ``n`` best terms of each run of rows with one group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0)
+            other = pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, batch.num_rows - 1)), True)
+            of = np.concatenate([[0], np.cumsum(other.to_numpy(zero_copy_only=False))])
+            below = -batch.column("rounded").to_numpy(zero_copy_only=False)
+            order = np.lexsort((below, of))
+            first = np.flatnonzero(np.concatenate([[True], np.diff(of) > 0]))
+            last = np.minimum(first + n, np.append(first[1:], len(of))) - 1
+            # terms decide only between those that score like the n-th
+            near = np.flatnonzero(below <= below[order[last]][of])
+            rows = batch.take(pa.array(near)).append_column("of", pa.array(of[near])).append_column("below", pa.array(below[near]))
+            rows = rows.take(pc.sort_indices(rows, [("of", "ascending"), ("below", "ascending"), ("term", "ascending")]))
+            of = rows.column("of").to_numpy()
+            yield rows.filter(pa.array(np.arange(len(of)) - np.searchsorted(of, of) < n)).select(batch.schema.names[:3])
+
+    return run
+
+
 def top_keywords(
     texts: DataFrame, df: DataFrame, n_docs: DataFrame, group: Sequence[str], n: int, text: str = "content"
 ) -> DataFrame:
     """(*group, rank, term, score): the n best terms by tf * (N + 1) / (df + 1), ties alphabetical.
 
-    n_docs: one row (n_docs). A vocabulary of checked size is broadcast. A larger one is looked up by
-    shuffle, spread over salts since a common term occurs in very many groups.
+    n_docs: one row (n_docs). A vocabulary of checked size is broadcast; terms of one document need no look-up. A larger
+    one is looked up by shuffle, spread over salts since a common term occurs in very many groups. The terms of a chunk stand
+    together where they are counted, and only its best are sorted.
     """
-    df = cut(df)
+    df = cut(df).filter("df > 1")
     tf = term_counts(texts, group, text)
     if has_at_most(df, SMALL_VOCABULARY):
         found = tf.join(F.broadcast(df), "term", "left")
@@ -62,6 +90,9 @@ def top_keywords(
             F.col("tf") * ((F.col("n_docs") + 1).cast("double") / (F.coalesce("df", F.lit(1)) + 1)),
         )
     )
+    if list(group) == ["chunk_id"]:
+        rows = scored.select("chunk_id", "term", "score", F.round("score", 9).alias("rounded"))
+        scored = rows.mapInArrow(_leading(n), rows.drop("rounded").schema)
     return top_k(scored, group, [F.round("score", 9).desc(), F.col("term").asc()], n).select(
         *group, "rank", "term", "score"
     )

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,23 @@ def test_file_edges_max_not_sum(spark):
     assert got == {("A", "B"): 0.7, ("B", "C"): 0.4}
 
 
+def test_only_the_best_terms_of_a_chunk_are_sorted(spark):
+    rng = np.random.default_rng(5)
+    of = [None, None] + [f"c{i // 40}" for i in range(400)] + ["c0"] * 3
+    rows = [(c, f"t{rng.integers(30):02d}", float(rng.integers(1, 6)) / 3) for c in of]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)] + [pa.array([round(r[2], 9) for r in rows])], names=["chunk_id", "term", "score", "rounded"])
+    found = [tuple(r.values()) for part in kw._leading(4)(iter([batch.slice(0, 0), batch.slice(0, 100), batch.slice(100)])) for r in part.to_pylist()]
+    assert len(found) <= 2 + 4 * (10 + 1 + 1) and found == [r for r in found if r in rows]
+    for c in set(of):
+        best = lambda some: sorted((-round(s, 9), t) for d, t, s in some if d == c)[:4]
+        assert best(found) == best(rows)
+    d = spark.createDataFrame([("a", "zebra zebra grass plain river"), ("a", "zebra lake"), ("b", None), (None, "grass")], "chunk_id string, content string")
+    top = kw.top_keywords(d, kw.keyword_df(d), kw.corpus_size(d), ["chunk_id"], 2)
+    assert {(r.chunk_id, r.rank, r.term) for r in top.collect()} == {("a", 1, "zebra"), ("a", 2, "lake"), (None, 1, "grass")}
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.index("Window") < plan.index("MapInArrow")
+
+
 def test_keywords_and_digests(spark):
     texts = ["Zebra grass zebra. More zebra talk.", "zebra stripes and grass", "engine piston engine oil", "engine oil leaks the"]
     d = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "chunk_id string, content string")
