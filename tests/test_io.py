@@ -189,6 +189,21 @@ def test_repair_mends_each_arm_and_touches_few_buckets(spark, tmp_path):
     assert {r.term for r in repair.read_arm(spark, at, "keyword").filter("chunk_id = 'c5'").collect()} == {"changed"}
 
 
+def test_arms_are_made_where_they_are_written(spark, tmp_path):
+    rows = [("a", "one two two", None, None), ("a", "one two two", None, None), ("b", None, [1.0], None), ("c", "!!", None, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string, vec array<float>, deleted_at string")
+    plans = {arm: make(repair._dealt(repair._source(chunks, arm), 4))._jdf.queryExecution().optimizedPlan().toString() for arm, (_, _, make) in repair.ARMS.items()}
+    assert not any("Join" in plan for plan in plans.values())  # rows of an arm aren't shuffled to their digests
+    at = str(tmp_path / "arms")
+    repair.write_arms(chunks, at, 4)
+    assert repair.reconcile(chunks, at).isEmpty()
+    assert sorted((r.chunk_id, r.term or "", r.tf, r.dl) for r in repair.read_arm(spark, at, "keyword").collect()) == [("a", "one", 1, 3)] * 2 + [("a", "two", 2, 3)] * 2 + [("b", "", 0, 0), ("c", "", 0, 0)]
+    assert sorted((r.chunk_id, r.text or "") for r in repair.read_arm(spark, at, "passages").collect()) == [("a", "one two two")] * 2 + [("b", ""), ("c", "")]
+    repair.repair(chunks.filter("chunk_id = 'b'"), at, 4)
+    assert {r.chunk_id for arm in repair.ARMS for r in repair.read_arm(spark, at, arm).collect()} == {"b"}
+    assert {p.name for p in (tmp_path / "arms").iterdir()} == set(repair.ARMS)
+
+
 def test_streamed_index_drops_old_rows(spark, tmp_path):
     at = str(tmp_path / "store")
     schema = "chunk_id string, content string"
