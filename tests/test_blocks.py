@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +166,18 @@ def test_half_written_versions_are_not_seen(spark, tmp_path):
     assert tables.load_search_index(spark, at) is None
     good = tables.save_search_index(fusion.SearchIndex(d), at, "good")
     assert tables.versions(spark, at)[0][1] == good == "good" and len(tables.versions(spark, at)) == 1
+
+
+def test_a_range_is_numbered_in_few_bytes_a_token():
+    n, per = 2000, 200
+    code = np.random.default_rng(2).integers(0, 3000, n * per)
+    toks = pa.ListArray.from_arrays(pa.array(np.arange(0, n * per + 1, per), pa.int32()), pa.array([f"w{i}" for i in range(3000)]).take(pa.array(code)))
+    rows = pa.table({"chunk_id": [f"d{i:05d}" for i in range(n)], "toks": toks})
+    members = pa.list_(pa.struct([("chunk_id", pa.string())]))
+    numbers = pa.list_(pa.int32())
+    schema = pa.schema([("range", pa.int64()), ("term", pa.string()), ("n", pa.int32()), ("tf", pa.binary()), ("pos", pa.binary()), ("top_tf", numbers), ("top_dl", numbers), ("ids", members)])
+    tracemalloc.start()
+    blocks._range_blocks(rows, ("chunk_id",), 0, schema)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * n * per
