@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.conditions import eval_condition
 from spanlake.functions.text import collapse_ws, slugify, trim_ws
 from spanlake.ordered import with_ordinal, with_running
-from spanlake.runtime import cut
+from spanlake.runtime import cut, has_at_most, stored
 
 # ---- tree ----------------------------------------------------------------------------------------
 
@@ -275,65 +275,211 @@ def reachable_static(contexts: DataFrame, edges: DataFrame) -> DataFrame:
         seen = seen.unionByName(wave)
 
 
+_ORDER = ["weight", "created_at", "edge_id"]
+_TREE_LEVELS = 32  # higher trees are walked node by node from there on
+_SENT = 100_000  # rows that are sent to all tasks
+_PIECE = 1 << 16  # places of a run that are joined at a time
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if has_at_most(df, _SENT) else df
+
+
+def _marked(edges: DataFrame) -> DataFrame:
+    """edges plus ``opens``, is it open whenever it comes up, and ``told``, the node whose reading decides, if any.
+
+    A node's own edges come up after it was read, and a node that was read is not entered again. Plain conditions are
+    recognised as they are; the patterns are for the others.
+    """
+    c, ends = F.col("condition"), (F.col("from_node"), F.col("to_node"))
+    cond = trim_ws(F.coalesce(c, F.lit("")))
+    need, not_read = trim_ws(F.regexp_extract(cond, _HAS_READ, 2)), F.regexp_extract(cond, _HAS_READ, 1) == "!"
+    plain = [(c == F.concat(F.lit(said), end, F.lit(")"))) & end.rlike("^[!-~]*$") for said, end in zip(("has_read(", "!has_read("), ends)]
+    own = cond.rlike(_HAS_READ) & F.when(not_read, need == ends[1]).otherwise(need == ends[0])
+    marked = edges.withColumn(
+        "opens",
+        F.when(c.isNull(), True)
+        .when(c.contains("has_read("), F.coalesce(plain[0] | plain[1], F.lit(False)) | F.coalesce(own, F.lit(False)))
+        .when(c.rlike("[!-~]"), False)
+        .otherwise(cond == ""),
+    )
+    return marked.withColumn("told", F.when(c.contains("has_read(") & ~F.col("opens") & cond.rlike(_HAS_READ), need))
+
+
+def _private_trees(contexts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes that everyone who enters their parent meets in turn, with all that lies below them: (node, parent, *_ORDER,
+    size) of those with a parent of another kind, the same of those below, and the number of levels.
+
+    Such a node has one edge into it, one that opens whenever it comes up, edges to such nodes alone, and is no start,
+    nor read before, nor named by a condition that has to be looked up. edges: as made by ``_marked``.
+    """
+    apart = edges.select(F.col("told").alias("node")).union(contexts.select(F.explode("starts"))).union(contexts.select(F.explode("read_nodes")))
+    apart = apart.filter("node is not null").distinct()
+    single = edges.groupBy(F.col("to_node").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("node")
+    outs = edges.groupBy(F.col("from_node").alias("node")).agg(F.count(F.lit(1)).alias("left"))
+    rows = (
+        edges.filter("opens")
+        .select(F.col("to_node").alias("node"), F.col("from_node").alias("parent"), *_ORDER)
+        .join(single, "node", "left_semi")
+        .join(_sent(cut(apart)), "node", "left_anti")
+        .join(outs, "node", "left")
+        .withColumn("left", F.coalesce("left", F.lit(0)))
+    )
+    rows = stored(rows, "walk-single")
+    leaves = rows.filter("left = 0").withColumn("size", F.lit(1).cast("long"))
+    open_, done = cut(rows.filter("left > 0").select("node", "parent", "left", F.lit(1).cast("long").alias("size"))), [leaves.select("node", "parent", "size")]
+    while len(done) < _TREE_LEVELS:
+        push = done[-1].groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("got"))
+        open_ = cut(
+            open_.join(push, "node", "left").select(
+                "node", "parent", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), (F.col("size") + F.coalesce("got", F.lit(0))).alias("size")
+            )
+        )
+        ready = open_.filter("left = 0").select("node", "parent", "size")
+        if ready.isEmpty():
+            break
+        done.append(ready)
+        open_ = open_.filter("left > 0")
+    cols = ["node", "parent", *_ORDER, "size"]
+    sized = leaves.select(cols)
+    if len(done) == 1:
+        return sized, sized.limit(0), 1
+    inner = stored(reduce(DataFrame.unionByName, done[1:]).select("node", "size"), "walk-sizes")
+    sized = sized.unionByName(rows.filter("left > 0").drop("left").join(inner, "node").select(cols))
+    below = inner.select(F.col("node").alias("parent"))
+    return sized.join(below, "parent", "left_anti").select(cols), sized.join(below, "parent", "left_semi").select(cols), len(done)
+
+
+def _core_edges(contexts: DataFrame, edges: DataFrame, tops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges that lie between other nodes than those of ``tops`` and come up for some reader if all were open, and the
+    nodes (node) that they come from or lead to."""
+    near = cut(contexts.select(F.explode("starts").alias("node")).filter("node is not null").distinct())
+    seen, found = [near], []
+    while True:
+        out = edges.join(_sent(near), edges["from_node"] == near["node"], "left_semi")
+        found.append(cut(out.join(tops.select(F.col("node").alias("to_node")), "to_node", "left_anti").select(edges.columns)))
+        near = found[-1].select(F.col("to_node").alias("node")).filter("node is not null").distinct()
+        near = cut(reduce(lambda new, old: new.join(old, "node", "left_anti"), seen, near))
+        if near.isEmpty():
+            return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, seen)
+        seen.append(near)
+
+
 def conditional_walk(contexts: DataFrame, edges: DataFrame) -> DataFrame:
     """(context_id, pos, node_id): depth-first reading order of each reader.
 
-    A step may depend on everything read before, so a reader is followed by one task; it gets only
-    the edges of the part of the graph that reader can reach, with all other conditions decided
-    beforehand. contexts: (context_id, audience, labels, read_nodes, starts).
+    A step may depend on everything read before, so a reader is followed by one task. It gets the edges of the part of
+    the graph that reader can reach, with all other conditions decided beforehand, without trees that everyone reads in
+    one order (see ``_private_trees``): a run of them between two other edges of a node is one step, and their nodes
+    are placed by sums of sizes and joined to the readers at the end.
+    contexts: (context_id, audience, labels, read_nodes, starts).
     """
-    reach = reachable_static(contexts, edges)
+    edges = edges.filter("from_node is not null").select("from_node", "to_node", *_ORDER, "condition")
+    edges = stored(_marked(edges), "walk-edges")
+    tops, inner, levels = _private_trees(contexts, edges)
+    core, nodes = _core_edges(contexts, edges.drop("opens", "told"), tops)
+    tops = stored(tops.join(_sent(nodes), tops["parent"] == nodes["node"], "left_semi"), "walk-tops")
+    # places among the edges of a node: trees before, and how many other edges
+    mixed = core.join(tops.select(F.col("parent").alias("from_node")).distinct(), "from_node", "left_semi")
+    none, no = F.lit(None).cast("string"), F.lit(0).cast("long")
+    kids = (
+        tops.withColumn("kind", F.lit(0)).unionByName(inner.withColumn("kind", F.lit(1))).withColumn("condition", none)
+        .unionByName(mixed.select(F.col("to_node").alias("node"), F.col("from_node").alias("parent"), *_ORDER, no.alias("size"), F.lit(2).alias("kind"), "condition"))
+    )
+    order = [F.col(c).asc_nulls_last() for c in (*_ORDER, "node")]
+    kids = with_running(kids, ["parent"], order, sums={"off": F.col("size"), "run": (F.col("kind") == 2).cast("long")})
+    kids = stored(kids, "walk-places")
+    place = kids.filter("kind = 0").select("parent", "run", F.col("off").alias("place"), "node", "size")
+    runs = place.groupBy("parent", "run").agg(F.min("place").alias("first"), F.sum("size").alias("size"))
+    level = place.select(F.col("parent").alias("top"), "run", "place", "node")
+    placed = [level]
+    below = kids.filter("kind = 1").select("parent", "off", F.col("node").alias("child"))
+    for n in range(1, levels):
+        level = level.join(below, level["node"] == below["parent"]).select("top", "run", (F.col("place") + 1 + F.col("off")).alias("place"), F.col("child").alias("node"))
+        level = stored(level, "walk-level") if n + 1 < levels else level
+        placed.append(level)
+
+    reach = reachable_static(contexts, core)
     cond = trim_ws(F.coalesce("condition", F.lit("")))
-    none = F.array().cast("array<string>")
+    alone = core.join(kids.filter("kind = 2").select(F.col("parent").alias("from_node")).distinct(), "from_node", "left_anti")
+    steps = alone.withColumn("run", no).unionByName(
+        kids.filter("kind = 2").select(F.col("parent").alias("from_node"), F.col("node").alias("to_node"), *_ORDER, "condition", "run")
+    )
+    read = F.array().cast("array<string>")
     usable = (
-        reach.join(edges, reach["node_id"] == edges["from_node"])
+        reach.join(steps, reach["node_id"] == steps["from_node"])
         .join(contexts.select("context_id", "audience", "labels"), "context_id")
         .select(
             F.col("context_id").alias("context_id"),  # a column of its own, apart from the contexts cogrouped below
             "from_node",
             "to_node",
-            "weight",
-            "created_at",
-            "edge_id",
+            "run",
+            *_ORDER,
             cond.rlike(_HAS_READ).alias("dyn"),
             (F.regexp_extract(cond, _HAS_READ, 1) == "!").alias("neg"),
             trim_ws(F.regexp_extract(cond, _HAS_READ, 2)).alias("need"),
-            eval_condition(F.col("condition"), F.col("audience"), none, F.col("labels")).alias("held"),
+            eval_condition(F.col("condition"), F.col("audience"), read, F.col("labels")).alias("held"),
         )
         .filter(F.col("dyn") | F.col("held"))
+        .drop("held")
+        .withColumns({"first": no, "size": no})
+    )
+    usable = usable.unionByName(
+        reach.join(runs, reach["node_id"] == runs["parent"]).select(
+            F.col("context_id").alias("context_id"), F.col("parent").alias("from_node"), "run", "first", "size"
+        ),
+        allowMissingColumns=True,
     )
 
     def walk(key: tuple[Any, ...], ctx: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
         if ctx.empty:
-            return pd.DataFrame({"context_id": [], "pos": [], "node_id": []})
-        es = es.sort_values(["from_node", "weight", "created_at", "edge_id"])
-        out_edges = {k: list(g[["to_node", "dyn", "neg", "need"]].itertuples(index=False)) for k, g in es.groupby("from_node")}
+            return pd.DataFrame({c: [] for c in ("context_id", "pos", "node_id", "run", "first", "size")})
+        # the run of trees that has a number comes before the other edge that has it
+        es = es.assign(one=es["size"] == 0).sort_values(["from_node", "run", "one", *_ORDER])
+        out_edges = {k: list(g[["to_node", "dyn", "neg", "need", "run", "first", "size"]].itertuples(index=False)) for k, g in es.groupby("from_node")}
         read = set(ctx["read_nodes"].iloc[0] if ctx["read_nodes"].iloc[0] is not None else [])
-        seen, order = set(), []
+        seen, met, pos = set(), [], 0
         for start in ctx["starts"].iloc[0]:
             # (node to enter) or (iterator to go on with); conditions are tested when their edge comes up
-            stack: list = [iter([(start, False, False, "")])]
+            stack: list = [(None, iter([(start, False, False, "", 0, 0, 0)]))]
             while stack:
-                e = next(stack[-1], None)
+                at, left = stack[-1]
+                e = next(left, None)
                 if e is None:
                     stack.pop()
                     continue
-                to, dyn, neg, need = e
+                to, dyn, neg, need, run, first, size = e
+                if size:
+                    met.append((pos, at, run, first, size))
+                    pos += size
+                    continue
                 if to in seen or (dyn and ((need in read) == neg)):
                     continue
                 seen.add(to)
                 read.add(to)
-                order.append(to)
-                stack.append(iter(out_edges.get(to, [])))
-        return pd.DataFrame({"context_id": key[0], "pos": range(len(order)), "node_id": order})
+                met.append((pos, to, 0, 0, 0))
+                pos += 1
+                stack.append((to, iter(out_edges.get(to, []))))
+        out = pd.DataFrame(met, columns=["pos", "node_id", "run", "first", "size"])
+        out.insert(0, "context_id", key[0])
+        return out
 
     kind = contexts.schema["context_id"].dataType.simpleString()
-    return (
+    walked = cut(
         contexts.select("context_id", "read_nodes", "starts")
         .groupBy("context_id")
         .cogroup(usable.groupBy("context_id"))
-        .applyInPandas(walk, f"context_id {kind}, pos long, node_id string")
+        .applyInPandas(walk, f"context_id {kind}, pos long, node_id string, run long, first long, size long")
+    )
+    pieces = cut(
+        walked.filter("size > 0").select(
+            "context_id", F.col("node_id").alias("top"), "run", (F.col("pos") - F.col("first")).alias("shift"),
+            F.explode(F.expr(f"sequence(first div {_PIECE}, (first + size - 1) div {_PIECE})")).alias("piece"),
+        )
     )
+    placed = reduce(DataFrame.unionByName, placed).withColumn("piece", F.expr(f"place div {_PIECE}"))
+    hung = placed.join(_sent(pieces), ["top", "run", "piece"]).select("context_id", (F.col("shift") + F.col("place")).alias("pos"), F.col("node").alias("node_id"))
+    return walked.filter("size = 0").select("context_id", "pos", "node_id").unionByName(hung)
 
 
 # ---- threads and manuscripts ---------------------------------------------------------------------

@@ -121,6 +121,56 @@ def test_conditional_walk(spark):
     assert got == {"x": list("abcde"), "y": list("ace"), "z": list("cade")}
 
 
+def _walked(ctx, es):
+    """The walk of every reader by plain recursion."""
+    out = {}
+    for key, audience, read, starts in ctx:
+        read, seen, order = set(read), set(), []
+
+        def enter(x):
+            seen.add(x)
+            read.add(x)
+            order.append(x)
+            for _, _, to, _, cond, _, _ in sorted((y for y in es if y[1] == x), key=lambda y: (y[5] is None, y[5], y[6], y[0])):
+                need = (cond or "").strip().removeprefix("!").removeprefix("has_read(").removesuffix(")").strip()
+                if (cond or "").startswith("audience=="):
+                    holds = cond.removeprefix("audience==") == audience
+                else:
+                    holds = not (cond or "").strip() or (need in read) != cond.strip().startswith("!")
+                if holds and to not in seen:
+                    enter(to)
+
+        for x in starts:
+            if x not in seen:
+                enter(x)
+        out[key] = order
+    return out
+
+
+def test_conditional_walk_puts_trees_in_place(spark, monkeypatch):
+    """Trees hang between other edges of a node; readers share them, but those with a door of their own are walked."""
+    rnd = random.Random(5)
+    core = [f"k{i}" for i in range(4)]
+    es = [e(a, b, w=rnd.randrange(9), cond=rnd.choice([None, "audience==x", "!has_read(k3)", "has_read(t5)", f"has_read({a})"])) for a in core for b in core if a != b and rnd.random() < 0.5]
+    for i in range(36):  # the tree nodes: three levels and some that are no trees after all
+        up = rnd.choice(core) if i < 20 else f"t{rnd.randrange(i)}"
+        cond = rnd.choice([None, None, "  ", f"!has_read(t{i})", f"has_read( {up} )", f"has_read({up})"]) if i % 11 else rnd.choice(["has_read(k2)", "audience==y"])
+        es.append(e(up, f"t{i}", w=rnd.choice([0, 1, 2, 3, None]), cond=cond, t=i % 2))
+    es += [e("t7", "k1"), e("k1", "t30", w=4), e("t9", None), e(None, "t3"), es[0]]
+    ctx = [("x", "x", ["t25"], ["k0", "t12", "k1"]), ("y", "y", [], ["k3"]), ("z", "", ["k3", "t1"], ["t2", "nowhere", "k2"])]
+    rows = [(k, a, {}, r, s) for k, a, r, s in ctx]
+    frame = spark.createDataFrame(rows, "context_id string, audience string, labels map<string,string>, read_nodes array<string>, starts array<string>")
+    walked, real = [], ol.reachable_static
+    monkeypatch.setattr(ol, "reachable_static", lambda c, x: walked.append(x.count()) or real(c, x))
+    monkeypatch.setattr(ol, "_PIECE", 3)
+    got = {c: [] for c, *_ in ctx}
+    for r in sorted(ol.conditional_walk(frame, edges(spark, es)).collect(), key=lambda r: r.pos):
+        assert r.pos == len(got[r.context_id])
+        got[r.context_id].append(r.node_id)
+    assert got == _walked(ctx, [x for x in es if x[1] is not None])
+    assert walked[0] < len(es) - 12  # most trees don't go through one task
+
+
 def test_spans_dedupe_and_body(spark):
     ordered = spark.createDataFrame([("t", 0, "a", "body a"), ("t", 1, "b", "body b"), ("t", 2, "c", ""), ("t", 3, "b", "body b")], "doc_id string, pos long, node_id string, body string")
     ev = spark.createDataFrame([("e1", "a", "k", 0, 3, "abc", 1), ("e2", "a", "k", 5, 6, "f", 0), ("e3", "c", "k", 0, 3, "abc", 0)], "evidence_id string, node_id string, chunk_id string, char_start int, char_end int, text string, position int").withColumn("created_at", F.current_timestamp())
