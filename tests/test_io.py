@@ -48,6 +48,45 @@ def test_scan(spark, tmp_path):
     assert skipped.count() == 2
 
 
+def test_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path):
+    (tmp_path / "in" / "sub" / "deep er").mkdir(parents=True)
+    (tmp_path / "in" / ".dark").mkdir()
+    for name in ("a.TXT", "sub/b.md", "sub/deep er/c #1 %20 é.txt", "_x.txt", "_x=1.txt", ".y.txt", ".dark/z.txt", "noext"):
+        (tmp_path / "in" / name).write_text("body of " + name)
+    (tmp_path / "in" / "empty.txt").write_text("")
+    cols = ["path", "modificationTime", "length", "content"]
+    for path in (f"{tmp_path}/in", f"{tmp_path}/in/sub/b.md", f"{tmp_path}/in/s*", f"file://{tmp_path}/in/"):
+        old = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(cols)
+        new = transcripts.listed(spark, path).withColumn("content", transcripts.content("path")).select(cols)
+        assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
+    ok, skipped = transcripts.scan_transcripts(spark, f"{tmp_path}/in")
+    assert ok.count() == 4 and skipped.count() == 1
+    assert not ok.inputFiles() and not skipped.inputFiles()  # the driver knows none of them
+
+
+def test_noted_files_are_streamed_by_their_notes(spark, tmp_path):
+    src, store, cp, noted = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "cp"), str(tmp_path / "noted")
+    (src / "x").mkdir(parents=True)
+    go = lambda: run(jobs.stream_ingest(jobs.file_stream(spark, str(src), 3, jobs.file_name, noted), store, cp))
+    for i in range(8):
+        (src / "x" / f"{i}.txt").write_text(f"Text {i}. More.")
+        os.utime(src / "x" / f"{i}.txt", (10**9 - i, 10**9 - i))
+    (src / "skip.pdf").write_text("no")
+    go()
+    batches = {r.source_file: r.batch for r in spark.read.parquet(f"{store}/uploads").filter("status = 'done'").collect()}
+    assert batches == {f"{i}.txt": (7 - i) // 3 for i in range(8)}  # what was modified first comes first, three at a time
+    sources = [line for f in os.scandir(f"{cp}/sources/0") if not f.name.startswith(".") for line in open(f.path)]
+    assert sum(".parquet" in x for x in sources) == 3 and not any(".txt" in x for x in sources)
+    (src / "y").mkdir()
+    (src / "y" / "5.txt").write_text("Anew.")
+    (src / "bad.txt").write_bytes(b"caf\xe9.")
+    go()
+    go()  # nothing new
+    assert {r.source_file: r.status for r in jobs.latest_status(spark, store).collect()} == {f"{i}.txt": "done" for i in range(8)} | {"bad.txt": "failed"}
+    assert [r.content for r in jobs.ingested(spark, store).filter("source_file = '5.txt'").collect()] == ["Anew."]
+    assert spark.read.parquet(f"{store}/uploads").filter("step = 2").count() == 10
+
+
 def test_index_versions(spark, tmp_path):
     d = spark.createDataFrame([("a", "cat dog"), ("b", "dog")], "chunk_id string, content string")
     q = spark.createDataFrame([(1, "cat dog")], "query_id long, text string")
