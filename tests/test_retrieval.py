@@ -253,3 +253,40 @@ def test_terms_are_counted_a_bounded_number_of_tokens_at_a_time(monkeypatch):
     got = sorted(tuple(r.values()) for b in out for r in b.to_pylist())
     want = sorted((t, f"c{i}", n, len(x)) for i, x in enumerate(texts) for t, n in Counter(x).items())
     assert got == want and len(out) > 3 and max(sum(b["tf"].to_pylist()) for b in out) == 9
+
+
+def test_span_groups_stay_where_the_scores_are(spark):
+    """The groups of a pair are those of a plain count, in small batches too, and rows that lie together aren't shuffled."""
+    import random
+
+    rnd, rows, want = random.Random(3), [], set()
+    for q, c in [(q, f"c{c}") for q in range(4) for c in range(30)]:
+        sents, at = [], 0
+        for sent in range(rnd.choice([1, 3, 8, 20])):
+            end = at + rnd.randrange(1, 60)
+            sents.append((q, c, sent, at, end, rnd.choice([0.1, 0.4, 0.5, 0.7, 1.0])))
+            at = end + 1
+        rows += rnd.sample(sents, len(sents))
+        runs = []
+        for _, _, sent, start, end, score in (s for s in sents if s[5] >= 0.5):
+            if runs and runs[-1][3] == sent - 1:
+                runs[-1] = (runs[-1][0], end, max(score, runs[-1][2]), sent)
+            else:
+                runs.append((start, end, score, sent))
+        best = sorted(runs, key=lambda r: (-r[2], r[0]))[:3]
+        wide = [sum(r[1] - r[0] + 3 for r in best[:k]) for k in range(4)]
+        best = best[: 3 if len(best) == 3 and wide[3] <= 150 else 2]
+        if len(best) > 1 and wide[len(best)] <= 150:
+            want |= {(q, c, n, r[0], r[1], r[2], r == best[0]) for n, r in enumerate(sorted(best), 1)}
+    scores = spark.createDataFrame(rows, "query_id long, chunk_id string, sent int, start int, end int, score double")
+    assert len(want) > 50
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = locate.multi_span_groups(scores.coalesce(1), 150, together=True)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert sorted(map(tuple, locate.multi_span_groups(scores.repartition(5), 150).collect())) == sorted(want)
+        assert locate.multi_span_groups(scores.filter("score < 0.5"), 150).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
